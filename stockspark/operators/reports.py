@@ -102,7 +102,7 @@ def top_products(v, p: Params, k: int = K.TOP_PRODUCTS) -> DataFrame:
            .orderBy(F.desc("total_qty"), "product_id").limit(k))
     # rank after the limit: the window sees k rows only
     return top.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.desc("total_qty"), "product_id")))
+        Window.orderBy(F.desc("total_qty"), "product_id")).cast("bigint"))
 
 
 # ------------------------------------------------------------------ A-07

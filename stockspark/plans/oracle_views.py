@@ -147,6 +147,11 @@ def with_views(query: str, *names: str, extra: list[tuple[str, str]] | None = No
     """
     parts = [f"{n} AS ({VIEWS[n][1]}\n)" for n in _closure(list(names))]
     parts += [f"{n} AS ({body}\n)" for n, body in (extra or [])]
+    q = query.lstrip()
+    if q[:5].lower() == "with ":          # merge the query's own CTE list
+        if not parts:
+            return "WITH RECURSIVE " + q[5:]
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + q[5:]
     if not parts:
         return query
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + query
