@@ -78,7 +78,8 @@ def _fold_from(x: np.ndarray, bal: int):
 
 def _segment_pass(batches):
     """One pass over a sorted partition: per product segment the plain prefix
-    ``pre`` (from 0) and the refusing fold ``_after0``/``_acc0`` (from 0).
+    ``pre`` (from 0) and the refusing fold ``_after0``/``_acc0`` started at the
+    product's opening ``_open`` (exact for the product's first chunk).
 
     State of the last segment is carried across Arrow batches, so memory
     is one batch regardless of how many rows a product has.
@@ -92,6 +93,7 @@ def _segment_pass(batches):
             continue
         key = pdf[KEY].to_numpy()
         x = pdf["_cents"].to_numpy(dtype=np.int64)
+        opening = pdf["_open"].to_numpy(dtype=np.int64)
         starts = np.empty(n, dtype=bool)
         starts[0] = True
         starts[1:] = key[1:] != key[:-1]
@@ -102,7 +104,7 @@ def _segment_pass(batches):
         for j in range(len(bounds) - 1):
             a, b = bounds[j], bounds[j + 1]
             cont = j == 0 and carry_key is not None and key[0] == carry_key
-            p0, f0 = (carry_pre, carry_bal) if cont else (0, 0)
+            p0, f0 = (carry_pre, carry_bal) if cont else (0, int(opening[a]))
             pre[a:b] = p0 + np.cumsum(x[a:b])
             after[a:b], acc[a:b], carry_bal = _fold_from(x[a:b], f0)
             carry_pre = int(pre[b - 1])
@@ -111,14 +113,20 @@ def _segment_pass(batches):
 
 
 def chunk_movements(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
-                    qty_col: str = "signed_qty") -> DataFrame:
+                    qty_col: str = "signed_qty", opening: DataFrame | None = None) -> DataFrame:
     """Range-partitioned, sorted, checkpointed movements.
 
-    Adds ``chunk`` (partition id), ``pre`` and the fold-from-zero columns.
+    Adds ``chunk`` (partition id), ``pre`` and the fold-from-opening columns.
     """
     spark = movements.sparkSession
     n = n_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [KEY, *order_cols]
+    if opening is None:
+        movements = movements.withColumn("_open", F.lit(0).cast("bigint"))
+    else:
+        o = opening.select(KEY, to_cents(F.col("balance")).alias("_o"))
+        movements = (movements.join(o, KEY, "left")
+                     .withColumn("_open", F.coalesce("_o", F.lit(0).cast("bigint"))).drop("_o"))
     ranged = (movements.withColumn("_cents", to_cents(F.col(qty_col)))
               .repartitionByRange(n, *keys)
               .sortWithinPartitions(*keys)
@@ -205,7 +213,8 @@ def resolve_chunks(chunked: DataFrame, order_cols=ORDER, opening: DataFrame | No
     wp = Window.partitionBy(KEY)
     for _ in range(max_rounds):
         rk = F.col("rk")
-        first_method = (F.when(F.col("base") == 0, "fold0")
+        # round 0: the first chunk starts at the opening, which pass 1 folded from
+        first_method = (F.when(F.lit(round_no == 0), "fold0")
                         .when(F.col("base") >= F.col("t"), "clean").otherwise("refold"))
         x = (pending.join(base, KEY)
              .withColumn("rk", F.row_number().over(w))
@@ -261,7 +270,8 @@ def resolve_chunks(chunked: DataFrame, order_cols=ORDER, opening: DataFrame | No
 def _finish(rows: DataFrame) -> DataFrame:
     return (rows.withColumn("balance_before", from_cents(F.col("_before")))
             .withColumn("balance_after", from_cents(F.col("_after")))
-            .drop("_before", "_after", "_cents", "pre", "chunk", "start", "_after0", "_acc0"))
+            .drop("_before", "_after", "_cents", "pre", "chunk", "start", "_after0", "_acc0",
+                  "_open"))
 
 
 def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None,
@@ -270,7 +280,7 @@ def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | No
 
     Output: the movement columns + balance_before, balance_after, accepted.
     """
-    chunked = chunk_movements(movements, order_cols, n_chunks, qty_col)
+    chunked = chunk_movements(movements, order_cols, n_chunks, qty_col, opening)
     plan, refolded = resolve_chunks(chunked, order_cols, opening)
     fold0 = F.col("method") == "fold0"
     after = F.when(fold0, F.col("_after0")).otherwise(F.col("start") + F.col("pre"))

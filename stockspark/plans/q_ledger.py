@@ -49,26 +49,30 @@ def stock_snapshot(v, p):
 @register("ledger_reconcile", with_views("""
 with net as (select product_id, sum(signed_qty) net from movements group by product_id),
 chk as (
-  select product_id, created_at, ord_key, ord_line, balance_before, balance_after, accepted,
-    signed_qty,
+  select product_id, cast(created_at as varchar) || '|' || ord_key || '|' || ord_line row_key,
+    balance_before, balance_after, accepted, signed_qty,
     lag(balance_after) over (partition by product_id order by created_at, ord_key, ord_line) prev
   from ledger)
-select product_id, created_at, ord_key, ord_line, 'after_mismatch' rule from chk
+select product_id, row_key, 'after_mismatch' rule from chk
   where balance_after <> case when accepted then balance_before + signed_qty else balance_before end
 union all
-select product_id, created_at, ord_key, ord_line, 'chain_break' from chk
+select product_id, row_key, 'chain_break' from chk
   where prev is not null and balance_before <> prev
 union all
-select product_id, created_at, ord_key, ord_line, 'negative' from chk where balance_after < 0
+select product_id, row_key, 'negative' from chk where balance_after < 0
 union all
-select coalesce(n.product_id, s.product_id), null, null, null, 'snapshot_mismatch'
+select coalesce(n.product_id, s.product_id), null, 'snapshot_mismatch'
 from net n full outer join stock s on n.product_id = s.product_id
 where n.net is distinct from s.current_stock and not (s.current_stock is null and n.net = 0)
 """, "ledger", "stock", "movements"))
 def ledger_reconcile(v, p):
     """Q-06: ledger consistency; the plain net balance checked against the ledger snapshot."""
     net = v.net_stock()
-    return L.reconcile(v.ledger, snapshot=net)
+    r = L.reconcile(v.ledger, snapshot=net)
+    key = F.concat_ws("|", F.col("created_at").cast("string"), F.col("ord_key").cast("string"),
+                      F.col("ord_line").cast("string"))
+    return r.select("product_id", F.when(F.col("ord_key").isNotNull(), key).alias("row_key"),
+                    "rule")
 
 
 @register("opening_movements", with_views("""
