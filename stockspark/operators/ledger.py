@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,8 +82,11 @@ def _segment_pass(batches):
     ``pre`` (from 0) and the refusing fold ``_after0``/``_acc0`` started at the
     product's opening ``_open`` (exact for the product's first chunk).
 
-    State of the last segment is carried across Arrow batches, so memory
-    is one batch regardless of how many rows a product has.
+    Vectorised: prefix sums and the "can anything be refused" test run in
+    numpy for all segments at once; only segments that dip below zero are
+    walked row by row, and only from their first dip.  State of the last
+    segment is carried across Arrow batches, so memory is one batch
+    regardless of how many rows a product has.
     """
     carry_key, carry_pre, carry_bal = None, 0, 0
     for pdf in batches:
@@ -93,27 +97,35 @@ def _segment_pass(batches):
             continue
         key = pdf[KEY].to_numpy()
         x = pdf["_cents"].to_numpy(dtype=np.int64)
-        opening = pdf["_open"].to_numpy(dtype=np.int64)
         starts = np.empty(n, dtype=bool)
         starts[0] = True
         starts[1:] = key[1:] != key[:-1]
-        bounds = np.append(np.flatnonzero(starts), n)
-        pre = np.empty(n, dtype=np.int64)
-        after = np.empty(n, dtype=np.int64)
-        acc = np.empty(n, dtype=bool)
-        for j in range(len(bounds) - 1):
+        first_idx = np.flatnonzero(starts)
+        seg = np.cumsum(starts) - 1
+        cs = np.cumsum(x)
+        rel = cs - (cs - x)[first_idx][seg]                 # prefix within segment
+        p0 = np.zeros(len(first_idx), dtype=np.int64)       # plain prefix carried in
+        f0 = pdf["_open"].to_numpy(dtype=np.int64)[first_idx].copy()   # fold start
+        if carry_key is not None and key[0] == carry_key:
+            p0[0], f0[0] = carry_pre, carry_bal
+        pre = rel + p0[seg]
+        plain = rel + f0[seg]                               # fold if nothing refused
+        seg_min = np.minimum.reduceat(plain, first_idx)
+        after = plain.copy()
+        acc = np.ones(n, dtype=bool)
+        bounds = np.append(first_idx, n)
+        for j in np.flatnonzero(seg_min < 0).tolist():      # only dipping segments
             a, b = bounds[j], bounds[j + 1]
-            cont = j == 0 and carry_key is not None and key[0] == carry_key
-            p0, f0 = (carry_pre, carry_bal) if cont else (0, int(opening[a]))
-            pre[a:b] = p0 + np.cumsum(x[a:b])
-            after[a:b], acc[a:b], carry_bal = _fold_from(x[a:b], f0)
-            carry_pre = int(pre[b - 1])
-        carry_key = key[-1]
+            seg_after, seg_acc, _ = _fold_from(x[a:b], int(f0[j]))
+            after[a:b] = seg_after
+            acc[a:b] = seg_acc
+        carry_key, carry_pre, carry_bal = key[-1], int(pre[-1]), int(after[-1])
         yield pdf.assign(pre=pre, _after0=after, _acc0=acc)
 
 
 def chunk_movements(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
-                    qty_col: str = "signed_qty", opening: DataFrame | None = None) -> DataFrame:
+                    qty_col: str = "signed_qty", opening: DataFrame | None = None,
+                    reliable: bool = False) -> DataFrame:
     """Range-partitioned, sorted, checkpointed movements.
 
     Adds ``chunk`` (partition id), ``pre`` and the fold-from-opening columns.
@@ -135,7 +147,7 @@ def chunk_movements(movements: DataFrame, order_cols=ORDER, n_chunks: int | None
         T.StructField("pre", T.LongType()), T.StructField("_after0", T.LongType()),
         T.StructField("_acc0", T.BooleanType())])
     out = ranged.mapInPandas(_segment_pass, schema)
-    return _checkpoint(out)
+    return _keep(out, reliable)
 
 
 # ---------------------------------------------------------------- step 2
@@ -182,12 +194,28 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _keep(df: DataFrame, reliable: bool) -> DataFrame:
+    """Materialise the chunk table once.
+
+    ``reliable``: checkpoint into the shared folder (cuts lineage).  Default:
+    persist memory-and-disk; a lost block is recomputed through the same
+    range-shuffle dependency (fixed bounds) and a deterministic sort, so the
+    chunk ids and prefix values come out identical."""
+    if reliable:
+        return _checkpoint(df)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    return kept
+
+
 def _materialize(df: DataFrame, round_no: int) -> DataFrame:
     """Small per-round chunk tables: cached, with a reliable checkpoint every
     8 rounds so the loop's lineage stays short."""
     if round_no % 8 == 7:
         return _checkpoint(df)
-    return df.cache()
+    kept = df.cache()
+    kept.count()
+    return kept
 
 
 def resolve_chunks(chunked: DataFrame, order_cols=ORDER, opening: DataFrame | None = None,
@@ -203,9 +231,9 @@ def resolve_chunks(chunked: DataFrame, order_cols=ORDER, opening: DataFrame | No
     Following chunks are speculated as clean from the first one's end and
     accepted up to the first that could refuse.
     """
-    cs = _checkpoint(chunk_summaries(chunked, order_cols))
-    base = _openings(cs, opening)
+    cs = chunk_summaries(chunked, order_cols).cache()
     pending = cs
+    base = None if opening is None else _openings(cs, opening)
     plans, refolds = [], []
     round_no = 0
     refold = _make_refold(order_cols)
@@ -216,7 +244,9 @@ def resolve_chunks(chunked: DataFrame, order_cols=ORDER, opening: DataFrame | No
         # round 0: the first chunk starts at the opening, which pass 1 folded from
         first_method = (F.when(F.lit(round_no == 0), "fold0")
                         .when(F.col("base") >= F.col("t"), "clean").otherwise("refold"))
-        x = (pending.join(base, KEY)
+        joined = (pending.withColumn("base", F.lit(0).cast("bigint")) if base is None
+                  else pending.join(base, KEY))
+        x = (joined
              .withColumn("rk", F.row_number().over(w))
              .withColumn("m1", F.when(rk == 1, first_method))
              .withColumn("fe", F.max(F.when(rk == 1, F.when(F.col("m1") == "fold0", F.col("end0"))
@@ -235,17 +265,20 @@ def resolve_chunks(chunked: DataFrame, order_cols=ORDER, opening: DataFrame | No
         plans.append(x.filter(done).select(
             KEY, "chunk", F.when(rk == 1, F.col("m1")).otherwise("clean").alias("method"),
             "start"))
-        to_fold = x.filter((rk == 1) & (F.col("m1") == "refold")).select(
-            KEY, "chunk", F.col("start").alias("_start"))
+        is_refold = (rk == 1) & (F.col("m1") == "refold")
+        nxt = (rk >= 2) & (F.col("fe").isNull() | (rk >= bad))
+        n_fold, n_next = x.agg(F.count_if(is_refold), F.count_if(nxt)).first()  # one action
+        to_fold = x.filter(is_refold).select(KEY, "chunk", F.col("start").alias("_start"))
         folded = None
-        if not to_fold.isEmpty():
-            rows = chunked.join(to_fold, [KEY, "chunk"])
-            folded = _checkpoint(rows.groupBy(KEY, "chunk")
-                                 .applyInPandas(refold, _fold_schema(rows)))
+        if n_fold:
+            # Only chunks after a partition boundary can be refolded: at most one
+            # per boundary, so this side is bounded by the number of partitions.
+            rows = chunked.join(F.broadcast(to_fold), [KEY, "chunk"])
+            folded = _materialize(rows.groupBy(KEY, "chunk")
+                                  .applyInPandas(refold, _fold_schema(rows)), round_no)
             refolds.append(folded)
-        nxt = (rk >= 2) & (F.col("fe").isNull() | (rk >= bad))
         pending = x.filter(nxt).select(KEY, "chunk", "s", "t", "end0")
-        if pending.isEmpty():
+        if not n_next:
             break
         base = x.filter(rk == bad).select(KEY, F.col("start").alias("base"))
         if folded is not None:
@@ -314,6 +347,24 @@ def running_balance(movements: DataFrame, order_cols=ORDER, opening: DataFrame |
     return _finish(rows)
 
 
+def ledger_snapshot(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None,
+                    n_chunks: int | None = None, qty_col: str = "signed_qty") -> DataFrame:
+    """K-03 straight from the chunk resolution: the final balance of a
+    product is the end of its last chunk (fold0 end, clean start + s, or
+    the refolded end), so no row-level output is assembled."""
+    chunked = chunk_movements(movements, order_cols, n_chunks, qty_col, opening)
+    plan, refolded = resolve_chunks(chunked, order_cols, opening)
+    cs = chunk_summaries(chunked, order_cols).select(KEY, "chunk", "s", "end0")
+    ends = (plan.join(cs, [KEY, "chunk"])
+            .select(KEY, "chunk", F.when(F.col("method") == "fold0", F.col("end0"))
+                    .otherwise(F.col("start") + F.col("s")).alias("_end")))
+    if refolded is not None:
+        ends = ends.unionByName(refolded.groupBy(KEY, "chunk").agg(
+            F.max_by("_after", F.struct(*order_cols)).alias("_end")))
+    return (ends.groupBy(KEY).agg(F.max_by("_end", "chunk").alias("_end"))
+            .select(KEY, from_cents(F.col("_end")).alias("current_stock")))
+
+
 def stock_snapshot(ledger: DataFrame, order_cols=ORDER) -> DataFrame:
     """K-03: last balance per product (map-side partial max_by)."""
     return (ledger.groupBy(KEY)

@@ -12,6 +12,7 @@ known up front) is broadcast.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from stockspark.session import ensure_checkpoint_dir
 
 
 def rank_rows(df: DataFrame, order_cols, out: str = "seq", base: int = 0,
-              n_parts: int | None = None) -> DataFrame:
+              n_parts: int | None = None, reliable: bool = False) -> DataFrame:
     """Add ``out`` = base + global 1-based position in ``order_cols`` order.
 
     ``order_cols`` must be a total order (unique) for the numbers to be
@@ -30,8 +31,16 @@ def rank_rows(df: DataFrame, order_cols, out: str = "seq", base: int = 0,
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    ensure_checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)          # fixes partition ids and positions
+    # Materialise once: the count job and the numbering job must see the same
+    # partition ids and positions.  A lost block is recomputed through the same
+    # range-shuffle dependency and a deterministic sort (total order), so the
+    # numbers are stable; ``reliable`` checkpoints into the shared folder.
+    if reliable:
+        ensure_checkpoint_dir(spark)
+        ranged = ranged.checkpoint(eager=True)
+    else:
+        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+        ranged.count()
     pid = F.shiftright(F.col("_mid"), 33)
     local = F.col("_mid") - F.shiftleft(pid, 33)
     counts = ranged.groupBy(pid.alias("_pid")).agg(F.count("*").alias("_n"))

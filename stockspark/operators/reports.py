@@ -46,7 +46,7 @@ def dashboard_kpis(v, p: Params) -> DataFrame:
         F.count_if(F.col("status") == "pending").alias("pending_issues"),
         F.count_if((F.col("status") == "issued") & (F.to_date("issued_at") == today))
          .alias("issued_today"))
-    st = v.stock_transactions.agg(_zero(F.sum(F.when(
+    st = v.accepted_movements.agg(_zero(F.sum(F.when(
         (F.col("type") == "stock_in") & (F.to_date("created_at") == today),
         F.col("quantity")))).alias("stock_in_today"))
     return one_row(prod, ind, iss, st)
@@ -59,7 +59,7 @@ def period_summary(v, p: Params) -> DataFrame:
     ir = v.issue_requests.agg(
         F.count_if((F.col("status") == "issued") & rng("issued_at")).alias("total_issued"),
         F.count_if((F.col("status") == "rejected") & rng("created_at")).alias("rejected_issues"))
-    st = v.stock_transactions.filter(rng("created_at")).agg(
+    st = v.accepted_movements.filter(rng("created_at")).agg(
         _zero(F.sum(F.when(F.col("type") == "stock_in", F.col("quantity")))).alias("total_stock_in"),
         _zero(F.sum(F.when(F.col("type") == "stock_out", F.col("quantity"))))
          .alias("total_stock_out"))

@@ -98,21 +98,27 @@ class Views:
         return ledger.ledger_apply(self.movements)
 
     def ledger_stock(self) -> DataFrame:
-        """Last balance per product from the conditional fold (K-03)."""
+        """Last balance per product from the conditional fold (K-03), taken
+        from the resolved chunk ends (no per-row output needed)."""
         from stockspark.operators import ledger
-        return ledger.stock_snapshot(self.ledger)
+        return ledger.ledger_snapshot(self.movements)
 
     @cached_property
     def stock_levels(self) -> DataFrame:
         return self.ledger_stock() if self.stock == "ledger" else self.net_stock()
 
+    @cached_property
+    def accepted_movements(self) -> DataFrame:
+        """Rows of the stock_transactions table without their numbers (enough
+        for sums and counts; avoids the numbering shuffle)."""
+        return self.ledger.filter(F.col("accepted"))
+
     @cached_property
     def stock_transactions(self) -> DataFrame:
         """Accepted movements (refused ones never reach the table), numbered
         TXN-0001... in time order (W-01)."""
         from stockspark.operators.numbering import number_rows
-        acc = self.ledger.filter(F.col("accepted"))
-        return number_rows(acc, ["created_at", "product_id", "ord_key", "ord_line"], "TXN",
+        return number_rows(self.accepted_movements, ["created_at", "product_id", "ord_key", "ord_line"], "TXN",
                            out="txn_number")
 
     @cached_property
