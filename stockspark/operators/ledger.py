@@ -209,13 +209,10 @@ def _keep(df: DataFrame, reliable: bool) -> DataFrame:
 
 
 def _materialize(df: DataFrame, round_no: int) -> DataFrame:
-    """Small per-round chunk tables: cached, with a reliable checkpoint every
-    8 rounds so the loop's lineage stays short."""
-    if round_no % 8 == 7:
-        return _checkpoint(df)
-    kept = df.cache()
-    kept.count()
-    return kept
+    """Per-round chunk tables (one row per chunk, small): reliable checkpoint
+    every round.  Each round's plan refers to the previous round's table
+    twice, so without cutting lineage the plan would double per round."""
+    return _checkpoint(df)
 
 
 def resolve_chunks(chunked: DataFrame, order_cols=ORDER, opening: DataFrame | None = None,

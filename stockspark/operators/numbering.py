@@ -52,9 +52,9 @@ def rank_rows(df: DataFrame, order_cols, out: str = "seq", base: int = 0,
 
 
 def number_rows(df: DataFrame, order_cols, prefix: str, out: str = "number",
-                base: int = 0) -> DataFrame:
+                base: int = 0, n_parts: int | None = None) -> DataFrame:
     """W-01: PREFIX-0001 style numbers continuing from a counter ``base``."""
-    ranked = rank_rows(df, order_cols, "_seq", base)
+    ranked = rank_rows(df, order_cols, "_seq", base, n_parts)
     return ranked.withColumn(out, X.formatted_number(F.lit(prefix), F.col("_seq"))).drop("_seq")
 
 

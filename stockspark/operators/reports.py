@@ -76,6 +76,7 @@ def _issued_in_range(v, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ A-04
 def daily_issues(v, p: Params) -> DataFrame:
+    """A-04: issued requests and quantity per issue day in the window."""
     return (_issued_in_range(v, p).groupBy(F.to_date("issued_at").alias("day"))
             .agg(F.count("*").alias("cnt"), F.sum("quantity_issued").alias("qty"))
             .orderBy("day"))
@@ -95,6 +96,7 @@ def monthly_trend(v, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ A-06 / K-04
 def top_products(v, p: Params, k: int = K.TOP_PRODUCTS) -> DataFrame:
+    """A-06/K-04: ten most issued products in the window, ranked after the limit."""
     agg = (_issued_in_range(v, p).groupBy("product_id")
            .agg(F.sum("quantity_issued").alias("total_qty")))
     top = (agg.join(v.product_base.select(F.col("id").alias("product_id"), "name", "unit"),
@@ -107,6 +109,7 @@ def top_products(v, p: Params, k: int = K.TOP_PRODUCTS) -> DataFrame:
 
 # ------------------------------------------------------------------ A-07
 def dept_consumption(v, p: Params) -> DataFrame:
+    """A-07: issued requests and quantity per department (NULL is its own group)."""
     return (_issued_in_range(v, p).groupBy("department")
             .agg(F.count("*").alias("requests"), F.sum("quantity_issued").alias("total_qty"))
             .orderBy(F.desc("total_qty"), "department"))
@@ -120,6 +123,7 @@ def _active_with_category(v, how="inner") -> DataFrame:
 
 # ------------------------------------------------------------------ A-08
 def category_overview(v, p: Params) -> DataFrame:
+    """A-08: items, stock and low items per category (categories without products absent)."""
     return (_active_with_category(v).groupBy("category_id", "category")
             .agg(F.count("*").alias("items"), F.sum("current_stock").alias("total_stock"),
                  F.count_if(X.is_low()).alias("low_items"))
@@ -128,6 +132,7 @@ def category_overview(v, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ A-09
 def category_totals(v, p: Params) -> DataFrame:
+    """A-09: stock per category, largest first."""
     return (_active_with_category(v).groupBy("category")
             .agg(F.sum("current_stock").alias("total"))
             .orderBy(F.desc("total"), "category"))
@@ -175,12 +180,14 @@ def _employee_history(v, p: Params, department=None) -> DataFrame:
 
 
 def employee_history_top(v, p: Params, k: int = K.TOP_EMPLOYEES) -> DataFrame:
+    """A-11: fifteen employees with most issued requests (count, qty, last issue time)."""
     return (_employee_history(v, p)
             .orderBy(F.desc("total_requests"), "employee_name", F.asc_nulls_first("department"))
             .limit(k))
 
 
 def employee_history(v, p: Params) -> DataFrame:
+    """A-12: employee issue history export (last issue date, optional department)."""
     return (_employee_history(v, p, p.department)
             .withColumn("last_request_date", F.to_date("last_issued_at"))
             .drop("last_issued_at")
@@ -197,6 +204,7 @@ def status_counts(v, p: Params) -> DataFrame:
 
 
 def indent_status_counts(v, p: Params) -> DataFrame:
+    """A-13: indent count per status plus an all row (one rollup)."""
     r = v.indents.rollup("status").agg(F.count("*").alias("cnt"), F.grouping_id().alias("_g"))
     return r.select(F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.col("status"))
                     .alias("status"), "cnt")
@@ -204,6 +212,7 @@ def indent_status_counts(v, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ A-17
 def last_login(v, p: Params) -> DataFrame:
+    """A-17: last LOGIN per user, Never when absent."""
     logins = (v.audit_log.filter(F.col("action") == "LOGIN").groupBy("user_id")
               .agg(F.max("created_at").alias("last_login")))
     u = v.users.select("id", "name")
@@ -234,6 +243,7 @@ def daily_issue_report(v, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ R-02
 def stock_summary(v, p: Params) -> DataFrame:
+    """R-02: active products with category, available stock and class."""
     j = _active_with_category(v, "left")
     return j.select(
         "product_code", "name", "category", "unit", "current_stock", "reserved_stock",
@@ -249,6 +259,7 @@ def _low(v) -> DataFrame:
 
 
 def low_stock_report(v, p: Params) -> DataFrame:
+    """R-03: low-stock alert report, most urgent first (NULL ratio first)."""
     return _low(v).select(
         "product_code", "name", "category", "unit", "current_stock", "min_stock_level",
         X.available().alias("available"),
@@ -269,6 +280,7 @@ def low_stock_top(v, p: Params, k: int = K.TOP_LOW_STOCK) -> DataFrame:
 
 # ------------------------------------------------------------------ R-04
 def stock_ledger(v, p: Params) -> DataFrame:
+    """R-04/J-05: numbered movement ledger with in/out split, balances and author."""
     st = v.stock_transactions.filter(FL.date_range("created_at", p.date_from, p.date_to))
     pr = v.product_base.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
     u = v.users.select(F.col("id").alias("_uid"), F.col("name").alias("_by"))
@@ -283,6 +295,7 @@ def stock_ledger(v, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ R-05
 def audit_export(v, p: Params) -> DataFrame:
+    """R-05: audit rows in the window, newest first."""
     a = v.audit_log.filter(FL.date_range("created_at", p.audit_from, p.audit_to))
     return a.select("id", "created_at", "user_name", "user_role", "action", "module",
                     "details").orderBy(F.desc("created_at"), F.desc("id"))
@@ -308,6 +321,7 @@ def issue_review(v, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ J-01
 def pending_issues(v, p: Params, k: int | None = None) -> DataFrame:
+    """J-01: pending requests joined to their product, newest first."""
     ir = v.issue_requests.filter(F.col("status") == "pending")
     pr = v.product_base.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"),
                            "unit")
@@ -352,6 +366,7 @@ def issue_slips(v, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ J-09
 def indent_review(v, p: Params) -> DataFrame:
+    """J-09: indents with requester, approver and labels (two left joins)."""
     i = v.indents
     emp = v.users.select(F.col("id").alias("_eid"), F.col("name").alias("employee_name"),
                          "department")
@@ -368,12 +383,14 @@ def indent_review(v, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ L-02
 def recent_activity(v, p: Params, k: int = K.TOP_ACTIVITY) -> DataFrame:
+    """L-02: eight newest audit rows."""
     return (v.audit_log.select("id", "user_name", "action", "module", "created_at")
             .orderBy(F.desc("created_at"), F.desc("id")).limit(k))
 
 
 # ------------------------------------------------------------------ P-05
 def issued_today(v, p: Params) -> DataFrame:
+    """P-05: requests issued on the as-of date."""
     return (v.issue_requests.filter((F.col("status") == "issued")
                                     & (F.to_date("issued_at") == F.lit(p.as_of)))
             .select("id", "employee_name", "product_id", "quantity_issued", "issued_at"))
@@ -390,6 +407,7 @@ def facet_values(v, p: Params) -> DataFrame:
 
 
 def audit_users(v, p: Params) -> DataFrame:
+    """D-02: distinct (user id, user name) pairs in the audit log."""
     return (v.audit_log.filter(F.col("user_name").isNotNull())
             .dropDuplicates(["user_id", "user_name"]).select("user_id", "user_name")
             .orderBy("user_name", "user_id"))

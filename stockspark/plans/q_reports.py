@@ -45,9 +45,11 @@ select strftime(date_trunc('month', issued_at), '%Y-%m') month_start, count(*) "
 from issue_requests
 where status='issued' and issued_at >= {AS_OF} - interval 6 month
 group by 1, 3
-""", "issue_requests"))(
-    lambda v, p: R.monthly_trend(v, p).withColumn(
-        "month_start", R.F.date_format("month_start", "yyyy-MM")))
+""", "issue_requests"))
+def monthly_trend(v, p):
+    """A-05/P-06: issued requests per month over the last six months."""
+    return R.monthly_trend(v, p).withColumn("month_start",
+                                            R.F.date_format("month_start", "yyyy-MM"))
 
 register("top_products", with_views(f"""
 select a.product_id, p.name, p.unit, cast(a.total_qty as double) total_qty,
@@ -215,7 +217,10 @@ select r.id, r.employee_name, r.product_id, p.p_name product_name, 'Nos' unit,
   cast(r.quantity_requested as double) quantity_requested, r.created_at
 from issue_requests r join part p on r.product_id = p.p_partkey where r.status='pending'
 order by r.created_at desc, r.id limit {K.TOP_PENDING}
-""", "issue_requests"))(lambda v, p: R.pending_issues(v, p, K.TOP_PENDING))
+""", "issue_requests"))
+def recent_pending(v, p):
+    """L-02: five newest pending requests (dashboard)."""
+    return R.pending_issues(v, p, K.TOP_PENDING)
 
 _role = "coalesce(u.role, 'system')"
 register("audit_enriched", with_views(f"""
