@@ -241,3 +241,37 @@ def number_by_year(v, p):
                                               F.col("id") % 10000).alias("number")))
     return N.number_by_year(v.issue_requests.select("id", "created_at"), "created_at", ["id"],
                             "ISS", existing)
+
+
+_CTES, _SEL = APPLY_SQL.split("\nselect a.request_id", 1)
+
+
+@register("issue_movements", with_views(_CTES + """,
+a as (select a.request_id""" + _SEL + """)
+select q.product_id, a.issued_at created_at, 'stock_out' type,
+  a.quantity_issued quantity, a.request_id reference_number, 'issue' reference_type
+from a join issue_requests q on q.id = a.request_id
+where a.status in ('issued', 'partially_issued')
+""", "issue_requests", "products",
+    extra=[("dec", ISSUE_DECISIONS_SQL), ("valid", VALID_SQL), ("fst", FIRST_SQL)]))
+def issue_movements(v, p):
+    """W-04: the stock-out movement written for every accepted approval (ledger input)."""
+    upd = W.apply_issue_decisions(_pending_all(v), v.products, issue_decisions(v))
+    return W.issue_movements(upd, v.issue_requests)
+
+
+@register("goods_receipts", with_views("""
+select l.product_id, l.created_at, cast(l.quantity as double) quantity,
+  s.s_name supplier, 'INV-' || cast(l.ord_key as varchar) invoice_number,
+  cast(l.balance_after as double) balance_after
+from ledger l join supplier s on s.s_suppkey = l.supplier_id
+where l.type = 'stock_in'
+""", "ledger"))
+def goods_receipts(v, p):
+    """W-09/W-08: stock-in receipts with supplier and invoice, as applied by the ledger."""
+    s = v.t.supplier.select(F.col("s_suppkey").alias("supplier_id"),
+                            F.col("s_name").alias("supplier"))
+    return (v.ledger.filter(F.col("type") == "stock_in").join(s, "supplier_id")
+            .select("product_id", "created_at", "quantity", "supplier",
+                    F.concat(F.lit("INV-"), F.col("ord_key").cast("string"))
+                    .alias("invoice_number"), "balance_after"))

@@ -175,12 +175,17 @@ def daily_activity(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 def user_sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
     """T-05: sessions end after more than ``gap`` of inactivity.
 
-    Works on batch and streaming frames.  In batch, Spark merges sessions
-    inside each map partition before the shuffle, so a very active user is
-    reduced to a few partial sessions per partition first."""
-    e = events.withColumn("event_time", F.col("ts").cast("timestamp"))
-    if e.isStreaming:
-        e = e.withWatermark("event_time", gap)
+    Streaming frames use ``session_window`` with a watermark (state per open
+    session).  Batch frames use the range-partitioned sessionizer of
+    ``operators.sessions`` (hot users are split; only edge sessions merge)."""
+    if not events.isStreaming:
+        from stockspark.operators.sessions import user_sessions as batch_sessions
+        seconds = {"1 hour": 3600}.get(gap)
+        if seconds is None:
+            raise ValueError(f"unsupported gap {gap!r}")
+        return batch_sessions(events, seconds)
+    e = events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark(
+        "event_time", gap)
     s = (e.groupBy("user_id", F.session_window("event_time", gap).alias("s"))
          .agg(F.count("*").alias("events"), F.min("ts").alias("session_start"),
               F.max("ts").alias("session_end")))

@@ -52,3 +52,32 @@ def test_audit_ingest_drops_duplicate_event_ids(spark):
     out = S.run_available(S.audit_ingest(src, users)).collect()
     assert sorted((r.id, r.action, r.user_name) for r in out) == [
         (1, "CLICK", "A B"), (2, "VIEW", "System")]
+
+
+def test_batch_sessions_split_hot_user_across_partitions(spark):
+    import random
+    from stockspark.operators.sessions import user_sessions
+    rnd = random.Random(1)
+    rows, t = [], T0
+    for _ in range(3000):                      # one very active user
+        t += dt.timedelta(seconds=rnd.choice([10, 600, 3600, 3601, 7200]))
+        rows.append((1, t))
+    for u in range(2, 30):
+        rows.append((u, T0 + dt.timedelta(seconds=u)))
+    ev = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz")
+    got = sorted((r.user_id, r.session_start, r.session_end, r.events)
+                 for r in user_sessions(ev, 3600, n_parts=16).collect())
+    exp, by = [], {}
+    for u, ts in sorted(rows):
+        by.setdefault(u, []).append(ts)
+    for u, tss in by.items():
+        s = e = tss[0]
+        n = 1
+        for x in tss[1:]:
+            if (x - e).total_seconds() > 3600:
+                exp.append((u, s, e, n))
+                s, n = x, 0
+            e = x
+            n += 1
+        exp.append((u, s, e, n))
+    assert got == sorted(exp)
