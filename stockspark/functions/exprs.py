@@ -21,6 +21,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def lit_value(v) -> Column:
+    """Literal that keeps datetimes zone-free (TIMESTAMP_NTZ), matching the
+    NTZ columns of the tables whatever the session time zone is."""
+    import datetime as _dt
+    if isinstance(v, _dt.datetime):
+        return F.expr(f"TIMESTAMP_NTZ '{v.isoformat(sep=' ')}'")
+    return F.lit(v)
+
+
 # ------------------------------------------------------------------ stock rules
 def signed_quantity(mtype, qty) -> Column:
     """Out types subtract; every other type (return, unknown) adds."""

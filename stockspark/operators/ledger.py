@@ -349,7 +349,9 @@ def ledger_snapshot(movements: DataFrame, order_cols=ORDER, opening: DataFrame |
     """K-03 straight from the chunk resolution: the final balance of a
     product is the end of its last chunk (fold0 end, clean start + s, or
     the refolded end), so no row-level output is assembled."""
-    chunked = chunk_movements(movements, order_cols, n_chunks, qty_col, opening)
+    # only the key, the order and the quantity travel through the shuffle
+    narrow = movements.select(KEY, *order_cols, qty_col)
+    chunked = chunk_movements(narrow, order_cols, n_chunks, qty_col, opening)
     plan, refolded = resolve_chunks(chunked, order_cols, opening)
     cs = chunk_summaries(chunked, order_cols).select(KEY, "chunk", "s", "end0")
     ends = (plan.join(cs, [KEY, "chunk"])

@@ -15,6 +15,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockspark.functions.exprs import lit_value
+
 
 def page(df: DataFrame, order: list[Column], page_no: int, per_page: int) -> DataFrame:
     offset = max(0, (page_no - 1) * per_page)
@@ -33,8 +35,8 @@ def keyset_after(sort_cols: list[str], last: tuple, descending: bool = True) ->
     """Predicate 'row comes after ``last`` in the (sort_cols) order'."""
     conds = []
     for i, c in enumerate(sort_cols):
-        eq = [F.col(sort_cols[j]) == F.lit(last[j]) for j in range(i)]
-        cmp = F.col(c) < F.lit(last[i]) if descending else F.col(c) > F.lit(last[i])
+        eq = [F.col(sort_cols[j]) == lit_value(last[j]) for j in range(i)]
+        cmp = F.col(c) < lit_value(last[i]) if descending else F.col(c) > lit_value(last[i])
         conds.append(reduce(lambda a, b: a & b, eq, cmp))
     return reduce(or_, conds)
 

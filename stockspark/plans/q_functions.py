@@ -144,7 +144,7 @@ from d
 """, "audit_log"))
 def fn_time_ago(v, p):
     """F-11: relative age text against a fixed 'now'."""
-    return v.audit_log.select("id", X.time_ago("created_at", F.lit(NOW)).alias("time_ago"))
+    return v.audit_log.select("id", X.time_ago("created_at", X.lit_value(NOW)).alias("time_ago"))
 
 
 @register("fn_math", with_views("""

@@ -46,7 +46,7 @@ def test_time_ago_ladder(spark):
     now = dt.datetime(2024, 1, 31)
     rows = [(now - dt.timedelta(seconds=s),) for s in (30, 600, 7200, 3 * 86400, 9 * 86400)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz")
-    got = [r.x for r in df.select(X.time_ago("ts", F.lit(now)).alias("x")).collect()]
+    got = [r.x for r in df.select(X.time_ago("ts", X.lit_value(now)).alias("x")).collect()]
     assert got == ["just now", "10 mins ago", "2 hours ago", "3 days ago", "22 Jan 2024"]
 
 
