@@ -123,11 +123,23 @@ def _segment_pass(batches):
         yield pdf.assign(pre=pre, _after0=after, _acc0=acc)
 
 
+def has_hot_key(movements: DataFrame, n_chunks: int) -> bool:
+    """True when some product holds more rows than an even chunk would
+    (one partial-aggregated count per product, then a one-row max/sum)."""
+    per = movements.groupBy(KEY).agg(F.count("*").alias("_n"))
+    mx, total = per.agg(F.max("_n"), F.sum("_n")).first()
+    return bool(mx) and mx > max(1, (total or 0) // max(1, n_chunks))
+
+
 def chunk_movements(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
                     qty_col: str = "signed_qty", opening: DataFrame | None = None,
-                    reliable: bool = False) -> DataFrame:
-    """Range-partitioned, sorted, checkpointed movements.
+                    reliable: bool = False, split: str = "auto") -> DataFrame:
+    """Partitioned, sorted, materialised movements.
 
+    ``split``: "range" cuts every product into contiguous chunks at sampled
+    bounds (needed when one product is larger than a chunk); "hash" keeps
+    each product whole in one chunk (no sampling scans, nothing to stitch);
+    "auto" picks range only if a product is larger than an even chunk.
     Adds ``chunk`` (partition id), ``pre`` and the fold-from-opening columns.
     """
     spark = movements.sparkSession
@@ -139,9 +151,14 @@ def chunk_movements(movements: DataFrame, order_cols=ORDER, n_chunks: int | None
         o = opening.select(KEY, to_cents(F.col("balance")).alias("_o"))
         movements = (movements.join(o, KEY, "left")
                      .withColumn("_open", F.coalesce("_o", F.lit(0).cast("bigint"))).drop("_o"))
-    ranged = (movements.withColumn("_cents", to_cents(F.col(qty_col)))
-              .repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
+    if split == "auto":
+        split = "range" if has_hot_key(movements, n) else "hash"
+    cents = movements.withColumn("_cents", to_cents(F.col(qty_col)))
+    if split == "range":     # sampled bounds: a hot product is cut into chunks
+        parted = cents.repartitionByRange(n, *keys)
+    else:                    # no product larger than a chunk: one chunk per product
+        parted = cents.repartition(n, KEY)
+    ranged = (parted.sortWithinPartitions(*keys)
               .withColumn("chunk", F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("pre", T.LongType()), T.StructField("_after0", T.LongType()),
@@ -305,12 +322,13 @@ def _finish(rows: DataFrame) -> DataFrame:
 
 
 def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None,
-                 n_chunks: int | None = None, qty_col: str = "signed_qty") -> DataFrame:
+                 n_chunks: int | None = None, qty_col: str = "signed_qty",
+                 split: str = "auto") -> DataFrame:
     """K-02: conditional running balance; refused movements keep the balance.
 
     Output: the movement columns + balance_before, balance_after, accepted.
     """
-    chunked = chunk_movements(movements, order_cols, n_chunks, qty_col, opening)
+    chunked = chunk_movements(movements, order_cols, n_chunks, qty_col, opening, split=split)
     plan, refolded = resolve_chunks(chunked, order_cols, opening)
     fold0 = F.col("method") == "fold0"
     after = F.when(fold0, F.col("_after0")).otherwise(F.col("start") + F.col("pre"))
@@ -326,13 +344,14 @@ def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | No
 
 
 def running_balance(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None,
-                    n_chunks: int | None = None, qty_col: str = "signed_qty") -> DataFrame:
+                    n_chunks: int | None = None, qty_col: str = "signed_qty",
+                    split: str = "auto") -> DataFrame:
     """K-01: plain running balance (nothing refused), hot-key safe.
 
     Chunk offsets are prefix sums over the chunk table; rows get
     ``offset + pre``.  No window ever spans a whole product.
     """
-    chunked = chunk_movements(movements, order_cols, n_chunks, qty_col)
+    chunked = chunk_movements(movements, order_cols, n_chunks, qty_col, split=split)
     cs = chunk_summaries(chunked, order_cols)
     w = Window.partitionBy(KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (cs.join(_openings(cs, opening), KEY)
@@ -345,13 +364,14 @@ def running_balance(movements: DataFrame, order_cols=ORDER, opening: DataFrame |
 
 
 def ledger_snapshot(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None,
-                    n_chunks: int | None = None, qty_col: str = "signed_qty") -> DataFrame:
+                    n_chunks: int | None = None, qty_col: str = "signed_qty",
+                    split: str = "auto") -> DataFrame:
     """K-03 straight from the chunk resolution: the final balance of a
     product is the end of its last chunk (fold0 end, clean start + s, or
     the refolded end), so no row-level output is assembled."""
     # only the key, the order and the quantity travel through the shuffle
     narrow = movements.select(KEY, *order_cols, qty_col)
-    chunked = chunk_movements(narrow, order_cols, n_chunks, qty_col, opening)
+    chunked = chunk_movements(narrow, order_cols, n_chunks, qty_col, opening, split=split)
     plan, refolded = resolve_chunks(chunked, order_cols, opening)
     cs = chunk_summaries(chunked, order_cols).select(KEY, "chunk", "s", "end0")
     ends = (plan.join(cs, [KEY, "chunk"])

@@ -25,13 +25,13 @@ def _rows(spec):
     return out
 
 
-def _check(spark, spec, n_chunks, opening=None):
+def _check(spark, spec, n_chunks, opening=None, split="range"):
     df = spark.createDataFrame(_rows(spec), SCHEMA)
     op_df = None
     if opening:
         op_df = spark.createDataFrame([(k, Decimal(v)) for k, v in opening.items()],
                                       "product_id long, balance decimal(12,2)")
-    got = L.ledger_apply(df, opening=op_df, n_chunks=n_chunks).select(
+    got = L.ledger_apply(df, opening=op_df, n_chunks=n_chunks, split=split).select(
         "product_id", "ord_key", "balance_before", "balance_after", "accepted").collect()
     got = {(r.product_id, r.ord_key): (r.balance_before, r.balance_after, r.accepted)
            for r in got}
@@ -42,7 +42,8 @@ def _check(spark, spec, n_chunks, opening=None):
         for i, e in enumerate(exp):
             assert got[(pid, i)] == e, (pid, i, got[(pid, i)], e)
     snap = {r.product_id: r.current_stock
-            for r in L.ledger_snapshot(df, opening=op_df, n_chunks=n_chunks).collect()}
+            for r in L.ledger_snapshot(df, opening=op_df, n_chunks=n_chunks,
+                                       split=split).collect()}
     for pid, qs in spec.items():
         exp = fold([Decimal(q).quantize(Decimal("0.01")) for q in qs],
                    Decimal((opening or {}).get(pid, "0")))
@@ -75,9 +76,15 @@ def test_hot_product_with_large_opening_and_dips(spark):
                        st.lists(st.integers(-40, 40).map(lambda v: f"{v / 4:.2f}"),
                                 min_size=1, max_size=60),
                        min_size=1, max_size=6),
-       st.integers(1, 12))
-def test_fold_matches_brute_force(spark, spec, n_chunks):
-    _check(spark, spec, n_chunks)
+       st.integers(1, 12), st.sampled_from(["range", "hash", "auto"]))
+def test_fold_matches_brute_force(spark, spec, n_chunks, split):
+    _check(spark, spec, n_chunks, split=split)
+
+
+def test_auto_split_picks_range_only_for_hot_keys(spark):
+    hot = spark.createDataFrame(_rows({1: ["1"] * 50, 2: ["1"], 3: ["1"]}), SCHEMA)
+    even = spark.createDataFrame(_rows({p: ["1"] * 5 for p in range(1, 20)}), SCHEMA)
+    assert L.has_hot_key(hot, 4) and not L.has_hot_key(even, 4)
 
 
 def test_running_balance_hot_key(spark):
