@@ -29,7 +29,10 @@ def rank_rows(df: DataFrame, order_cols, out: str = "seq", base: int = 0,
     """
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # the range partitioner scans its input to sample bounds before the
+    # shuffle scans it again: materialise an expensive input (joins) once
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
     # Materialise once: the count job and the numbering job must see the same
     # partition ids and positions.  A lost block is recomputed through the same
@@ -41,6 +44,7 @@ def rank_rows(df: DataFrame, order_cols, out: str = "seq", base: int = 0,
     else:
         ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
         ranged.count()
+    src.unpersist()
     pid = F.shiftright(F.col("_mid"), 33)
     local = F.col("_mid") - F.shiftleft(pid, 33)
     counts = ranged.groupBy(pid.alias("_pid")).agg(F.count("*").alias("_n"))

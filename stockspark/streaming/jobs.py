@@ -77,33 +77,43 @@ LEDGER_OUT = T.StructType([
     T.StructField("balance_after_c", T.LongType()),
     T.StructField("accepted", T.BooleanType()),
 ])
-LEDGER_STATE = T.StructType([T.StructField("balance_c", T.LongType())])
+LEDGER_STATE = T.StructType([T.StructField("pids", T.ArrayType(T.LongType())),
+                             T.StructField("bals", T.ArrayType(T.LongType()))])
 
 
 def _ledger_state_fn(key, batches, state):
-    """Per product: fold this micro-batch's movements (in order) from the
-    balance kept in state; refuse what would go negative."""
+    """One product bucket: fold this micro-batch's movements of every product
+    (in order) from the balances kept in state; refuse what would go negative.
+
+    State per bucket = sorted product ids and their balances in cents.
+    Grouping by bucket instead of product keeps the per-group overhead of the
+    state API proportional to the number of buckets, not of products."""
+    from stockspark.operators.ledger import _fold_from
     pdf = pd.concat(list(batches), ignore_index=True)
-    bal = state.get[0] if state.exists else 0
-    pdf = pdf.sort_values(["created_at", "ord_key", "ord_line"], kind="stable")
-    x = pdf["_cents"].to_numpy(dtype=np.int64).tolist()
-    before, after, acc = [], [], []
-    for v in x:
-        before.append(bal)
-        nb = bal + v
-        ok = nb >= 0
-        if ok:
-            bal = nb
-        acc.append(ok)
-        after.append(bal)
-    state.update((bal,))
+    pdf = pdf.sort_values(["product_id", "created_at", "ord_key", "ord_line"], kind="stable")
+    if state.exists:
+        pids, bals = state.get
+        known = dict(zip(pids, bals))
+    else:
+        known = {}
+    pid = pdf["product_id"].to_numpy()
+    x = pdf["_cents"].to_numpy(dtype=np.int64)
+    n = len(pid)
+    after = np.empty(n, dtype=np.int64)
+    acc = np.empty(n, dtype=bool)
+    starts = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
+    bounds = np.append(starts, n)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        p = int(pid[a])
+        after[a:b], acc[a:b], known[p] = _fold_from(x[a:b], int(known.get(p, 0)))
+    before = np.where(acc, after - x, after)
+    keys = sorted(known)
+    state.update((keys, [int(known[k]) for k in keys]))
     yield pd.DataFrame({
-        "product_id": pdf["product_id"].to_numpy(), "created_at": pdf["created_at"].to_numpy(),
+        "product_id": pid, "created_at": pdf["created_at"].to_numpy(),
         "ord_key": pdf["ord_key"].to_numpy(), "ord_line": pdf["ord_line"].to_numpy(),
         "type": pdf["type"].to_numpy(), "quantity": pdf["quantity"].to_numpy(),
-        "balance_before_c": np.asarray(before, dtype=np.int64),
-        "balance_after_c": np.asarray(after, dtype=np.int64),
-        "accepted": np.asarray(acc, dtype=bool)})
+        "balance_before_c": before, "balance_after_c": after, "accepted": acc})
 
 
 def movements_from_lineitem(li: DataFrame) -> DataFrame:
@@ -120,10 +130,13 @@ def movements_from_lineitem(li: DataFrame) -> DataFrame:
                      X.signed_quantity(mtype, qty).alias("signed_qty"))
 
 
-def ledger_stream(movements: DataFrame) -> DataFrame:
-    """T-01: the refusing ledger as a stateful stream (state = balance)."""
-    m = movements.withColumn("_cents", (F.col("signed_qty") * 100).cast("bigint"))
-    out = m.groupBy("product_id").applyInPandasWithState(
+def ledger_stream(movements: DataFrame, buckets: int = 1024) -> DataFrame:
+    """T-01: the refusing ledger as a stateful stream (state = balances of a
+    product bucket).  A product's rows of one micro-batch are folded in
+    order inside one group call; the micro-batch size bounds a group."""
+    m = (movements.withColumn("_cents", (F.col("signed_qty") * 100).cast("bigint"))
+         .withColumn("_bucket", F.pmod(F.xxhash64("product_id"), F.lit(buckets))))
+    out = m.groupBy("_bucket").applyInPandasWithState(
         _ledger_state_fn, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
     cents = lambda c: (F.col(c).cast("decimal(20,0)") / F.lit(100)).cast(D12)
     return out.select("product_id", "created_at", "ord_key", "ord_line", "type", "quantity",
