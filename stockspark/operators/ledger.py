@@ -7,26 +7,28 @@ order-dependent, so this is not an aggregate and not a window function.
 
 Plan, built so that no product -- however hot -- has to sit in one task:
 
-1. ``chunk_movements``: range-partition the movements on
-   (product, order key) and sort within partitions.  Range bounds come from
-   a sample, so a product holding a third of all rows is cut into many
-   contiguous *chunks* (chunk id = partition id).  One Arrow pass per
-   partition computes the within-chunk prefix sum ``pre``.  The result is
-   checkpointed into the shared checkpoint folder, which fixes the chunk
-   ids and cuts lineage.
+1. ``chunk_movements``: a per-product row count decides the split.  If some
+   product holds more rows than an even chunk, range-partition on
+   (product, order key) -- sampled bounds cut the hot product into
+   contiguous *chunks* (chunk id = partition id); otherwise hash-partition
+   by product (each product is one chunk, no sampling scans).  Rows are
+   sorted within partitions and one Arrow pass per partition computes the
+   within-chunk prefix sum ``pre`` and the refusing fold from the product's
+   opening.  The table is persisted (memory and disk) or, with
+   ``reliable=True``, checkpointed into the shared checkpoint folder.
 2. ``chunk_summaries``: per (product, chunk) the sum ``s`` and the
    threshold ``t = max(0, -min prefix)``: starting a chunk with balance
    ``b >= t`` refuses nothing, so the chunk then ends at ``b + s``.  Map-side
    partial aggregation leaves one row per chunk to shuffle.
-3. Resolution loop over the (small) chunk table: from each product's known
-   base, speculative starts are prefix sums of ``s``; the leading run of
-   chunks with ``start >= t`` is exact.  The first chunk that can refuse is
-   folded row by row from its exact start (bounded by one chunk), its end
-   becomes the next base.  Products progress in parallel; each round moves
-   every product past at least one chunk.
+3. Resolution loop over the (small) chunk table: a product's first chunk is
+   exact from step 1; the following chunks are speculated clean from its
+   end and accepted while ``start >= t``; the first one that could refuse
+   is folded again row by row from its exact start (bounded by one chunk)
+   and its end becomes the next base.  Products progress in parallel; each
+   round checkpoints its chunk table.
 4. Rows of clean chunks get ``start + pre`` (a projection after a join of
-   the row table with the one-row-per-chunk starts); folded rows come from
-   step 3.
+   the row table with the one-row-per-chunk starts); other rows come from
+   step 1 or step 3.
 
 K-01 (running balance, nothing refused) is step 1, 2 and 4 with every
 chunk clean.

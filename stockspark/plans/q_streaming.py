@@ -51,7 +51,7 @@ select user_id, min(ts) session_start, max(ts) session_end, count(*) events
 from g group by user_id, sid
 """))
 def user_sessions(v, p):
-    """T-05: sessions split by more than 3600 s of inactivity (session_window)."""
+    """T-05: sessions split by more than 3600 s of inactivity (hot users split over partitions)."""
     return S.user_sessions(v.t.events)
 
 

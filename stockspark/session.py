@@ -44,8 +44,10 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``stockspark`` importable in Python workers (pandas UDFs).
 
-    Zips the package once per SparkContext and registers it with
-    ``addPyFile``; Spark copies it to every executor.
+    Zips the package (code only, no data) once per SparkContext and
+    registers it with ``addPyFile``; Spark's file server copies it to every
+    executor.  On a cluster where the package is installed on the executors
+    (or passed with ``--py-files``) this is redundant but harmless.
     """
     sc = spark.sparkContext
     key = sc.applicationId
