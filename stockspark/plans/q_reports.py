@@ -39,7 +39,7 @@ select cast(cast(issued_at as date) as varchar) "day", count(*) cnt,
 from issue_requests where {ISSUED} group by 1
 """, "issue_requests"))(R.daily_issues)
 
-register("monthly_trend", with_views(f"""
+@register("monthly_trend", with_views(f"""
 select strftime(date_trunc('month', issued_at), '%Y-%m') month_start, count(*) "count",
   strftime(date_trunc('month', issued_at), '%b %Y') "month"
 from issue_requests
@@ -212,7 +212,7 @@ select r.id, r.employee_name, r.product_id, p.p_name product_name, 'Nos' unit,
 from issue_requests r join part p on r.product_id = p.p_partkey where r.status='pending'
 """, "issue_requests"))(R.pending_issues)
 
-register("recent_pending", with_views(f"""
+@register("recent_pending", with_views(f"""
 select r.id, r.employee_name, r.product_id, p.p_name product_name, 'Nos' unit,
   cast(r.quantity_requested as double) quantity_requested, r.created_at
 from issue_requests r join part p on r.product_id = p.p_partkey where r.status='pending'
