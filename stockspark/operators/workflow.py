@@ -10,6 +10,7 @@ current - reserved); valid rejections set the request rejected (W-06).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,9 @@ def apply_issue_decisions(requests: DataFrame, products: DataFrame,
     pending = requests.filter(F.col("status") == "pending").select(
         F.col("id").alias("request_id"), "product_id", "quantity_requested")
     valid = validate_decisions(decisions).filter("valid").drop("valid", "reasons")
-    first = first_decision(valid).join(pending, "request_id")
+    # read by several jobs (hot-key count, chunking, rejections): compute once
+    first = (first_decision(valid).join(pending, "request_id")
+             .persist(StorageLevel.MEMORY_AND_DISK))
     appr = first.filter(F.col("decision") == "approve").withColumn(
         "qty", F.coalesce("qty_issued", "quantity_requested").cast(D12))
     opening = products.select(F.col("id").alias("product_id"),
@@ -129,8 +132,9 @@ def allocate_requests(requests: DataFrame, products: DataFrame) -> DataFrame:
     requested-before)), where requested-before is the running sum of the
     product's earlier requests, taken from the chunked prefix sums of the
     ledger module (no window spans a whole product)."""
-    pend = requests.filter(F.col("status") == "pending").select(
-        "id", "product_id", "created_at", "quantity_requested")
+    pend = (requests.filter(F.col("status") == "pending")
+            .select("id", "product_id", "created_at", "quantity_requested")
+            .persist(StorageLevel.MEMORY_AND_DISK))     # read by the count and chunk jobs
     run = L.running_balance(pend, order_cols=("created_at", "id"), qty_col="quantity_requested")
     avail = products.select(F.col("id").alias("product_id"), X.available().alias("available"))
     j = run.join(avail, "product_id", "left")
