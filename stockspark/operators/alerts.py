@@ -2,8 +2,8 @@
 
 The application inserts one notification per admin/keeper for every alert.
 Materialising that fan-out is alerts x recipients rows; here an alert is
-stored once and per-recipient figures are derived by joining recipients
-with aggregates of the alert table (bounded: one row), so no job emits all
+stored once and per-recipient figures are attached to the recipients as
+scalar subqueries over the alert table, so no job emits all
 (alert, recipient) pairs.
 """
 
@@ -43,14 +43,14 @@ def stock_alerts(ledger: DataFrame, products: DataFrame) -> DataFrame:
 
 def alert_fanout(alerts: DataFrame, users: DataFrame) -> DataFrame:
     """J-08 delivery per recipient: every active admin/keeper receives every
-    alert, so per-recipient counts are the alert totals joined on a constant
-    key to a one-row aggregate (broadcast size: one row)."""
+    alert, so per-recipient counts are the alert totals, attached to each
+    recipient as scalar subqueries of one aggregate (no alert x recipient rows)."""
+    from stockspark.operators.common import attach_scalars
     totals = alerts.agg(F.count("*").alias("alerts"),
                         F.count_if(F.col("level") == "CRITICAL").alias("critical_alerts"),
-                        F.max("created_at").alias("last_alert_at")).withColumn("_k", F.lit(1))
-    r = recipients(users).select(F.col("id").alias("user_id"), "name", "role",
-                                 F.lit(1).alias("_k"))
-    return r.join(F.broadcast(totals), "_k").drop("_k")
+                        F.max("created_at").alias("last_alert_at"))
+    r = recipients(users).select(F.col("id").alias("user_id"), "name", "role")
+    return attach_scalars(r, totals)
 
 
 def workflow_notifications(requests: DataFrame) -> DataFrame:

@@ -15,16 +15,15 @@ from pyspark.sql import functions as F
 
 from stockspark import constants as K
 from stockspark.functions import exprs as X
+from stockspark.operators.common import attach_scalars
 from stockspark.operators.numbering import rank_rows
 
 D12 = "decimal(12,2)"
 
 
 def _const_join(left: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row frame to every row (equi-join on a constant key,
-    broadcast of a single row)."""
-    return (left.withColumn("_k", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_k", F.lit(1))), "_k").drop("_k"))
+    """Attach a one-row aggregate to every row (scalar subqueries)."""
+    return attach_scalars(left, one_row)
 
 
 # ------------------------------------------------------------------ S-03
@@ -154,7 +153,7 @@ def visible_request_counts(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Requests each viewer may see: employees their own, others all.
 
     Set form without (viewer, request) pairs: employee viewers join the
-    per-owner counts; every other viewer gets the one-row total."""
+    per-owner counts; every other viewer gets the total (scalar subquery)."""
     own = requests.groupBy(F.col("employee_id").alias("id")).agg(F.count("*").alias("_own"))
     total = requests.agg(F.count("*").alias("_all"))
     v = _const_join(users.select("id", "role").join(own, "id", "left"), total)

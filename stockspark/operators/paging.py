@@ -24,11 +24,8 @@ def page(df: DataFrame, order: list[Column], page_no: int, per_page: int) -> Dat
 
 
 def with_total(rows: DataFrame, filtered: DataFrame) -> DataFrame:
-    """Attach the list's match count (A-14): a one-row aggregate joined on a
-    constant key (broadcast of one row)."""
-    total = filtered.agg(F.count("*").alias("total")).withColumn("_k", F.lit(1))
-    out = rows.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
-    return out
+    """Attach the list's match count (A-14) as a scalar subquery."""
+    return rows.withColumn("total", filtered.agg(F.count("*")).scalar())
 
 
 def keyset_after(sort_cols: list[str], last: tuple, descending: bool = True) -> Column:
