@@ -36,6 +36,7 @@ def _zero(c) -> F.Column:
 # ------------------------------------------------------------------ A-01/A-02
 def dashboard_kpis(v, p: Params) -> DataFrame:
     """One pass per table with count_if; seven numbers in one row."""
+    moved = v.accepted_movements          # per-row ledger first: the snapshot reuses it
     pr = v.products.filter(F.col("status") == "active")
     prod = pr.agg(F.count("*").alias("total_products"),
                   F.count_if(X.is_low()).alias("low_stock"),
@@ -46,7 +47,7 @@ def dashboard_kpis(v, p: Params) -> DataFrame:
         F.count_if(F.col("status") == "pending").alias("pending_issues"),
         F.count_if((F.col("status") == "issued") & (F.to_date("issued_at") == today))
          .alias("issued_today"))
-    st = v.accepted_movements.agg(_zero(F.sum(F.when(
+    st = moved.agg(_zero(F.sum(F.when(
         (F.col("type") == "stock_in") & (F.to_date("created_at") == today),
         F.col("quantity")))).alias("stock_in_today"))
     return one_row(prod, ind, iss, st)

@@ -98,9 +98,14 @@ class Views:
         return ledger.ledger_apply(self.movements)
 
     def ledger_stock(self) -> DataFrame:
-        """Last balance per product from the conditional fold (K-03), taken
-        from the resolved chunk ends (no per-row output needed)."""
+        """Last balance per product from the conditional fold (K-03).
+
+        If this query already built the per-row ledger, the snapshot is a
+        partial-aggregated ``max_by`` over it; otherwise it is taken from the
+        resolved chunk ends of a narrow fold (no per-row output needed)."""
         from stockspark.operators import ledger
+        if "ledger" in self.__dict__:
+            return ledger.stock_snapshot(self.ledger)
         return ledger.ledger_snapshot(self.movements)
 
     @cached_property
