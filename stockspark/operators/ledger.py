@@ -401,11 +401,19 @@ def reconcile(ledger: DataFrame, snapshot: DataFrame | None = None, order_cols=O
     * ``negative``: a negative balance;
     * ``snapshot_mismatch``: snapshot differs from the last after.
 
-    The chain check is a lag window per product; it is a stream over a
-    sorted partition (no state beyond one row).
+    The chain check pairs every row with its predecessor through the global
+    rank in (product, order) order: rank from the partitioned ranking, then
+    an equi-join on rank - 1 (a unique key, so a product holding a third of
+    the rows is still spread over all tasks).
     """
-    w = Window.partitionBy(KEY).orderBy(*order_cols)
-    l = ledger.withColumn("_prev_after", F.lag("balance_after").over(w))
+    from stockspark.operators.numbering import rank_rows
+    cols = [KEY, *order_cols, "signed_qty", "balance_before", "balance_after", "accepted"]
+    ranked = rank_rows(ledger.select(*cols), [KEY, *order_cols], "_seq")
+    prev = ranked.select((F.col("_seq") + 1).alias("_seq"), F.col(KEY).alias("_pk"),
+                         F.col("balance_after").alias("_pa"))
+    l = (ranked.join(prev, "_seq", "left")
+         .withColumn("_prev_after", F.when(F.col("_pk") == F.col(KEY), F.col("_pa")))
+         .drop("_pk", "_pa", "_seq"))
     expected = F.when(F.col("accepted"), F.col("balance_before") + F.col("signed_qty")) \
                 .otherwise(F.col("balance_before"))
     checks = F.array(

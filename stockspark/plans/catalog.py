@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockspark import constants as K
 from stockspark.params import DEFAULT, Params
-from stockspark.plans.oracle_views import with_views
+from stockspark.plans.oracle_views import with_views  # noqa: F401  (re-exported to q_* modules)
 from stockspark.sources.views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from stockspark import constants as K
 from stockspark.operators import dims as DM
-from stockspark.operators import reports as R
 from stockspark.plans import exports as EX
 from stockspark.plans.catalog import dbl, in_range, register, with_views, A_FROM, A_TO
 

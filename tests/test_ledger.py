@@ -2,7 +2,6 @@ import datetime as dt
 import random
 from decimal import Decimal
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -115,3 +114,16 @@ def test_reconcile_clean_ledger_has_no_row_violations(spark):
     df = spark.createDataFrame(_rows(spec), SCHEMA)
     led = L.ledger_apply(df, n_chunks=3)
     assert L.reconcile(led).count() == 0
+
+
+def test_reconcile_finds_injected_breaks(spark):
+    from pyspark.sql import functions as F
+    spec = {1: ["5", "-2", "3", "-1"], 2: ["4", "-4"]}
+    df = spark.createDataFrame(_rows(spec), SCHEMA)
+    led = L.ledger_apply(df, n_chunks=2)
+    # corrupt product 1, third row: before no longer equals the previous after
+    bad = led.withColumn("balance_before", F.when(
+        (F.col("product_id") == 1) & (F.col("ord_key") == 2), F.lit(Decimal("9.00")))
+        .otherwise(F.col("balance_before")))
+    got = sorted((r.product_id, r.ord_key, r.rule) for r in L.reconcile(bad).collect())
+    assert got == [(1, 2, "after_mismatch"), (1, 2, "chain_break")]
