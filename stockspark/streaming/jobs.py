@@ -28,8 +28,12 @@ D12 = "decimal(12,2)"
 
 # ------------------------------------------------------------------ plumbing
 def table_stream(spark: SparkSession, sf_dir: str, table: str,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over ``{sf_dir}/{table}.parquet`` (schema taken from the file)."""
+                 max_files_per_trigger: int | None = 1000) -> DataFrame:
+    """File stream over ``{sf_dir}/{table}.parquet`` (schema taken from the file).
+
+    ``maxFilesPerTrigger`` bounds a micro-batch (``availableNow`` honours it
+    and splits a backlog into several batches).  Files are taken oldest
+    first, so an append-only ledger arrives in time order."""
     path = os.path.join(sf_dir, f"{table}.parquet")
     schema = spark.read.parquet(path).schema
     src = os.path.isdir(path) and path or sf_dir
