@@ -136,6 +136,13 @@ def has_hot_key(movements: DataFrame, n_chunks: int) -> bool:
 def chunk_movements(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
                     qty_col: str = "signed_qty", opening: DataFrame | None = None,
                     reliable: bool = False, split: str = "auto") -> DataFrame:
+    """Partitioned, sorted, materialised movements (see ``_chunk``)."""
+    return _chunk(movements, order_cols, n_chunks, qty_col, opening, reliable, split)[0]
+
+
+def _chunk(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
+           qty_col: str = "signed_qty", opening: DataFrame | None = None,
+           reliable: bool = False, split: str = "auto"):
     """Partitioned, sorted, materialised movements.
 
     ``split``: "range" cuts every product into contiguous chunks at sampled
@@ -166,7 +173,7 @@ def chunk_movements(movements: DataFrame, order_cols=ORDER, n_chunks: int | None
         T.StructField("pre", T.LongType()), T.StructField("_after0", T.LongType()),
         T.StructField("_acc0", T.BooleanType())])
     out = ranged.mapInPandas(_segment_pass, schema)
-    return _keep(out, reliable)
+    return _keep(out, reliable), split
 
 
 # ---------------------------------------------------------------- step 2
@@ -330,7 +337,14 @@ def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | No
 
     Output: the movement columns + balance_before, balance_after, accepted.
     """
-    chunked = chunk_movements(movements, order_cols, n_chunks, qty_col, opening, split=split)
+    chunked, split = _chunk(movements, order_cols, n_chunks, qty_col, opening, split=split)
+    if split == "hash":
+        # every product lies whole in one chunk: the pass-1 fold is final
+        return _finish(chunked.withColumn("_after", F.col("_after0"))
+                       .withColumn("accepted", F.col("_acc0"))
+                       .withColumn("_before", F.when(F.col("accepted"),
+                                                     F.col("_after") - F.col("_cents"))
+                                   .otherwise(F.col("_after"))))
     plan, refolded = resolve_chunks(chunked, order_cols, opening)
     fold0 = F.col("method") == "fold0"
     after = F.when(fold0, F.col("_after0")).otherwise(F.col("start") + F.col("pre"))
@@ -353,7 +367,11 @@ def running_balance(movements: DataFrame, order_cols=ORDER, opening: DataFrame |
     Chunk offsets are prefix sums over the chunk table; rows get
     ``offset + pre``.  No window ever spans a whole product.
     """
-    chunked = chunk_movements(movements, order_cols, n_chunks, qty_col, split=split)
+    chunked, split = _chunk(movements, order_cols, n_chunks, qty_col, opening, split=split)
+    if split == "hash":
+        rows = (chunked.withColumn("_after", F.col("_open") + F.col("pre"))
+                .withColumn("_before", F.col("_after") - F.col("_cents")))
+        return _finish(rows)
     cs = chunk_summaries(chunked, order_cols)
     w = Window.partitionBy(KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (cs.join(_openings(cs, opening), KEY)
@@ -373,7 +391,10 @@ def ledger_snapshot(movements: DataFrame, order_cols=ORDER, opening: DataFrame |
     the refolded end), so no row-level output is assembled."""
     # only the key, the order and the quantity travel through the shuffle
     narrow = movements.select(KEY, *order_cols, qty_col)
-    chunked = chunk_movements(narrow, order_cols, n_chunks, qty_col, opening, split=split)
+    chunked, split = _chunk(narrow, order_cols, n_chunks, qty_col, opening, split=split)
+    if split == "hash":
+        return (chunked.groupBy(KEY).agg(F.max_by("_after0", F.struct(*order_cols)).alias("_e"))
+                .select(KEY, from_cents(F.col("_e")).alias("current_stock")))
     plan, refolded = resolve_chunks(chunked, order_cols, opening)
     cs = chunk_summaries(chunked, order_cols).select(KEY, "chunk", "s", "end0")
     ends = (plan.join(cs, [KEY, "chunk"])
