@@ -16,6 +16,7 @@ Plan, built so that no product -- however hot -- has to sit in one task:
    within-chunk prefix sum ``pre`` and the refusing fold from the product's
    opening.  The table is persisted (memory and disk) or, with
    ``reliable=True``, checkpointed into the shared checkpoint folder.
+   With the hash split that fold is final and steps 2-4 are skipped.
 2. ``chunk_summaries``: per (product, chunk) the sum ``s`` and the
    threshold ``t = max(0, -min prefix)``: starting a chunk with balance
    ``b >= t`` refuses nothing, so the chunk then ends at ``b + s``.  Map-side
