@@ -124,8 +124,8 @@ r as (select *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 100 * n_sym_
       from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f[1] or f[2] base_failed,
        not (f[1] or f[2] or f[3] or f[4] or f[5]) kept,
-       list_sum(list_transform(range(1, 12), i -> case when f[i] then (1::bigint << (i - 1)::bigint) else 0 end))::bigint fail_bits
-from r"""
+       (@BITS@)::bigint fail_bits
+from r""".replace("@BITS@", " + ".join(f"case when f[{i + 1}] then {1 << i} else 0 end" for i in range(11)))
 
 # op2: windows of the items joined with the windows of the documents of the same number of words.
 _OP2 = rf"""
