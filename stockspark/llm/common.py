@@ -43,6 +43,20 @@ def staged_path(df: DataFrame, name: str) -> str:
     return path
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written as a table bucketed by ``key`` in the shared folder, and read back.
+
+    Large rows are written once in the layout that later joins and co-groups
+    by ``key`` need: only their other side is shuffled.
+    """
+    spark = df.sparkSession
+    table = f"llm_{name}_{uuid.uuid4().hex}"
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (df.write.format("parquet").option("compression", "zstd").bucketBy(n, key)
+     .option("path", f"{ensure_checkpoint_dir(spark)}/{table}").saveAsTable(table))
+    return spark.table(table)
+
+
 def fold_of(doc_id, mod: int) -> int:
     """crc32 of the id as text, modulo ``mod``; -1 for a null id (in no named fold)."""
     return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % mod

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockspark.llm.blocks import NULL_ID, SENT, answer, answers_of, cut_blocks, deal
-from stockspark.llm.common import fold_of, pa_schema, prepare, staged
+from stockspark.llm.common import bucketed, fold_of, pa_schema, prepare, staged
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLOCK_BYTES = 4 << 20
@@ -265,8 +265,8 @@ def score_documents(docs: DataFrame, order: int = 2, held_mod: int = 5, held_is:
             yield pa.RecordBatch.from_pydict({
                 "block": [block], "ids": [ids], "sizes": [sizes], "words": [b"\n".join(of)],
                 "tokens": [np.concatenate(tokens).tobytes()], "n_train": [n_train]}, schema=out)
-    blocks = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(to_blocks, schema),
-                    "token-blocks")
+    blocks = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(to_blocks, schema),
+                      "block", "token_blocks")
     sums = blocks.agg(F.sum("n_train").alias("t"), F.sum(F.length("tokens")).alias("b")).first()
     n_all = sums["t"] or 0
     n_shards = max(1, (sums["b"] or 0) // 4 // KEYS_PER_SHARD)
