@@ -16,8 +16,8 @@ judged on the input.
    its Burrows-Wheeler transform, and the transforms are merged by refining
    an interleave: it holds for each slot which shard the next suffix comes
    from, and each round extends the common prefix to the left by one symbol
-   of eight bytes (the first round by the rest of ``length``) by a stable sort of the shards'
-   preceding symbols.  The round in which two neighbours part gives their
+   of 32 bytes (the first round by the rest of ``length``) through a stable
+   sort of the shards' preceding symbols.  The round in which two neighbours part gives their
    common prefix; slots that never part are the repeated intervals, and in
    each all windows but the earliest are marked.
    An anchor with over ``max_contexts`` different contexts would not fit a
@@ -40,9 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockspark.llm.blocks import NULL_ID, SENT, answer, answers_of, cut_blocks, deal
-from stockspark.llm.common import pa_schema, prepare, staged
+from stockspark.llm.common import bucketed, pa_schema, prepare, staged
 
 GRAM = 32
+SYMBOL = 32
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 1 << 18
 BUCKET_BYTES = 2 << 20
@@ -107,23 +108,39 @@ def _radix(key: np.ndarray) -> np.ndarray:
 
 def _rounds(length: int) -> list[int]:
     """Bytes by which each round extends the common prefix."""
-    return ([length % 8] if length % 8 else []) + [8] * (length // 8)
+    return ([length % SYMBOL] if length % SYMBOL else []) + [SYMBOL] * (length // SYMBOL)
 
 
-def symbols(text: np.ndarray, width: int) -> np.ndarray:
-    """The ``width`` bytes at each position of a cyclic text, as a big-endian number."""
-    wide = np.concatenate((text, text[:width])).astype(np.uint64)
+def _leading(text: np.ndarray, width: int) -> np.ndarray:
+    """The up to eight bytes at each position of a cyclic text, as a big-endian number."""
+    wide = np.concatenate((text, np.resize(text, width))).astype(np.uint64)
     out = np.zeros(len(text), np.uint64)
     for k in range(width):
         out = out << np.uint64(8) | wide[k:k + len(text)]
     return out
 
 
-def ranked(shards: list[np.ndarray], width: int) -> list[np.ndarray]:
-    """Each position's symbol as its rank among the symbols of all shards."""
-    every = np.concatenate([symbols(s, width) for s in shards])
-    _, rank = np.unique(every, return_inverse=True)
-    return np.split(rank.astype(np.uint32), np.cumsum([len(s) for s in shards])[:-1])
+def _dense(shards: list[np.ndarray]) -> list[np.ndarray]:
+    rank = np.unique(np.concatenate(shards), return_inverse=True)[1]
+    return np.split(rank, np.cumsum([len(s) for s in shards])[:-1])
+
+
+def symbols(shards: list[np.ndarray], widths: list[int]) -> dict[int, list[np.ndarray]]:
+    """For each width, the rank of the string at each position of the cyclic shards among those of all shards."""
+    out, have, ranks = {}, 0, []
+    for width in sorted(set(widths)):
+        if width <= 4:
+            out[width] = [_leading(s, width).astype(np.uint32) for s in shards]
+            continue
+        if not have:
+            have = min(8, width)
+            ranks = _dense([_leading(s, have) for s in shards])
+        while have < width:                  # two ranks side by side, overlapping where they must
+            step = min(have, width - have)
+            ranks = _dense([r.astype(np.uint64) << np.uint64(32) | np.roll(r, -step).astype(np.uint64) for r in ranks])
+            have += step
+        out[width] = [r.astype(np.uint32) for r in ranks]
+    return out
 
 
 def transform(ranks: dict[int, np.ndarray], length: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -147,7 +164,7 @@ def merge_transforms(shards: list[tuple[np.ndarray, dict]], length: int) -> tupl
     total = sum(sizes)
     z = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
     interval = np.zeros(total, np.int64)
-    depth, common = 0, np.zeros(total, np.int32)
+    depth, common, open_ = 0, np.full(total, length, np.int32), np.ones(total, bool)
     bwt = {step: np.concatenate([b[step] for _, b in shards]) for step in set(_rounds(length))}
     for step in _rounds(length):
         slot = np.empty(total, np.int64)
@@ -155,20 +172,19 @@ def merge_transforms(shards: list[tuple[np.ndarray, dict]], length: int) -> tupl
         key = bwt[step][slot]
         by = _radix(key)
         z, key, interval = z[by], key[by], interval[by]
-        same_symbol = key[1:] == key[:-1]
         parted = np.ones(total, bool)
-        parted[1:] = ~same_symbol | (interval[1:] != interval[:-1])
-        # one symbol more in common where the suffixes behind it had `depth` bytes in common
-        common = np.where(parted, np.where(np.concatenate(([False], same_symbol)), step, 0), depth + step)
-        depth += step
+        parted[1:] = (key[1:] != key[:-1]) | (interval[1:] != interval[:-1])
         interval = np.cumsum(parted) - 1
+        common[parted & open_] = depth       # a border between slots stays where it is
+        open_ &= ~parted
+        depth += step
     return z, interval, common
 
 
 def mark_bucket(texts: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """For texts in order of place: which windows start a string that also starts earlier among them."""
     shards, owners, held, owner, size = [], [], [], [], 0
-    pad = bytes(8)
+    pad = bytes(8)       # no window reaches it
 
     def close():
         shards.append(np.frombuffer(b"".join(held), np.uint8))
@@ -186,7 +202,7 @@ def mark_bucket(texts: list[bytes], length: int, shard_bytes: int = SHARD_BYTES)
         close()
     if not shards:
         return []
-    by_step = {step: ranked(shards, step) for step in set(_rounds(length))}
+    by_step = symbols(shards, _rounds(length))
     built = [transform({s: r[k] for s, r in by_step.items()}, length) for k in range(len(shards))]
     z, interval, _ = merge_transforms(built, length)
     place = np.empty(len(z), np.int64)
@@ -211,21 +227,22 @@ def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list, list]:
 
 
 # ------------------------------------------------------------------ the operator
-def _u(x: np.ndarray) -> list:
-    return x.view(np.int64).tolist()
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, each key's place among them, and their counts."""
+    return np.unique(keys, return_inverse=True, return_counts=True)
 
 
 def _block_of(row) -> tuple[bytes, np.ndarray, np.ndarray]:
     return row["data"], np.asarray(row["sizes"], np.int64), np.asarray(row["ids"], np.int64)
 
 
-def _first_of_each(anchor: np.ndarray, key: np.ndarray, ids: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Index of the earliest instance of each (anchor, key)."""
+def _first_of_each(anchor: np.ndarray, key: np.ndarray, ids: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes ordered by (anchor, key, place), and which of them are the first of their (anchor, key)."""
     by = np.lexsort((lo, ids, key, anchor))
     a, k = anchor[by], key[by]
     new = np.ones(len(by), bool)
     new[1:] = (a[1:] != a[:-1]) | (k[1:] != k[:-1])
-    return by[new]
+    return by, new
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, max_contexts: int = 20_000, with_text: bool = False) -> DataFrame:
@@ -245,8 +262,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, max_contexts: int = 20_00
         for block, ids, texts in cut_blocks(batches, BLOCK_BYTES):
             yield pa.RecordBatch.from_pydict({"block": [block], "ids": [ids], "sizes": [list(map(len, texts))],
                                               "data": [b"".join(texts)]}, schema=block_out)
-    blocks = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-                    .mapInArrow(to_blocks, block_schema), "blocks")
+    blocks = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                      .mapInArrow(to_blocks, block_schema), "block", "blocks")
+    by_block = blocks.groupBy("block")
     total = blocks.agg(F.sum(F.length("data")).alias("n")).first()["n"] or 0
     n_shards = max(1, total // ((length - GRAM) // 2 * KEYS_PER_SHARD))
 
@@ -255,65 +273,76 @@ def remove_repeats(docs: DataFrame, length: int = 100, max_contexts: int = 20_00
         for b in batches:
             for block, sizes, data in zip(*(b.column(k).to_pylist() for k in range(3))):
                 anchor, _, _ = contexts(data, np.array(sizes, np.int64), length)
-                keys, n = np.unique(anchor, return_counts=True)
+                keys, _, n = _counted(anchor)
                 yield deal(block, keys, np.minimum(n, 2), n_shards)
     sent = blocks.select("block", "sizes", "data").mapInArrow(send, SENT)
     answers = staged(answer(sent, cap=2).select("shard", "block", "counts"), "anchor-counts")
 
     # 2. the different contexts of each block under such anchors
-    found_schema = "block long, anchor long, key long, id long, lo long, text binary"
+    found_schema = "block long, anchor long, key long, id long, lo long, n int"
 
     def find(block_rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        cols: dict = {c: [] for c in ("block", "anchor", "key", "id", "lo", "text")}
+        parts = []
         for row in block_rows.to_dict("records"):
             data, sizes, ids = _block_of(row)
             anchor, lo, hi = contexts(data, sizes, length)
-            keys, at = np.unique(anchor, return_inverse=True)
+            keys, at, _ = _counted(anchor)
             many = answers_of(keys, got, n_shards)[at] > 1
             anchor, lo, hi = anchor[many], lo[many], hi[many]
             key = context_keys(data, lo, hi, length)
             owner = ids[np.searchsorted(np.cumsum(sizes), lo, side="right")]
-            one = _first_of_each(anchor, key, owner, lo)
-            cols["block"] += [row["block"]] * len(one)
-            cols["anchor"] += _u(anchor[one])
-            cols["key"] += _u(key[one])
-            cols["id"] += owner[one].tolist()
-            cols["lo"] += lo[one].tolist()
-            cols["text"] += [data[a:b + length] for a, b in zip(lo[one].tolist(), hi[one].tolist())]
-        return pd.DataFrame(cols)
-    found = staged(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(find, found_schema),
-                   "contexts")
-    first = staged(found.groupBy("anchor", "key").agg(F.min(F.struct("id", "block", "lo", "text")).alias("f"))
+            by, new = _first_of_each(anchor, key, owner, lo)
+            one = by[new]
+            parts.append(pd.DataFrame({"block": row["block"], "anchor": anchor[one].view(np.int64), "id": owner[one],
+                                       "key": key[one].view(np.int64), "lo": lo[one], "n": hi[one] - lo[one] + length}))
+        return pd.concat(parts)[[c.split()[0] for c in found_schema.split(", ")]]
+    found = staged(by_block.cogroup(answers.groupBy("block")).applyInPandas(find, found_schema), "contexts")
+    first = staged(found.groupBy("anchor", "key").agg(F.min(F.struct("id", "block", "lo", "n")).alias("f"))
                    .select("anchor", "key", "f.*"), "first-contexts")
 
-    # 3. windows repeated between different contexts of an anchor
-    per_anchor = first.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("b")).where("n > 1")
-    varied = first.join(per_anchor, "anchor")
-    size = per_anchor.where(F.col("n") <= max_contexts).agg(F.sum("b").alias("b")).first()["b"] or 0
+    # 3. windows repeated between different contexts of an anchor; their bytes come from their blocks
+    per_anchor = staged(first.groupBy("anchor").agg(F.count("*").alias("n_keys"), F.sum("n").alias("b"))
+                        .where("n_keys > 1"), "varied-anchors")
+    varied = first.join(per_anchor.select("anchor", "n_keys"), "anchor")
+    text_schema = "anchor long, key long, n_keys long, id long, block long, lo long, text binary"
+
+    def fetch(block_rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        out = got[["anchor", "key", "n_keys", "id", "block", "lo"]].copy()
+        data = block_rows["data"].iloc[0] if len(block_rows) else b""
+        out["text"] = [data[a:a + n] for a, n in zip(got["lo"], got["n"])]
+        return out
+    texts = by_block.cogroup(varied.groupBy("block")).applyInPandas(fetch, text_schema)
+    size = per_anchor.where(F.col("n_keys") <= max_contexts).agg(F.sum("b").alias("b")).first()["b"] or 0
+    n_large = per_anchor.where(F.col("n_keys") > max_contexts).count()
     n_buckets = max(1, size // BUCKET_BYTES)
     marks_schema = "anchor long, key long, marks binary"
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "block", "lo"])
         got = mark_bucket(rows["text"].tolist(), length)
-        return pd.DataFrame({"anchor": rows["anchor"], "key": rows["key"],
-                             "marks": [np.packbits(m).tobytes() for m in got]})
-    merged = (varied.where(F.col("n") <= max_contexts)
-              .withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)))
-              .groupBy("bucket").applyInPandas(mark, marks_schema))
-    marks = merged.unionByName(_marks_of_large(varied.where(F.col("n") > max_contexts), length))
-
-    # 4. back to the blocks
-    verdicts = first.select("anchor", "key", "id", F.col("block").alias("at_block"), F.col("lo").alias("at")) \
-        .join(marks, ["anchor", "key"], "left")
-    back = found.select("block", "anchor", "key").join(verdicts, ["anchor", "key"])
+        out = pd.DataFrame({"anchor": rows["anchor"], "key": rows["key"], "marks": [np.packbits(m).tobytes() for m in got]})
+        return out[[bool(m.any()) for m in got]]
+    if n_large:
+        texts = staged(texts, "context-texts")
+    marks = (texts.where(F.col("n_keys") <= max_contexts).select("anchor", "key", "id", "block", "lo", "text")
+             .withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)))
+             .groupBy("bucket").applyInPandas(mark, marks_schema))
+    if n_large:
+        marks = marks.unionByName(_marks_of_large(texts.where(F.col("n_keys") > max_contexts), length))
+
+    # 4. back to the blocks: contexts that are repeats as a whole, and those with marked windows
+    verdicts = first.select("anchor", "key", "id", F.col("block").alias("at"), "lo").join(marks, ["anchor", "key"], "left")
+    other = (F.col("f.id") != F.col("v.id")) | (F.col("f.block") != F.col("v.at")) | (F.col("f.lo") != F.col("v.lo"))
+    back = (found.alias("f").join(verdicts.alias("v"), ["anchor", "key"])
+            .select("block", "anchor", "key", other.alias("whole"),
+                    F.when(~other, F.col("marks")).alias("marks")).where("whole OR marks IS NOT NULL"))
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
               "spans array<struct<a:bigint,b:bigint>>" + (", text_sha256 string, kept_text string" if with_text else ""))
 
     def cut(block_rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         parts = [_cut_block(r, got, length, with_text) for r in block_rows.to_dict("records")]
         return pd.DataFrame([x for p in parts for x in p], columns=[s.split()[0] for s in schema.split(", ")])
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(cut, schema)
+    return by_block.cogroup(back.groupBy("block")).applyInPandas(cut, schema)
 
 
 def _marks_of_large(contexts_: DataFrame, length: int) -> DataFrame:
@@ -349,26 +378,30 @@ def _marks_of_large(contexts_: DataFrame, length: int) -> DataFrame:
 def _cut_block(row: dict, got: pd.DataFrame, length: int, with_text: bool) -> list[tuple]:
     data, sizes, ids = _block_of(row)
     anchor, lo, hi = contexts(data, sizes, length)
+    _, at, n = _counted(anchor)
+    key_a, key_k = got["anchor"].to_numpy(np.int64).view(np.uint64), got["key"].to_numpy(np.int64).view(np.uint64)
+    # repeats lie under an anchor that came back or that the block holds twice
+    many = (n[at] > 1) | np.isin(anchor, key_a)
+    anchor, lo, hi = anchor[many], lo[many], hi[many]
+    key = context_keys(data, lo, hi, length)
+    owner = ids[np.searchsorted(np.cumsum(sizes), lo, side="right")]
+    by, new = _first_of_each(anchor, key, owner, lo)
+    place = dict(zip(zip(key_a.tolist(), key_k.tolist()), range(len(got))))
+    ones = by[new]
+    answer_of = np.fromiter((place.get(x, -1) for x in zip(anchor[ones].tolist(), key[ones].tolist())), np.int64, len(ones))
+    repeat = ~new                            # of an earlier context of the block
+    if len(got):
+        repeat[new] = (answer_of >= 0) & got["whole"].to_numpy(bool)[answer_of]
+    whole = by[repeat]
     diff = np.zeros(len(data) + 1, np.int32)
-    if len(got) and len(lo):
-        key_a, key_k = got["anchor"].to_numpy(np.int64).view(np.uint64), got["key"].to_numpy(np.int64).view(np.uint64)
-        many = np.isin(anchor, key_a)
-        anchor, lo, hi = anchor[many], lo[many], hi[many]
-        key = context_keys(data, lo, hi, length)
-        place = dict(zip(zip(key_a.tolist(), key_k.tolist()), range(len(got))))
-        at = np.fromiter((place[x] for x in zip(anchor.tolist(), key.tolist())), np.int64, len(lo))
-        owner = ids[np.searchsorted(np.cumsum(sizes), lo, side="right")]
-        is_first = ((got["id"].to_numpy(np.int64)[at] == owner) & (got["at_block"].to_numpy(np.int64)[at] == row["block"])
-                    & (got["at"].to_numpy(np.int64)[at] == lo))
-        np.add.at(diff, lo[~is_first], 1)
-        np.add.at(diff, hi[~is_first] + length, -1)
-        marks = got["marks"].to_numpy()
-        for k in np.flatnonzero(is_first).tolist():
-            m = marks[at[k]]
-            if m is not None and m == m:
-                starts = lo[k] + np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8))[:hi[k] - lo[k] + 1])
-                np.add.at(diff, starts, 1)
-                np.add.at(diff, starts + length, -1)
+    np.add.at(diff, lo[whole], 1)
+    np.add.at(diff, hi[whole] + length, -1)
+    marks = got["marks"].to_numpy()
+    for k, m in zip(ones.tolist(), answer_of.tolist()):
+        if m >= 0 and isinstance(marks[m], bytes):
+            starts = lo[k] + np.flatnonzero(np.unpackbits(np.frombuffer(marks[m], np.uint8))[:hi[k] - lo[k] + 1])
+            np.add.at(diff, starts, 1)
+            np.add.at(diff, starts + length, -1)
     gone = np.cumsum(diff[:-1]) > 0
     out, end = [], 0
     for i, n in zip(ids.tolist(), sizes.tolist()):

@@ -175,10 +175,12 @@ def test_merged_transforms_mark_repeats():
                 seen.add(t[k:k + 100])
 
 
-def test_common_prefixes_of_a_merge():
+@pytest.mark.parametrize("symbol", [1, 3, 8, 13, 32])
+def test_common_prefixes_of_a_merge(symbol, monkeypatch):
     texts = [np.frombuffer(t, np.uint8) for t in (b"banana-banana-bandana" + bytes(8), b"ananas-banana-x" + bytes(8))]
     length = 20
-    ranks = {s: bwt_dedup.ranked(texts, s) for s in set(bwt_dedup._rounds(length))}
+    monkeypatch.setattr(bwt_dedup, "SYMBOL", symbol)
+    ranks = bwt_dedup.symbols(texts, bwt_dedup._rounds(length))
     built = [bwt_dedup.transform({s: r[k] for s, r in ranks.items()}, length) for k in range(2)]
     z, interval, common = bwt_dedup.merge_transforms(built, length)
     order = np.empty((len(z), 2), np.int64)
@@ -189,7 +191,7 @@ def test_common_prefixes_of_a_merge():
     for i in range(1, len(pre)):
         lcp = next((j for j in range(length) if pre[i][j] != pre[i - 1][j]), length)
         assert (interval[i] == interval[i - 1]) == (lcp == length)
-        assert common[i] <= lcp and (lcp - common[i] < 8)
+        assert common[i] <= lcp and (lcp - common[i] < symbol)
 
 
 def test_repeats_odd_rows(odd):
