@@ -37,7 +37,9 @@ BLOCK_BYTES = 4 << 20
 KEYS_PER_SHARD = 1_000_000
 MU = 8.0
 STEPS_PER_UNIT = 2000        # of the quantised log10 values
-_BYTE_BITS = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+# Words of equal bytes for sums inside 64-bit words.
+_FIVES, _THREES, _NIBBLES, _EACH, _TOPS = (np.uint64(b * 0x0101010101010101) for b in (0x55, 0x33, 0x0F, 0x01, 0x80))
+_U1, _U2, _U4, _U8, _U255 = map(np.uint64, (1, 2, 4, 8, 255))
 
 
 # ------------------------------------------------------------------ Elias-Fano
@@ -56,10 +58,9 @@ class EliasFano:
         high = (v >> np.uint64(self.low_bits)).astype(np.int64)
         unary = np.zeros((top >> self.low_bits) + self.n + 2, np.uint8)
         unary[high + np.arange(self.n)] = 1
-        self.high = np.packbits(unary, bitorder="little")
-        self.high = np.concatenate((self.high, np.zeros(-len(self.high) % 32, np.uint8)))
-        ones = _BYTE_BITS[self.high].reshape(-1, 32).sum(1, dtype=np.int64)
-        self.ones = np.concatenate(([0], np.cumsum(ones))).astype(np.uint32)    # before each 32 bytes
+        high = np.packbits(unary, bitorder="little")
+        self.high = np.concatenate((high, np.zeros(-len(high) % 8, np.uint8))).view("<u8")
+        self.ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64))).astype(np.uint32)
 
     def arrays(self) -> list:
         return [self.low, self.high, self.ones]
@@ -68,23 +69,17 @@ class EliasFano:
         self.low, self.high, self.ones = arrays
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
-        """Position of the k-th one or zero (from 0)."""
-        ones = self.ones.astype(np.int64)
-        before = ones if bit else np.arange(len(ones)) * 256 - ones
-        group = np.searchsorted(before, k, side="right") - 1
-        left = k - before[group]
-        byte = group * 32
-        open_ = np.ones(len(k), bool)
-        for _ in range(32):                      # walk the bytes of the sampled group
-            have = _BYTE_BITS[self.high[np.minimum(byte, len(self.high) - 1)]].astype(np.int64)
-            have = have if bit else 8 - have
-            open_ &= left >= have
-            if not open_.any():
-                break
-            left = np.where(open_, left - have, left)
-            byte = byte + open_
-        cell = self.high[byte]
-        return byte * 8 + _SELECT[bit][cell, left]
+        """Position of the k-th one or zero (from 0): its word by the directory, its place by byte sums in the word."""
+        before = self.ones if bit else (np.arange(len(self.ones)) * 64 - self.ones).astype(np.uint32)
+        word = np.searchsorted(before, k.astype(np.uint32), side="right") - 1
+        left = (k - before[word]).astype(np.uint64)
+        bits = self.high[word] if bit else ~self.high[word]
+        sums = bits - (bits >> _U1 & _FIVES)
+        sums = (sums & _THREES) + (sums >> _U2 & _THREES)
+        sums = (sums + (sums >> _U4) & _NIBBLES) * _EACH          # ones up to and with each byte
+        byte = np.bitwise_count((left * _EACH | _TOPS) - sums & _TOPS).astype(np.uint64) * _U8
+        left -= (sums << _U8) >> byte & _U255
+        return word * 64 + byte.astype(np.int64) + _SELECT[(bits >> byte & _U255).astype(np.int64), left.astype(np.int64)]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -121,15 +116,16 @@ class EliasFano:
         return np.where(hit, lo, -1)
 
 
-def _select_table(bit: int) -> np.ndarray:
+def _select_table() -> np.ndarray:
+    """Place of the k-th one in a byte."""
     out = np.zeros((256, 8), np.int64)
     for b in range(256):
-        at = [i for i in range(8) if b >> i & 1 == bit]
+        at = [i for i in range(8) if b >> i & 1]
         out[b, :len(at)] = at
     return out
 
 
-_SELECT = {bit: _select_table(bit) for bit in (0, 1)}
+_SELECT = _select_table()
 
 
 class Trie:
@@ -192,17 +188,18 @@ class Trie:
 
     def score(self, word: np.ndarray, has_before: np.ndarray, unknown: float) -> np.ndarray:
         """log10 p of each token given those before it (``has_before``: the one before is in the same text)."""
-        entry = self.find(0, np.zeros(len(word), np.int64), word)
+        every = np.arange(int(word.max()) + 1 if len(word) else 0)
+        entry = self.find(0, np.zeros(len(every), np.int64), every)[word]
         value = np.where(entry >= 0, -self._at(self.p[0], entry), unknown)
         usable = has_before
         for level in range(1, len(self.seqs)):
             ctx = np.where(usable, np.concatenate(([-1], entry[:-1])), -1)
-            below = entry
-            entry = self.find(level, ctx, word)
+            # each (context, word) is searched once, in order of contexts
+            asked, at = np.unique(ctx << 32 | word, return_inverse=True)
+            entry = self.find(level, asked >> 32, asked & 0xFFFFFFFF)[at]
             weight = np.where(ctx >= 0, -self._at(self.w[level - 1], ctx), 0.0)
             value = np.where(entry >= 0, -self._at(self.p[level], entry), value + weight)
             usable = usable & np.concatenate(([False], usable[:-1]))
-            del below
         return value
 
     @staticmethod

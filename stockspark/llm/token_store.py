@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from stockspark.llm.bpe_index import PATTERN
 from stockspark.llm.common import pa_schema, prepare, staged_path
-from stockspark.llm.word_table import WordTable, encode_rows, ranges
+from stockspark.llm.word_table import WordTable, encode_rows, has_space, ranges
 
 PRECISION = 20                # frequencies add up to 2^20
 LOW = np.uint64(1 << 31)      # states stay in [2^31, 2^63)
-LANES = 1024
-CHECK_STEPS = 64
-BLOCK_TOKENS = 1 << 18
+LANES = 4096
+CHECK_STEPS = 128
+BLOCK_TOKENS = 1 << 20
 PART_TOKENS = 1 << 24
 _HEAD = struct.Struct("<4sHHIIIII")   # magic, version, lanes, ids, documents, checkpoints, words, crc32
 
@@ -61,9 +61,7 @@ class LibraryBPE(WordTable):
 
         A line feed between two words is a token of its own and in no other.
         """
-        bare = [w[1:] if w[0] == " " else w for w in words]
-        plain = np.fromiter((len(b.split()) == 1 and not b[-1].isspace() and not b[0].isspace()
-                             for b in bare), bool, len(words))
+        plain = ~has_space(words)
         lines, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
         texts = ["\n".join([words[k] for k in lines[i:i + 4000]]) + "\n" for i in range(0, len(lines), 4000)]
         n = np.zeros(len(words), np.int64)

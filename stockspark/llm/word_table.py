@@ -11,11 +11,14 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
+_WHITE = (r"\x09-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+#: White space behind the first character, white space other than a blank before it, or a lone blank.
+_SPACED = rf"(?s)^.+[ {_WHITE}]|^[{_WHITE}]|^ $"
 #: Characters of text encoded at once.
 CHUNK_CHARS = 6_000_000
 
@@ -44,8 +47,10 @@ class WordTable:
         self.flat = np.concatenate((self.flat, ids.astype(np.int32)))
         self.size = np.concatenate((self.size, n))
         # a blank before white space: the whole run may be cut elsewhere
-        odd = np.fromiter((w[0] == " " and (len(w) == 1 or w[1].isspace()) and type(k) is not tuple
-                           for k, w in zip(keys, words)), bool, len(keys))
+        odd = np.zeros(len(keys), bool)
+        for i in np.flatnonzero(has_space(words)).tolist():
+            w = words[i]
+            odd[i] = type(keys[i]) is not tuple and (len(w) == 1 or w[1].isspace())
         self.odd = np.concatenate((self.odd, odd))
         self.table.update(zip(keys, range(len(self.table), len(self.table) + len(keys))))
 
@@ -58,20 +63,6 @@ class WordTable:
         self.size = np.array([1] * len(self.added) + [0], np.int64)
         self.odd = np.zeros(len(self.added) + 1, bool)
 
-    def words_in(self, text: str, cut=lambda part: part.split(" ")) -> list:
-        """The text as keys of the table."""
-        if not any(a in text for a in self.added):
-            out = cut(text)
-            out[0] = "first", out[0]
-            return out
-        out = []
-        for part in self.cut.split(text):
-            if part in self.added:
-                out.append(("added", part))
-            elif part:
-                out += self.words_in(part)
-        return out
-
     def pieces_in(self, text: str) -> list:
         """Keys of the pre-tokenizer's pieces of the whole text; for unusual white space."""
         out: list = []
@@ -87,20 +78,39 @@ class WordTable:
             got[new] = [self.table[flat[k]] for k in new]
         return got
 
-    def encode_batch(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (null: empty) one after another, and the number of ids of each."""
+    def encode_batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) one after another, and the number of ids of each.
+
+        Arrow cuts the texts at blanks and finds the distinct words; only those are looked up.
+        """
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         if len(self.table) > self.max_words:
             self.start_table()
-        cut = [self.words_in(t) if t else [] for t in texts]
-        codes = self.codes(list(chain.from_iterable(cut)))
-        if self.odd[codes].any():
-            owner = np.repeat(np.arange(len(cut)), list(map(len, cut)))
-            for k in np.unique(owner[self.odd[codes]]).tolist():
-                cut[k] = self.pieces_in(texts[k])
-            codes = self.codes(list(chain.from_iterable(cut)))
-        ids = gather(self.flat, self.first, self.size, codes)
+        cut = pc.split_pattern(texts, " ")
+        starts, words = cut.offsets.to_numpy().astype(np.int64), cut.flatten()
+        coded = words.dictionary_encode()
+        codes = self.codes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        firsts = [("first", w) for w in words.take(pa.array(starts[:-1])).to_pylist()]
+        codes[starts[:-1]] = self.codes(firsts)
+        again = np.zeros(len(texts), bool)
+        for a in self.added:
+            again |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        again[np.searchsorted(starts, np.flatnonzero(self.odd[codes]), side="right") - 1] = True
+        if again.any():
+            rows = np.split(codes, starts[1:-1])
+            for k in np.flatnonzero(again).tolist():
+                rows[k] = self.codes(self.pieces_in(texts[k].as_py()))
+            codes, starts = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
         ends = np.concatenate(([0], np.cumsum(self.size[codes])))
-        return ids, np.diff(ends[np.cumsum([0, *map(len, cut)])])
+        return gather(self.flat, self.first, self.size, codes), np.diff(ends[starts])
+
+
+def has_space(words: list[str]) -> np.ndarray:
+    """Which words hold white space but for one blank before them."""
+    return pc.match_substring_regex(pa.array(words, pa.string()), _SPACED).to_numpy(zero_copy_only=False) \
+        if words else np.zeros(0, bool)
 
 
 class _Codes(dict):
@@ -123,21 +133,24 @@ def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 def encode_rows(batches: Iterator[pa.RecordBatch], encoder: WordTable, id_at: int = 0, text_at: int = 1):
     """Yields (ids column, token ids of all texts, number of each) for chunks of rows.
 
-    A chunk ends after ``CHUNK_CHARS`` characters, so memory is one chunk and
-    the longest text.
+    A chunk is a few Arrow batches, of ``CHUNK_CHARS`` bytes of text or the
+    batch that passes them, so memory is bounded by that and the longest text.
     """
-    keys, texts, chars = [], [], 0
-    gc.disable()      # millions of short-lived lists and no cycles
+    held, size = [], 0
+
+    def flush():
+        texts = pa.chunked_array([b.column(text_at) for b in held]).combine_chunks()
+        return [k for b in held for k in b.column(id_at).to_pylist()], *encoder.encode_batch(texts)
+    gc.disable()      # millions of short-lived strings and no cycles
     try:
         for b in batches:
-            for k, t in zip(b.column(id_at).to_pylist(), b.column(text_at).to_pylist()):
-                keys.append(k)
-                texts.append(t)
-                chars += len(t or "")
-                if chars >= CHUNK_CHARS:
-                    yield keys, *encoder.encode_batch(texts)
-                    keys, texts, chars = [], [], 0
-        if keys:
-            yield keys, *encoder.encode_batch(texts)
+            if b.num_rows:
+                held.append(b)
+                size += b.column(text_at).nbytes
+            if size >= CHUNK_CHARS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
     finally:
         gc.enable()

@@ -181,9 +181,9 @@ def test_token_store_round_trip(spark, odd, library):
 def test_blocks_decode_from_checkpoints_and_tell_damage():
     import numpy as np
     rng = np.random.default_rng(0)
-    ids = (rng.zipf(1.4, 200_000) % 500).astype(np.int64)
+    ids = (rng.zipf(1.4, 1_400_000) % 500).astype(np.int64)
     tables = token_store.Tables(np.bincount(ids, minlength=600))
-    data = token_store.encode_block(ids, [7, None], [150_000, 50_000], tables)
+    data = token_store.encode_block(ids, [7, None], [150_000, 1_250_000], tables)
     block = token_store.Block(data)
     assert block.docs == [7, None] and (block.ids(tables) == ids).all()
     parts = [block.ids(tables, k, k + 1) for k in range(len(block.at))]
