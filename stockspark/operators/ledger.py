@@ -155,6 +155,8 @@ def _chunk(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
     spark = movements.sparkSession
     n = n_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [KEY, *order_cols]
+    # a movement of no product belongs to no balance: see rejected_movements
+    movements = movements.filter(F.col(KEY).isNotNull())
     if opening is None:
         movements = movements.withColumn("_open", F.lit(0).cast("bigint"))
     else:
@@ -360,6 +362,17 @@ def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | No
     return _finish(planned.select(*cols).unionByName(refolded))
 
 
+def rejected_movements(movements: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """The reject output of the ledger: movements without a product, and, given
+    the product table (column ``id``), those of an unknown product, with ``reason``."""
+    none = movements.filter(F.col(KEY).isNull()).withColumn("reason", F.lit("no product"))
+    if products is None:
+        return none
+    known = products.select(F.col("id").alias(KEY))
+    unknown = movements.filter(F.col(KEY).isNotNull()).join(known, KEY, "left_anti")
+    return none.unionByName(unknown.withColumn("reason", F.lit("unknown product")))
+
+
 def running_balance(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None,
                     n_chunks: int | None = None, qty_col: str = "signed_qty",
                     split: str = "auto") -> DataFrame:

@@ -348,11 +348,11 @@ def audit_enriched(v, p: Params) -> DataFrame:
 # ------------------------------------------------------------------ J-05 (in R-04)
 # ------------------------------------------------------------------ J-06
 def issue_slips(v, p: Params) -> DataFrame:
-    """Issue slip for every issued request: 5-table star with the users
-    dimension in two roles (issuer, employee)."""
-    ir = v.issue_requests.filter(F.col("status").isin("issued", "partially_issued"))
+    """Issue slip for every request in full issue (status ``issued``): 5-table
+    star with the users dimension in two roles (issuer, employee)."""
+    ir = v.issue_requests.filter(F.col("status") == "issued")
     pr = v.product_base.select(F.col("id").alias("product_id"), F.col("name").alias("product"),
-                           "product_code", "unit", "category_id")
+                               "product_code", "unit", "rack_location", "category_id")
     c = v.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
     issuer = v.users.select(F.col("id").alias("_iid"), F.col("name").alias("issued_by_name"))
     emp = v.users.select(F.col("id").alias("_eid"), F.col("username").alias("employee_username"),
@@ -360,7 +360,8 @@ def issue_slips(v, p: Params) -> DataFrame:
     j = (ir.join(pr, "product_id").join(F.broadcast(c), "category_id", "left")
          .join(issuer, F.col("issued_by") == F.col("_iid"), "left")
          .join(emp, F.col("employee_id") == F.col("_eid"), "left"))
-    return j.select("id", "product_code", "product", "category", "unit", "quantity_requested",
+    return j.select("id", "product_code", "product", "category", "unit", "rack_location",
+                    "quantity_requested",
                     "quantity_issued", "employee_name", "employee_username", "employee_role",
                     "department", "issued_by_name", "issued_at", "status")
 

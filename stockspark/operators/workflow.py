@@ -25,14 +25,13 @@ DEC_ORDER = ("decided_at", "decision_id")
 def validate_decisions(decisions: DataFrame) -> DataFrame:
     """Rule columns -> ``valid`` + ``reasons`` (text, ';'-joined).
 
-    approve: quantity, when given, must be > 0; reject: reason mandatory
-    (blank = missing); decision must be approve or reject."""
+    Reject: reason mandatory (blank = missing); decision must be approve or
+    reject.  An approval's quantity needs no rule: one that isn't positive
+    falls back to the requested quantity."""
     d = F.col("decision")
     reason_missing = F.col("reason").isNull() | (F.trim(F.col("reason")) == "")
     rules = F.array(
         F.when(~d.isin("approve", "reject"), F.lit("unknown decision")),
-        F.when((d == "approve") & F.col("qty_issued").isNotNull() & (F.col("qty_issued") <= 0),
-               F.lit("quantity must be positive")),
         F.when((d == "reject") & reason_missing, F.lit("rejection reason is mandatory")))
     reasons = F.array_compact(rules)
     return (decisions.withColumn("reasons", F.array_join(reasons, ";"))
@@ -75,7 +74,8 @@ def apply_issue_decisions(requests: DataFrame, products: DataFrame,
     first = (first_decision(valid).join(pending, "request_id")
              .persist(StorageLevel.MEMORY_AND_DISK))
     appr = first.filter(F.col("decision") == "approve").withColumn(
-        "qty", F.coalesce("qty_issued", "quantity_requested").cast(D12))
+        "qty", F.when(F.col("qty_issued") > 0, F.col("qty_issued"))
+        .otherwise(F.col("quantity_requested")).cast(D12))
     opening = products.select(F.col("id").alias("product_id"),
                               X.available().alias("balance"))
     folded = L.ledger_apply(appr.withColumn("neg_qty", (-F.col("qty")).cast(D12)),

@@ -234,7 +234,7 @@ from audit_log a left join users u on a.user_id = u.id
 
 register("issue_slips", with_views("""
 select r.id, printf('P-%04d', p.p_partkey) product_code, p.p_name product, c.name category,
-  'Nos' unit, cast(r.quantity_requested as double) quantity_requested,
+  'Nos' unit, p.p_brand rack_location, cast(r.quantity_requested as double) quantity_requested,
   cast(r.quantity_issued as double) quantity_issued, r.employee_name,
   e.username employee_username, e.role employee_role, r.department,
   i.name issued_by_name, r.issued_at, r.status
@@ -242,7 +242,7 @@ from issue_requests r join part p on r.product_id = p.p_partkey
 left join categories c on c.name = p.p_type
 left join users i on r.issued_by = i.id
 left join users e on r.employee_id = e.id
-where r.status in ('issued', 'partially_issued')
+where r.status = 'issued'
 """, "issue_requests", "categories", "users"))(R.issue_slips)
 
 register("indent_review", with_views(f"""

@@ -53,7 +53,6 @@ from issue_requests where status <> 'pending'"""
 
 VALID_SQL = """
 select * from dec where decision in ('approve','reject')
-  and not (decision = 'approve' and qty_issued is not null and qty_issued <= 0)
   and not (decision = 'reject' and (reason is null or trim(reason) = ''))"""
 
 FIRST_SQL = """
@@ -71,12 +70,9 @@ def _pending_all(v):
 select decision_id, request_id, decision,
   array_to_string(list_filter([
     case when decision not in ('approve','reject') then 'unknown decision' end,
-    case when decision = 'approve' and qty_issued is not null and qty_issued <= 0
-         then 'quantity must be positive' end,
     case when decision = 'reject' and (reason is null or trim(reason) = '')
          then 'rejection reason is mandatory' end], lambda x: x is not null), ';') reasons,
   not (decision not in ('approve','reject')
-       or (decision = 'approve' and qty_issued is not null and qty_issued <= 0)
        or (decision = 'reject' and (reason is null or trim(reason) = ''))) valid
 from dec
 """, "issue_requests", extra=[("dec", ISSUE_DECISIONS_SQL)]))
@@ -100,7 +96,7 @@ def first_decision(v, p):
 APPLY_SQL = """
 with appr as (
   select f.*, q.product_id, q.quantity_requested,
-    coalesce(f.qty_issued, q.quantity_requested) qty,
+    case when f.qty_issued > 0 then f.qty_issued else q.quantity_requested end qty,
     row_number() over (partition by q.product_id order by f.decided_at, f.decision_id) rn
   from fst f join issue_requests q on q.id = f.request_id where f.decision = 'approve'),
 av as (select id product_id, current_stock - reserved_stock avail from products),

@@ -2,8 +2,9 @@
 
 Sources are file streams over the parquet tables (``pathGlobFilter`` picks
 one table out of a shared folder).  Every query writes with a checkpoint
-under the shared checkpoint folder, so a restarted or failed job resumes
-from its last committed micro-batch.  ``run_available`` drives a query with
+under the shared checkpoint folder; given a ``name``, a restarted or failed
+job of that name resumes from its last committed micro-batch.
+``run_available`` drives a query with
 ``trigger(availableNow=True)`` and returns the sink table as a batch
 DataFrame.
 """
@@ -156,15 +157,17 @@ def alert_stream(ledger_rows: DataFrame, products: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ T-03 audit
-def audit_ingest(events: DataFrame, users: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """T-03: normalise raw events into audit rows; duplicates of an event id
-    inside the watermark delay are dropped (state bounded by the delay)."""
+def audit_ingest(events: DataFrame, users: DataFrame) -> DataFrame:
+    """T-03: normalise raw events into audit rows, one for each event id.
+
+    An audit log loses nothing, so there is no watermark: an event counts
+    however late its file comes.  The state is the ledger of all ids seen
+    (one long an event, spread over the shuffle partitions; a large log
+    wants the RocksDB state store)."""
     from stockspark.operators.dims import audit_normalise
     u = users.select(F.col("id").alias("_uid"), F.col("name").alias("user_name"),
                      F.col("role").alias("user_role"))
-    raw = (events.withColumn("event_time", F.col("ts").cast("timestamp"))
-           .withWatermark("event_time", delay)
-           .dropDuplicatesWithinWatermark(["event_id"])
+    raw = (events.dropDuplicates(["event_id"])
            .join(u, F.col("user_id") == F.col("_uid"), "left"))
     rows = raw.select(
         F.col("event_id").alias("id"), "user_id", "user_name", "user_role",
@@ -177,33 +180,32 @@ def audit_ingest(events: DataFrame, users: DataFrame, delay: str = "1 hour") ->
 
 
 # ------------------------------------------------------------------ T-04 counts
-def daily_activity(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """T-04: events per day and type in tumbling one-day windows; append
-    mode emits a day once the watermark has passed its end."""
+def daily_activity(events: DataFrame) -> DataFrame:
+    """T-04: events per day and type in tumbling one-day windows, for complete
+    mode: every day counts, the open one and late events included (state: one
+    row for each day and type)."""
     e = events.withColumn("event_time", F.col("ts").cast("timestamp"))
-    return (e.withWatermark("event_time", delay)
-            .groupBy(F.window("event_time", "1 day").alias("w"), "event_type")
+    return (e.groupBy(F.window("event_time", "1 day").alias("w"), "event_type")
             .agg(F.count("*").alias("events"))
             .select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "event_type",
                     "events"))
 
 
 # ------------------------------------------------------------------ T-05 sessions
-def user_sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
-    """T-05: sessions end after more than ``gap`` of inactivity.
+def user_sessions(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
+    """T-05: sessions end after more than ``gap_seconds`` of inactivity.
 
-    Streaming frames use ``session_window`` with a watermark (state per open
-    session).  Batch frames use the range-partitioned sessionizer of
-    ``operators.sessions`` (hot users are split; only edge sessions merge)."""
+    Streaming frames use ``session_window`` for complete mode (state: one row
+    a session; late events join or bridge the sessions they touch).  Batch
+    frames use the range-partitioned sessionizer of ``operators.sessions``
+    (hot users are split; only edge sessions merge)."""
     if not events.isStreaming:
         from stockspark.operators.sessions import user_sessions as batch_sessions
-        seconds = {"1 hour": 3600}.get(gap)
-        if seconds is None:
-            raise ValueError(f"unsupported gap {gap!r}")
-        return batch_sessions(events, seconds)
-    e = events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark(
-        "event_time", gap)
-    s = (e.groupBy("user_id", F.session_window("event_time", gap).alias("s"))
+        return batch_sessions(events, gap_seconds)
+    # a window's end is exclusive; a gap of exactly gap_seconds stays in the session
+    window = F.session_window("event_time", f"{gap_seconds} seconds 1 microsecond")
+    e = events.withColumn("event_time", F.col("ts").cast("timestamp"))
+    s = (e.groupBy("user_id", window.alias("s"))
          .agg(F.count("*").alias("events"), F.min("ts").alias("session_start"),
               F.max("ts").alias("session_end")))
     return s.select("user_id", "session_start", "session_end", "events")

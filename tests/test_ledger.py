@@ -127,3 +127,24 @@ def test_reconcile_finds_injected_breaks(spark):
         .otherwise(F.col("balance_before")))
     got = sorted((r.product_id, r.ord_key, r.rule) for r in L.reconcile(bad).collect())
     assert got == [(1, 2, "after_mismatch"), (1, 2, "chain_break")]
+
+
+def test_both_splits_agree_and_reject_movements_without_product(spark):
+    from stockspark.operators import ledger as L
+    rows = [(p, T0 + dt.timedelta(hours=i), i, 1, Decimal(q)) for i, (p, q) in enumerate(
+        [(1, 5), (None, 4), (1, -9), (2, 3), (None, -1), (1, 2), (2, -3), (1, -4), (2, 8), (None, 7), (1, 1), (9, 6)])]
+    df = spark.createDataFrame(rows, "product_id long, created_at timestamp_ntz, ord_key long, ord_line int, "
+                                     "signed_qty decimal(12,2)")
+    key = lambda d: sorted((r.product_id, r.ord_key, r.balance_after) for r in d.collect())
+    for fold in (L.ledger_apply, L.running_balance):
+        a, b = (key(fold(df, n_chunks=3, split=s)) for s in ("hash", "range"))
+        assert a == b and len(a) == 9
+    assert key_snapshot(L.ledger_snapshot(df, n_chunks=3, split="hash")) == \
+        key_snapshot(L.ledger_snapshot(df, n_chunks=3, split="range"))
+    products = spark.createDataFrame([(1,), (2,)], "id long")
+    got = L.rejected_movements(df, products).groupBy("reason").count().collect()
+    assert {r["reason"]: r["count"] for r in got} == {"no product": 3, "unknown product": 1}
+
+
+def key_snapshot(df):
+    return sorted((r.product_id, r.current_stock) for r in df.collect())

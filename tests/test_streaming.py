@@ -81,3 +81,51 @@ def test_batch_sessions_split_hot_user_across_partitions(spark):
             n += 1
         exp.append((u, s, e, n))
     assert got == sorted(exp)
+
+
+def _event_files(spark, files):
+    """One parquet file for each list of (event_id, hour, user), oldest file first."""
+    d = tempfile.mkdtemp(prefix="stream-late-")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for k, rows in enumerate(files):
+        data = [(i, T0 + dt.timedelta(hours=h), u, "click", 1.0, '{"k": 1}') for i, h, u in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(os.path.join(d, f"f{k}"))
+        os.utime(os.path.join(d, f"f{k}"), (k + 1, k + 1))
+    return lambda n: (spark.readStream.schema(schema).option("maxFilesPerTrigger", n)
+                      .option("recursiveFileLookup", "true").parquet(d))
+
+
+LATE = [[(1, 100, 5)], [(2, 101, 5), (1, 100, 5)], [(3, 2, 5)], [(4, 1, 6), (2, 101, 5)], [(5, 3, 5)]]
+
+
+def test_late_files_lose_no_audit_row(spark):
+    users = spark.createDataFrame([(5, "A B", "admin")], "id long, name string, role string")
+    src = _event_files(spark, LATE)
+    for n in (1, 2, 100):
+        assert sorted(r.id for r in S.run_available(S.audit_ingest(src(n), users)).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_streamed_days_and_sessions_equal_batch_for_any_arrival(spark):
+    src = _event_files(spark, LATE)
+    flat = [(T0 + dt.timedelta(hours=h), u) for f in LATE for _, h, u in f]
+    batch = S.user_sessions(spark.createDataFrame(flat, "ts timestamp_ntz, user_id long"))
+    want = sorted(map(tuple, batch.select("user_id", "session_start", "session_end", "events").collect()))
+    for n in (1, 100):
+        days = S.run_available(S.daily_activity(src(n)), mode="complete").collect()
+        assert sorted((r.day, r.events) for r in days) == [("2024-01-01", 3), ("2024-01-05", 4)]
+        got = S.run_available(S.user_sessions(src(n)), mode="complete")
+        assert sorted(map(tuple, got.select("user_id", "session_start", "session_end", "events").collect())) == want
+
+
+def test_batch_sessions_without_exchange_reuse(spark):
+    import random
+    from stockspark.operators.sessions import user_sessions
+    rnd = random.Random(2)
+    rows = [(1 if rnd.random() < 0.7 else rnd.randrange(2, 6), T0 + dt.timedelta(seconds=rnd.randrange(200_000)))
+            for _ in range(3000)]
+    ev = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert sum(r.events for r in user_sessions(ev, 60, n_parts=8).collect()) == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")

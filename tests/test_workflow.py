@@ -99,6 +99,6 @@ def test_request_validation_reasons(spark):
                                   ("y", "a", "reject", None, None, 1, T0),
                                   ("z", "a", "hold", None, "r", 1, T0)], DEC)
     got = {r.decision_id: (r.valid, r.reasons) for r in W.validate_decisions(decs).collect()}
-    assert got["x"] == (False, "quantity must be positive")
+    assert got["x"] == (True, "")      # falls back to the requested quantity
     assert got["y"] == (False, "rejection reason is mandatory")
     assert got["z"] == (False, "unknown decision")
