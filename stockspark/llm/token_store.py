@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stockspark.llm.bpe_index import PATTERN
 from stockspark.llm.common import pa_schema, prepare, staged_path
-from stockspark.llm.word_table import WordTable, encode_rows, has_space, ranges
+from stockspark.llm.word_table import WordTable, encode_rows, gather, has_space, ranges
 
 PRECISION = 20                # frequencies add up to 2^20
 LOW = np.uint64(1 << 31)      # states stay in [2^31, 2^63)
@@ -40,12 +41,13 @@ class LibraryBPE(WordTable):
     """Ids as the tokenizers library gives them, asked once for each distinct word."""
     _kept: dict = {}
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 800_000):
         import regex
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
+        self.cutting = False
         self.feed, = self.lib.encode("\n", add_special_tokens=False).ids
         super().__init__({t.content: i for i, t in self.lib.get_added_tokens_decoder().items()},
                          regex.compile(PATTERN).findall, max_words)
@@ -57,11 +59,24 @@ class LibraryBPE(WordTable):
         return cls._kept[path]
 
     def encode_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words without inner white space are encoded as lines of larger texts, others one by one.
+        """Words without inner white space are encoded as lines of larger texts, others by their pieces.
 
         A line feed between two words is a token of its own and in no other.
         """
-        plain = ~has_space(words)
+        spaced = has_space(words)
+        if spaced.any() and not self.cutting:
+            cut = [self.pieces(w) if s else (w,) for w, s in zip(words, spaced.tolist())]
+            code = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+            self.cutting = True
+            try:
+                ids, counts = self.encode_new(list(code))
+            finally:
+                self.cutting = False
+            of = np.fromiter(map(code.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+            owner = np.repeat(np.arange(len(words)), list(map(len, cut)))
+            n = np.bincount(owner, weights=counts[of], minlength=len(words)).astype(np.int64)
+            return gather(ids, np.cumsum(counts) - counts, counts, of), n
+        plain = ~spaced
         lines, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
         texts = ["\n".join([words[k] for k in lines[i:i + 4000]]) + "\n" for i in range(0, len(lines), 4000)]
         n = np.zeros(len(words), np.int64)
@@ -215,8 +230,10 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0) -> dict:
     def count(batches):
         total = np.zeros(vocab, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocab)
+            if b.num_rows:
+                column = b.column(0)
+                at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:][:b.num_rows + 1]
+                total += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].view(kind), minlength=vocab)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]},
                                          schema=pa.schema([("id", pa.int64()), ("n", pa.int64())]))
