@@ -32,6 +32,8 @@ from stockspark.llm.common import fold_col, map_rows, pa_schema, prepare, staged
 _WORDS = re.compile(r"[^\W\d_]+").findall
 LONGEST = 4
 SMOOTH = 0.5
+#: Languages up to which the sample's bounds are broadcast.
+MAX_SMALL = 10_000
 #: Words whose scores a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -50,6 +52,9 @@ def sample(training: DataFrame, max_docs: int) -> DataFrame:
     keyed = training.select("lang", F.xxhash64("doc_id").alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     last = keyed.withColumn("r", rank).where(F.col("r") <= max_docs).groupBy("lang").agg(F.max("h").alias("last"))
+    last = staged(last, "lang-sample")
+    if last.count() <= MAX_SMALL:            # one row a language; beyond that a shuffled join
+        last = F.broadcast(last)
     return (training.join(last, "lang").where(F.xxhash64("doc_id") <= F.col("last")).select("lang", "text"))
 
 

@@ -131,13 +131,6 @@ def labelled_rows(stats: DataFrame, labels: DataFrame, held_mod: int, held_is: i
             .select("label", *NAMES))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, held_mod: int, held_is: int, max_rows: int) -> RuleEnsemble:
-    """Fit on the labelled documents outside the held-out fold; only their texts are read."""
-    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct()
-    stats = statistics(docs.select("doc_id", "text").join(known, "doc_id", "left_semi"))
-    return fit(staged(labelled_rows(stats, labels, held_mod, held_is, max_rows), "labelled"))
-
-
 def score_quality(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held_is: int = 0, max_rows: int = 20_000,
                   threshold: float = 0.3) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
@@ -151,6 +144,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held_is
 def keep_good(docs: DataFrame, labels: DataFrame, columns: tuple, held_mod: int = 5, held_is: int = 0,
               max_rows: int = 20_000, threshold: float = 0.3) -> DataFrame:
     """The ``columns`` of the rows that the model, fitted as in ``score_quality``, predicts as good."""
-    model = fit_on(docs, labels, held_mod, held_is, max_rows)
+    # two passes over the texts, for the fit and for the filter, rather than a shuffle of texts
+    stats = staged(statistics(docs), "statistics")
+    model = fit(staged(labelled_rows(stats, labels, held_mod, held_is, max_rows), "labelled"))
     held = docs.select(F.struct(*columns).alias("row"), "text")
     return statistics(held, keep=("row",)).where(model.score() >= threshold).select("row.*")
