@@ -1,21 +1,23 @@
 """Request workflows as batches of decisions applied to tables.
 
-Batch semantics: a batch of decisions is validated (W-03); per request the
-first valid decision in (decided_at, decision_id) order wins (W-05); valid
-approvals of one product consume its available stock in that order and an
-approval larger than what is left is refused, leaving the request pending
-for a later batch (W-04, the same refusing fold as the ledger, started at
-current - reserved); valid rejections set the request rejected (W-06).
+Batch semantics: a batch of decisions is validated (W-03) and taken in
+(decided_at, decision_id) order; per request the first valid decision that
+takes effect wins (W-05).  Approvals of one product consume its available
+stock in that order; an approval larger than what is left is refused and
+leaves the request open for its next decision (W-04, the same refusing fold
+as the ledger, started at current - reserved); a valid rejection sets an open
+request rejected (W-06).  Indent decisions have no stock check.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockspark.functions import exprs as X
 from stockspark.operators import ledger as L
+from stockspark.session import ensure_checkpoint_dir
 
 D12 = "decimal(12,2)"
 DEC_ORDER = ("decided_at", "decision_id")
@@ -62,41 +64,101 @@ def first_decision(decisions: DataFrame, key: str = "request_id") -> DataFrame:
 
 
 # ------------------------------------------------------------------ W-04 / W-06
+def _reject_time(valid: DataFrame) -> DataFrame:
+    """First valid rejection per request: it always takes effect if the
+    request is still open, so no later decision of that request counts."""
+    return (valid.filter(F.col("decision") == "reject").groupBy("request_id")
+            .agg(F.min_by(F.struct("decided_by", "reason"), F.struct(*DEC_ORDER)).alias("_r"),
+                 F.min(F.struct(*DEC_ORDER)).alias("_at")))
+
+
+def approval_candidates(valid: DataFrame, pending: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Approvals that could take effect, numbered ``k`` = 1.. per request.
+
+    Decisions only consume stock, so an approval that isn't smaller than an
+    earlier one of its request can never succeed where that one failed:
+    candidates are the strict running minima of the quantity before the first
+    rejection.  The earliest approval per (request, quantity) is kept first
+    (partial aggregation), so repeated decisions on one request are reduced
+    before the shuffle.
+    """
+    appr = (valid.filter(F.col("decision") == "approve").join(pending, "request_id")
+            .withColumn("qty", F.when(F.col("qty_issued") > 0, F.col("qty_issued"))
+                        .otherwise(F.col("quantity_requested")).cast(D12)))
+    early = appr.groupBy("request_id", "product_id", "quantity_requested", "qty").agg(
+        F.min(F.struct(*DEC_ORDER)).alias("_at"), F.min_by("decided_by", F.struct(*DEC_ORDER)).alias("decided_by"))
+    before = early.join(rejects.select("request_id", F.col("_at").alias("_rej")), "request_id", "left") \
+                  .filter(F.col("_rej").isNull() | (F.col("_at") < F.col("_rej"))).drop("_rej")
+    w = Window.partitionBy("request_id").orderBy("_at")
+    least = F.min("qty").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    minima = before.withColumn("_least", least).filter(
+        F.col("_least").isNull() | (F.col("qty") < F.col("_least"))).drop("_least")
+    return minima.select("*", F.row_number().over(w).alias("k"), *[F.col(f"_at.{c}").alias(c) for c in DEC_ORDER]
+                         ).drop("_at")
+
+
 def apply_issue_decisions(requests: DataFrame, products: DataFrame,
                           decisions: DataFrame) -> DataFrame:
-    """Apply one batch; returns the updated state of every request that had
-    a decision: status, quantity_issued, issued_by, issued_at,
-    rejection_reason and the product's available stock after it."""
+    """Apply one batch; returns the state of every pending request that had a
+    valid decision: status, quantity_issued, issued_by, issued_at,
+    rejection_reason and the product's available stock after it.
+
+    An approval refused for stock leaves its request open, and the request's
+    next decision counts.  Which approvals count therefore depends on the
+    fold, and the fold on them.  The first approval of every request is
+    folded; a request whose approval was refused gets its next candidate in
+    the next round, until no request's list changes.  Such a state is
+    consistent, hence (by induction over time) the sequential outcome; each
+    round fixes at least the earliest decision still open.  Only requests
+    with more than one candidate can need another round.  ``available_after``
+    of a request left pending is the stock at its first refusal.
+    """
     pending = requests.filter(F.col("status") == "pending").select(
         F.col("id").alias("request_id"), "product_id", "quantity_requested")
     valid = validate_decisions(decisions).filter("valid").drop("valid", "reasons")
-    # read by several jobs (hot-key count, chunking, rejections): compute once
-    first = (first_decision(valid).join(pending, "request_id")
-             .persist(StorageLevel.MEMORY_AND_DISK))
-    appr = first.filter(F.col("decision") == "approve").withColumn(
-        "qty", F.when(F.col("qty_issued") > 0, F.col("qty_issued"))
-        .otherwise(F.col("quantity_requested")).cast(D12))
-    opening = products.select(F.col("id").alias("product_id"),
-                              X.available().alias("balance"))
-    folded = L.ledger_apply(appr.withColumn("neg_qty", (-F.col("qty")).cast(D12)),
-                            order_cols=DEC_ORDER, opening=opening, qty_col="neg_qty")
-    approved = folded.select(
+    rejects = _reject_time(valid.join(pending.select("request_id"), "request_id", "left_semi"))
+    # read by every round and by the result
+    cand = approval_candidates(valid, pending, rejects).persist(StorageLevel.MEMORY_AND_DISK)
+    opening = products.select(F.col("id").alias("product_id"), X.available().alias("balance"))
+    several = cand.groupBy("request_id").agg(F.max("k").alias("_m")).filter("_m > 1")
+
+    def fold(live):
+        return L.ledger_apply(live.withColumn("neg_qty", (-F.col("qty")).cast(D12)),
+                              order_cols=DEC_ORDER, opening=opening, qty_col="neg_qty")
+
+    folded = fold(cand.filter("k = 1"))
+    if not several.isEmpty():
+        upto = several.select("request_id", "_m", F.lit(1).alias("_k"))
+        while True:
+            seen = folded.groupBy("request_id").agg(F.min(F.when(F.col("accepted"), F.col("k"))).alias("_hit"),
+                                                    F.max("k").alias("_last"))
+            ensure_checkpoint_dir(cand.sparkSession)
+            upto = (upto.join(seen, "request_id")
+                    .select("request_id", "_m", F.col("_k").alias("_old"),
+                            F.coalesce("_hit", F.least(F.col("_last") + 1, "_m")).alias("_k"))
+                    .checkpoint())
+            if upto.filter("_k <> _old").isEmpty():
+                break
+            upto = upto.drop("_old")
+            live = cand.join(upto.select("request_id", "_k"), "request_id", "left") \
+                       .filter(F.col("k") <= F.coalesce("_k", F.lit(1))).drop("_k")
+            folded = fold(live)
+    hit = F.col("accepted")
+    out = folded.groupBy("request_id").agg(
+        F.max(F.when(hit, F.struct("qty", "quantity_requested", "decided_by", "decided_at", "balance_after"))).alias("_a"),
+        F.min_by("balance_after", "k").alias("_left"))
+    both = out.join(rejects.select("request_id", "_r", F.col("_at.decided_at").alias("_rejected_at")),
+                    "request_id", "full_outer")
+    ok, rej = F.col("_a").isNotNull(), F.col("_r").isNotNull()
+    return both.select(
         "request_id",
-        F.when(~F.col("accepted"), "pending")
-         .when(F.col("qty") < F.col("quantity_requested"), "partially_issued")
-         .otherwise("issued").alias("status"),
-        F.when(F.col("accepted"), F.col("qty")).alias("quantity_issued"),
-        F.when(F.col("accepted"), F.col("decided_by")).alias("issued_by"),
-        F.when(F.col("accepted"), F.col("decided_at")).alias("issued_at"),
-        F.lit(None).cast("string").alias("rejection_reason"),
-        F.col("balance_after").alias("available_after"))
-    rejected = first.filter(F.col("decision") == "reject").select(
-        "request_id", F.lit("rejected").alias("status"),
-        F.lit(None).cast(D12).alias("quantity_issued"),
-        F.col("decided_by").alias("issued_by"), F.col("decided_at").alias("issued_at"),
-        F.trim("reason").alias("rejection_reason"),
-        F.lit(None).cast(D12).alias("available_after"))
-    return approved.unionByName(rejected)
+        F.when(ok & (F.col("_a.qty") < F.col("_a.quantity_requested")), "partially_issued")
+         .when(ok, "issued").when(rej, "rejected").otherwise("pending").alias("status"),
+        F.col("_a.qty").alias("quantity_issued"),
+        F.when(ok, F.col("_a.decided_by")).otherwise(F.col("_r.decided_by")).alias("issued_by"),
+        F.when(ok, F.col("_a.decided_at")).otherwise(F.col("_rejected_at")).alias("issued_at"),
+        F.when(~ok, F.trim("_r.reason")).alias("rejection_reason"),
+        F.when(ok, F.col("_a.balance_after")).when(~rej, F.col("_left")).alias("available_after"))
 
 
 def issue_movements(updates: DataFrame, requests: DataFrame) -> DataFrame:

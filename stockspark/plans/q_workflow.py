@@ -93,42 +93,48 @@ def first_decision(v, p):
         "request_id", "decision_id", "decision", "decided_at")
 
 
-APPLY_SQL = """
-with appr as (
-  select f.*, q.product_id, q.quantity_requested,
-    case when f.qty_issued > 0 then f.qty_issued else q.quantity_requested end qty,
-    row_number() over (partition by q.product_id order by f.decided_at, f.decision_id) rn
-  from fst f join issue_requests q on q.id = f.request_id where f.decision = 'approve'),
-av as (select id product_id, current_stock - reserved_stock avail from products),
-af(product_id, rn, bal, acc) as (
-  select a.product_id, 1,
-    cast(case when av.avail - a.qty >= 0 then av.avail - a.qty else av.avail end as decimal(18,2)),
-    av.avail - a.qty >= 0
-  from appr a join av on av.product_id = a.product_id where a.rn = 1
+#: Sequential fold per product over every valid decision; ``done`` holds the requests already decided.
+APPLY_CTES = """
+with sq as (
+  select v.*, q.product_id, q.quantity_requested,
+    case when v.qty_issued > 0 then v.qty_issued else q.quantity_requested end qty,
+    row_number() over (partition by q.product_id order by v.decided_at, v.decision_id) rn
+  from valid v join issue_requests q on q.id = v.request_id),
+af(product_id, rn, bal, done, outcome) as (
+  select id, cast(0 as bigint), cast(current_stock - reserved_stock as decimal(18,2)),
+    cast([] as varchar[]), ''
+  from products
   union all
-  select a.product_id, a.rn,
-    cast(case when f.bal - a.qty >= 0 then f.bal - a.qty else f.bal end as decimal(18,2)),
-    f.bal - a.qty >= 0
-  from af f join appr a on a.product_id = f.product_id and a.rn = f.rn + 1)
-select a.request_id,
-  case when not f.acc then 'pending' when a.qty < a.quantity_requested then 'partially_issued'
-       else 'issued' end status,
-  cast(case when f.acc then a.qty end as double) quantity_issued,
-  cast(case when f.acc then a.decided_by end as double) issued_by,
-  case when f.acc then a.decided_at end issued_at,
-  cast(null as varchar) rejection_reason, cast(f.bal as double) available_after
-from appr a join af f on f.product_id = a.product_id and f.rn = a.rn
-union all
-select request_id, 'rejected', null, cast(decided_by as double), decided_at, trim(reason), null
-from fst where decision = 'reject'
+  select s.product_id, s.rn,
+    cast(case when not list_contains(f.done, s.request_id) and s.decision = 'approve'
+                and f.bal - s.qty >= 0 then f.bal - s.qty else f.bal end as decimal(18,2)),
+    case when not list_contains(f.done, s.request_id) and (s.decision = 'reject' or f.bal - s.qty >= 0)
+         then list_append(f.done, s.request_id) else f.done end,
+    case when list_contains(f.done, s.request_id) then 'late' when s.decision = 'reject' then 'rejected'
+         when f.bal - s.qty >= 0 then 'accepted' else 'refused' end
+  from af f join sq s on s.product_id = f.product_id and s.rn = f.rn + 1),
+ot as (select s.*, f.bal, f.outcome from sq s join af f on f.product_id = s.product_id and f.rn = s.rn),
+a as (
+  select request_id,
+    case when qty < quantity_requested then 'partially_issued' else 'issued' end status,
+    cast(qty as double) quantity_issued, cast(decided_by as double) issued_by, decided_at issued_at,
+    cast(null as varchar) rejection_reason, cast(bal as double) available_after
+  from ot where outcome = 'accepted'
+  union all
+  select request_id, 'rejected', null, cast(decided_by as double), decided_at, trim(reason), null
+  from ot where outcome = 'rejected'
+  union all
+  select request_id, 'pending', null, null, null, null, cast(arg_min(bal, rn) as double)
+  from ot group by request_id having count(*) = count(*) filter (where outcome = 'refused'))
 """
 
 
 @register("apply_issue_decisions", with_views(
-    APPLY_SQL, "issue_requests", "products",
-    extra=[("dec", ISSUE_DECISIONS_SQL), ("valid", VALID_SQL), ("fst", FIRST_SQL)]))
+    APPLY_CTES + "select * from a", "issue_requests", "products",
+    extra=[("dec", ISSUE_DECISIONS_SQL), ("valid", VALID_SQL)]))
 def apply_issue_decisions(v, p):
-    """W-04/W-06: approve (stock-checked, partial allowed) or reject pending requests."""
+    """W-04/W-06: approve (stock-checked, partial allowed) or reject pending requests;
+    an approval refused for stock leaves the request to its next decision."""
     out = W.apply_issue_decisions(_pending_all(v), v.products, issue_decisions(v))
     return out.withColumn("issued_by", F.col("issued_by").cast("double"))
 
@@ -239,17 +245,13 @@ def number_by_year(v, p):
                             "ISS", existing)
 
 
-_CTES, _SEL = APPLY_SQL.split("\nselect a.request_id", 1)
-
-
-@register("issue_movements", with_views(_CTES + """,
-a as (select a.request_id""" + _SEL + """)
+@register("issue_movements", with_views(APPLY_CTES + """
 select q.product_id, a.issued_at created_at, 'stock_out' type,
   a.quantity_issued quantity, a.request_id reference_number, 'issue' reference_type
 from a join issue_requests q on q.id = a.request_id
 where a.status in ('issued', 'partially_issued')
 """, "issue_requests", "products",
-    extra=[("dec", ISSUE_DECISIONS_SQL), ("valid", VALID_SQL), ("fst", FIRST_SQL)]))
+    extra=[("dec", ISSUE_DECISIONS_SQL), ("valid", VALID_SQL)]))
 def issue_movements(v, p):
     """W-04: the stock-out movement written for every accepted approval (ledger input)."""
     upd = W.apply_issue_decisions(_pending_all(v), v.products, issue_decisions(v))

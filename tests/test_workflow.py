@@ -102,3 +102,55 @@ def test_request_validation_reasons(spark):
     assert got["x"] == (True, "")      # falls back to the requested quantity
     assert got["y"] == (False, "rejection reason is mandatory")
     assert got["z"] == (False, "unknown decision")
+
+
+def _sequential(reqs, prods, decs):
+    """Brute force: every valid decision in time order against per-request and per-product state."""
+    left = {p: s - r for p, s, r in prods}
+    req = {r[0]: r for r in reqs}
+    out = {}
+    for did, rid, kind, qty, reason, by, at in sorted(decs, key=lambda x: (x[6], x[0])):
+        if rid not in req or (kind == "reject" and not (reason or "").strip()):
+            continue
+        if out.get(rid, ("pending",))[0] != "pending":
+            continue
+        _, prod, asked, _, _ = req[rid]
+        if kind == "reject":
+            out[rid] = ("rejected", None, by, at, None)
+            continue
+        q = qty if qty is not None and qty > 0 else asked
+        if q > left[prod]:
+            out.setdefault(rid, ("pending", None, None, None, left[prod]))
+            continue
+        left[prod] -= q
+        out[rid] = ("partially_issued" if q < asked else "issued", q, by, at, left[prod])
+    return out
+
+
+def test_refused_approval_leaves_the_request_to_its_next_decision(spark):
+    d = Decimal
+    reqs = [("a", 1, d("10"), "pending", T0), ("b", 1, d("10"), "pending", T0)]
+    h = [T0 + dt.timedelta(hours=i) for i in range(5)]
+    decs = [("1", "a", "approve", None, None, 1, h[0]), ("2", "a", "reject", None, "no stock", 2, h[1]),
+            ("3", "b", "approve", d("0"), None, 1, h[0]), ("4", "b", "approve", d("4"), None, 3, h[2])]
+    got = _apply(spark, reqs, [(1, d("6"), d("0"))], decs)
+    assert (got["a"].status, got["a"].rejection_reason, got["a"].issued_at) == ("rejected", "no stock", h[1])
+    assert (got["b"].status, got["b"].quantity_issued, got["b"].issued_by) == ("partially_issued", d("4"), 3)
+
+
+def test_decision_batch_matches_the_sequential_outcome(spark):
+    rnd = random.Random(7)
+    reqs = [(f"r{i:03d}", 1 if i % 3 == 0 else 2 + i % 4, Decimal(rnd.randint(1, 12)), "pending", T0)
+            for i in range(160)]
+    prods = [(p, Decimal(rnd.randint(20, 90)), Decimal(2)) for p in range(1, 6)]
+    decs = []
+    for i in range(700):
+        kind = "reject" if rnd.random() < 0.12 else "approve"
+        qty = rnd.choice([None, Decimal(0), Decimal(rnd.randint(1, 12))])
+        decs.append((f"d{i:04d}", rnd.choice(reqs)[0], kind, qty, rnd.choice(["no", " ", None]), rnd.randint(1, 9),
+                     T0 + dt.timedelta(minutes=rnd.randint(0, 400))))
+    got = {k: (r.status, r.quantity_issued, r.issued_by, r.issued_at, r.available_after)
+           for k, r in _apply(spark, reqs, prods, decs).items()}
+    want = _sequential(reqs, prods, decs)
+    assert got == want
+    assert {v[0] for v in want.values()} == {"pending", "rejected", "issued", "partially_issued"}
