@@ -138,8 +138,8 @@ def formatted_number(prefix, n) -> Column:
 
 
 def number_seq(number) -> Column:
-    """Last dash-separated part as an int (NUM-2024-0042 -> 42)."""
-    return F.element_at(F.split(_c(number), "-"), -1).cast("int")
+    """Last dash-separated part as a long (NUM-2024-0042 -> 42)."""
+    return F.element_at(F.split(_c(number), "-"), -1).cast("bigint")
 
 
 def initials(name) -> Column:

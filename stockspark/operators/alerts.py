@@ -53,27 +53,35 @@ def alert_fanout(alerts: DataFrame, users: DataFrame) -> DataFrame:
     return attach_scalars(r, totals)
 
 
-def workflow_notifications(requests: DataFrame) -> DataFrame:
-    """W-10: approved / rejected messages to the requester, one per decided
-    request, created at the decision time."""
-    dec = requests.filter(F.col("status") != "pending")
-    if "rejection_reason" not in dec.columns:
-        dec = dec.withColumn("rejection_reason", F.lit(None).cast("string"))
+def notification_rows(requests: DataFrame, *extra: str) -> DataFrame:
+    """One notification per decided request (with the columns ``extra``): to
+    the requester, created at the decision time.  Requests without a
+    requester get none."""
+    dec = requests.filter((F.col("status") != "pending") & F.col("employee_id").isNotNull())
     approved = F.col("status").isin("issued", "partially_issued")
-    title = F.when(approved, F.lit("✅ Issue Request Approved")) \
-             .otherwise(F.lit("❌ Issue Request Rejected"))
-    body = F.when(approved, F.format_string("Your request %s has been %s.", F.col("id"),
-                                            F.col("status"))) \
-            .otherwise(F.format_string("Your request %s was rejected. Reason: %s", F.col("id"),
-                                       F.coalesce(F.col("rejection_reason"), F.lit(""))))
     return dec.select(
         F.col("employee_id").alias("user_id"),
         F.col("id").alias("request_id"),
-        title.alias("title"), body.alias("body"),
+        F.when(approved, F.lit("✅ Issue Request Approved"))
+         .otherwise(F.lit("❌ Issue Request Rejected")).alias("title"),
         F.when(approved, "success").otherwise("danger").alias("type"),
         F.lit("issues.php").alias("link"),
         F.lit(False).alias("is_read"),
-        F.col("issued_at").alias("created_at"))
+        F.col("issued_at").alias("created_at"), *extra)
+
+
+def workflow_notifications(requests: DataFrame, products: DataFrame) -> DataFrame:
+    """W-10: ``notification_rows`` with their texts: number, product and
+    status of an approved request, number and reason of a rejected one
+    (``requests`` carries ``issue_number``; blank where there is no
+    ``rejection_reason``)."""
+    reason = F.col("rejection_reason") if "rejection_reason" in requests.columns else F.lit(None).cast("string")
+    pr = products.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
+    text = F.when(F.col("status").isin("issued", "partially_issued"),
+                  F.format_string("Your request %s for %s has been %s.", "issue_number", "product", "status")) \
+            .otherwise(F.format_string("Your request %s was rejected. Reason: %s", F.col("issue_number"),
+                                       F.coalesce(reason, F.lit(""))))
+    return notification_rows(requests.join(pr, "product_id").withColumn("body", text), "body")
 
 
 def read_markers(requests: DataFrame) -> DataFrame:
@@ -106,4 +114,4 @@ def recent_notifications(notifications: DataFrame, k: int = K.TOP_NOTIFICATIONS)
 
 
 def build_notifications(v, p: Params) -> DataFrame:
-    return mark_read(workflow_notifications(v.issue_requests), read_markers(v.issue_requests))
+    return mark_read(notification_rows(v.issue_requests), read_markers(v.issue_requests))

@@ -226,9 +226,7 @@ def last_login(v, p: Params) -> DataFrame:
 # ------------------------------------------------------------------ R-01
 def daily_issue_report(v, p: Params) -> DataFrame:
     """Export 'daily issues': dated by created_at, every status, optional dept."""
-    from stockspark.operators.numbering import number_rows
-    ir = number_rows(v.issue_requests, ["created_at", "id"], "ISS", out="issue_number")
-    ir = ir.filter(FL.date_range("created_at", p.date_from, p.date_to))
+    ir = v.numbered_requests.filter(FL.date_range("created_at", p.date_from, p.date_to))
     if p.department:
         ir = ir.filter(F.col("department") == p.department)
     pr = v.product_base.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
@@ -239,7 +237,7 @@ def daily_issue_report(v, p: Params) -> DataFrame:
         "quantity_requested", _zero(F.col("quantity_issued")).alias("quantity_issued"),
         F.coalesce("work_order_ref", F.lit("")).alias("work_order"),
         F.coalesce("_issuer", F.lit("")).alias("issued_by"), "status"
-    ).orderBy(F.desc("created_at"), "issue_number")
+    ).orderBy(F.desc("created_at"), X.number_seq("issue_number"))
 
 
 # ------------------------------------------------------------------ R-02
@@ -281,7 +279,7 @@ def low_stock_top(v, p: Params, k: int = K.TOP_LOW_STOCK) -> DataFrame:
 
 # ------------------------------------------------------------------ R-04
 def stock_ledger(v, p: Params) -> DataFrame:
-    """R-04/J-05: numbered movement ledger with in/out split, balances and author."""
+    """R-04/J-05: numbered movement ledger with in/out split, balances, references and author."""
     st = v.stock_transactions.filter(FL.date_range("created_at", p.date_from, p.date_to))
     pr = v.product_base.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
     u = v.users.select(F.col("id").alias("_uid"), F.col("name").alias("_by"))
@@ -290,8 +288,11 @@ def stock_ledger(v, p: Params) -> DataFrame:
     return j.select(
         "txn_number", "created_at", "product", X.movement_label("type").alias("type_label"),
         qin.alias("qty_in"), qout.alias("qty_out"), "balance_before", "balance_after",
+        F.coalesce("reference_number", F.lit("")).alias("reference"),
+        F.coalesce("invoice_number", F.lit("")).alias("invoice"),
+        F.coalesce("remarks", F.lit("")).alias("remarks"),
         F.coalesce("_by", F.lit("System")).alias("done_by")
-    ).orderBy(F.desc("created_at"), F.desc("txn_number"))
+    ).orderBy(F.desc("created_at"), X.number_seq("txn_number").desc())
 
 
 # ------------------------------------------------------------------ R-05

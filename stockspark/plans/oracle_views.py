@@ -59,7 +59,10 @@ from fold group by product_id""")
 
 _v("stock_transactions", ["ledger"], """
 select printf('TXN-%04d', row_number() over (order by created_at, product_id, ord_key, ord_line))
-  txn_number, *
+  txn_number, *,
+  case when type = 'stock_out' then 'ISS-' || cast(ord_key as varchar) end reference_number,
+  case when type = 'stock_in' then 'INV-' || cast(ord_key as varchar) end invoice_number,
+  case when type in ('adjustment_in', 'adjustment_out') then 'Stock count' end remarks
 from ledger where accepted""")
 
 _v("products", ["categories", "stock"], """

@@ -128,9 +128,6 @@ NOTIF_SQL = """
 select employee_id user_id, id request_id,
   case when status in ('issued','partially_issued') then '✅ Issue Request Approved'
        else '❌ Issue Request Rejected' end title,
-  case when status in ('issued','partially_issued')
-       then 'Your request ' || id || ' has been ' || status || '.'
-       else 'Your request ' || id || ' was rejected. Reason: ' end body,
   case when status in ('issued','partially_issued') then 'success' else 'danger' end "type",
   'issues.php' link, issued_at created_at
 from issue_requests where status <> 'pending'"""
@@ -145,11 +142,19 @@ _NOTIF = [("notif", NOTIF_SQL), ("marks", MARKS_SQL), ("notif_read", READ_SQL)]
 
 
 @register("workflow_notifications", with_views("""
-select user_id, request_id, title, body, "type", link, false is_read, created_at from notif
+select n.user_id, n.request_id, n.title,
+  case when r.status in ('issued','partially_issued')
+       then 'Your request ' || r.issue_number || ' for ' || p.p_name || ' has been ' || r.status || '.'
+       else 'Your request ' || r.issue_number || ' was rejected. Reason: ' end body,
+  n."type", n.link, false is_read, n.created_at
+from notif n
+join (select *, printf('ISS-%04d', row_number() over (order by created_at, id)) issue_number
+      from issue_requests) r on r.id = n.request_id
+join part p on p.p_partkey = r.product_id
 """, "issue_requests", extra=_NOTIF[:1]))
 def workflow_notifications(v, p):
     """W-10: approved / rejected notifications to the requester."""
-    return AL.workflow_notifications(v.issue_requests)
+    return AL.workflow_notifications(v.numbered_requests, v.product_base)
 
 
 @register("mark_read", with_views("""

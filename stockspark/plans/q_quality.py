@@ -90,7 +90,7 @@ union all select 'notifications.user_id', 'CASCADE', count(*) from issue_request
 def delete_effects(v, p):
     """Q-03: rows nulled / removed if inactive users were deleted."""
     deleted = v.users.filter(F.col("status") == "inactive").select("id")
-    notif = AL.workflow_notifications(v.issue_requests)
+    notif = AL.notification_rows(v.issue_requests)
     return Q.delete_effects(deleted, {
         "issue_requests.employee_id": (v.issue_requests, "employee_id", "SET NULL"),
         "issue_requests.issued_by": (v.issue_requests, "issued_by", "SET NULL"),

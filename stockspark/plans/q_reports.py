@@ -184,7 +184,9 @@ select st.txn_number, st.created_at, p.p_name product,
        as double) qty_in,
   cast(case when st.type in ('stock_out','adjustment_out') then st.quantity else 0 end
        as double) qty_out,
-  {dbl('st.balance_before')}, {dbl('st.balance_after')}, coalesce(u.name, 'System') done_by
+  {dbl('st.balance_before')}, {dbl('st.balance_after')}, coalesce(st.reference_number, '') reference,
+  coalesce(st.invoice_number, '') invoice, coalesce(st.remarks, '') remarks,
+  coalesce(u.name, 'System') done_by
 from stock_transactions st join part p on st.product_id = p.p_partkey
 left join users u on st.created_by = u.id
 where {in_range('st.created_at')}

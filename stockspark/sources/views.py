@@ -121,10 +121,14 @@ class Views:
     @cached_property
     def stock_transactions(self) -> DataFrame:
         """Accepted movements (refused ones never reach the table), numbered
-        TXN-0001... in time order (W-01)."""
+        TXN-0001... in time order (W-01), with their references."""
         from stockspark.operators.numbering import number_rows
-        return number_rows(self.accepted_movements, ["created_at", "product_id", "ord_key", "ord_line"], "TXN",
-                           out="txn_number")
+        key, mtype = F.col("ord_key").cast("string"), F.col("type")
+        return (number_rows(self.accepted_movements, ["created_at", "product_id", "ord_key", "ord_line"], "TXN",
+                            out="txn_number")
+                .withColumn("reference_number", F.when(mtype == "stock_out", F.concat(F.lit("ISS-"), key)))
+                .withColumn("invoice_number", F.when(mtype == "stock_in", F.concat(F.lit("INV-"), key)))
+                .withColumn("remarks", F.when(mtype.startswith("adjustment"), F.lit("Stock count"))))
 
     @cached_property
     def product_base(self) -> DataFrame:
@@ -200,6 +204,12 @@ class Views:
                         + F.make_dt_interval(1 + F.col("l_linenumber") % 5)).alias("issued_at"),
             F.when(pending, F.lit(None)).otherwise(F.col("o_custkey") % 30).alias("issued_by"))
 
+    @cached_property
+    def numbered_requests(self) -> DataFrame:
+        """``issue_requests`` with their numbers ISS-0001... in time order (W-01)."""
+        from stockspark.operators.numbering import number_rows
+        return number_rows(self.issue_requests, ["created_at", "id"], "ISS", out="issue_number")
+
     @cached_property
     def indents(self) -> DataFrame:
         o = self.t.orders
