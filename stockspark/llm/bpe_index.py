@@ -145,7 +145,7 @@ class PairIndexBPE(WordTable):
         left = np.flatnonzero(alive)
         return sym[left], np.bincount(owner[left], minlength=len(pieces))
 
-    def encode_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_new(self, words: list[str], spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = [(w,) if (w[1:] if w[0] == " " else w).isalpha() else tuple(self.pieces(w)) for w in words]
         flat = list(chain.from_iterable(cut))
         code = {p: k for k, p in enumerate(dict.fromkeys(flat))}

@@ -58,18 +58,17 @@ class LibraryBPE(WordTable):
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def encode_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_new(self, words: list[str], spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words without inner white space are encoded as lines of larger texts, others by their pieces.
 
         A line feed between two words is a token of its own and in no other.
         """
-        spaced = has_space(words)
         if spaced.any() and not self.cutting:
             cut = [self.pieces(w) if s else (w,) for w, s in zip(words, spaced.tolist())]
             code = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
             self.cutting = True
             try:
-                ids, counts = self.encode_new(list(code))
+                ids, counts = self.encode_new(list(code), has_space(list(code)))
             finally:
                 self.cutting = False
             of = np.fromiter(map(code.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))

@@ -34,21 +34,22 @@ class WordTable:
         self.max_words = max_words
         self.start_table()
 
-    def encode_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after another, and the number of ids of each."""
+    def encode_new(self, words: list[str], spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and the number of ids of each; ``spaced``: see ``has_space``."""
         raise NotImplementedError
 
     def learn(self, keys: list) -> None:
         """Encode the words of new keys: a plain key stands for a blank and the word,
         ``("first", w)`` for a word at the start, ``("piece", w)`` for a pre-tokenizer's piece."""
         words = [k[1] if type(k) is tuple else " " + k for k in keys]
-        ids, n = self.encode_new(words)
+        spaced = has_space(words)
+        ids, n = self.encode_new(words, spaced)
         self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(n) - n))
         self.flat = np.concatenate((self.flat, ids.astype(np.int32)))
         self.size = np.concatenate((self.size, n))
         # a blank before white space: the whole run may be cut elsewhere
         odd = np.zeros(len(keys), bool)
-        for i in np.flatnonzero(has_space(words)).tolist():
+        for i in np.flatnonzero(spaced).tolist():
             w = words[i]
             odd[i] = type(keys[i]) is not tuple and (len(w) == 1 or w[1].isspace())
         self.odd = np.concatenate((self.odd, odd))
@@ -70,12 +71,15 @@ class WordTable:
             out += [("added", part)] if part in self.added else [("piece", p) for p in self.pieces(part)]
         return out
 
-    def codes(self, flat: list) -> np.ndarray:
+    def codes(self, flat: list, distinct: bool = False) -> np.ndarray:
+        """Codes of the keys; new ones are learned first (``distinct``: no key stands twice)."""
         got = np.fromiter(map(self.table.__getitem__, flat), np.int64, len(flat))
-        new = np.flatnonzero(got < 0).tolist()
-        if new:
-            self.learn(list(dict.fromkeys(map(flat.__getitem__, new))))
-            got[new] = [self.table[flat[k]] for k in new]
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            keys = list(map(flat.__getitem__, new.tolist()))
+            at = len(self.table)
+            self.learn(keys if distinct else list(dict.fromkeys(keys)))
+            got[new] = np.arange(at, at + len(new)) if distinct else list(map(self.table.__getitem__, keys))
         return got
 
     def encode_batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +95,8 @@ class WordTable:
         cut = pc.split_pattern(texts, " ")
         starts, words = cut.offsets.to_numpy().astype(np.int64), cut.flatten()
         coded = words.dictionary_encode()
-        codes = self.codes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        firsts = [("first", w) for w in words.take(pa.array(starts[:-1])).to_pylist()]
+        codes = self.codes(strings(coded.dictionary), distinct=True)[coded.indices.to_numpy()]
+        firsts = [("first", w) for w in strings(words.take(pa.array(starts[:-1])))]
         codes[starts[:-1]] = self.codes(firsts)
         again = np.zeros(len(texts), bool)
         for a in self.added:
@@ -113,6 +117,11 @@ def has_space(words: list[str]) -> np.ndarray:
         if words else np.zeros(0, bool)
 
 
+def strings(words: pa.Array) -> list[str]:
+    """The same as ``to_pylist``, without an Arrow scalar for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Codes(dict):
     def __missing__(self, key) -> int:
         return -1
