@@ -76,6 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over ``documents``; the rows of the last."""
     prepare(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
