@@ -57,6 +57,31 @@ def delete_effects(deleted: DataFrame, effects: dict) -> DataFrame:
     return _union(parts)
 
 
+def set_null(child: DataFrame, col: str, deleted: DataFrame) -> DataFrame:
+    """Q-03 SET NULL: the child's rows with references to deleted ids nulled, and which (``nulled``)."""
+    gone = deleted.select(F.col("id").alias("_ref"))
+    j = child.join(gone, F.col(col) == F.col("_ref"), "left")
+    nulled = F.col("_ref").isNotNull()
+    return j.withColumn("nulled", nulled).withColumn(col, F.when(~nulled, F.col(col))).drop("_ref")
+
+
+def cascade(child: DataFrame, col: str, deleted: DataFrame) -> DataFrame:
+    """Q-03 CASCADE: the child's rows that stay (references to nothing stay)."""
+    gone = deleted.select(F.col("id").alias("_ref"))
+    return child.join(gone, F.col(col) == F.col("_ref"), "left_anti")
+
+
+def restricted(deleted: DataFrame, children: dict) -> DataFrame:
+    """Q-03 RESTRICT: per id to delete the rows of each child (name -> (frame, column)) and whether they
+    block it.  References are counted before the join."""
+    out = deleted.select("id")
+    for name, (child, col) in children.items():
+        n = child.groupBy(F.col(col).alias("_ref")).agg(F.count("*").alias(name))
+        out = out.join(n, F.col("id") == F.col("_ref"), "left").drop("_ref")
+    counts = [F.coalesce(F.col(n), F.lit(0)).alias(n) for n in children]
+    return out.select("id", *counts, F.coalesce(*children).isNotNull().alias("blocked"))
+
+
 def enum_profile(checks: dict) -> DataFrame:
     """Q-04: every distinct value of an enum column with its count and
     whether it belongs to the declared domain."""

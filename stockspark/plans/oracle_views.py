@@ -118,6 +118,32 @@ select o_orderkey id, o_custkey employee_id,
   o_orderdate created_at
 from orders""")
 
+_v("indent_submissions", ["indents", "users"], """
+select i.*, u.name employee_name, u.department,
+  case when i.id % 40 = 0 then ' ' else 'Item ' || cast(i.id % 100 as varchar) end item_name,
+  cast(i.id % 25 as decimal(12,2)) quantity, 'Nos' unit, i.id % 10 category_id
+from indents i left join users u on u.id = i.employee_id""")
+
+_v("product_links", ["categories"], """
+select p.p_partkey id, c.id category_id, p.p_partkey % 31 - 1 created_by
+from part p left join categories c on c.name = p.p_type""")
+
+_v("request_transactions", [], """
+select l_orderkey * 10 + l_linenumber stock_txn_id
+from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus in ('F', 'P')""")
+
+_v("indent_links", ["indent_submissions"], """
+select id, case when status = 'approved' then employee_id % 30 end approved_by,
+  nullif(category_id, 0) category_id from indent_submissions""")
+
+_v("numbered_indents", ["indent_submissions"], """
+select printf('IND-%04d', row_number() over (order by created_at, id)) indent_number, *
+from indent_submissions""")
+
+_v("numbered_requests", ["issue_requests"], """
+select printf('ISS-%04d', row_number() over (order by created_at, id)) issue_number, *
+from issue_requests""")
+
 _v("audit_log", ["users"], """
 select e.event_id id, e.user_id, u.name user_name, u.role user_role,
   case e.event_type when 'click' then 'REQUEST' when 'view' then 'EXPORT'

@@ -46,8 +46,20 @@ select rule, cast(ref as varchar) key, count(*) n from (
     where created_by is not null and created_by not in (select id from users)
   union all select 'audit_log.user_id', user_id from audit_log
     where user_id is not null and user_id not in (select id from users)
-  union all select 'products.category_id', category_id from pc
+  union all select 'products.category_id', category_id from product_links
     where category_id is not null and category_id not in (select id from categories)
+  union all select 'products.created_by', created_by from product_links
+    where created_by is not null and created_by not in (select id from users)
+  union all select 'indents.approved_by', approved_by from indent_links
+    where approved_by is not null and approved_by not in (select id from users)
+  union all select 'indents.category_id', category_id from indent_links
+    where category_id is not null and category_id not in (select id from categories)
+  union all select 'issue_requests.product_id', product_id from issue_requests
+    where product_id is not null and product_id not in (select p_partkey from part)
+  union all select 'issue_requests.stock_txn_id', stock_txn_id from request_transactions
+    where stock_txn_id not in (select ord_key * 10 + ord_line from ledger where accepted)
+  union all select 'notifications.user_id', employee_id from issue_requests
+    where status <> 'pending' and employee_id is not null and employee_id not in (select id from users)
   union all select 'indents.employee_id', employee_id from indents
     where employee_id is not null and employee_id not in (select id from users)
 ) x group by rule, ref
@@ -55,23 +67,74 @@ select rule, cast(ref as varchar) key, count(*) n from (
 
 
 @register("dq_foreign_keys", with_views(FK_SQL, "movements", "issue_requests", "users",
-                                        "audit_log", "categories", "indents",
-                                        extra=[("pc", "select c.id category_id from part p "
-                                                      "left join categories c on c.name = p.p_type")]))
+                                        "audit_log", "categories", "indents", "product_links",
+                                        "indent_links", "request_transactions", "ledger"))
 def dq_foreign_keys(v, p):
-    """Q-02: references without a parent row (left_anti per foreign key)."""
+    """Q-02: references without a parent row, for all 13 foreign keys (left_anti each)."""
     u, pb = v.users, v.product_base
+    posted = v.accepted_movements.select((F.col("ord_key") * 10 + F.col("ord_line")).alias("id"))
     return Q.fk_violations({
         "movements.product_id": (v.movements, "product_id", pb, "id"),
         "issue_requests.employee_id": (v.issue_requests, "employee_id", u, "id"),
         "issue_requests.issued_by": (v.issue_requests, "issued_by", u, "id"),
         "movements.created_by": (v.movements, "created_by", u, "id"),
         "audit_log.user_id": (v.audit_log, "user_id", u, "id"),
-        "products.category_id": (pb, "category_id", v.categories, "id"),
+        "products.category_id": (v.product_links, "category_id", v.categories, "id"),
         "indents.employee_id": (v.indents, "employee_id", u, "id"),
+        "products.created_by": (v.product_links, "created_by", u, "id"),
+        "indents.approved_by": (v.indent_links, "approved_by", u, "id"),
+        "indents.category_id": (v.indent_links, "category_id", v.categories, "id"),
+        "issue_requests.product_id": (v.issue_requests, "product_id", pb, "id"),
+        "issue_requests.stock_txn_id": (v.request_transactions, "stock_txn_id", posted, "id"),
+        "notifications.user_id": (AL.notification_rows(v.issue_requests), "user_id", u, "id"),
     })
 
 
+DELETED_CATEGORIES = (1, 3, 7)
+
+
+@register("delete_categories", with_views(f"""
+select 'products' child, p.id, cast(case when p.category_id not in {DELETED_CATEGORIES} then p.category_id end as double)
+  category_id, coalesce(p.category_id in {DELETED_CATEGORIES}, false) nulled from product_links p
+union all
+select 'indents', i.id, cast(case when i.category_id not in {DELETED_CATEGORIES} then i.category_id end as double),
+  coalesce(i.category_id in {DELETED_CATEGORIES}, false) from indent_links i
+""", "product_links", "indent_links"))
+def delete_categories(v, p):
+    """Q-03 SET NULL as rows: products and indents after categories are deleted."""
+    gone = v.categories.filter(F.col("id").isin(*DELETED_CATEGORIES))
+    rows = [Q.set_null(child, "category_id", gone).select(
+        F.lit(name).alias("child"), "id", F.col("category_id").cast("double").alias("category_id"), "nulled")
+        for name, child in (("products", v.product_links), ("indents", v.indent_links))]
+    return rows[0].unionByName(rows[1])
+
+
+@register("delete_products", with_views("""
+with m as (select product_id, count(*) n from movements group by 1),
+r as (select product_id, count(*) n from issue_requests group by 1)
+select p.p_partkey id, coalesce(m.n, 0) stock_transactions, coalesce(r.n, 0) issue_requests,
+  m.n is not null or r.n is not null blocked
+from part p left join m on m.product_id = p.p_partkey left join r on r.product_id = p.p_partkey
+where p.p_partkey % 20 = 0
+""", "movements", "issue_requests"))
+def delete_products(v, p):
+    """Q-03 RESTRICT as rows: inactive products with the rows that block their delete."""
+    return Q.restricted(v.product_base.filter(F.col("status") == "inactive"),
+                        {"stock_transactions": (v.movements, "product_id"),
+                         "issue_requests": (v.issue_requests, "product_id")})
+
+
+@register("delete_users_cascade", with_views("""
+select employee_id user_id, id request_id, issued_at created_at from issue_requests
+where status <> 'pending' and employee_id not in (select id from users where status = 'inactive')
+""", "issue_requests", "users"))
+def delete_users_cascade(v, p):
+    """Q-03 CASCADE as rows: the notifications left after inactive users are deleted."""
+    gone = v.users.filter(F.col("status") == "inactive")
+    return Q.cascade(AL.notification_rows(v.issue_requests), "user_id", gone).select(
+        "user_id", "request_id", "created_at")
+
+
 @register("delete_effects", with_views("""
 with d as (select id from users where status = 'inactive')
 select 'issue_requests.employee_id' rule, 'SET NULL' action, count(*) affected_rows

@@ -6,7 +6,7 @@ import importlib
 
 from stockspark.plans import catalog
 
-_MODULES = ["q_reports", "q_ledger", "q_dims", "q_workflow", "q_quality", "q_paging",
+_MODULES = ["q_reports", "q_ledger", "q_dims", "q_workflow", "q_quality", "q_paging", "q_lists", "q_intake",
             "q_functions", "q_streaming"]
 _loaded = False
 

@@ -225,6 +225,42 @@ class Views:
              .otherwise("normal").alias("priority"),
             F.col("o_orderdate").alias("created_at"))
 
+    @cached_property
+    def product_links(self) -> DataFrame:
+        """Category and author of each product, as loaded (some name no parent)."""
+        return self.product_base.select("id", "category_id", (F.col("id") % 31 - 1).alias("created_by"))
+
+    @cached_property
+    def request_transactions(self) -> DataFrame:
+        """The stock transaction that each issued request names."""
+        li = self.t.lineitem.join(self.t.orders.filter(F.col("o_orderstatus").isin("F", "P")),
+                                  F.col("l_orderkey") == F.col("o_orderkey"))
+        return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("stock_txn_id"))
+
+    @cached_property
+    def indent_links(self) -> DataFrame:
+        """Approver and category of each indent."""
+        return self.indent_submissions.select(
+            "id", F.when(F.col("status") == "approved", F.col("employee_id") % 30).alias("approved_by"),
+            F.when(F.col("category_id") != 0, F.col("category_id")).alias("category_id"))
+
+    @cached_property
+    def indent_submissions(self) -> DataFrame:
+        """``indents`` with requester, item, quantity and category, before they get a number."""
+        k = F.col("id")
+        u = self.users.select(F.col("id").alias("_uid"), F.col("name").alias("employee_name"), "department")
+        return (self.indents.join(u, F.col("employee_id") == F.col("_uid"), "left").drop("_uid")
+                .withColumn("item_name", F.when(k % 40 == 0, F.lit(" "))
+                            .otherwise(F.concat(F.lit("Item "), (k % 100).cast("string"))))
+                .withColumn("quantity", (k % 25).cast(D12)).withColumn("unit", F.lit("Nos"))
+                .withColumn("category_id", k % 10))
+
+    @cached_property
+    def numbered_indents(self) -> DataFrame:
+        """``indent_submissions`` with their numbers IND-0001... in time order (W-01)."""
+        from stockspark.operators.numbering import number_rows
+        return number_rows(self.indent_submissions, ["created_at", "id"], "IND", out="indent_number")
+
     # ---------------------------------------------------------------- events
     @cached_property
     def audit_log(self) -> DataFrame:
