@@ -299,8 +299,8 @@ def stock_ledger(v, p: Params) -> DataFrame:
 def audit_export(v, p: Params) -> DataFrame:
     """R-05: audit rows in the window, newest first."""
     a = v.audit_log.filter(FL.date_range("created_at", p.audit_from, p.audit_to))
-    return a.select("id", "created_at", "user_name", "user_role", "action", "module",
-                    "details").orderBy(F.desc("created_at"), F.desc("id"))
+    return a.orderBy(F.desc("created_at"), F.desc("id")).select(
+        "created_at", "user_name", "user_role", "action", "module", "details", "ip_address")
 
 
 # ------------------------------------------------------------------ R-07

@@ -150,7 +150,7 @@ select e.event_id id, e.user_id, u.name user_name, u.role user_role,
     when 'purchase' then 'APPROVE' when 'signup' then 'LOGIN' else 'FAILED_LOGIN' end as action,
   case e.event_type when 'click' then 'Issue Request' when 'view' then 'Reports'
     when 'purchase' then 'Indent' else 'System' end as module,
-  e.props details, e.ts created_at
+  e.props details, '10.0.0.' || cast(e.event_id % 250 as varchar) ip_address, e.ts created_at
 from events e left join users u on u.id = e.user_id""")
 
 

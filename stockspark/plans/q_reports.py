@@ -193,7 +193,7 @@ where {in_range('st.created_at')}
 """, "stock_transactions", "users"))(R.stock_ledger)
 
 register("audit_export", with_views(f"""
-select id, created_at, user_name, user_role, action, module, details from audit_log
+select created_at, user_name, user_role, action, module, details, ip_address from audit_log
 where {in_range('created_at', A_FROM, A_TO)}
 """, "audit_log"))(R.audit_export)
 

@@ -277,4 +277,5 @@ class Views:
             F.when(et == "click", "Issue Request").when(et == "view", "Reports")
              .when(et == "purchase", "Indent").otherwise("System").alias("module"),
             F.col("props").alias("details"),
+            F.concat(F.lit("10.0.0."), (F.col("event_id") % 250).cast("string")).alias("ip_address"),
             F.col("ts").alias("created_at")))
