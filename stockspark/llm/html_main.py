@@ -4,10 +4,14 @@ Each text node belongs to the path of tags from the root to it.  Per page and
 path, text length and punctuation are summed and divided by the path's number
 of nodes; both ratios are smoothed over the paths next to it in the page and
 under the same parent, fused, and paths over a threshold select the content
-blocks.  Subtrees that are never the article (menus, page headers and
-footers, sidebars, notices, adverts, forms, scripts, styles, comments of
-readers) take no part; an article or main element, where there is one, is
-where content is sought.
+blocks.  An article or main element, where there is one, is where content is
+sought.
+
+What is never the article takes no part: menus, page headers and footers,
+sidebars, adverts, cookie notices, forms, scripts, styles, comments of
+readers, hidden elements, and the unseen sources of formulas, by tag or by a
+whole class, role or id that names them.  Single words of classes and ids
+(``BOILERPLATE``) count outside the content only.
 
 Null and empty html, and pages without content, give the empty text.  Broken
 markup (open tags, cut entities, no end) is read as far as it goes; repeated
@@ -20,6 +24,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -27,7 +32,7 @@ from stockspark.llm.common import map_rows, prepare
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(/?)(?:>|\Z)", re.S)
-_HINT = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"']+)))?")
 _NAME_PART = re.compile(r"[A-Za-z]+")
 _PUNCT = re.compile(r"[.,;:!?…、。，！？؛،]")
 #: White space of HTML texts, no-break spaces included.
@@ -35,11 +40,20 @@ _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"))
-SKIP = frozenset(("head nav footer aside form script style noscript template iframe object svg math canvas button "
-                  "select option textarea input label title menu dialog audio video map figcaption noembed noframes").split())
+SKIP = frozenset(("head nav footer aside form script style noscript template iframe object svg canvas button "
+                  "select option textarea input label title menu dialog audio video map noembed noframes annotation annotation-xml").split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark nobr q s samp small "
-                    "span strike strong sub sup time tt u var wbr img").split())
-#: Words of class, id and role that mark a subtree as no part of the article.
+                    "span strike strong sub sup time tt u var wbr img "
+                    "math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle "
+                    "mspace mtable mtr mtd mpadded mphantom menclose merror mfenced mmultiscripts annotation annotation-xml").split())
+#: Whole tokens of class, and whole ids of elements other than headings and inline ones, that name what is never the article.
+NAMED = frozenset(("ad ads advert adverts advertisement advertisements nav navbar sidebar footer breadcrumb breadcrumbs "
+                   "comments comment comment-list comments-area comments-section comment-section "
+                   "cookie-banner cookie-notice cookie-consent").split())
+NAMED_CLASSES = NAMED | {"navigation", "menu"}
+NAMED_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Words of class, id and role that may mark a subtree outside the content as no part of it.
 BOILERPLATE = frozenset(("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos "
                          "promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay "
                          "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars side "
@@ -55,42 +69,68 @@ SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-def _skipped(tag: str, attrs: str, inside_article: bool) -> bool:
+def _attrs(attrs: str) -> list[tuple[str, str]]:
+    return [(name.lower(), "".join(values)) for name, *values in _ATTR.findall(attrs)]
+
+
+def _skipped(tag: str, attrs: list, inside_article: bool) -> bool:
+    """Whether tag or attributes name what is never the article."""
     if tag in SKIP or tag == "header" and not inside_article:
         return True
-    if attrs:
-        for name, *values in _HINT.findall(attrs):
-            value, name = "".join(values), name.lower()
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                return True
-            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-            if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-                words = {w.lower() for w in _NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))}
-                if words & BOILERPLATE:
-                    return True
-            elif name in ("class", "id") and tag == "article" and inside_article and \
-                    {w.lower() for w in _NAME_PART.findall(value)} & BOILERPLATE:
+    for name, value in attrs:
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return True
+        if tag in ("html", "body", "main") or tag == "article" and not inside_article:
+            continue
+        if name in ("class", "role"):
+            tokens = set(value.lower().split()) & (NAMED_CLASSES if name == "class" else NAMED_ROLES)
+            if tokens - ({"comment"} if tag in INLINE else set()):
                 return True
+        elif name == "id" and tag not in INLINE and tag not in HEADINGS and value.strip().lower() in NAMED:
+            return True
     return False
 
 
-def nodes_of(page: str) -> list[tuple[tuple, int, str, bool, bool]]:
-    """Text nodes: (tag path, block number, text, inside article or main, inside a link)."""
+def _hinted(tag: str, attrs: list) -> bool:
+    """Whether a word of class, id or role hints at no part of the article."""
+    return tag not in ("html", "body", "article", "main") and any(
+        name in ("class", "id", "role") and
+        not BOILERPLATE.isdisjoint(w.lower() for w in _NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)))
+        for name, value in attrs)
+
+
+class Node(NamedTuple):
+    """A text node."""
+    path: tuple          # tags from the root
+    chain: tuple         # numbers of these elements
+    block: int
+    text: str
+    region: bool         # inside article or main
+    linked: bool         # inside a link
+    hint: int | None     # number of the outermost hinted element around it, none opened inside article or main
+
+
+def nodes_of(page: str) -> list[Node]:
     out: list = []
     stack: list[str] = []
-    block, at, skip_depth, raw = 0, 0, None, None
+    chain: list[int] = []
+    n_elements, block, at, skip_depth, hint_depth, raw = 0, 0, 0, None, None, None
 
     def text_node(text: str) -> None:
         if skip_depth is None and text:
             region = "article" in stack or "main" in stack
-            out.append((tuple(stack), block, html_lib.unescape(text), region, "a" in stack))
+            out.append(Node(tuple(stack), tuple(chain), block, html_lib.unescape(text), region, "a" in stack,
+                            None if hint_depth is None else chain[hint_depth - 1]))
 
     def pop_to(i: int) -> None:
-        nonlocal skip_depth
-        del stack[i:]
+        nonlocal skip_depth, hint_depth
+        del stack[i:], chain[i:]
         if skip_depth is not None and len(stack) < skip_depth:
             skip_depth = None
+        if hint_depth is not None and len(stack) < hint_depth:
+            hint_depth = None
     for m in _TOKEN.finditer(page):
         if raw is not None:                       # scripts and the like end at their own end tag only
             if not (m[1] and m[2].lower() == raw):
@@ -130,9 +170,16 @@ def nodes_of(page: str) -> list[tuple[tuple, int, str, bool, bool]]:
             text_node(" ")
         if tag in VOID or m[4]:
             continue
+        inside = "article" in stack or "main" in stack
         stack.append(tag)
-        if skip_depth is None and _skipped(tag, m[3], "article" in stack[:-1] or "main" in stack[:-1]):
-            skip_depth = len(stack)
+        chain.append(n_elements)
+        n_elements += 1
+        if skip_depth is None:
+            attrs = _attrs(m[3]) if m[3] else ()
+            if _skipped(tag, attrs, inside):
+                skip_depth = len(stack)
+            elif attrs and hint_depth is None and not inside and _hinted(tag, attrs):
+                hint_depth = len(stack)
         if tag in RAW:
             raw = tag
     if raw is None:
@@ -140,10 +187,10 @@ def nodes_of(page: str) -> list[tuple[tuple, int, str, bool, bool]]:
     return out
 
 
-def path_scores(nodes: list) -> dict[tuple, float]:
+def path_scores(nodes: list[Node]) -> dict[tuple, float]:
     """Fused, smoothed ratio of each tag path: text length and punctuation a node."""
     paths: dict[tuple, list] = {}
-    for path, _, text, _, linked in nodes:
+    for path, _, _, text, _, linked, _ in nodes:
         bare = _SPACE.sub(" ", text).strip()
         if bare:
             s = paths.setdefault(path, [0, 0, 0, 0])
@@ -180,20 +227,24 @@ def main_text(page: str | None, share: float = 0.25, share_inside: float = 0.04)
     if not page:
         return ""
     nodes = nodes_of(page)
-    if any(region and t.strip() for _, _, t, region, _ in nodes):
-        nodes, share = [n for n in nodes if n[3]], share_inside
+    if any(n.region and n.text.strip() for n in nodes):
+        inside = [n for n in nodes if n.region]
+        groups = [n for n in inside if n.hint is None], [n for n in inside if n.hint is not None]
+        nodes, share = max(groups, key=lambda g: sum(len(n.text.strip()) for n in g)), share_inside
+    else:
+        nodes = [n for n in nodes if n.hint is None]
     scores = path_scores(nodes)
     if not scores:
         return ""
     bar = share * max(scores.values())
     blocks: dict[int, list] = {}
-    for path, block, text, _, linked in nodes:
-        blocks.setdefault(block, []).append((scores.get(path, 0.0), text, linked))
+    for n in nodes:
+        blocks.setdefault(n.block, []).append((scores.get(n.path, 0.0), n.text))
     out = []
     for parts in blocks.values():
         # a block is content if a path of its own is; its links and marks stay with it
-        if max(s for s, _, _ in parts) >= bar:
-            text = _SPACE.sub(" ", "".join(t for _, t, _ in parts)).strip()
+        if max(s for s, _ in parts) >= bar:
+            text = _SPACE.sub(" ", "".join(t for _, t in parts)).strip()
             if text:
                 out.append(text)
     return "\n\n".join(out)

@@ -115,6 +115,18 @@ def test_main_text_of_pages(spark):
     assert len(got) == 3 and {r["n_chars"] for r in got} == {0, len(html_main.main_text(PAGE))}
 
 
+def test_named_sections_stay_in_the_article():
+    page = ('<div class="has-sidebar"><article><h1>Title</h1><p class="alert">Heed this.</p><section id="discussion"><p>Talk, talk.</p></section>'
+            '<section id="related-work"><h2 id="search-strategy">Search</h2><p>Found <span id="comment-rates">rates</span>.</p></section>'
+            '<div class="side-effects">Nausea, rarely.</div><p data-id="comments" title="hidden">Data.</p>'
+            '<figure><img src=x><figcaption>A caption.</figcaption></figure>'
+            '<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>'
+            '<div class="box sidebar">Aside, aside.</div><div class="advert">Buy, buy.</div><div role="navigation">Up, up.</div>'
+            '<ol><li class="comment">Reader, reader.</ol></article></div>')
+    assert html_main.main_text(page).split("\n\n") == [
+        "Title", "Heed this.", "Talk, talk.", "Search", "Found rates.", "Nausea, rarely.", "Data.", "A caption.", "So x=2 holds."]
+
+
 def test_every_page_gives_its_article(spark):
     import html
     pages = spark.read.parquet(f"{SF}/pages.parquet")
