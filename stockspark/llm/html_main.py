@@ -1,11 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
-Each text node belongs to the path of tags from the root to it.  Per page and
-path, text length and punctuation are summed and divided by the path's number
-of nodes; both ratios are smoothed over the paths next to it in the page and
-under the same parent, fused, and paths over a threshold select the content
-blocks.  An article or main element, where there is one, is where content is
-sought.
+Where there is an article or main element, all its blocks are the main text.
+On other pages each text node belongs to the path of tags from the root to it.
+Per path, text length and punctuation are summed and divided by the path's
+number of nodes; both ratios are smoothed over the paths next to it in the
+page and under the same parent, fused, and paths over a threshold select the
+content region, of which all blocks are kept.
 
 What is never the article takes no part: menus, page headers and footers,
 sidebars, adverts, cookie notices, forms, scripts, styles, comments of
@@ -52,6 +52,8 @@ NAMED = frozenset(("ad ads advert adverts advertisement advertisements nav navba
                    "cookie-banner cookie-notice cookie-consent").split())
 NAMED_CLASSES = NAMED | {"navigation", "menu"}
 NAMED_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar"))
+#: Elements that are content only as a whole.
+GROUPS = frozenset("ul ol dl li dt dd table thead tbody tfoot tr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Words of class, id and role that may mark a subtree outside the content as no part of it.
 BOILERPLATE = frozenset(("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos "
@@ -73,9 +75,9 @@ def _attrs(attrs: str) -> list[tuple[str, str]]:
     return [(name.lower(), "".join(values)) for name, *values in _ATTR.findall(attrs)]
 
 
-def _skipped(tag: str, attrs: list, inside_article: bool) -> bool:
+def _skipped(tag: str, attrs: list, inside_article: bool, inside_section: bool) -> bool:
     """Whether tag or attributes name what is never the article."""
-    if tag in SKIP or tag == "header" and not inside_article:
+    if tag in SKIP or tag == "header" and not (inside_article or inside_section):
         return True
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -171,12 +173,13 @@ def nodes_of(page: str) -> list[Node]:
         if tag in VOID or m[4]:
             continue
         inside = "article" in stack or "main" in stack
+        section = "section" in stack
         stack.append(tag)
         chain.append(n_elements)
         n_elements += 1
         if skip_depth is None:
             attrs = _attrs(m[3]) if m[3] else ()
-            if _skipped(tag, attrs, inside):
+            if _skipped(tag, attrs, inside, section):
                 skip_depth = len(stack)
             elif attrs and hint_depth is None and not inside and _hinted(tag, attrs):
                 hint_depth = len(stack)
@@ -218,36 +221,106 @@ def path_scores(nodes: list[Node]) -> dict[tuple, float]:
     return fused
 
 
-def main_text(page: str | None, share: float = 0.25, share_inside: float = 0.04) -> str:
+def _length(nodes) -> int:
+    return sum(len(n.text.strip()) for n in nodes)
+
+
+def article_nodes(nodes: list[Node]) -> list[Node]:
+    """All nodes inside article or main; those with hinted elements around them if the others have less text."""
+    inside = [n for n in nodes if n.region]
+    groups = [n for n in inside if n.hint is None], [n for n in inside if n.hint is not None]
+    return max(groups, key=_length)
+
+
+def content_nodes(nodes: list[Node], share: float) -> list[Node]:
+    """All nodes of the content region of a page without article and main.
+
+    Paths from a share of the best score on are content; the region is the
+    element that holds all their blocks, whole, and the elements beside it and
+    beside those around it.  Of the latter, hinted ones without a content path
+    and menus (mostly links, before or after all content, without a heading)
+    are left out.
+    """
+    full = [n for n in nodes if n.text.strip()]
+    scores = path_scores(full)
+    bar = share * max((scores[n.path] for n in full if n.hint is None), default=max(scores.values()))
+    good = [n for n in full if scores[n.path] >= bar]
+    own = [n for n in good if n.hint is None] or good
+
+    def around(n: Node) -> tuple:
+        i = len(n.path)
+        while i and n.path[i - 1] in INLINE:
+            i -= 1
+        return n.chain[:max(i - 1, 0)]
+
+    top, tags = around(own[0]), own[0].path
+    for n in own[1:]:
+        a = around(n)
+        k = next((i for i, (x, y) in enumerate(zip(top, a)) if x != y), min(len(top), len(a)))
+        top = top[:k]
+    while top and tags[len(top) - 1] in GROUPS:
+        top = top[:-1]
+    whole = bool(top) and tags[len(top) - 1] not in ("html", "body")
+    inside = set(top)
+
+    def beside(n: Node):
+        """The element next to the region's that a node is in; None: in the region or in no such element."""
+        if whole and n.chain[:len(top)] == top:
+            return None
+        return next((x for x, t in zip(n.chain, n.path) if x not in inside and t not in ("html", "body")), None)
+
+    first, last = own[0].block, own[-1].block
+    stats: dict = {}
+    heads: dict = {}
+    before = None
+    for n in full:
+        for key in {beside(n), n.hint} - {None}:
+            s = stats.setdefault(key, [0, 0, False, n.block, n.block])
+            s[0] += len(n.text.strip())
+            s[1] += len(n.text.strip()) if n.linked else 0
+            s[2] |= scores[n.path] >= bar
+            s[4] = n.block
+        key = beside(n)
+        if key not in heads:
+            heads[key] = before is not None and not HEADINGS.isdisjoint(before.path)
+        before = n
+
+    def menu(key, headed: bool) -> bool:
+        chars, linked, good, start, end = stats[key]
+        return 2 * linked >= chars and not good and not headed and (end < first or start > last)
+
+    out = []
+    for n in nodes:
+        if whole and n.chain[:len(top)] == top:
+            out.append(n)
+            continue
+        key = beside(n)
+        if n.hint in stats and not stats[n.hint][2]:
+            continue
+        if key in stats and menu(key, heads.get(key, False)):
+            continue
+        out.append(n)
+    return out
+
+
+def main_text(page: str | None, share: float = 0.25) -> str:
     """The article's blocks in page order, joined by blank lines.
 
-    A path is content from a share of the page's best score on; inside an
-    article or main element a smaller share is enough.
+    All blocks inside article or main elements; without these, of the region
+    that holds the paths of a share of the page's best score.
     """
     if not page:
         return ""
     nodes = nodes_of(page)
     if any(n.region and n.text.strip() for n in nodes):
-        inside = [n for n in nodes if n.region]
-        groups = [n for n in inside if n.hint is None], [n for n in inside if n.hint is not None]
-        nodes, share = max(groups, key=lambda g: sum(len(n.text.strip()) for n in g)), share_inside
-    else:
-        nodes = [n for n in nodes if n.hint is None]
-    scores = path_scores(nodes)
-    if not scores:
-        return ""
-    bar = share * max(scores.values())
+        nodes = article_nodes(nodes)
+    elif any(n.text.strip() for n in nodes):
+        nodes = content_nodes(nodes, share)
     blocks: dict[int, list] = {}
     for n in nodes:
-        blocks.setdefault(n.block, []).append((scores.get(n.path, 0.0), n.text))
-    out = []
-    for parts in blocks.values():
-        # a block is content if a path of its own is; its links and marks stay with it
-        if max(s for s, _ in parts) >= bar:
-            text = _SPACE.sub(" ", "".join(t for _, t in parts)).strip()
-            if text:
-                out.append(text)
-    return "\n\n".join(out)
+        blocks.setdefault(n.block, []).append(n.text)
+    out = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
+    return "\n\n".join(text for text in out if text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

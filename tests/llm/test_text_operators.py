@@ -127,6 +127,24 @@ def test_named_sections_stay_in_the_article():
         "Title", "Heed this.", "Talk, talk.", "Search", "Found rates.", "Nausea, rarely.", "Data.", "A caption.", "So x=2 holds."]
 
 
+def test_short_blocks_of_the_content_stay():
+    long = " ".join(["A sentence with commas, as texts have them, and an end."] * 7)
+    links = "<ul><li><a href=1>One</a><li><a href=2>Two</a></ul>"
+    menu = "<nav>no</nav><div id=top-menu><a href=1>no</a> <a href=2>no</a></div>"
+    foot = "<div class=site-footer>no</div><footer>no</footer>"
+    inner = (f"<h1>Title</h1><p>{long}</p><p>{long}</p><ul><li>thirty characters without marks<li>item</ul><h2>Late</h2>"
+             f"<table><tr><th>k<td>v<tr><td>a<td>b</table><section id=discussion><h3>More</h3><p>end</p></section>{links}")
+    want = ["Title", long, long, "thirty characters without marks", "item", "Late", *"kvab", "More", "end", "One", "Two"]
+    for page in (f"<body>{menu}<div class=text>{inner}</div>{foot}", f"<body>{menu}<article>{inner}</article>{foot}",
+                 f"<body><table><tr><td>{menu}<td><div>{inner}</div></table>{foot}"):
+        assert html_main.main_text(page).split("\n\n") == want
+    parts = (f"<body>{menu}<h1>Title</h1><div><section><h2>a</h2><p>{long}</p></section><section><h2>b</h2><ul><li>c</ul>"
+             f"</section></div><h2>Sources</h2>{links}{foot}")
+    assert html_main.main_text(parts).split("\n\n") == ["Title", "a", long, "b", "c", "Sources", "One", "Two"]
+    bare = f"<body>{menu}<p>{long}</p><h2>Late</h2>{links}<p>{long}</p><table><tr><td>x</table>{foot}"
+    assert html_main.main_text(bare).split("\n\n") == [long, "Late", "One", "Two", long, "x"]
+
+
 def test_every_page_gives_its_article(spark):
     import html
     pages = spark.read.parquet(f"{SF}/pages.parquet")
