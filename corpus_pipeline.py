@@ -40,16 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the 100-byte strings that start earlier in the corpus."""
-    cut = bwt_dedup.remove_repeats(docs, with_text=True).where("n_removed > 0")
-    cut = staged(cut.select("doc_id", "text_sha256", "kept_text"), "cut-texts")
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    joined = docs.select(*COLUMNS, digest.alias("d")).join(
-        cut.select(F.col("doc_id").alias("cut_id"), "text_sha256", "kept_text"),
-        F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("d") == F.col("text_sha256")), "left")
-    text = F.coalesce("kept_text", "text")
-    changed = F.col("kept_text").isNotNull()
-    return joined.select("doc_id", text.alias("text"), "lang", "source",
-                         F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    cut = bwt_dedup.remove_repeats(docs, with_text=True, carry=("lang", "source", "n_chars"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ judged on the input.
 
 A null text is empty.  A null doc_id orders before all others; rows with the
 same doc_id order by their place in the input.  Texts shorter than ``length``
-never change.  Extra columns are not read.
+never change.  Extra columns are read only on request; they stay with their
+row in its block, so repeated rows need no key.
 """
 
 from __future__ import annotations
@@ -245,24 +246,42 @@ def _first_of_each(anchor: np.ndarray, key: np.ndarray, ids: np.ndarray, lo: np.
     return by, new
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, max_contexts: int = 20_000, with_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (bytes); the kept text on request.
+def remove_repeats(docs: DataFrame, length: int = 100, max_contexts: int = 20_000, with_text: bool = False,
+                   carry: tuple = ()) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (bytes); on request the kept text and other columns.
 
     The kept text widens what it keeps to whole characters, so it is valid
-    UTF-8; the digest is of the exact remaining bytes.
+    UTF-8; the digest is of the exact remaining bytes.  It is null for a null
+    text.
     """
     spark = docs.sparkSession
     prepare(spark)
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     block_schema = "block long, ids array<long>, sizes array<int>, data binary"
+    with_rest = with_text or bool(carry)
+    if with_rest:
+        block_schema += ", rest binary"
     block_out = pa_schema(spark, block_schema)
+    carried = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    rest_out = pa_schema(spark, ", ".join(("`null text` boolean", *carried)))
 
     def to_blocks(batches):
-        for block, ids, texts in cut_blocks(batches, BLOCK_BYTES):
-            yield pa.RecordBatch.from_pydict({"block": [block], "ids": [ids], "sizes": [list(map(len, texts))],
-                                              "data": [b"".join(texts)]}, schema=block_out)
-    blocks = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        rest: list = []                          # of the rows read and in no block yet
+
+        def noted():
+            for b in batches:
+                if with_rest:
+                    rest.extend(zip(*(b.column(k).to_pylist() for k in range(2, b.num_columns))))
+                yield b
+        for block, ids, texts in cut_blocks(noted(), BLOCK_BYTES):
+            row = {"block": [block], "ids": [ids], "sizes": [list(map(len, texts))], "data": [b"".join(texts)]}
+            if with_rest:
+                row["rest"] = [_packed(rest[:len(ids)], rest_out)]
+                del rest[:len(ids)]
+            yield pa.RecordBatch.from_pydict(row, schema=block_out)
+    others = [F.col("text").isNull().alias("null text"), *carry] if with_rest else []
+    blocks = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
                       .mapInArrow(to_blocks, block_schema), "block", "blocks")
     by_block = blocks.groupBy("block")
     total = blocks.agg(F.sum(F.length("data")).alias("n")).first()["n"] or 0
@@ -337,11 +356,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, max_contexts: int = 20_00
             .select("block", "anchor", "key", other.alias("whole"),
                     F.when(~other, F.col("marks")).alias("marks")).where("whole OR marks IS NOT NULL"))
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-              "spans array<struct<a:bigint,b:bigint>>" + (", text_sha256 string, kept_text string" if with_text else ""))
+              "spans array<struct<a:bigint,b:bigint>>")
+    names = [s.split()[0] for s in schema.split(", ")] + (["kept_text"] if with_text else []) + list(carry)
+    schema = ", ".join((schema, *(["kept_text string"] if with_text else []), *carried))
 
     def cut(block_rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         parts = [_cut_block(r, got, length, with_text) for r in block_rows.to_dict("records")]
-        return pd.DataFrame([x for p in parts for x in p], columns=[s.split()[0] for s in schema.split(", ")])
+        return pd.DataFrame([x for p in parts for x in p], columns=names, dtype=object)
     return by_block.cogroup(back.groupBy("block")).applyInPandas(cut, schema)
 
 
@@ -375,6 +396,19 @@ def _marks_of_large(contexts_: DataFrame, length: int) -> DataFrame:
             .mapInArrow(pack, "anchor long, key long, marks binary"))
 
 
+def _packed(rows: list[tuple], schema: pa.Schema) -> bytes:
+    out = pa.BufferOutputStream()
+    columns = zip(*rows)
+    with pa.ipc.new_stream(out, schema) as w:
+        w.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> list[tuple]:
+    table = pa.ipc.open_stream(data).read_all()
+    return list(zip(*(c.to_pylist() for c in table.columns)))
+
+
 def _cut_block(row: dict, got: pd.DataFrame, length: int, with_text: bool) -> list[tuple]:
     data, sizes, ids = _block_of(row)
     anchor, lo, hi = contexts(data, sizes, length)
@@ -403,8 +437,9 @@ def _cut_block(row: dict, got: pd.DataFrame, length: int, with_text: bool) -> li
             np.add.at(diff, starts, 1)
             np.add.at(diff, starts + length, -1)
     gone = np.cumsum(diff[:-1]) > 0
+    rest = _unpacked(row["rest"]) if "rest" in row else [()] * len(ids)
     out, end = [], 0
-    for i, n in zip(ids.tolist(), sizes.tolist()):
+    for i, n, others in zip(ids.tolist(), sizes.tolist(), rest):
         a, end = end, end + n
         g = gone[a:end]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], g.view(np.int8), [0]))))
@@ -414,8 +449,8 @@ def _cut_block(row: dict, got: pd.DataFrame, length: int, with_text: bool) -> li
         rec = (None if i == NULL_ID else i, n, int(g.sum()), len(spans), hashlib.sha256(keep).hexdigest(),
                [{"a": x, "b": y} for x, y in spans])
         if with_text:
-            rec += (hashlib.sha256(raw).hexdigest(), _whole_characters(raw, spans))
-        out.append(rec)
+            rec += (None if others[0] else _whole_characters(raw, spans),)
+        out.append(rec + others[1:])
     return out
 
 

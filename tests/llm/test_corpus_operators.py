@@ -321,6 +321,20 @@ def test_pipeline_stages_on_odd_rows(spark, odd):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_repeated_rows_in_the_passage_stage(spark, make):
+    import corpus_pipeline as p
+    rng = random.Random(8)
+    one, two = ("".join(rng.choice("abcdefgh é") for _ in range(300)) for _ in range(2))
+    docs = make([(3, one), (3, one), (4, two), (4, two), (4, two), (None, "n"), (None, "n"), (5, None), (5, ""), (6, "x" + one)])
+    docs = docs.withColumn("lang", F.concat("lang", F.lit("-"), F.col("doc_id").cast("string")))
+    got = p.cut_repeated_passages(spark, docs, SF)
+    assert got.dtypes == docs.select(*p.COLUMNS).dtypes
+    same([(r["doc_id"], r["text"]) for r in got.collect()],
+         [(3, one), (3, ""), (4, two), (4, ""), (4, ""), (None, "n"), (None, "n"), (5, None), (5, ""), (6, "x")])
+    before = {r["doc_id"]: (r["lang"], r["source"]) for r in docs.collect()}
+    assert all((r["lang"], r["source"]) == before[r["doc_id"]] and r["n_chars"] == len(r["text"] or "") for r in got.collect())
+
+
 def test_one_row_of_each_component_stays(make):
     docs = make([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "z y x w v u"), (None, "z y x w v u"),
                  (None, "q r s t u v w"), (7, None), (8, "")])
