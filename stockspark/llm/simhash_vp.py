@@ -12,7 +12,9 @@
    partitioned by Hamming distance to a vantage point of its own into shells
    of 2r + 1 distances; prints within r of a shell's lower bound also
    query the shell below, so no pair across a boundary is lost.  This is
-   repeated while shards are too large.
+   repeated while shards are too large.  A dense cluster stays in one shell;
+   what is still too large is dealt by hash to blocks, and each two blocks
+   meet in a shard of their own.
 4. In each shard a vantage-point tree finds the pairs exactly; branches are
    pruned by the triangle inequality.  A shard gives a spanning forest, not
    all pairs, so a group of n near copies makes n - 1 rows.
@@ -91,9 +93,8 @@ class VPTree:
                 return members
         return vantage, mu, self._build(rest[inner]), self._build(rest[~inner])
 
-    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (query, member) index pairs within ``radius``; queries are members' indexes."""
-        found: list = []
+    def hits(self, queries: np.ndarray, radius: int):
+        """Yields (query, member) index pairs within ``radius`` by node, at most LEAF a query; queries are members' indexes."""
         todo = [(self.root, queries)]
         while todo:
             node, q = todo.pop()
@@ -104,16 +105,18 @@ class VPTree:
                     part = node[at:at + LEAF]
                     d = np.bitwise_count(self.prints[q][:, None] ^ self.prints[part][None, :])
                     a, b = np.nonzero(d <= radius)
-                    found.append((q[a], part[b]))
+                    yield q[a], part[b]
                 continue
             vantage, mu, inner, outer = node
             d = np.bitwise_count(self.prints[q] ^ self.prints[vantage]).astype(np.int64)
             hit = q[d <= radius]
-            found.append((hit, np.full(len(hit), vantage)))
+            yield hit, np.full(len(hit), vantage)
             todo.append((inner, q[d <= mu + radius]))
             todo.append((outer, q[d >= mu + 1 - radius]))
-        a = np.concatenate([x for x, _ in found])
-        b = np.concatenate([y for _, y in found])
+
+    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """All (query, member) index pairs within ``radius``."""
+        a, b = (np.concatenate(x) for x in zip(*self.hits(queries, radius)))
         return a[a != b], b[a != b]
 
 
@@ -138,8 +141,10 @@ def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         return prints[:0], prints[:0]
     tree, label = VPTree(prints), np.arange(len(prints))
     for at in range(0, len(prints), QUERIES_AT_ONCE):
-        a, b = tree.near(np.arange(at, min(at + QUERIES_AT_ONCE, len(prints))), radius)
-        label = join_labels(label, a, b)
+        for a, b in tree.hits(np.arange(at, min(at + QUERIES_AT_ONCE, len(prints))), radius):
+            new = label[a] != label[b]
+            if new.any():
+                label = join_labels(label, a[new], b[new])
     moved = np.flatnonzero(label != np.arange(len(label)))
     return prints[moved], prints[label[moved]]
 
@@ -193,8 +198,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, radius: int = 4, max_shard: int = 8192, max_levels: int = 6) -> DataFrame:
-    """Spanning links (u, v) of distinct prints ``fp`` within ``radius`` bits."""
+def shards_of(prints: DataFrame, radius: int = 4, max_shard: int = 8192, max_levels: int = 6) -> DataFrame:
+    """(g, fp): any two distinct prints within ``radius`` bits share a shard g."""
     masks = [_signed(m) for m in band_masks(radius)]
     keyed = prints.select("fp", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("k", "m"))
     shards = keyed.select(F.xxhash64("k", F.col("fp").bitwiseAND(F.col("m"))).alias("g"), "fp")
@@ -210,6 +215,23 @@ def links(prints: DataFrame, radius: int = 4, max_shard: int = 8192, max_levels:
         split = (shards.join(large, "g").select("g", "fp", F.explode(F.array_distinct(F.array(low, home))).alias("s"))
                  .select(F.xxhash64("g", "s").alias("g"), "fp"))
         shards = staged(shards.join(large, "g", "left_anti").unionByName(split), "shards")
+    else:
+        # two blocks together are about two thirds of max_shard
+        large = (shards.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > max_shard)
+                 .select("g", F.ceil(F.col("n") * 3 / max_shard).alias("n_blocks")))
+        large = staged(large, "dense-shards")
+        if not large.isEmpty():
+            block = F.pmod(F.xxhash64("fp"), F.col("n_blocks"))
+            met = (shards.join(large, "g").select("g", "fp", block.alias("a"), F.explode(
+                F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("b"))
+                   .select(F.xxhash64("g", F.least("a", "b"), F.greatest("a", "b")).alias("g"), "fp"))
+            shards = shards.join(large, "g", "left_anti").unionByName(met)
+    return shards
+
+
+def links(prints: DataFrame, radius: int = 4, max_shard: int = 8192, max_levels: int = 6) -> DataFrame:
+    """Spanning links (u, v) of distinct prints ``fp`` within ``radius`` bits."""
+    shards = shards_of(prints, radius, max_shard, max_levels)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = shards.repartition(n, "g").sortWithinPartitions("g")
     return dealt.mapInArrow(_shard_pass(radius), "u long, v long").distinct()

@@ -275,6 +275,32 @@ def test_large_shards_are_split_without_loss(spark):
         assert [roots.get(p, p) for p in prints] == want
 
 
+def test_dense_clusters_meet_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    base = int(rng.integers(0, 2**62))
+    prints = {base}
+    while len(prints) < 400:
+        x = base
+        for bit in rng.choice(62, int(rng.integers(1, 4)), replace=False).tolist():
+            x ^= 1 << bit
+        prints.add(x)
+    prints |= {base ^ (0x3FF << 20), base ^ (0x1FF << 30)}
+    df = spark.createDataFrame([(p,) for p in sorted(prints)], "fp long")
+    sizes = simhash_vp.shards_of(df, max_shard=90, max_levels=1).groupBy("g").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 90
+    found = simhash_vp.components(simhash_vp.links(df, max_shard=90, max_levels=1))
+    roots = {r["u"]: r["root"] for r in found.collect()}
+    assert [roots.get(p, p) for p in sorted(prints)] == plain_components([(p, p) for p in sorted(prints)])
+
+
+def test_tree_hands_out_hits_by_leaf():
+    p = np.array([1 << i | 1 << j for i in range(40) for j in range(i)])    # all within 4 bits of each other
+    got = list(simhash_vp.VPTree(p).hits(np.arange(len(p)), 4))
+    assert sum(len(a) for a, _ in got) == len(p) ** 2
+    assert max(len(a) for a, _ in got) <= len(p) * simhash_vp.LEAF
+    assert (simhash_vp.forest(p, 4)[1] == p.min()).all()
+
+
 def test_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(5)
     p = np.unique(np.concatenate((rng.integers(0, 1 << 20, 3000), rng.integers(-2**63, 2**63, 500))))
