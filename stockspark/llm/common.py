@@ -43,7 +43,7 @@ def staged_path(df: DataFrame, name: str) -> str:
     return path
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, n: int | None = None) -> DataFrame:
     """``df`` written as a table bucketed by ``key`` in the shared folder, and read back.
 
     Large rows are written once in the layout that later joins and co-groups
@@ -51,7 +51,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     table = f"llm_{name}_{uuid.uuid4().hex}"
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = n or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     (df.write.format("parquet").option("compression", "zstd").bucketBy(n, key)
      .option("path", f"{ensure_checkpoint_dir(spark)}/{table}").saveAsTable(table))
     return spark.table(table)
@@ -83,3 +83,19 @@ def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+#: Text bytes of one bucket of ``sized_buckets``.
+BUCKET_BYTES = 64 << 20
+
+
+def sized_buckets(df: DataFrame, key: str, name: str, source: DataFrame, column: str) -> DataFrame:
+    """``bucketed`` with as many buckets as the bytes of ``source``'s ``column`` need.
+
+    A bucketed scan is not split, so the number follows the data: a task's
+    share stays the same at every size.
+    """
+    spark = df.sparkSession
+    total = source.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
+    return bucketed(df, key, name, n)

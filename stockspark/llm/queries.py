@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockspark.llm import (
-    bpe_index, bwt_dedup, decontamination, html_main, langid, ngram_trie, quality_rules, rule_ensemble, simhash_vp,
-    token_store,
+    anchor_dedup, bpe_index, bwt_dedup, collocations, decontamination, html_main, langid, ngram_trie, quality_rules,
+    rule_ensemble, simhash_vp, spelling_forms, token_store,
 )
 
 
@@ -88,9 +88,25 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated windows of 13 words removed from all documents."""
+    return anchor_dedup.find_repeats(read(spark, sf_dir, "documents"), window=13).drop("repeats")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their more frequent near words."""
+    return spelling_forms.spelling_forms(read(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 strongest phrases of two to five words."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_benchmark_decontamination, op3_html_extraction, op4_bpe_encoding, op5_token_store,
-    op6_language_id, op7_lm_scoring, op8_quality_classifier, op9_suffix_dedup, op10_simhash_dedup)}
+    op6_language_id, op7_lm_scoring, op8_quality_classifier, op9_suffix_dedup, op10_simhash_dedup,
+    op11_substring_dedup, op12_spelling_variants, op13_phrase_collocations)}
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -147,4 +163,43 @@ select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coales
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
 from dw left join words using (rid) left join items using (rid)"""
 
-ORACLE = {"op1_quality_rules": _OP1, "op2_benchmark_decontamination": _OP2}
+# op11: every window with the smallest doc_id that holds it.
+_OP11 = r"""
+with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws
+           from documents),
+win as (select rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') p
+        from (select rid, doc_id, ws, unnest(range(1, len(ws) - 11)) i from d)),
+first as (select p, min(doc_id) m from win group by p),
+gone as (select distinct rid, i + k i from win join first using (p), (select unnest(range(0, 13)) k) where m < doc_id),
+w as (select rid, i, ws[i] x from (select rid, ws, unnest(range(1, len(ws) + 1)) i from d)),
+kept as (select rid, string_agg(x, ' ' order by i) t from w anti join gone using (rid, i) group by rid),
+n as (select rid, count(*) n from gone group by rid)
+select doc_id, len(ws)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
+from d left join kept using (rid) left join n using (rid)"""
+
+# op13: all n-grams as lists; the cuts of every candidate in 128-bit integers.
+_OP13 = rf"""
+with d as (select coalesce(lang, 'und') lang, {_AZ.format("coalesce(text, '')")} t from documents),
+p as (select lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') ws from d),
+g as (select lang, ws[i:i + k - 1] g
+      from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) i from p, (select unnest(range(1, 6)) k))),
+f as (select lang, g, count(*) f from g group by lang, g having count(*) >= 100),
+tot as (select lang, sum(len(ws))::hugeint n from p group by lang),
+cuts as (select c.lang, c.g, c.f a, k, a.f l, b.f r, n, (1000::hugeint * c.f * n) // (a.f::hugeint * b.f) score
+         from (select lang, g, f, unnest(range(1, len(g))) k from f where len(g) > 1) c
+              join f a on a.lang = c.lang and a.g = c.g[1:k] join f b on b.lang = c.lang and b.g = c.g[k + 1:]
+              join tot on tot.lang = c.lang),
+best as (select * from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+held as (select lang, s, max(f) f
+         from (select lang, f, g[i:i + m - 1] s
+               from (select lang, f, g, m, unnest(range(1, len(g) - m + 2)) i
+                     from f, (select unnest(range(2, 5)) m) where m < len(g))) group by lang, s),
+kept as (select best.* from best left join held h on h.lang = best.lang and h.s = best.g
+         where h.f is null or h.f < best.a),
+named as (select lang, array_to_string(g, ' ') phrase, a, l, r, n, score from kept),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from named)
+select lang, rank::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score
+from ranked where rank <= 2000"""
+
+ORACLE = {"op1_quality_rules": _OP1, "op2_benchmark_decontamination": _OP2, "op11_substring_dedup": _OP11,
+          "op13_phrase_collocations": _OP13}
