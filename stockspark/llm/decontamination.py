@@ -11,9 +11,10 @@ into several automata of that size, each built and scanned in turn over all
 texts, and the hit ranges are merged in the row.
 
 Null or empty texts have no word: no hit, not contaminated.  Items without a
-word have no window.  Repeated item ids count once.  Null item ids are left
-out of ``items``.  Repeated document rows each get a row; extra columns pass
-through ``keep`` only.
+word have no window; an empty benchmark hits nothing.  Repeated item ids count
+once.  Windows of items with a null id hit like any other; only ``items``
+leaves the id out.  Repeated document rows each get a row; extra columns pass
+through ``keep`` only.  A very long text is one line for the automaton.
 """
 
 from __future__ import annotations
@@ -104,11 +105,10 @@ def byte_spans(text: str, spans) -> list:
 
 
 def pattern_table(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Distinct windows with the ids (as text) of their items."""
+    """Distinct windows with the ids (as text) of their items, null ids left out."""
     def run(cols: dict) -> dict:
-        pairs = [(w, i) for i, t in zip(cols["item_id"], cols["text"]) if i is not None
-                 for w in windows_of(t, width)]
-        return {"pattern": [p for p, _ in pairs], "item": [str(i) for _, i in pairs]}
+        pairs = [(w, i) for i, t in zip(cols["item_id"], cols["text"]) for w in windows_of(t, width)]
+        return {"pattern": [p for p, _ in pairs], "item": [None if i is None else str(i) for _, i in pairs]}
     rows = map_rows(benchmark.select("item_id", "text"), "pattern string, item string", run)
     return rows.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
 

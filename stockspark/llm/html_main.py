@@ -1,11 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-Where there is an article or main element, all its blocks are the main text.
-On other pages each text node belongs to the path of tags from the root to it.
-Per path, text length and punctuation are summed and divided by the path's
-number of nodes; both ratios are smoothed over the paths next to it in the
-page and under the same parent, fused, and paths over a threshold select the
-content region, of which all blocks are kept.
+Each text node belongs to the path of tags from the root to it.  Per path,
+text length and punctuation are summed and divided by the path's number of
+nodes; both ratios are smoothed over the paths next to it in the page and under
+the same parent, and fused.  Where there are article or main elements, the
+scores choose among them and decide on what stands in them by a doubtful name;
+on other pages paths over a threshold select the content region.  All blocks
+of what is chosen are kept.
 
 What is never the article takes no part: menus, page headers and footers,
 sidebars, adverts, cookie notices, forms, scripts, styles, comments of
@@ -14,9 +15,10 @@ whole class, role or id that names them.  Single words of classes and ids
 (``BOILERPLATE``) count outside the content only.
 
 Null and empty html, and pages without content, give the empty text.  Broken
-markup (open tags, cut entities, no end) is read as far as it goes; repeated
-rows and extra columns have no effect; very long pages take time in
-proportion.
+markup (open tags, cut entities, no end) is read as far as it goes; scripts,
+styles and other raw elements end at their own end tag only.  Repeated rows
+and extra columns have no effect, an empty table gives no rows; very long
+pages take time in proportion.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"))
+#: Raw elements that don't end the block around them.
+UNSEEN = RAW - {"xmp", "title"}
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 SKIP = frozenset(("head nav footer aside form script style noscript template iframe object svg canvas button "
                   "select option textarea input label title menu dialog audio video map noembed noframes annotation annotation-xml").split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark nobr q s samp small "
@@ -63,6 +68,12 @@ BOILERPLATE = frozenset(("ad ads advert adverts advertisement advertisements adv
                          "share sharing social newsletter subscribe subscription signup login related recommended "
                          "recommendations outbrain taboola widget widgets pagination pager search complementary "
                          "contentinfo alert skip copyright disclaimer teaser").split())
+#: Words that name what is never the article wherever they stand in a compound class.
+NAMED_PARTS = frozenset("advert adverts advertisement advertisements sidebar navbar breadcrumb breadcrumbs".split())
+#: Words of compound classes inside the article that path ratios decide on.
+DOUBTFUL = frozenset(("ad ads sponsor sponsored promo promotion cookie consent newsletter subscribe subscription signup share "
+                      "sharing social related recommended recommendations teaser widget widgets popup modal pagination "
+                      "pager menu nav footer").split())
 P_CLOSERS = frozenset(("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 "
                        "h6 header hr main menu nav ol p pre section table ul").split())
 #: A start tag of the key closes an open element of the values, up to the stop.
@@ -90,6 +101,8 @@ def _skipped(tag: str, attrs: list, inside_article: bool, inside_section: bool)
             tokens = set(value.lower().split()) & (NAMED_CLASSES if name == "class" else NAMED_ROLES)
             if tokens - ({"comment"} if tag in INLINE else set()):
                 return True
+            if name == "class" and any(not NAMED_PARTS.isdisjoint(t) for t in _class_parts(value)) and inside_article:
+                return True
         elif name == "id" and tag not in INLINE and tag not in HEADINGS and value.strip().lower() in NAMED:
             return True
     return False
@@ -103,6 +116,18 @@ def _hinted(tag: str, attrs: list) -> bool:
         for name, value in attrs)
 
 
+def _class_parts(value: str) -> list[set]:
+    """The words of each token of a class attribute that is made of several."""
+    tokens = (set(map(str.lower, _NAME_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", t)))) for t in value.split())
+    return [t for t in tokens if len(t) > 1]
+
+
+def _doubtful(tag: str, attrs: list) -> bool:
+    """Whether a compound class of a container names what may stand in an article without being part of it."""
+    return tag not in INLINE and tag not in HEADINGS and tag != "p" and any(
+        name == "class" and any(not DOUBTFUL.isdisjoint(t) for t in _class_parts(value)) for name, value in attrs)
+
+
 class Node(NamedTuple):
     """A text node."""
     path: tuple          # tags from the root
@@ -112,34 +137,34 @@ class Node(NamedTuple):
     region: bool         # inside article or main
     linked: bool         # inside a link
     hint: int | None     # number of the outermost hinted element around it, none opened inside article or main
+    doubt: int | None    # number of the outermost doubtful element around it, opened inside article or main
+    article: int | None  # number of the outermost article around it
 
 
 def nodes_of(page: str) -> list[Node]:
     out: list = []
     stack: list[str] = []
     chain: list[int] = []
-    n_elements, block, at, skip_depth, hint_depth, raw = 0, 0, 0, None, None, None
+    n_elements, block, at, skip_depth, hint_depth, doubt_depth = 0, 0, 0, None, None, None
 
     def text_node(text: str) -> None:
         if skip_depth is None and text:
             region = "article" in stack or "main" in stack
             out.append(Node(tuple(stack), tuple(chain), block, html_lib.unescape(text), region, "a" in stack,
-                            None if hint_depth is None else chain[hint_depth - 1]))
+                            None if hint_depth is None else chain[hint_depth - 1],
+                            None if doubt_depth is None else chain[doubt_depth - 1],
+                            chain[stack.index("article")] if "article" in stack else None))
 
     def pop_to(i: int) -> None:
-        nonlocal skip_depth, hint_depth
+        nonlocal skip_depth, hint_depth, doubt_depth
         del stack[i:], chain[i:]
         if skip_depth is not None and len(stack) < skip_depth:
             skip_depth = None
         if hint_depth is not None and len(stack) < hint_depth:
             hint_depth = None
-    for m in _TOKEN.finditer(page):
-        if raw is not None:                       # scripts and the like end at their own end tag only
-            if not (m[1] and m[2].lower() == raw):
-                continue
-            at, raw = m.start(), None
-        if m.start() < at:
-            continue
+        if doubt_depth is not None and len(stack) < doubt_depth:
+            doubt_depth = None
+    while (m := _TOKEN.search(page, at)) is not None:
         text_node(page[at:m.start()])
         at = m.end()
         if not m[2]:
@@ -150,11 +175,11 @@ def nodes_of(page: str) -> list[Node]:
                 i = len(stack) - 1 - stack[::-1].index(tag)
                 # an inline end tag doesn't close blocks
                 if tag not in INLINE or all(t in INLINE for t in stack[i:]):
-                    if tag not in INLINE:
+                    if tag not in INLINE and tag not in UNSEEN:
                         block += 1
                     pop_to(i)
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             block += 1
         if tag in P_CLOSERS and "p" in stack:
             i = len(stack) - 1 - stack[::-1].index("p")
@@ -183,24 +208,36 @@ def nodes_of(page: str) -> list[Node]:
                 skip_depth = len(stack)
             elif attrs and hint_depth is None and not inside and _hinted(tag, attrs):
                 hint_depth = len(stack)
-        if tag in RAW:
-            raw = tag
-    if raw is None:
-        text_node(page[at:])
+            elif attrs and doubt_depth is None and inside and _doubtful(tag, attrs):
+                doubt_depth = len(stack)
+        if tag in RAW:                             # no markup inside: on to its own end tag, or to the end
+            end = _END[tag].search(page, at)
+            at = end.start() if end else len(page)
+    text_node(page[at:])
     return out
 
 
-def path_scores(nodes: list[Node]) -> dict[tuple, float]:
-    """Fused, smoothed ratio of each tag path: text length and punctuation a node."""
-    paths: dict[tuple, list] = {}
-    for path, _, _, text, _, linked, _ in nodes:
-        bare = _SPACE.sub(" ", text).strip()
+def _sums(nodes: list[Node], key) -> dict:
+    """Per key of a node: nodes, characters, marks and linked characters."""
+    sums: dict = {}
+    for n in nodes:
+        bare = _SPACE.sub(" ", n.text).strip()
         if bare:
-            s = paths.setdefault(path, [0, 0, 0, 0])
+            s = sums.setdefault(key(n), [0, 0, 0, 0])
             s[0] += 1
             s[1] += len(bare)
             s[2] += len(_PUNCT.findall(bare))
-            s[3] += len(bare) if linked else 0
+            s[3] += len(bare) if n.linked else 0
+    return sums
+
+
+def _fused(length: float, marks: float, link_share: float) -> float:
+    return math.log1p(length) * (1 + math.log1p(marks)) * (1 - 0.9 * link_share)
+
+
+def path_scores(nodes: list[Node]) -> dict[tuple, float]:
+    """Fused, smoothed ratio of each tag path: text length and punctuation a node."""
+    paths = _sums(nodes, lambda n: n.path)
     order = list(paths)
     length = [paths[p][1] / paths[p][0] for p in order]
     punct = [paths[p][2] / paths[p][0] for p in order]
@@ -213,23 +250,38 @@ def path_scores(nodes: list[Node]) -> dict[tuple, float]:
                                             or p == order[j][:len(p)])]
             out.append(sum(v * k for v, k in near) / sum(k for _, k in near))
         return out
-    fused = {}
-    for p, a, b in zip(order, smooth(length), smooth(punct)):
-        n = paths[p]
-        link_share = n[3] / n[1]
-        fused[p] = math.log1p(a) * (1 + math.log1p(b)) * (1 - 0.9 * link_share)
-    return fused
+    return {p: _fused(a, b, paths[p][3] / paths[p][1]) for p, a, b in zip(order, smooth(length), smooth(punct))}
 
 
 def _length(nodes) -> int:
     return sum(len(n.text.strip()) for n in nodes)
 
 
-def article_nodes(nodes: list[Node]) -> list[Node]:
-    """All nodes inside article or main; those with hinted elements around them if the others have less text."""
+def article_nodes(nodes: list[Node], share: float, doubt_share: float = 0.6) -> list[Node]:
+    """The nodes inside article or main that path ratios leave in.
+
+    Those with hinted elements around them count if the others have less
+    text.  Of several articles, one whose text, weighed by its paths' scores,
+    is less than a share of the heaviest one's is a teaser.  A doubtful
+    element (links to share, sign-up boxes, related posts) stays only if one
+    of its paths, by its own ratios, scores near the best.
+    """
     inside = [n for n in nodes if n.region]
     groups = [n for n in inside if n.hint is None], [n for n in inside if n.hint is not None]
-    return max(groups, key=_length)
+    region = max(groups, key=_length)
+    full = [n for n in region if n.text.strip()]
+    scores = path_scores(full)
+    best = max((scores[n.path] for n in full if n.doubt is None), default=0)
+    own = _sums([n for n in full if n.doubt is not None], lambda n: (n.doubt, n.path))
+    stays = {d for (d, _), (k, chars, marks, linked) in own.items()
+             if _fused(chars / k, marks / k, linked / chars) >= doubt_share * best}
+    weight: dict = {}
+    for n in full:
+        if n.doubt is None or n.doubt in stays:
+            weight[n.article] = weight.get(n.article, 0) + scores[n.path] * len(n.text.strip())
+    least = share * max((w for a, w in weight.items() if a is not None), default=0)
+    return [n for n in region if (n.doubt is None or n.doubt in stays)
+            and (n.article is None or weight.get(n.article, 0) >= least)]
 
 
 def content_nodes(nodes: list[Node], share: float) -> list[Node]:
@@ -306,14 +358,15 @@ def content_nodes(nodes: list[Node], share: float) -> list[Node]:
 def main_text(page: str | None, share: float = 0.25) -> str:
     """The article's blocks in page order, joined by blank lines.
 
-    All blocks inside article or main elements; without these, of the region
-    that holds the paths of a share of the page's best score.
+    Blocks of the article or main elements that path ratios choose; without
+    these, of the region that holds the paths of a share of the page's best
+    score.
     """
     if not page:
         return ""
     nodes = nodes_of(page)
     if any(n.region and n.text.strip() for n in nodes):
-        nodes = article_nodes(nodes)
+        nodes = article_nodes(nodes, share)
     elif any(n.text.strip() for n in nodes):
         nodes = content_nodes(nodes, share)
     blocks: dict[int, list] = {}

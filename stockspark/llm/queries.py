@@ -146,7 +146,7 @@ from r""".replace("@BITS@", " + ".join(f"case when f[{i + 1}] then {1 << i} else
 # op2: windows of the items joined with the windows of the documents of the same number of words.
 _OP2 = rf"""
 with iw as (select item_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws
-            from benchmark where item_id is not null),
+            from benchmark),
 pat as (select distinct item_id, least(len(ws), 13) n, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') p
         from (select item_id, ws, unnest(range(1, greatest(len(ws) - 11, 2))) i from iw where len(ws) > 0)),
 dw as (select row_number() over () rid, doc_id,

@@ -67,7 +67,7 @@ def plain_hits(text, items):
             for at in range(len(words) - n + 1):
                 if words[at:at + n] == w[k:k + n]:
                     hit.update(range(at, at + n))
-                    ids.add(str(i))
+                    ids |= set() if i is None else {str(i)}
     return len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
@@ -81,12 +81,14 @@ def test_decontamination_matches_plain_search(spark, make):
     for limit in (8 << 20, 200):       # one automaton, then several
         got = decontamination.verdict(decontamination.find_hits(clash(docs), bench, max_pattern_bytes=limit))
         rows = queries.items_digest(got).collect()
-        known = [x for x in items if x[0] is not None]
-        want = {i: plain_hits(t, known) for i, t in enumerate(texts)}
+        want = {i: plain_hits(t, items) for i, t in enumerate(texts)}
+        assert want[7][:3] == (1, 1, 0)             # an item without an id hits, but is in no list
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in rows} == want
         assert all(r["contaminated"] == (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"]) for r in rows)
         spans = {r["doc_id"]: r["byte_spans"] for r in got.collect()}
         assert [texts[6].encode()[s["a"]:s["b"]].decode() for s in spans[6]] == ["ÜBER; w3 w4"]
+    long_doc = make(["t " * 400_000 + long_item])
+    assert decontamination.verdict(decontamination.find_hits(long_doc, bench)).first()["n_hit"] == 20
     none = decontamination.verdict(decontamination.find_hits(docs, bench.limit(0))).collect()
     assert len(none) == len(texts) and not any(r["contaminated"] for r in none)
 
@@ -145,6 +147,45 @@ def test_short_blocks_of_the_content_stay():
     assert html_main.main_text(bare).split("\n\n") == [long, "Late", "One", "Two", long, "x"]
 
 
+def test_scripts_with_markup_signs():
+    """What looks like tags inside raw elements is no markup, before and inside the article."""
+    for raw in ("<script>for(i=0;i<n;i++){t()}</script>", '<script type="application/ld+json">{"x":"x<b","y":"<p>"}</script>',
+                "<SCRIPT>if(a<b&&c>d){'</scripty>'}</Script >", "<style>a<b{}</style>", "<textarea>x<y</textarea>",
+                "<noscript><img src='a>b'></noscript>", "<script>a<b\n</script\n>"):
+        assert html_main.main_text(f"{raw}<article><p>Body text here.</p></article>") == "Body text here.", raw
+        page = f"<article><p>One.</p>{raw}<p>Two{raw} and three.</p></article>"
+        assert html_main.main_text(page) == "One.\n\nTwo and three.", raw
+    assert html_main.main_text("<article><p>One.</p><script>i<n") == "One."
+
+
+def test_path_ratios_choose_inside_articles():
+    body = ["A first paragraph, with commas, and an end.", "A second one, which is longer; it has marks, too.",
+            "Third: the last of them, as it were, and done."]
+    text = "".join(f"<p>{b}</p>" for b in body)
+    boxes = ('<div class="share-buttons"><a href=1>Tweet</a> <a href=2>Post</a></div>', '<div class="ad-slot">Buy now</div>',
+             '<div class="newsletter-signup"><h3>Stay up to date</h3>Get our news</div>', '<div class="sidebar-left"><p>Side, side.</p></div>',
+             '<ul class="related-posts"><li><a href=1>Other</a><li><a href=2>More, more of it</a></ul>')
+    for box in boxes:
+        for page in (f"<main>{box}{text}</main>", f"<article>{text}{box}</article>", f"<main><article>{text}{box}</article></main>"):
+            assert html_main.main_text(page).split("\n\n") == body, page
+    kept = f'<article>{text}<div class="related-work"><p>{body[1]}</p></div></article>'
+    assert html_main.main_text(kept).split("\n\n") == [*body, body[1]]
+    teaser = '<article class="teaser"><h2>Another</h2><p>Read on.</p></article>'
+    for page in (f"<article>{text}</article>{teaser}", f"<main><h1>Top</h1>{teaser}<article>{text}</article>{teaser}</main>"):
+        assert [b for b in html_main.main_text(page).split("\n\n") if b != "Top"] == body
+    assert html_main.main_text(f"<article>{text}</article><article>{text}</article>").split("\n\n") == [*body, *body]
+
+
+def test_long_page_and_empty_table(spark):
+    paragraph = "A long page, with a sentence that ends. "
+    page = "<main>" + f"<p>{paragraph * 20}</p><script>if(a<b){{}}</script>" * 6000 + "</main>"
+    assert len(page) > 5_000_000
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    got = html_main.extract(pages).first()["text"]
+    assert got == "\n\n".join([(paragraph * 20).strip()] * 6000)
+    assert html_main.extract(pages.limit(0)).count() == 0
+
+
 def test_every_page_gives_its_article(spark):
     import html
     pages = spark.read.parquet(f"{SF}/pages.parquet")
