@@ -340,14 +340,25 @@ def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | No
 
     Output: the movement columns + balance_before, balance_after, accepted.
     """
+    return _finish(_folded(movements, order_cols, opening, n_chunks, qty_col, split)[0])
+
+
+def fold_rows(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None, qty_col: str = "signed_qty"):
+    """The rows of ``ledger_apply`` in cents with what a stored ledger keeps: ``_cents``, ``chunk``, ``pre`` (the sum
+    within the chunk up to the row), ``_before``, ``_after``, ``accepted``; and the persisted table to release."""
+    folded, chunked = _folded(movements, order_cols, opening, None, qty_col, "auto")
+    return folded.drop("start", "method", "_after0", "_acc0", "_open"), chunked
+
+
+def _folded(movements, order_cols, opening, n_chunks, qty_col, split):
     chunked, split = _chunk(movements, order_cols, n_chunks, qty_col, opening, split=split)
     if split == "hash":
         # every product lies whole in one chunk: the pass-1 fold is final
-        return _finish(chunked.withColumn("_after", F.col("_after0"))
-                       .withColumn("accepted", F.col("_acc0"))
-                       .withColumn("_before", F.when(F.col("accepted"),
-                                                     F.col("_after") - F.col("_cents"))
-                                   .otherwise(F.col("_after"))))
+        return (chunked.withColumn("_after", F.col("_after0"))
+                .withColumn("accepted", F.col("_acc0"))
+                .withColumn("_before", F.when(F.col("accepted"),
+                                              F.col("_after") - F.col("_cents"))
+                            .otherwise(F.col("_after")))), chunked
     plan, refolded = resolve_chunks(chunked, order_cols, opening)
     fold0 = F.col("method") == "fold0"
     after = F.when(fold0, F.col("_after0")).otherwise(F.col("start") + F.col("pre"))
@@ -357,9 +368,9 @@ def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | No
                .withColumn("_before", F.when(F.col("accepted"), F.col("_after") - F.col("_cents"))
                            .otherwise(F.col("_after"))))
     if refolded is None:
-        return _finish(planned.drop("method", "_after0", "_acc0"))
+        return planned.drop("method", "_after0", "_acc0"), chunked
     cols = refolded.columns
-    return _finish(planned.select(*cols).unionByName(refolded))
+    return planned.select(*cols).unionByName(refolded), chunked
 
 
 def rejected_movements(movements: DataFrame, products: DataFrame | None = None) -> DataFrame:

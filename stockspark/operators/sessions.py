@@ -39,14 +39,19 @@ def _make_local_sessions(gap_us: int):
                 continue
             users = pdf["user_id"].to_numpy()
             ts = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            upto, count = ts, np.ones(len(ts), np.int64)
+            if "upto" in pdf:                 # cells instead of events
+                upto = pdf["upto"].to_numpy().astype("datetime64[us]").astype(np.int64)
+                count = pdf["n"].to_numpy(np.int64)
             # boundaries inside this batch (vectorised), then stitch with ``cur``
             brk = np.empty(len(ts), dtype=bool)
             brk[0] = True
-            brk[1:] = (users[1:] != users[:-1]) | (ts[1:] - ts[:-1] > gap_us)
+            brk[1:] = (users[1:] != users[:-1]) | (ts[1:] - upto[:-1] > gap_us)
             starts = np.flatnonzero(brk)
             ends = np.append(starts[1:], len(ts)) - 1
-            for a, b in zip(starts.tolist(), ends.tolist()):
-                u, s, e, n = int(users[a]), int(ts[a]), int(ts[b]), b - a + 1
+            sums = np.add.reduceat(count, starts).tolist()
+            for a, b, n in zip(starts.tolist(), ends.tolist(), sums):
+                u, s, e = int(users[a]), int(ts[a]), int(upto[b])
                 if cur is not None and cur[0] == u and s - cur[2] <= gap_us:
                     cur[2], cur[3] = e, cur[3] + n
                     continue
@@ -78,9 +83,35 @@ def user_sessions(events: DataFrame, gap_seconds: int = 3600, user_col: str = "u
                   ts_col: str = "ts", n_parts: int | None = None) -> DataFrame:
     spark = events.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = (events.select(F.col(user_col).alias("user_id"), F.col(ts_col).alias("ts"))
-         .filter(F.col("ts").isNotNull())
-         .repartitionByRange(n, "user_id", "ts").sortWithinPartitions("user_id", "ts"))
+    e = events.select(F.col(user_col).alias("user_id"), F.col(ts_col).alias("ts")).filter(F.col("ts").isNotNull())
+    return _sessionize(e, gap_seconds, n)
+
+
+def session_cells(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
+    """Events summed by user and cell of ``gap_seconds``: user_id, cell, first, last, n.
+
+    Events of one cell are less than the gap apart, hence in one session, and
+    cells of a user don't overlap: cells of parts of the events add up.
+    """
+    cell = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(gap_seconds * 1_000_000)).alias("cell")
+    return events.where("ts IS NOT NULL").groupBy("user_id", cell).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+
+
+def add_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("user_id", "cell").agg(F.min("first").alias("first"), F.max("last").alias("last"),
+                                                F.sum("n").alias("n"))
+
+
+def sessions_of_cells(cells: DataFrame, gap_seconds: int = 3600, n_parts: int | None = None) -> DataFrame:
+    """The sessions of added-up cells."""
+    n = n_parts or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _sessionize(cells.select("user_id", F.col("first").alias("ts"), F.col("last").alias("upto"), "n"),
+                       gap_seconds, n)
+
+
+def _sessionize(rows: DataFrame, gap_seconds: int, n: int) -> DataFrame:
+    e = (rows.repartitionByRange(n, "user_id", "ts").sortWithinPartitions("user_id", "ts"))
     # read twice below: written once, or a second run could sample other bounds
     part = materialize(e.mapInPandas(_make_local_sessions(gap_seconds * 1_000_000), OUT), "sessions")
     interior = part.filter(~F.col("edge")).drop("edge")

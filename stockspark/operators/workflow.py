@@ -11,13 +11,12 @@ request rejected (W-06).  Indent decisions have no stock check.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockspark.functions import exprs as X
 from stockspark.operators import ledger as L
-from stockspark.session import ensure_checkpoint_dir
+from stockspark.operators.retry_fold import fold_candidates
 
 D12 = "decimal(12,2)"
 DEC_ORDER = ("decided_at", "decision_id")
@@ -73,7 +72,7 @@ def _reject_time(valid: DataFrame) -> DataFrame:
 
 
 def approval_candidates(valid: DataFrame, pending: DataFrame, rejects: DataFrame) -> DataFrame:
-    """Approvals that could take effect, numbered ``k`` = 1.. per request.
+    """Approvals that could take effect, numbered ``k`` = 1.. per request, ``more``: not the last.
 
     Decisions only consume stock, so an approval that isn't smaller than an
     earlier one of its request can never succeed where that one failed:
@@ -93,8 +92,8 @@ def approval_candidates(valid: DataFrame, pending: DataFrame, rejects: DataFrame
     least = F.min("qty").over(w.rowsBetween(Window.unboundedPreceding, -1))
     minima = before.withColumn("_least", least).filter(
         F.col("_least").isNull() | (F.col("qty") < F.col("_least"))).drop("_least")
-    return minima.select("*", F.row_number().over(w).alias("k"), *[F.col(f"_at.{c}").alias(c) for c in DEC_ORDER]
-                         ).drop("_at")
+    return minima.select("*", F.row_number().over(w).alias("k"), F.lead("_at").over(w).isNotNull().alias("more"),
+                         *[F.col(f"_at.{c}").alias(c) for c in DEC_ORDER]).drop("_at")
 
 
 def apply_issue_decisions(requests: DataFrame, products: DataFrame,
@@ -104,47 +103,19 @@ def apply_issue_decisions(requests: DataFrame, products: DataFrame,
     rejection_reason and the product's available stock after it.
 
     An approval refused for stock leaves its request open, and the request's
-    next decision counts.  Which approvals count therefore depends on the
-    fold, and the fold on them.  The first approval of every request is
-    folded; a request whose approval was refused gets its next candidate in
-    the next round, until no request's list changes.  Such a state is
-    consistent, hence (by induction over time) the sequential outcome; each
-    round fixes at least the earliest decision still open.  Only requests
-    with more than one candidate can need another round.  ``available_after``
-    of a request left pending is the stock at its first refusal.
+    next decision counts.  All candidates go through one fold by product that
+    carries the blocked requests along with the balance (``retry_fold``).
+    ``available_after`` of a request left pending is the stock at its first
+    refusal.
     """
     pending = requests.filter(F.col("status") == "pending").select(
         F.col("id").alias("request_id"), "product_id", "quantity_requested")
     valid = validate_decisions(decisions).filter("valid").drop("valid", "reasons")
     rejects = _reject_time(valid.join(pending.select("request_id"), "request_id", "left_semi"))
-    # read by every round and by the result
-    cand = approval_candidates(valid, pending, rejects).persist(StorageLevel.MEMORY_AND_DISK)
     opening = products.select(F.col("id").alias("product_id"), X.available().alias("balance"))
-    several = cand.groupBy("request_id").agg(F.max("k").alias("_m")).filter("_m > 1")
-
-    def fold(live):
-        return L.ledger_apply(live.withColumn("neg_qty", (-F.col("qty")).cast(D12)),
-                              order_cols=DEC_ORDER, opening=opening, qty_col="neg_qty")
-
-    folded = fold(cand.filter("k = 1"))
-    if not several.isEmpty():
-        upto = several.select("request_id", "_m", F.lit(1).alias("_k"))
-        while True:
-            seen = folded.groupBy("request_id").agg(F.min(F.when(F.col("accepted"), F.col("k"))).alias("_hit"),
-                                                    F.max("k").alias("_last"))
-            ensure_checkpoint_dir(cand.sparkSession)
-            upto = (upto.join(seen, "request_id")
-                    .select("request_id", "_m", F.col("_k").alias("_old"),
-                            F.coalesce("_hit", F.least(F.col("_last") + 1, "_m")).alias("_k"))
-                    .checkpoint())
-            if upto.filter("_k <> _old").isEmpty():
-                break
-            upto = upto.drop("_old")
-            live = cand.join(upto.select("request_id", "_k"), "request_id", "left") \
-                       .filter(F.col("k") <= F.coalesce("_k", F.lit(1))).drop("_k")
-            folded = fold(live)
+    tried = fold_candidates(approval_candidates(valid, pending, rejects), opening, DEC_ORDER)
     hit = F.col("accepted")
-    out = folded.groupBy("request_id").agg(
+    out = tried.groupBy("request_id").agg(
         F.max(F.when(hit, F.struct("qty", "quantity_requested", "decided_by", "decided_at", "balance_after"))).alias("_a"),
         F.min_by("balance_after", "k").alias("_left"))
     both = out.join(rejects.select("request_id", "_r", F.col("_at.decided_at").alias("_rejected_at")),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockspark import constants as K
 from stockspark.operators import alerts as AL
 from stockspark.operators import ledger as L
-from stockspark.plans.catalog import dbl, register, with_views
+from stockspark.operators.ledger_store import LedgerStore
+from stockspark.plans.catalog import ORACLE, dbl, register, with_views
+from stockspark.session import ensure_checkpoint_dir
+from stockspark.sources.sinks import append_ledger, read_ledger
 
 MV_KEYS = "product_id, created_at, ord_key, ord_line"
 
@@ -34,8 +39,32 @@ from ledger
 """, "ledger"))
 def ledger_apply(v, p):
     """K-02: refusing running balance (movements that would go negative are refused)."""
-    return v.ledger.select("product_id", "created_at", "ord_key", "ord_line", "type", "quantity",
-                           "balance_before", "balance_after", "accepted")
+    return L.ledger_apply(v.movements).select("product_id", "created_at", "ord_key", "ord_line", "type", "quantity",
+                                              "balance_before", "balance_after", "accepted")
+
+
+@register("ledger_store", ORACLE["ledger_apply"])
+def ledger_store(v, p):
+    """S-04/S-11: the ledger read back from a store that got its movements in four batches, one of them late, one
+    twice."""
+    store = LedgerStore(v.spark, f"{ensure_checkpoint_dir(v.spark)}/ledger-batches/{uuid.uuid4().hex}")
+    m, year = v.movements, F.year("created_at")
+    late = (year == 1995) & (F.col("ord_key") % 50 == 7)
+    for name, part in (("to 1995", (year <= 1995) & ~late), ("1996", year == 1996), ("1996", year == 1996),
+                       ("from 1997", year > 1996), ("late", late)):
+        store.append(m.where(part), name)
+    return store.rows().select("product_id", "created_at", "ord_key", "ord_line", "type", "quantity",
+                               "balance_before", "balance_after", "accepted")
+
+
+@register("ledger_files", with_views(f"select {MV_KEYS}, type, {dbl('quantity')} from movements", "movements"))
+def ledger_files(v, p):
+    """S-04: movements appended to monthly files in two batches, the first twice, and read back."""
+    path = f"{ensure_checkpoint_dir(v.spark)}/ledger-files/{uuid.uuid4().hex}"
+    m, early = v.movements, F.year("created_at") < 1995
+    for name, part in (("early", early), ("early", early), ("rest", ~early)):
+        append_ledger(m.where(part), path, name)
+    return read_ledger(v.spark, path).select("product_id", "created_at", "ord_key", "ord_line", "type", "quantity")
 
 
 @register("stock_snapshot", with_views("""
@@ -43,7 +72,7 @@ select product_id, cast(current_stock as double) current_stock from stock
 """, "stock"))
 def stock_snapshot(v, p):
     """K-03: last balance per product."""
-    return L.stock_snapshot(v.ledger)
+    return v.store.snapshot()
 
 
 @register("ledger_reconcile", with_views("""

@@ -3,31 +3,87 @@ compared with the batch oracle of the same semantics."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from stockspark.operators import alerts as AL
 from stockspark.plans import q_dims, q_ledger
-from stockspark.plans.catalog import ORACLE, register, with_views
+from stockspark.plans.catalog import ORACLE, dbl, register, with_views
+from stockspark.session import ensure_checkpoint_dir
 from stockspark.streaming import jobs as S
 
+LEDGER_COLS = ("product_id", "created_at", "ord_key", "ord_line", "type", "quantity", "balance_before",
+               "balance_after", "accepted")
+
 
 @register("stream_ledger", ORACLE["ledger_apply"])
 def stream_ledger(v, p):
-    """T-01: refusing ledger as a stateful stream (applyInPandasWithState)."""
+    """T-01: refusing ledger as a stream into the stored ledger (foreachBatch, one effect a batch)."""
     li = S.table_stream(v.spark, v.sf_dir, "lineitem")
-    return S.run_available(S.ledger_stream(S.movements_from_lineitem(li)))
+    return S.run_ledger(S.movements_from_lineitem(li)).rows().select(*LEDGER_COLS)
+
+
+@register("stream_ledger_shuffled", ORACLE["ledger_apply"])
+def stream_ledger_shuffled(v, p):
+    """T-01: the same from files that hold the movements in no order, in three micro-batches."""
+    path = f"{ensure_checkpoint_dir(v.spark)}/shuffled/{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(3))
+    li = v.t.lineitem.select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag",
+                             "l_linestatus")
+    li.repartition(3, part).write.parquet(path)
+    files = v.spark.readStream.schema(li.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return S.run_ledger(S.movements_from_lineitem(files)).rows().select(*LEDGER_COLS)
 
 
 @register("stream_alerts", ORACLE["stock_alerts"])
 def stream_alerts(v, p):
-    """T-02: low-stock alerts from the streamed ledger joined to static products."""
+    """T-02: low-stock alerts from the streamed ledger, verdicts by micro-batch."""
+    li = S.table_stream(v.spark, v.sf_dir, "lineitem")
+    return S.run_alerts(S.movements_from_lineitem(li), v.product_base)
+
+
+#: Stand-in versions of the minimum levels: half the level from a day of 1995 on that depends on the product, for
+#: two products of three, and three times the level three years later for every fourth.
+MIN_SQL = """
+select p_partkey product_id, timestamp '1995-01-01' + p_partkey % 365 * interval 1 day valid_from,
+  cast(p_size * 5 as decimal(12,2)) min_stock_level from part where p_partkey % 3 > 0
+union all
+select p_partkey, timestamp '1998-01-01' + p_partkey % 365 * interval 1 day, cast(p_size * 30 as decimal(12,2))
+from part where p_partkey % 4 = 0"""
+
+
+def minimum_versions(v):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    day = lambda start: F.expr(f"timestamp_ntz'{start}'") + F.make_dt_interval(k.cast("int") % 365)
+    first = v.t.part.where(k % 3 > 0).select(k.alias("product_id"), day("1995-01-01 00:00:00").alias("valid_from"),
+                                             (size * 5).cast("decimal(12,2)").alias("min_stock_level"))
+    return first.unionByName(v.t.part.where(k % 4 == 0).select(
+        k.alias("product_id"), day("1998-01-01 00:00:00").alias("valid_from"),
+        (size * 30).cast("decimal(12,2)").alias("min_stock_level")))
+
+
+@register("versioned_alerts", with_views(f"""
+select l.product_id, l.created_at, l.ord_key, l.ord_line, {dbl('l.balance_after')},
+  cast(coalesce(m.min_stock_level, pb.own) as double) min_stock_level,
+  case when l.balance_after < coalesce(m.min_stock_level, pb.own) * 0.3 then 'CRITICAL' else 'LOW' end "level"
+from ledger l join (select p_partkey id, cast(p_size * 10 as decimal(12,2)) own from part) pb on pb.id = l.product_id
+asof left join (select product_id pid, valid_from, min_stock_level from mins) m
+  on m.pid = l.product_id and l.created_at >= m.valid_from
+where l.accepted and l.balance_after <= coalesce(m.min_stock_level, pb.own)
+""", "ledger", extra=[("mins", MIN_SQL)]))
+def versioned_alerts(v, p):
+    """T-02: alerts of the streamed ledger by the minimum level that was valid at the movement (as-of join)."""
     li = S.table_stream(v.spark, v.sf_dir, "lineitem")
-    led = S.ledger_stream(S.movements_from_lineitem(li))
-    return S.run_available(S.alert_stream(led, v.product_base))
+    out = S.run_alerts(S.movements_from_lineitem(li), v.product_base, minimum_versions(v))
+    return out.select("product_id", "created_at", "ord_key", "ord_line", "balance_after", "min_stock_level", "level")
 
 
 @register("stream_audit", ORACLE["audit_normalise"])
 def stream_audit(v, p):
     """T-03: audit ingest stream, one row for each event id."""
     ev = S.table_stream(v.spark, v.sf_dir, "events")
-    return S.run_available(S.audit_ingest(ev, v.users))
+    return S.run_audit(ev, v.users)
 
 
 @register("stream_daily_activity", with_views("""
@@ -35,31 +91,64 @@ select strftime(date_trunc('day', ts), '%Y-%m-%d') "day", event_type, count(*) e
 from events group by 1, 2
 """))
 def stream_daily_activity(v, p):
-    """T-04: per-day event counts in tumbling windows, all days."""
-    ev = S.table_stream(v.spark, v.sf_dir, "events")
-    return S.run_available(S.daily_activity(ev), mode="complete")
+    """T-04: per-day event counts, all days, stored as partial counts by micro-batch."""
+    return S.run_daily_activity(S.table_stream(v.spark, v.sf_dir, "events"))
 
 
-@register("user_sessions", with_views("""
+SESSIONS_SQL = with_views("""
 with e as (select user_id, ts,
              lag(ts) over (partition by user_id order by ts) prev from events),
 g as (select *, sum(case when prev is null or ts - prev > interval 3600 second then 1 else 0 end)
                 over (partition by user_id order by ts rows unbounded preceding) sid from e)
 select user_id, min(ts) session_start, max(ts) session_end, count(*) events
 from g group by user_id, sid
-"""))
+""")
+
+
+@register("user_sessions", SESSIONS_SQL)
 def user_sessions(v, p):
     """T-05: sessions split by more than 3600 s of inactivity (hot users split over partitions)."""
     return S.user_sessions(v.t.events)
 
 
+@register("stream_sessions", SESSIONS_SQL)
+def stream_sessions(v, p):
+    """T-05: the same sessions from the event stream, stored as cells that add up."""
+    return S.run_sessions(S.table_stream(v.spark, v.sf_dir, "events"))
+
+
 @register("live_counts", with_views("""
 select user_id, count(*) events from events group by user_id
 """))
 def live_counts(v, p):
-    """T-06: running per-user counts as a complete-mode stream."""
+    """Events per user, counts stored by micro-batch and summed."""
     ev = S.table_stream(v.spark, v.sf_dir, "events")
-    return S.run_available(S.live_counts(ev), mode="complete")
+    folder = S.run_batches(ev, S.appending("counts", lambda df, _: df.groupBy("user_id").agg(F.count("*").alias("events"))))
+    return S.CommitLog(v.spark, folder).get("counts").groupBy("user_id").agg(F.sum("events").alias("events"))
+
+
+def request_stream(v):
+    """Issue requests as they come in: (user_id, created_at, status, issued_at), from the stream of line items."""
+    li = S.table_stream(v.spark, v.sf_dir, "lineitem")
+    return v.requests_of(li)
+
+
+@register("stream_unread", with_views("""
+with marks as (select employee_id user_id, max(created_at) read_at from issue_requests group by 1),
+notes as (select employee_id user_id, issued_at noted from issue_requests
+          where status <> 'pending' and employee_id is not null)
+select k.user_id, count(n.noted) unread
+from (select user_id from marks union select user_id from notes) k
+  left join marks m on m.user_id = k.user_id
+  left join notes n on n.user_id = k.user_id and (m.read_at is null or n.noted > m.read_at)
+where k.user_id is not null
+group by k.user_id
+""", "issue_requests"))
+def stream_unread(v, p):
+    """T-06: unread notifications per user, live from the streams of notifications and read marks."""
+    notes = AL.notification_rows(request_stream(v)).select("user_id", "created_at")
+    marks = request_stream(v).select(F.col("employee_id").alias("user_id"), F.col("created_at").alias("read_at"))
+    return S.run_unread(notes, marks)
 
 
 _ = (q_dims, q_ledger)

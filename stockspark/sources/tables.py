@@ -6,6 +6,7 @@ parquet relation and can prune columns and push filters into the scan.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def digest(self, name: str) -> str:
+        """A digest of the table's files: their paths, sizes and times of change."""
+        files = self.read(name).select("_metadata.file_path", "_metadata.file_size",
+                                       "_metadata.file_modification_time").distinct().collect()    # one row a file
+        return hashlib.sha1(repr(sorted(map(tuple, files))).encode()).hexdigest()[:16]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
             return self.read(name)

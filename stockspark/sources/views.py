@@ -92,25 +92,28 @@ class Views:
                 .agg(F.sum("signed_qty").cast(D12).alias("current_stock")))
 
     @cached_property
-    def ledger(self) -> DataFrame:
-        """Every movement with its balances under the refusing rule (K-02)."""
-        from stockspark.operators import ledger
-        return ledger.ledger_apply(self.movements)
+    def store(self):
+        """The stored ledger of these movements (S-11): loaded by the first query that needs it, read by the rest.
 
-    def ledger_stock(self) -> DataFrame:
-        """Last balance per product from the conditional fold (K-03).
+        It lies in the shared checkpoint folder under a digest of the source
+        files' names, sizes and times, so changed files are a new ledger.
+        """
+        from stockspark.operators.ledger_store import LedgerStore
+        from stockspark.session import ensure_checkpoint_dir
+        root = ensure_checkpoint_dir(self.spark)
+        store = LedgerStore(self.spark, f"{root}/ledger-store/{self.t.digest('lineitem')}")
+        store.append(self.movements, "load")
+        return store
 
-        If this query already built the per-row ledger, the snapshot is a
-        partial-aggregated ``max_by`` over it; otherwise it is taken from the
-        resolved chunk ends of a narrow fold (no per-row output needed)."""
-        from stockspark.operators import ledger
-        if "ledger" in self.__dict__:
-            return ledger.stock_snapshot(self.ledger)
-        return ledger.ledger_snapshot(self.movements)
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """Every movement with its balances under the refusing rule (K-02), as stored."""
+        return self.store.rows()
 
     @cached_property
     def stock_levels(self) -> DataFrame:
-        return self.ledger_stock() if self.stock == "ledger" else self.net_stock()
+        """Last balance per product: the stored chunk ends (K-03), or the net sums."""
+        return self.store.snapshot() if self.stock == "ledger" else self.net_stock()
 
     @cached_property
     def accepted_movements(self) -> DataFrame:
@@ -167,8 +170,11 @@ class Views:
     # ---------------------------------------------------------------- requests
     @cached_property
     def issue_requests(self) -> DataFrame:
-        li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
-                                    "l_quantity")
+        return self.requests_of(self.t.lineitem)
+
+    def requests_of(self, lineitem: DataFrame) -> DataFrame:
+        """The issue requests of line items, a table or a stream."""
+        li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity")
         o = self.t.orders.select(
             "o_orderkey", "o_custkey", "o_orderdate",
             F.when(F.col("o_orderstatus") == "F", "issued")

@@ -1,12 +1,17 @@
-"""Structured Streaming versions of the ledger, alerts, audit ingest and counts.
+"""Structured Streaming jobs: ledger, alerts, audit ingest, activity, sessions, unread counts.
 
 Sources are file streams over the parquet tables (``pathGlobFilter`` picks
 one table out of a shared folder).  Every query writes with a checkpoint
 under the shared checkpoint folder; given a ``name``, a restarted or failed
 job of that name resumes from its last committed micro-batch.
-``run_available`` drives a query with
-``trigger(availableNow=True)`` and returns the sink table as a batch
-DataFrame.
+
+Jobs that merge into stored tables get their micro-batches through
+``run_batches``: a batch's rows become visible by one marker
+(``sources.commits``), under the id that the batch keeps when it comes again,
+so every movement, event and count has a single effect.  None of them keeps
+what it has seen in memory or rewrites what it has stored: the state of the
+ledger is the stored ledger, that of the audit log the log, and days and
+sessions are stored as partial results that add up when read.
 """
 
 from __future__ import annotations
@@ -22,7 +27,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from stockspark.functions import exprs as X
+from stockspark.operators.ledger_store import LedgerStore
 from stockspark.session import ensure_checkpoint_dir
+from stockspark.sources.commits import CommitLog
 
 D12 = "decimal(12,2)"
 
@@ -33,8 +40,7 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str,
     """File stream over ``{sf_dir}/{table}.parquet`` (schema taken from the file).
 
     ``maxFilesPerTrigger`` bounds a micro-batch (``availableNow`` honours it
-    and splits a backlog into several batches).  Files are taken oldest
-    first, so an append-only ledger arrives in time order."""
+    and splits a backlog into several batches)."""
     path = os.path.join(sf_dir, f"{table}.parquet")
     schema = spark.read.parquet(path).schema
     src = os.path.isdir(path) and path or sf_dir
@@ -46,81 +52,32 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str,
     return r.parquet(src)
 
 
-def run_available(stream: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
-    """Run ``stream`` over everything available now into a parquet table in
-    the checkpoint folder; return that table as a batch DataFrame."""
-    spark = stream.sparkSession
-    root = ensure_checkpoint_dir(spark)
+def run_batches(stream: DataFrame, write, name: str | None = None, mode: str = "append") -> str:
+    """Give every micro-batch available now to ``write(rows, folder, batch)``; returns the job's folder.
+
+    ``batch`` is the same when a batch comes again after a crash; a ``write``
+    that commits under it to a ``CommitLog`` of the folder has a single effect.
+    """
+    root = ensure_checkpoint_dir(stream.sparkSession)
     tag = name or f"q{uuid.uuid4().hex[:12]}"
-    out = os.path.join(root, "stream-out", tag)
-    ckpt = os.path.join(root, "stream-ckpt", tag)
-    if mode == "append":
-        q = (stream.writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", ckpt).outputMode("append")
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-        return spark.read.parquet(out)
+    folder = f"{root}/stream-out/{tag}"
+    (stream.writeStream.foreachBatch(lambda df, epoch: write(df, folder, f"epoch-{epoch}"))
+     .option("checkpointLocation", f"{root}/stream-ckpt/{tag}").outputMode(mode)
+     .trigger(availableNow=True).start().awaitTermination())
+    return folder
 
-    def write_batch(df, epoch_id):  # complete/update: keep the latest full result
-        df.write.mode("overwrite").parquet(os.path.join(out, "latest"))
 
-    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(os.path.join(out, "latest"))
+def appending(table: str, rows_of=None, partition_by: tuple = ()):
+    """A ``write`` for ``run_batches``: ``rows_of(batch's rows, log)`` goes to a table of the folder's log."""
+    def write(df: DataFrame, folder: str, batch: str) -> None:
+        log = CommitLog(df.sparkSession, folder)
+        if not log.known(batch):
+            log.put(table, df if rows_of is None else rows_of(df, log), batch, partition_by)
+            log.commit(batch)
+    return write
 
 
 # ------------------------------------------------------------------ T-01 ledger
-LEDGER_OUT = T.StructType([
-    T.StructField("product_id", T.LongType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-    T.StructField("ord_key", T.LongType()),
-    T.StructField("ord_line", T.IntegerType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("quantity", T.DecimalType(12, 2)),
-    T.StructField("balance_before_c", T.LongType()),
-    T.StructField("balance_after_c", T.LongType()),
-    T.StructField("accepted", T.BooleanType()),
-])
-LEDGER_STATE = T.StructType([T.StructField("pids", T.ArrayType(T.LongType())),
-                             T.StructField("bals", T.ArrayType(T.LongType()))])
-
-
-def _ledger_state_fn(key, batches, state):
-    """One product bucket: fold this micro-batch's movements of every product
-    (in order) from the balances kept in state; refuse what would go negative.
-
-    State per bucket = sorted product ids and their balances in cents.
-    Grouping by bucket instead of product keeps the per-group overhead of the
-    state API proportional to the number of buckets, not of products."""
-    from stockspark.operators.ledger import _fold_from
-    pdf = pd.concat(list(batches), ignore_index=True)
-    pdf = pdf.sort_values(["product_id", "created_at", "ord_key", "ord_line"], kind="stable")
-    if state.exists:
-        pids, bals = state.get
-        known = dict(zip(pids, bals))
-    else:
-        known = {}
-    pid = pdf["product_id"].to_numpy()
-    x = pdf["_cents"].to_numpy(dtype=np.int64)
-    n = len(pid)
-    after = np.empty(n, dtype=np.int64)
-    acc = np.empty(n, dtype=bool)
-    starts = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
-    bounds = np.append(starts, n)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        p = int(pid[a])
-        after[a:b], acc[a:b], known[p] = _fold_from(x[a:b], int(known.get(p, 0)))
-    before = np.where(acc, after - x, after)
-    keys = sorted(known)
-    state.update((keys, [int(known[k]) for k in keys]))
-    yield pd.DataFrame({
-        "product_id": pid, "created_at": pdf["created_at"].to_numpy(),
-        "ord_key": pdf["ord_key"].to_numpy(), "ord_line": pdf["ord_line"].to_numpy(),
-        "type": pdf["type"].to_numpy(), "quantity": pdf["quantity"].to_numpy(),
-        "balance_before_c": before, "balance_after_c": after, "accepted": acc})
-
-
 def movements_from_lineitem(li: DataFrame) -> DataFrame:
     """The movement mapping of the batch views, for a lineitem stream."""
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
@@ -135,41 +92,56 @@ def movements_from_lineitem(li: DataFrame) -> DataFrame:
                      X.signed_quantity(mtype, qty).alias("signed_qty"))
 
 
-def ledger_stream(movements: DataFrame, buckets: int = 1024) -> DataFrame:
-    """T-01: the refusing ledger as a stateful stream (state = balances of a
-    product bucket).  A product's rows of one micro-batch are folded in
-    order inside one group call; the micro-batch size bounds a group."""
-    m = (movements.withColumn("_cents", (F.col("signed_qty") * 100).cast("bigint"))
-         .withColumn("_bucket", F.pmod(F.xxhash64("product_id"), F.lit(buckets))))
-    out = m.groupBy("_bucket").applyInPandasWithState(
-        _ledger_state_fn, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
-    cents = lambda c: (F.col(c).cast("decimal(20,0)") / F.lit(100)).cast(D12)
-    return out.select("product_id", "created_at", "ord_key", "ord_line", "type", "quantity",
-                      cents("balance_before_c").alias("balance_before"),
-                      cents("balance_after_c").alias("balance_after"), "accepted")
+def run_ledger(movements: DataFrame, name: str | None = None) -> LedgerStore:
+    """T-01: the refusing ledger, fed by a stream in any file order.
+
+    A micro-batch is appended to the stored ledger, which folds the products
+    in it from their stored balances: what is written per batch follows the
+    rows in it.  A movement older than the stored ones corrects the balances
+    behind it (``LedgerStore``; ``changes`` of a batch are its new and its
+    corrected rows), so the result is the batch ledger's however late a file
+    comes, and a batch repeated after a crash adds nothing.
+    """
+    folder = run_batches(movements, lambda df, path, batch: LedgerStore(df.sparkSession, path).append(df, batch), name)
+    return LedgerStore(movements.sparkSession, folder)
 
 
 # ------------------------------------------------------------------ T-02 alerts
-def alert_stream(ledger_rows: DataFrame, products: DataFrame) -> DataFrame:
-    """T-02: stream-static join of accepted movements with the product table."""
+def run_alerts(movements: DataFrame, products: DataFrame, minimums: DataFrame | None = None,
+               name: str | None = None) -> DataFrame:
+    """T-02: alerts of the streamed ledger, each by the minimum valid at its movement.
+
+    Every batch adds the verdicts on its new and corrected rows; the last
+    verdict on a movement counts, so a correction can raise or withdraw an
+    alert.
+    """
     from stockspark.operators.alerts import stock_alerts
-    return stock_alerts(ledger_rows, products)
+    keys = ["product_id", "created_at", "ord_key", "ord_line"]
+
+    def write(df: DataFrame, folder: str, batch: str) -> None:
+        store = LedgerStore(df.sparkSession, f"{folder}/ledger")
+        store.append(df, batch)
+        log = CommitLog(df.sparkSession, folder)
+        changed = store.changes(batch)
+        if changed is not None and not log.known(batch):
+            alerts = stock_alerts(changed, products, minimums)
+            verdicts = changed.select(*keys).join(alerts, keys, "left")
+            log.put("verdicts", verdicts.withColumn("seq", F.lit(log.next_seq())), batch)
+            log.commit(batch)
+    folder = run_batches(movements, write, name)
+    verdicts = CommitLog(movements.sparkSession, folder).get("verdicts")
+    rest = [c for c in verdicts.columns if c not in (*keys, "seq", "commit")]
+    last = verdicts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("v"))
+    return last.select(*keys, "v.*").where(F.col("level").isNotNull())
 
 
 # ------------------------------------------------------------------ T-03 audit
-def audit_ingest(events: DataFrame, users: DataFrame) -> DataFrame:
-    """T-03: normalise raw events into audit rows, one for each event id.
-
-    An audit log loses nothing, so there is no watermark: an event counts
-    however late its file comes.  The state is the ledger of all ids seen
-    (one long an event, spread over the shuffle partitions; a large log
-    wants the RocksDB state store)."""
+def audit_rows(events: DataFrame, users: DataFrame) -> DataFrame:
+    """Raw events as normalised audit rows."""
     from stockspark.operators.dims import audit_normalise
     u = users.select(F.col("id").alias("_uid"), F.col("name").alias("user_name"),
                      F.col("role").alias("user_role"))
-    raw = (events.dropDuplicates(["event_id"])
-           .join(u, F.col("user_id") == F.col("_uid"), "left"))
-    rows = raw.select(
+    rows = events.join(u, F.col("user_id") == F.col("_uid"), "left").select(
         F.col("event_id").alias("id"), "user_id", "user_name", "user_role",
         F.col("event_type").alias("action"), F.lit("Events").alias("module"),
         F.get_json_object("props", "$.k").cast("bigint").alias("record_id"),
@@ -179,39 +151,145 @@ def audit_ingest(events: DataFrame, users: DataFrame) -> DataFrame:
     return audit_normalise(rows)
 
 
+def run_audit(events: DataFrame, users: DataFrame, name: str | None = None, horizon: str = "2 days") -> DataFrame:
+    """T-03: audit rows, one for each event id, none lost or doubled however late its file.
+
+    An event keeps its time when it is delivered again, so its copies share a
+    day.  The log is stored by day, each batch's files sorted by id.  A batch
+    looks up only the days it touches and the range of its ids there: once
+    for the recent events (within ``horizon`` of the latest stored one) and
+    once for the late ones, so one old event does not widen the look-up of
+    the others.  There is no other state.
+    """
+    day = F.date_format("ts", "yyyy-MM-dd")
+
+    def fresh(df: DataFrame, log: CommitLog) -> DataFrame:
+        new = df.dropDuplicates(["event_id"]).withColumn("day", F.coalesce(day, F.lit("none")))
+        stored = log.get("rows")
+        if stored is not None:
+            new = new.persist()
+            since = F.expr(f"to_timestamp_ntz('{log.get('high').agg(F.max('at')).first()[0]}') - interval {horizon}")
+            out = None
+            for tier in (F.col("ts") >= since, (F.col("ts") < since) | F.col("ts").isNull()):
+                part = new.where(F.coalesce(tier, F.lit(False)))
+                lo, hi, days = part.agg(F.min("event_id"), F.max("event_id"), F.collect_set("day")).first()
+                if lo is not None:
+                    seen = stored.where(F.col("day").isin(days) & F.col("id").between(lo, hi)).select(
+                        F.col("id").alias("event_id"))
+                    part = part.join(seen, "event_id", "left_anti")
+                out = part if out is None else out.unionByName(part)
+            new = out
+        return new
+
+    def write(df: DataFrame, folder: str, batch: str) -> None:
+        log = CommitLog(df.sparkSession, folder)
+        if log.known(batch):
+            return
+        rows = audit_rows(fresh(df, log).drop("day"), users)
+        rows = rows.withColumn("day", F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("none")))
+        log.put("rows", rows.repartition("day", F.col("id") % 8).sortWithinPartitions("day", "id"), batch, ("day",))
+        log.put("high", df.agg(F.max("ts").cast("string").alias("at")), batch)
+        log.commit(batch)
+    folder = run_batches(events, write, name)
+    return CommitLog(events.sparkSession, folder).get("rows").drop("day", "commit")
+
+
 # ------------------------------------------------------------------ T-04 counts
-def daily_activity(events: DataFrame) -> DataFrame:
-    """T-04: events per day and type in tumbling one-day windows, for complete
-    mode: every day counts, the open one and late events included (state: one
-    row for each day and type)."""
-    e = events.withColumn("event_time", F.col("ts").cast("timestamp"))
-    return (e.groupBy(F.window("event_time", "1 day").alias("w"), "event_type")
-            .agg(F.count("*").alias("events"))
-            .select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "event_type",
-                    "events"))
+def daily_counts(events: DataFrame) -> DataFrame:
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    return events.groupBy(day, "event_type").agg(F.count("*").alias("events"))
+
+
+def add_counts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("day", "event_type").agg(F.sum("events").alias("events"))
+
+
+def run_daily_activity(events: DataFrame, name: str | None = None, compact_after: int = 50) -> DataFrame:
+    """T-04: events per day and type, all days, whatever order the files come in.
+
+    A batch stores its own counts by day; counts add up, so a late event is
+    one more row and no stored day is rewritten.  ``compact_after`` batches
+    are summed into one.
+    """
+    write = appending("counts", lambda df, _: daily_counts(df))
+
+    def compacting(df: DataFrame, folder: str, batch: str) -> None:
+        write(df, folder, batch)
+        CommitLog(df.sparkSession, folder).compact("counts", add_counts, compact_after)
+    folder = run_batches(events, compacting, name)
+    return add_counts(CommitLog(events.sparkSession, folder).get("counts"))
 
 
 # ------------------------------------------------------------------ T-05 sessions
 def user_sessions(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
-    """T-05: sessions end after more than ``gap_seconds`` of inactivity.
-
-    Streaming frames use ``session_window`` for complete mode (state: one row
-    a session; late events join or bridge the sessions they touch).  Batch
-    frames use the range-partitioned sessionizer of ``operators.sessions``
-    (hot users are split; only edge sessions merge)."""
-    if not events.isStreaming:
-        from stockspark.operators.sessions import user_sessions as batch_sessions
-        return batch_sessions(events, gap_seconds)
-    # a window's end is exclusive; a gap of exactly gap_seconds stays in the session
-    window = F.session_window("event_time", f"{gap_seconds} seconds 1 microsecond")
-    e = events.withColumn("event_time", F.col("ts").cast("timestamp"))
-    s = (e.groupBy("user_id", window.alias("s"))
-         .agg(F.count("*").alias("events"), F.min("ts").alias("session_start"),
-              F.max("ts").alias("session_end")))
-    return s.select("user_id", "session_start", "session_end", "events")
-
-
-# ------------------------------------------------------------------ T-06 counts
-def live_counts(events: DataFrame) -> DataFrame:
-    """T-06: running per-user counts (complete mode)."""
-    return events.groupBy("user_id").agg(F.count("*").alias("events"))
+    """T-05 in batch: sessions end after more than ``gap_seconds`` of inactivity (range-partitioned sessionizer of
+    ``operators.sessions``: hot users are split, only edge sessions merge)."""
+    from stockspark.operators.sessions import user_sessions as batch_sessions
+    return batch_sessions(events, gap_seconds)
+
+
+def run_sessions(events: DataFrame, gap_seconds: int = 3600, name: str | None = None,
+                 compact_after: int = 50) -> DataFrame:
+    """T-05: the same from a stream.
+
+    A batch stores its events summed by user and cell of the gap's length;
+    cells add up, so a late event that extends a session or bridges two is
+    one more row, and nothing stored is rewritten.  Sessions are cut from the
+    summed cells when they are read; ``compact_after`` batches are summed into
+    one.
+    """
+    from stockspark.operators import sessions as SE
+    write = appending("cells", lambda df, _: SE.session_cells(df, gap_seconds))
+
+    def compacting(df: DataFrame, folder: str, batch: str) -> None:
+        write(df, folder, batch)
+        CommitLog(df.sparkSession, folder).compact("cells", SE.add_cells, compact_after)
+    folder = run_batches(events, compacting, name)
+    return SE.sessions_of_cells(SE.add_cells(CommitLog(events.sparkSession, folder).get("cells")), gap_seconds)
+
+
+# ------------------------------------------------------------------ T-06 unread counts
+UNREAD_OUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("unread", T.LongType())])
+UNREAD_STATE = T.StructType([T.StructField("read_at", T.LongType()), T.StructField("unread", T.ArrayType(T.LongType()))])
+_NEVER = -(1 << 63)
+
+
+def _unread_state_fn(key, batches, state):
+    """One user: the last read mark and the times of the notifications after it."""
+    read_at, unread = state.get if state.exists else (_NEVER, [])
+    times = [np.asarray(unread, np.int64)]
+    for pdf in batches:
+        at = pdf["at"].to_numpy("datetime64[us]").astype(np.int64)
+        mark = pdf["mark"].to_numpy(bool)
+        if mark.any():
+            read_at = max(read_at, int(at[mark].max()))
+        times.append(at[~mark])
+    times = np.concatenate(times)
+    times = times[times > read_at]
+    state.update((int(read_at), times.tolist()))
+    yield pd.DataFrame({"user_id": [key[0]], "unread": [len(times)]})
+
+
+def unread_stream(notifications: DataFrame, marks: DataFrame) -> DataFrame:
+    """T-06: unread notifications per user, in update mode, from two streams.
+
+    ``notifications`` (user_id, created_at) and ``marks`` (user_id, read_at:
+    all up to then are read) meet in one state per user: the last mark and the
+    times behind it, so the state shrinks with every mark and the order in
+    which notifications and marks come does not matter.  A notification
+    without a time can't be marked as read and is never counted as new.
+    """
+    both = (notifications.where("user_id IS NOT NULL AND created_at IS NOT NULL")
+            .select("user_id", F.col("created_at").alias("at"), F.lit(False).alias("mark"))
+            .unionByName(marks.where("user_id IS NOT NULL AND read_at IS NOT NULL")
+                         .select("user_id", F.col("read_at").alias("at"), F.lit(True).alias("mark"))))
+    return both.groupBy("user_id").applyInPandasWithState(
+        _unread_state_fn, UNREAD_OUT, UNREAD_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_unread(notifications: DataFrame, marks: DataFrame, name: str | None = None) -> DataFrame:
+    """The counts after all that is available now; users with none unread have 0."""
+    write = appending("counts", lambda df, log: df.withColumn("seq", F.lit(log.next_seq())))
+    folder = run_batches(unread_stream(notifications, marks), write, name, mode="update")
+    counts = CommitLog(notifications.sparkSession, folder).get("counts")
+    return counts.groupBy("user_id").agg(F.max_by("unread", "seq").alias("unread"))

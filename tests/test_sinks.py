@@ -11,11 +11,12 @@ def test_append_ledger_partitions_by_month(spark):
     d = os.path.join(tempfile.mkdtemp(prefix="ledger-"), "stock_transactions")
     rows = [(1, dt.datetime(2024, 1, 5), Decimal("3.00")), (2, dt.datetime(2024, 2, 1), Decimal("1.50"))]
     df = spark.createDataFrame(rows, "product_id long, created_at timestamp_ntz, quantity decimal(12,2)")
-    sinks.append_ledger(df, d)
-    sinks.append_ledger(df, d)                       # append, not overwrite
-    assert sorted(x for x in os.listdir(d) if x.startswith("txn_month=")) == [
-        "txn_month=2024-01", "txn_month=2024-02"]
-    back = spark.read.parquet(d)
+    sinks.append_ledger(df, d, "a")
+    sinks.append_ledger(df, d, "b")                  # append, not overwrite
+    for batch in ("a", "b"):
+        assert sorted(x for x in os.listdir(os.path.join(d, "rows", f"commit=b-{batch}")) if x.startswith("txn_month=")) == [
+            "txn_month=2024-01", "txn_month=2024-02"]
+    back = sinks.read_ledger(spark, d)
     assert back.count() == 4
     assert back.filter("txn_month = '2024-02'").count() == 2
 

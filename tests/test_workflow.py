@@ -154,3 +154,41 @@ def test_decision_batch_matches_the_sequential_outcome(spark):
     want = _sequential(reqs, prods, decs)
     assert got == want
     assert {v[0] for v in want.values()} == {"pending", "rejected", "issued", "partially_issued"}
+
+
+def test_long_chain_of_retries_in_one_pass(spark, monkeypatch):
+    """10,000 requests that each take three tries at one product, in one chunk and cut over many."""
+    from stockspark.operators import retry_fold
+    d, n = Decimal, 10_000
+    reqs = [(f"r{i:05d}", 1, d(9), "pending", T0) for i in range(n)]
+    decs = []
+    for i in range(n):                 # 9 and 5 are refused unless stock is left, 1 at last may pass
+        for k, q in enumerate((9, 5, 1)):
+            decs.append((f"d{i:05d}{k}", f"r{i:05d}", "approve", d(q), None, 1,
+                         T0 + dt.timedelta(minutes=(i if k == 0 else (i + 4000 * k) % 13_000 + 5))))
+    prods = [(1, d(4000), d(0)), (2, d(5), d(0))]
+    want = _sequential(reqs, prods, decs)
+    assert len({v[1] for v in want.values()}) > 2
+    rounds = []
+    real = retry_fold._stitch
+    monkeypatch.setattr(retry_fold, "_stitch", lambda rows, order: rounds.append(1) or real(rows, order))
+    for hot in (False, True):
+        monkeypatch.setattr(retry_fold.L, "has_hot_key", lambda rows, n, hot=hot: hot)
+        got = {k: (r.status, r.quantity_issued, r.issued_by, r.issued_at, r.available_after)
+               for k, r in _apply(spark, reqs, prods, decs).items()}
+        assert got == want
+    assert rounds == [1]
+
+
+def test_retries_across_chunks_match_the_sequential_outcome(spark, monkeypatch):
+    from stockspark.operators import retry_fold
+    monkeypatch.setattr(retry_fold.L, "has_hot_key", lambda rows, n: True)
+    rnd = random.Random(11)
+    reqs = [(f"r{i:03d}", 1 if i % 2 else 2 + i % 6, Decimal(rnd.randint(1, 12)), "pending", T0) for i in range(200)]
+    prods = [(p, Decimal(rnd.randint(40, 200)), Decimal(2)) for p in range(1, 8)]
+    decs = [(f"d{i:04d}", rnd.choice(reqs)[0], "reject" if rnd.random() < 0.08 else "approve",
+             rnd.choice([None, Decimal(rnd.randint(1, 12))]), rnd.choice(["no", None]), rnd.randint(1, 9),
+             T0 + dt.timedelta(minutes=rnd.randint(0, 900))) for i in range(1500)]
+    got = {k: (r.status, r.quantity_issued, r.issued_by, r.issued_at, r.available_after)
+           for k, r in _apply(spark, reqs, prods, decs).items()}
+    assert got == _sequential(reqs, prods, decs)
