@@ -30,7 +30,7 @@ def _const_join(left: DataFrame, one_row: DataFrame) -> DataFrame:
 def product_lookup(products: DataFrame, categories: DataFrame, keys: DataFrame) -> DataFrame:
     """Bulk form of 'product + category by id, NULL if absent'."""
     c = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    p = products.join(F.broadcast(c), "category_id", "left")
+    p = products.join(c, "category_id", "left")
     return (keys.select("product_id").distinct()
             .join(p, F.col("product_id") == p.id, "left")
             .select("product_id", "product_code", "name", "category_name", "current_stock",

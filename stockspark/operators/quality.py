@@ -30,16 +30,25 @@ def unique_violations(checks: dict) -> DataFrame:
 
 
 def fk_violations(checks: dict) -> DataFrame:
-    """Q-02: rows whose (non-null) reference has no parent row."""
-    parts = []
+    """Q-02: rows whose (non-null) reference has no parent row.
+
+    All keys of a child are read in one scan and counted by (rule, reference),
+    so a hot reference reaches the join as one row; all rules with the same
+    parent share one anti-join, which needs no distinct parents."""
+    children: dict = {}
     for rule, (child, col, parent, pcol) in checks.items():
-        # references are counted first: a hot one reaches the join as one row,
-        # and an anti-join needs no distinct parents
-        c = (child.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_ref"))
-             .agg(F.count("*").alias("n")))
-        orphans = c.join(parent.select(F.col(pcol).alias("_ref")), "_ref", "left_anti")
-        parts.append(orphans.select(F.lit(rule).alias("rule"),
-                                    F.col("_ref").cast("string").alias("key"), "n"))
+        children.setdefault((id(child), id(parent), pcol), (child, parent, []))[2].append((rule, col))
+    by_parent: dict = {}
+    for (_, key, pcol), (child, parent, rules) in children.items():
+        refs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(col).cast("long").alias("_ref"))
+                         for rule, col in rules])
+        counted = (child.select(F.inline(refs)).filter(F.col("_ref").isNotNull())
+                   .groupBy("rule", "_ref").agg(F.count("*").alias("n")))
+        by_parent.setdefault((key, pcol), (parent, []))[1].append(counted)
+    parts = []
+    for (_, pcol), (parent, counted) in by_parent.items():
+        orphans = _union(counted).join(parent.select(F.col(pcol).cast("long").alias("_ref")), "_ref", "left_anti")
+        parts.append(orphans.select("rule", F.col("_ref").cast("string").alias("key"), "n"))
     return _union(parts)
 
 

@@ -36,7 +36,7 @@ def _zero(c) -> F.Column:
 # ------------------------------------------------------------------ A-01/A-02
 def dashboard_kpis(v, p: Params) -> DataFrame:
     """One pass per table with count_if; seven numbers in one row."""
-    moved = v.accepted_movements          # per-row ledger first: the snapshot reuses it
+    moved = v.accepted_between(p.as_of, p.as_of)
     pr = v.products.filter(F.col("status") == "active")
     prod = pr.agg(F.count("*").alias("total_products"),
                   F.count_if(X.is_low()).alias("low_stock"),
@@ -60,7 +60,7 @@ def period_summary(v, p: Params) -> DataFrame:
     ir = v.issue_requests.agg(
         F.count_if((F.col("status") == "issued") & rng("issued_at")).alias("total_issued"),
         F.count_if((F.col("status") == "rejected") & rng("created_at")).alias("rejected_issues"))
-    st = v.accepted_movements.filter(rng("created_at")).agg(
+    st = v.accepted_between(p.date_from, p.date_to).agg(
         _zero(F.sum(F.when(F.col("type") == "stock_in", F.col("quantity")))).alias("total_stock_in"),
         _zero(F.sum(F.when(F.col("type") == "stock_out", F.col("quantity"))))
          .alias("total_stock_out"))
@@ -119,7 +119,7 @@ def dept_consumption(v, p: Params) -> DataFrame:
 def _active_with_category(v, how="inner") -> DataFrame:
     pr = v.products.filter(F.col("status") == "active")
     c = v.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
-    return pr.join(F.broadcast(c), "category_id", how)
+    return pr.join(c, "category_id", how)
 
 
 # ------------------------------------------------------------------ A-08
@@ -226,7 +226,7 @@ def last_login(v, p: Params) -> DataFrame:
 # ------------------------------------------------------------------ R-01
 def daily_issue_report(v, p: Params) -> DataFrame:
     """Export 'daily issues': dated by created_at, every status, optional dept."""
-    ir = v.numbered_requests.filter(FL.date_range("created_at", p.date_from, p.date_to))
+    ir = v.requests_between(p.date_from, p.date_to)
     if p.department:
         ir = ir.filter(F.col("department") == p.department)
     pr = v.product_base.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
@@ -280,7 +280,7 @@ def low_stock_top(v, p: Params, k: int = K.TOP_LOW_STOCK) -> DataFrame:
 # ------------------------------------------------------------------ R-04
 def stock_ledger(v, p: Params) -> DataFrame:
     """R-04/J-05: numbered movement ledger with in/out split, balances, references and author."""
-    st = v.stock_transactions.filter(FL.date_range("created_at", p.date_from, p.date_to))
+    st = v.transactions_between(p.date_from, p.date_to)
     pr = v.product_base.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
     u = v.users.select(F.col("id").alias("_uid"), F.col("name").alias("_by"))
     qin, qout = X.in_out_split()
@@ -358,7 +358,7 @@ def issue_slips(v, p: Params) -> DataFrame:
     issuer = v.users.select(F.col("id").alias("_iid"), F.col("name").alias("issued_by_name"))
     emp = v.users.select(F.col("id").alias("_eid"), F.col("username").alias("employee_username"),
                          F.col("role").alias("employee_role"))
-    j = (ir.join(pr, "product_id").join(F.broadcast(c), "category_id", "left")
+    j = (ir.join(pr, "product_id").join(c, "category_id", "left")
          .join(issuer, F.col("issued_by") == F.col("_iid"), "left")
          .join(emp, F.col("employee_id") == F.col("_eid"), "left"))
     return j.select("id", "product_code", "product", "category", "unit", "rack_location",

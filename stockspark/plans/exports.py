@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockspark.operators import reports as R
+from stockspark.operators.dims import export_manifest
 from stockspark.params import Params
+from stockspark.sources.commits import CommitLog
+from stockspark.sources.sinks import write_csv
 
 # FIXED VALUES: export types and titles
 TITLES = {
@@ -43,3 +46,19 @@ def export(v, p: Params, report_type: str, fmt: str = "csv") -> tuple[DataFrame,
         F.lit("Reports").alias("module"),
         F.lit(f"Exported {report_type} as {fmt} [{p.date_from} to {p.date_to}]").alias("details"))
     return rows, audit
+
+
+def run_export(v, p: Params, report_type: str, path: str, audit_path: str, export_id: str) -> bool:
+    """Write a report as CSV with its manifest and add its EXPORT row to the stored audit log.
+
+    ``export_id`` names the export: run again after a crash it writes the
+    files anew and logs them once.  Returns whether the row was added.
+    """
+    rows, audit = export(v, p, report_type)
+    write_csv(rows, path, export_manifest({report_type: rows}, TITLES, p.date_from, p.date_to))
+    log = CommitLog(v.spark, audit_path)
+    if log.known(export_id):
+        return False
+    log.put("rows", audit.withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")), export_id)
+    log.commit(export_id)
+    return True

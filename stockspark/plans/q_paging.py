@@ -11,7 +11,9 @@ from stockspark import constants as K
 from stockspark.functions import exprs as X
 from stockspark.functions import filters as FL
 from stockspark.operators import paging as PG
+from stockspark.operators.page_index import PagedList
 from stockspark.plans.catalog import CRIT, LOW, dbl, register, with_views
+from stockspark.session import ensure_checkpoint_dir
 
 SEARCH = "red"
 INV_PAGE = 2
@@ -50,7 +52,7 @@ def inventory_page(v, p):
     """L-03/L-05/P-02/P-08: searched active products, page 2 by stock then name."""
     f = _inventory_filtered(v)
     c = v.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
-    rows = PG.page(f.join(F.broadcast(c), "category_id", "left"),
+    rows = PG.page(f.join(c, "category_id", "left"),
                    [F.col("current_stock"), F.col("name"), F.col("id")], INV_PAGE, K.ROWS_PER_PAGE)
     rows = rows.select("id", "product_code", "name", "category", "current_stock",
                        "min_stock_level", X.stock_class().alias("stock_class"))
@@ -96,6 +98,23 @@ def audit_keyset(v, p):
             .orderBy(F.desc("created_at"), F.desc("id")).limit(K.AUDIT_ROWS_PER_PAGE))
 
 
+DEEP_PAGE = 15
+
+
+@register("audit_deep_page", with_views(f"""
+select x.id, x.created_at, x.user_name, x.action, x.module, (select count(*) from audit_log) total,
+  row_number() over (order by x.created_at desc, x.id desc) - 1 + {(DEEP_PAGE - 1) * K.AUDIT_ROWS_PER_PAGE} "position"
+from (select * from audit_log order by created_at desc, id desc
+      limit {K.AUDIT_ROWS_PER_PAGE} offset {(DEEP_PAGE - 1) * K.AUDIT_ROWS_PER_PAGE}) x
+""", "audit_log"))
+def audit_deep_page(v, p):
+    """L-03/A-14: a deep page of the whole audit log and its match count from the stored order-statistic index."""
+    root = f"{ensure_checkpoint_dir(v.spark)}/paged/audit-{v.t.digest('events')}-{v.t.digest('customer')}"
+    paged = PagedList(v.spark, root).build(v.audit_log, [F.desc("created_at"), F.desc("id")])
+    return paged.page(DEEP_PAGE, K.AUDIT_ROWS_PER_PAGE).select("id", "created_at", "user_name", "action", "module",
+                                                              "total", "position")
+
+
 PAGE_NO = 3
 
 

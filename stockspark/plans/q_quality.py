@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stockspark import constants as K
 from stockspark.operators import alerts as AL
 from stockspark.operators import quality as Q
+from stockspark.operators.key_graph import Key, delete_through
 from stockspark.plans.catalog import register, with_views
 
 
@@ -164,6 +165,55 @@ def delete_effects(v, p):
     })
 
 
+#: A graph of four levels over the loaded tables, with all three actions.
+GRAPH = [Key("customer", "c_nationkey", "nation", "CASCADE"), Key("orders", "o_custkey", "customer", "CASCADE"),
+         Key("lineitem", "l_orderkey", "orders", "CASCADE"), Key("lineitem", "l_suppkey", "supplier", "SET NULL"),
+         Key("supplier", "s_nationkey", "nation", "SET NULL"), Key("lineitem", "l_partkey", "part", "RESTRICT")]
+
+
+@register("delete_graph", """
+with recursive l as (select l_orderkey * 8 + l_linenumber id, l_orderkey, l_suppkey, l_partkey from lineitem),
+roots as (select 'nation' root_table, n_nationkey root_id from nation where n_nationkey in (3, 8)
+  union all select 'customer', c_custkey from customer where c_custkey % 25 = 3
+  union all select 'supplier', s_suppkey from supplier
+  union all select 'part', p_partkey from part where p_partkey % 20 = 0),
+del(root_table, root_id, tab, id) as (
+  select root_table, root_id, root_table, root_id from roots
+  union
+  select d.root_table, d.root_id, e.tab, e.id
+  from del d join (
+    select 'nation' parent, c_nationkey up, 'customer' tab, c_custkey id from customer
+    union all select 'customer', o_custkey, 'orders', o_orderkey from orders
+    union all select 'orders', l_orderkey, 'lineitem', id from l) e on e.parent = d.tab and e.up = d.id),
+hit as (
+  select root_table, root_id, 'CASCADE' effect, tab target, count(*) n from del group by all
+  union all
+  select d.root_table, d.root_id, 'SET NULL', 'lineitem.l_suppkey', count(*) from del d join l on d.tab = 'supplier' and l.l_suppkey = d.id
+    where not exists (from del x where x.root_table = d.root_table and x.root_id = d.root_id and x.tab = 'lineitem' and x.id = l.id)
+    group by all
+  union all
+  select d.root_table, d.root_id, 'SET NULL', 'supplier.s_nationkey', count(*) from del d join supplier s on d.tab = 'nation' and s.s_nationkey = d.id group by all
+  union all
+  select d.root_table, d.root_id, 'RESTRICT', 'lineitem.l_partkey', count(*) from del d join l on d.tab = 'part' and l.l_partkey = d.id group by all),
+stop as (select distinct root_table, root_id, true blocked from hit where effect = 'RESTRICT')
+select root_table, root_id, coalesce(blocked, false) blocked, effect, target, n
+from hit left join stop using (root_table, root_id) where blocked is null or effect = 'RESTRICT'
+""")
+def delete_graph(v, p):
+    """Q-03: deletes through the key graph, CASCADE and SET NULL over all levels, RESTRICT blocking its root only."""
+    t = v.t
+    frames = {
+        "nation": t.nation.withColumn("id", F.col("n_nationkey").cast("long")),
+        "customer": t.customer.withColumn("id", F.col("c_custkey").cast("long")),
+        "orders": t.orders.withColumn("id", F.col("o_orderkey").cast("long")),
+        "supplier": t.supplier.withColumn("id", F.col("s_suppkey").cast("long")),
+        "part": t.part.withColumn("id", F.col("p_partkey").cast("long")),
+        "lineitem": t.lineitem.withColumn("id", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long"))}
+    roots = {"nation": frames["nation"].where("id in (3, 8)"), "customer": frames["customer"].where("id % 25 = 3"),
+             "supplier": frames["supplier"], "part": frames["part"].where("id % 20 = 0")}
+    return delete_through(frames, GRAPH, roots)
+
+
 def _in(values):
     return "(" + ", ".join(f"'{x}'" for x in values) + ")"
 

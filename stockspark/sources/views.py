@@ -11,13 +11,20 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockspark.functions import exprs as X
+from stockspark.functions.filters import date_range
 from stockspark.sources.tables import Tables
 
 D12 = "decimal(12,2)"
+TXN_ORDER = ["created_at", "product_id", "ord_key", "ord_line"]
+
+
+def _earlier(col: str, day) -> Column:
+    """What comes before the day in time order; nulls come first."""
+    return F.col(col).isNull() | (F.to_date(col) < F.lit(day))
 
 
 class Views:
@@ -121,14 +128,29 @@ class Views:
         for sums and counts; avoids the numbering shuffle)."""
         return self.ledger.filter(F.col("accepted"))
 
+    def accepted_between(self, date_from, date_to) -> DataFrame:
+        """The accepted movements of a closed date range; of the stored ledger, its months only."""
+        rows = self.store.rows(str(date_from), str(date_to))
+        return rows.filter(F.col("accepted") & date_range("created_at", date_from, date_to))
+
     @cached_property
     def stock_transactions(self) -> DataFrame:
         """Accepted movements (refused ones never reach the table), numbered
         TXN-0001... in time order (W-01), with their references."""
         from stockspark.operators.numbering import number_rows
+        return self._with_references(number_rows(self.accepted_movements, TXN_ORDER, "TXN", out="txn_number"))
+
+    def transactions_between(self, date_from, date_to) -> DataFrame:
+        """``stock_transactions`` of a closed date range: numbers are in time order, so those before the range are
+        counted and only its own rows are sorted."""
+        from stockspark.operators.numbering import number_rows
+        before = self.store.rows(date_to=str(date_from)).filter(F.col("accepted") & _earlier("created_at", date_from))
+        rows = self.accepted_between(date_from, date_to)
+        return self._with_references(number_rows(rows, TXN_ORDER, "TXN", out="txn_number", base=before.count()))
+
+    def _with_references(self, numbered: DataFrame) -> DataFrame:
         key, mtype = F.col("ord_key").cast("string"), F.col("type")
-        return (number_rows(self.accepted_movements, ["created_at", "product_id", "ord_key", "ord_line"], "TXN",
-                            out="txn_number")
+        return (numbered
                 .withColumn("reference_number", F.when(mtype == "stock_out", F.concat(F.lit("ISS-"), key)))
                 .withColumn("invoice_number", F.when(mtype == "stock_in", F.concat(F.lit("INV-"), key)))
                 .withColumn("remarks", F.when(mtype.startswith("adjustment"), F.lit("Stock count"))))
@@ -140,8 +162,7 @@ class Views:
         k = F.col("p_partkey")
         cats = self.categories.select(F.col("id").alias("category_id"),
                                       F.col("name").alias("_cat_name"))
-        # categories: one row per distinct type name, a bounded dimension
-        base = p.join(F.broadcast(cats), p.p_type == cats._cat_name, "left")
+        base = p.join(cats, p.p_type == cats._cat_name, "left")
         return base.select(
             k.alias("id"),
             X.product_code(k).alias("product_code"),
@@ -216,6 +237,13 @@ class Views:
         from stockspark.operators.numbering import number_rows
         return number_rows(self.issue_requests, ["created_at", "id"], "ISS", out="issue_number")
 
+    def requests_between(self, date_from, date_to) -> DataFrame:
+        """``numbered_requests`` of a closed date range; the requests before it are only counted."""
+        from stockspark.operators.numbering import number_rows
+        before = self.issue_requests.filter(_earlier("created_at", date_from)).count()
+        rows = self.issue_requests.filter(date_range("created_at", date_from, date_to))
+        return number_rows(rows, ["created_at", "id"], "ISS", out="issue_number", base=before)
+
     @cached_property
     def indents(self) -> DataFrame:
         o = self.t.orders

@@ -9,6 +9,8 @@ import datetime as dt
 from decimal import Decimal
 from types import SimpleNamespace
 
+from stockspark.functions.filters import date_range
+
 NOW = dt.datetime(2025, 3, 15, 12, 0, 0)
 D = Decimal
 
@@ -93,4 +95,5 @@ def seed_views(spark):
         "created_at timestamp_ntz")
     return SimpleNamespace(spark=spark, categories=cats, users=users, products=prod,
                            product_base=prod.drop("current_stock"), accepted_movements=moves,
+                           accepted_between=lambda a, b: moves.where(date_range("created_at", a, b)),
                            indents=indents, issue_requests=issues)

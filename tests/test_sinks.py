@@ -40,3 +40,15 @@ def test_unknown_export_type_is_rejected(views):
     from stockspark.params import DEFAULT
     with pytest.raises(ValueError):
         EX.export(views, DEFAULT, "everything")
+
+
+def test_export_is_logged_once(spark, views):
+    from stockspark.params import DEFAULT
+    from stockspark.sources.commits import CommitLog
+    d = tempfile.mkdtemp(prefix="export-")
+    for want in (True, False):
+        assert EX.run_export(views, DEFAULT, "stock_summary", f"{d}/csv", f"{d}/audit", "e1") is want
+    assert EX.run_export(views, DEFAULT, "stock_summary", f"{d}/csv2", f"{d}/audit", "e2")
+    got = CommitLog(spark, f"{d}/audit").get("rows").collect()
+    assert [(r.action, "stock_summary" in r.details) for r in got] == [("EXPORT", True)] * 2
+    assert spark.read.option("header", True).csv(f"{d}/csv/rows").count() > 0
