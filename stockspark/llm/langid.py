@@ -5,22 +5,30 @@ unseen word is looked up as its character n-grams (with word boundaries) of
 the greatest length, then of one less and so on down to single characters;
 the first length with a known n-gram gives the mean of their log frequencies.
 
-Fitting: from each language at most ``max_docs`` training documents, those of
-smallest id hash (a bounded, documented sample of labelled rows); every word
-and n-gram of their whole texts is counted by Spark, and the ``max_words`` and
-``max_grams`` most frequent entries are the model, which bounds what is
-broadcast.  Prediction covers every whole text.
-
-A null text or one without a letter is ``und`` with score 0.  Null langs are
-not learned; without any labelled row all is ``und``.  Ties go to the first
-language in name order.  Repeated rows count as they occur.
+Fitting: from each language about ``max_docs`` training documents, those whose
+id hash lies below the share of its documents that makes so many (a bounded,
+documented sample of labelled rows; all where there are fewer); every word and
+n-gram of their whole texts is counted by Spark.  Each language adds its
+``max_words`` most frequent words and, of every length, its ``max_grams`` most
+frequent n-grams, so a language with few rows keeps its own; that bounds what
+is broadcast by the number of languages.  Prediction covers every whole text.
+
+Words begin with a letter and go on with letters and combining marks, so the
+vowel signs of Indic scripts stay in their words; superscripts, fractions and
+enclosed numbers are no letters.  A null text or one without a letter is
+``und`` with score 0.  Null langs are not learned; without any labelled row
+(an empty table, too) all is ``und``.  Ties go to the first language in name
+order.  Repeated rows count as they occur, a very long text like any other.
+Only doc_id, lang and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +37,18 @@ from pyspark.sql import functions as F
 
 from stockspark.llm.common import fold_col, map_rows, pa_schema, prepare, staged
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
+
+
+def _ranges_of(wanted: Callable[[str], bool]) -> str:
+    """The characters that ``wanted`` picks, as ranges of a regular expression's class."""
+    points = [c for c in range(0x110000) if wanted(chr(c))]
+    cuts = [i for i in range(1, len(points)) if points[i] != points[i - 1] + 1]
+    return "".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" for a, b in zip([0, *cuts], [*cuts, len(points)]))
+
+
+#: Numbers that are word characters without being digits, and marks, which are none.
+_LETTER = "[^\\W\\d_" + _ranges_of(lambda c: c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]"
+_WORDS = re.compile(f"{_LETTER}(?:{_LETTER}|[{_ranges_of(lambda c: unicodedata.category(c)[0] == 'M')}])*").findall
 LONGEST = 4
 SMOOTH = 0.5
 #: Languages up to which the sample's bounds are broadcast.
@@ -48,14 +67,14 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def sample(training: DataFrame, max_docs: int) -> DataFrame:
-    """At most ``max_docs`` rows of each language (rows of equal id stay together)."""
-    keyed = training.select("lang", F.xxhash64("doc_id").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = keyed.withColumn("r", rank).where(F.col("r") <= max_docs).groupBy("lang").agg(F.max("h").alias("last"))
-    last = staged(last, "lang-sample")
-    if last.count() <= MAX_SMALL:            # one row a language; beyond that a shuffled join
-        last = F.broadcast(last)
-    return (training.join(last, "lang").where(F.xxhash64("doc_id") <= F.col("last")).select("lang", "text"))
+    """About ``max_docs`` rows of each language, all of those with fewer (rows of equal id stay together)."""
+    share = (training.groupBy("lang").agg(F.count("*").alias("n"))
+             .select("lang", F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n")).alias("share")))
+    share = staged(share, "lang-sample")
+    if share.count() <= MAX_SMALL:            # one row a language; beyond that a shuffled join
+        share = F.broadcast(share)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63))          # from 0 to 1
+    return training.join(share, "lang").where((F.col("share") >= 1) | (place < F.col("share"))).select("lang", "text")
 
 
 def count_entries(rows: DataFrame) -> DataFrame:
@@ -80,7 +99,7 @@ def count_entries(rows: DataFrame) -> DataFrame:
             .groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")))
 
 
-def fit(training: DataFrame, max_docs: int = 1500, max_words: int = 120_000, max_grams: int = 60_000) -> dict:
+def fit(training: DataFrame, max_docs: int = 1500, max_words: int = 25_000, max_grams: int = 10_000) -> dict:
     """The model from rows (doc_id, lang, text): languages, and per kind {entry: log frequencies}."""
     prepare(training.sparkSession)
     counts = staged(count_entries(sample(training.where("lang IS NOT NULL AND text IS NOT NULL"), max_docs)), "lang-counts")
@@ -88,15 +107,15 @@ def fit(training: DataFrame, max_docs: int = 1500, max_words: int = 120_000, max
               counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     langs = sorted({lang for _, lang in totals})
     model: dict = {"langs": langs, "tables": {}}
+    order = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "entry")
+    most = F.when(F.col("kind") == 0, max_words).otherwise(max_grams)
+    own = (counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(max_words, max_grams))
+           .where(F.col("r") <= most).select("kind", "entry").distinct())
     each = F.map_from_entries(F.collect_list(F.struct("lang", "n")))      # one entry a language
-    for kinds, most in (("kind = 0", max_words), ("kind > 0", max_grams)):
-        top = (counts.where(kinds).groupBy("kind", "entry").agg(F.sum("n").alias("all"), each.alias("by"))
-               .sort(F.desc("all"), "kind", "entry").limit(most))
-        for r in top.collect():                  # at most max_words and max_grams rows
-            n = [r["by"].get(lang, 0) for lang in langs]
-            model["tables"].setdefault(r["kind"], {})[r["entry"]] = [
-                math.log((c + SMOOTH) / (t + SMOOTH * (v + 1)))
-                for c, (t, v) in zip(n, (totals.get((r["kind"], lang), (0, 0)) for lang in langs))]
+    for r in counts.join(own, ["kind", "entry"]).groupBy("kind", "entry").agg(each.alias("by")).toLocalIterator():
+        model["tables"].setdefault(r["kind"], {})[r["entry"]] = [
+            math.log((r["by"].get(lang, 0) + SMOOTH) / (t + SMOOTH * (v + 1)))
+            for lang, (t, v) in zip(langs, (totals.get((r["kind"], lang), (0, 0)) for lang in langs))]
     return model
 
 

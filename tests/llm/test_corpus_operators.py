@@ -32,6 +32,12 @@ def test_languages(spark):
     assert sum(lang == p["lang_pred"] for lang, p in held) >= 0.97 * len(held)
 
 
+def test_language_sample_is_bounded(spark):
+    rows = spark.range(20_000).selectExpr("id doc_id", "if(id % 100 = 0, 'b', 'a') lang", "'x' text")
+    got = {r["lang"]: r["count"] for r in langid.sample(rows, 1500).groupBy("lang").count().collect()}
+    assert got["b"] == 200 and abs(got["a"] - 1500) < 200
+
+
 def test_language_odd_rows(odd, make):
     got = langid.identify(clash(odd)).collect()
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
@@ -50,6 +56,80 @@ def test_unseen_words_back_off():
     assert s.predict(["known", "xzzx", "q", "", None, "12"])[0] == ["a", "b", "a", "und", "und", "und"]
 
 
+def plain_languages(docs, max_words, max_grams):
+    """Language and score of each (doc_id, lang, text) row by counting in Python, without a sample."""
+    import unicodedata
+    kind = lambda c: unicodedata.category(c)[0]
+
+    def words(text):
+        out, cur = [], ""
+        for c in (text or "").lower() + " ":
+            if kind(c) == "L" or cur and kind(c) == "M":
+                cur += c
+            elif cur:
+                out.append(cur)
+                cur = ""
+        return out
+    grams = lambda w, k: [f" {w} "[i:i + k] for i in range(len(w) + 3 - k)]
+    n = Counter()
+    for i, lang, text in docs:
+        if fold_of(i, 4) != 2 and lang is not None and text is not None:
+            for w in words(text):
+                n[0, w, lang] += 1
+                for k in (1, 2, 3, 4):
+                    n.update((k, g, lang) for g in grams(w, k))
+    total, size, by = Counter(), Counter(), {}
+    for (k, e, lang), c in n.items():
+        total[k, lang] += c
+        size[k, lang] += 1
+        by.setdefault((k, lang), []).append((-c, e))
+    known = {(k, e) for (k, _), es in by.items() for _, e in sorted(es)[:max_words if k == 0 else max_grams]}
+    langs = sorted({lang for _, lang in total})
+    logp = lambda k, e: np.array([math.log((n[k, e, x] + 0.5) / (total[k, x] + 0.5 * (size[k, x] + 1))) for x in langs])
+    for i, _, text in docs:
+        ws, sums = words(text), np.zeros(len(langs))
+        for w in ws:
+            hits = next((h for h in ([(0, w)] * ((0, w) in known), *([(k, g) for g in grams(w, k) if (k, g) in known]
+                                                                     for k in (4, 3, 2, 1))) if h), [])
+            if hits:
+                sums = sums + sum(logp(*h) for h in hits) / len(hits)
+        if not ws or not langs:
+            yield i, "und", 0.0
+        else:
+            yield i, langs[int(sums.argmax())], float(1 / np.exp(sums - sums.max()).sum())
+
+
+def test_languages_equal_plain_scorer(make):
+    """Every prediction against counting in Python: a language of few rows, tight bounds, marks, numbers."""
+    rng = random.Random(9)
+    vocab = {"de": "der die und über straße nicht größe", "en": "the and over street not size of it", "hi": "यह किताब अच्छी है हिन्दी में"}
+    texts = []
+    for i in range(90):
+        lang = "hi" if i % 18 == 0 else ("de", "en")[i % 2]
+        base = vocab[lang].split()
+        texts.append((i, lang, " ".join(rng.choice(base) + rng.choice(["", "", "x", "½"]) for _ in range(rng.randrange(1, 25)))))
+    texts += [(200, "en", "½ ² ③ Ⅷ 12 _"), (201, None, None), (202, "de", ""), (203, None, "किताब हिन्दी"), (204, "en", "zzz")]
+    df = make([(i, t) for i, _, t in texts]).drop("lang").join(
+        make([]).sparkSession.createDataFrame([(i, lang) for i, lang, _ in texts], "doc_id long, lang string"), "doc_id", "left")
+    for words, grams in ((1000, 1000), (4, 6)):
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in
+               langid.identify(df, max_words=words, max_grams=grams).collect()}
+        for i, lang, score in plain_languages(texts, words, grams):
+            assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-9), i
+        assert got[200] == ("und", 0.0) and got[203][0] == "hi"
+
+
+def test_languages_with_few_rows(spark):
+    """A language of a few dozen rows among full ones is still told apart on held-out rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    few = docs.where("lang = 'es'").orderBy("doc_id").limit(40)
+    got = langid.identify(docs.where("lang <> 'es'").unionByName(few), max_words=3000, max_grams=1500)
+    held = got.where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    es = [r for r in held if r["lang"] == "es"]
+    assert len(es) >= 5 and sum(r["lang_pred"] == "es" for r in es) >= 0.9 * len(es)
+    assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.97 * len(held)
+
+
 # ------------------------------------------------------------------ LM scores
 def plain_lm(docs, order):
     mu, grams = ngram_trie.MU, [Counter() for _ in range(order)]
@@ -112,6 +192,32 @@ def test_classifier_held_out(spark):
     assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_quality_scores_equal_the_rules_by_hand(spark, monkeypatch):
+    """Each score of the query against its rules, evaluated in Python on statistics of the stored measurements."""
+    from stockspark.llm.quality_rules import ledger
+    sf = "/root/testdata/sf0.01"
+    models = []
+    fit = rule_ensemble.fit
+    monkeypatch.setattr(rule_ensemble, "fit", lambda rows: models.append(fit(rows)) or models[-1])
+    got = {r["doc_id"]: r for r in queries.op8_quality_classifier(spark, sf).collect()}
+    model, = models
+    assert model.rules
+    ratio = lambda a, b: a / b if b else 0.0
+    for r in ledger(spark.read.parquet(f"{sf}/documents.parquet")).collect():
+        x = {"log_words": math.log1p(r["n_words"]), "word_length": ratio(r["word_chars"], r["n_words"]),
+             "symbol_chars": ratio(r["n_symbols"], r["word_chars"]), "symbol_words": ratio(r["n_symbol_words"], r["n_words"]),
+             "bang_words": ratio(r["n_bang_words"], r["n_words"]), "upper": ratio(r["n_upper"], r["n_letters"]),
+             "letters": ratio(r["n_letters"], r["word_chars"]), "digits": ratio(r["n_digits"], r["word_chars"]),
+             "dup_lines": ratio(r["n_dup_lines"], r["n_lines"]), "repeat_words": ratio(r["n_repeat_words"], r["n_words"]),
+             "ended_lines": ratio(r["n_ended_lines"], r["n_lines"]), "words_a_line": ratio(r["n_words"], r["n_lines"]),
+             "longest_word": float(r["longest_word"])}
+        total = model.intercept + sum(w for rule, w in model.rules if all(
+            x[name] <= cut if way == "<=" else x[name] > cut for name, way, cut in rule))
+        score = 1 / (1 + math.exp(-total))
+        assert got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-9)
+        assert got[r["doc_id"]]["predicted"] == int(score >= 0.3)
+
+
 def test_classifier_odd_labels(spark, odd):
     ids = [(i, q) for i in range(16) for q in ((i % 2, None) if i else (None,))]
     labels = clash(spark.createDataFrame([*ids, (None, 1), (3, 1), (3, 0), (99, 7)], "doc_id long, quality int"))
