@@ -131,9 +131,9 @@ def test_spelling_query(spark):
 def test_spelling_dense_words(make):
     """Short alphabets make large prefix ranges, runs of equal letters, ties and long chains of forms."""
     rng = random.Random(3)
-    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(4, 9))) for _ in range(250)]
-    weights = [2 ** rng.randrange(0, 8) for _ in words]
-    texts = [" ".join(rng.choices(words, weights, k=400)).upper().replace("É", "é") + "…" for _ in range(12)]
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(5, 8))) for _ in range(600)]
+    weights = [2 ** rng.randrange(0, 6) for _ in words]
+    texts = [" ".join(rng.choices(words, weights, k=900)).upper().replace("É", "é") + "…" for _ in range(12)]
     df = make([*enumerate(texts), (None, texts[0]), (3, texts[3]), (50, None), (51, ""), (52, "aaaaa-aaaaa aaaaaa aaaa")])
     docs = [(r["doc_id"], r["text"]) for r in df.collect()]
     want = list(plain_forms(plain_words(docs)))
@@ -206,7 +206,7 @@ def test_collocations_match_plain_counts(make):
 
 def test_collocations_across_shards_and_ranges(make, monkeypatch):
     for name, value in (("RUN_BYTES", 500), ("WORDS_PER_SHARD", 40), ("PAIRS_PER_SHARD", 300), ("GRAMS_PER_RANGE", 60),
-                        ("PHRASES_PER_AUTOMATON", 20)):
+                        ("PHRASES_PER_AUTOMATON", 20), ("SAMPLED", 5)):
         monkeypatch.setattr(collocations, name, value)
     check_collocations(make(list(phrases(random.Random(5), 12, 60)), parts=4), min_n=6)
 

@@ -178,11 +178,11 @@ def test_path_ratios_choose_inside_articles():
 
 def test_long_page_and_empty_table(spark):
     paragraph = "A long page, with a sentence that ends. "
-    page = "<main>" + f"<p>{paragraph * 20}</p><script>if(a<b){{}}</script>" * 6000 + "</main>"
+    page = "<main>" + f"<p>{paragraph * 20}</p><script>if(a<b){{}}</script>" * 6100 + "</main>"
     assert len(page) > 5_000_000
     pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
     got = html_main.extract(pages).first()["text"]
-    assert got == "\n\n".join([(paragraph * 20).strip()] * 6000)
+    assert got == "\n\n".join([(paragraph * 20).strip()] * 6100)
     assert html_main.extract(pages.limit(0)).count() == 0
 
 
