@@ -39,10 +39,11 @@ from stockspark.llm.blocks import NULL_ID, cut_blocks
 from stockspark.llm.common import pa_schema, prepare, sized_buckets, staged
 from stockspark.llm.packed import deal_slices, pack_bits, planes, shard_cuts, unpack_bits, unplanes
 
-RUN_BYTES = 8 << 20
-KEYS_PER_SHARD = 2_000_000
+RUN_BYTES = 4 << 20
+KEYS_PER_SHARD = 1_000_000
 COPY, ANCHOR, WINDOW = range(3)
-BLOCKS = "block long, ids array<long>, texts array<binary>, n_words long"
+#: ``tokens``: places in ``words`` (joined by blanks); ``whole``: a digest of each document's word sequence.
+BLOCKS = "block long, ids array<long>, sizes array<long>, words binary, tokens binary, whole binary"
 #: Packed keys of one run for one shard; ``own``: reference-block bits of anchors, first (doc, position) of windows.
 SENT = "shard long, block long, keys binary, own binary"
 ANSWERED = "kind int, shard long, block long, bits binary, found binary"
@@ -52,22 +53,34 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 
 
 # ------------------------------------------------------------------ words and hashes of a run
+def _run_row(block: int, ids, texts) -> dict:
+    """Words of a run of documents, numbered by first occurrence."""
+    of: dict = {}
+    sizes, tokens, whole = [], [], np.zeros(len(ids), DIGEST)
+    for k, t in enumerate(texts):
+        ws = t.split()
+        sizes.append(len(ws))
+        tokens.append(np.fromiter((of.setdefault(w, len(of)) for w in ws), "<u4", len(ws)))
+        x = xxhash.xxh3_128_intdigest(b" ".join(ws))
+        whole[k] = (x & 0xFFFFFFFFFFFFFFFF, x >> 64 & 0xFFFFFFFF)
+    return {"block": [block], "ids": [ids], "sizes": [sizes], "words": [b" ".join(of)],
+            "tokens": [np.concatenate(tokens).tobytes()], "whole": [whole.tobytes()]}
+
+
 class Run:
     """Words of consecutive documents as hashes, with the places of windows and anchors."""
 
-    def __init__(self, ids, texts, window: int):
-        self.window, self.anchor = window, (window + 1) // 2
-        self.ids = np.asarray(ids, np.int64)
-        self.words = [t.split() for t in texts]
-        of: dict = {}
-        at = np.fromiter((of.setdefault(w, len(of)) for ws in self.words for w in ws), np.int64)
-        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, of)), ">u8").astype(np.uint64)
-        self.h1, self.h2 = both[0::2][at], both[1::2][at]
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+    def __init__(self, row: dict, window: int):
+        self.window, self.anchor, self.block = window, (window + 1) // 2, row["block"]
+        self.ids, self.sizes = np.asarray(row["ids"], np.int64), np.asarray(row["sizes"], np.int64)
+        self.whole = np.frombuffer(row["whole"], DIGEST)
+        self.words, self.tokens = row["words"].split(), np.frombuffer(row["tokens"], "<u4")
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), ">u8").astype(np.uint64)
+        self.h1, self.h2 = both[0::2][self.tokens], both[1::2][self.tokens]
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)      # of each word
-        self.pos = np.arange(len(at)) - self.starts[self.doc]
+        self.pos = np.arange(len(self.tokens)) - self.starts[self.doc]
         self.left = self.sizes[self.doc] - self.pos                     # words from here to the end
 
     def rolling(self, h: np.ndarray, n: int, mult: np.uint64) -> np.ndarray:
@@ -80,14 +93,6 @@ class Run:
         out ^= out >> np.uint64(29)
         return np.concatenate((out, np.zeros(len(h) - len(out), np.uint64)))
 
-    def whole(self) -> np.ndarray:
-        """A digest of each document's word sequence."""
-        out = np.zeros(len(self.ids), DIGEST)
-        for k, ws in enumerate(self.words):
-            x = xxhash.xxh3_128_intdigest(b" ".join(ws))
-            out[k] = (x & 0xFFFFFFFFFFFFFFFF, x >> 64 & 0xFFFFFFFF)
-        return out
-
     def fresh(self, copy: np.ndarray) -> np.ndarray:
         """Words of documents that hold a window and are no copies."""
         return np.repeat((self.sizes >= self.window) & ~copy, self.sizes)
@@ -200,14 +205,13 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
 
     def to_runs(batches):
         for block, ids, texts in cut_blocks(batches, RUN_BYTES):
-            yield pa.RecordBatch.from_pydict({"block": [block], "ids": [ids], "texts": [texts],
-                                              "n_words": [sum(len(t.split()) for t in texts)]}, schema=out)
+            yield pa.RecordBatch.from_pydict(_run_row(block, ids, texts), schema=out)
     runs = sized_buckets(src.mapInArrow(to_runs, BLOCKS), "block", "anchor_runs", src, "text")
-    n_shards = max(1, -(-(runs.agg(F.sum("n_words").alias("n")).first()["n"] or 0) // KEYS_PER_SHARD))
+    n_words = runs.agg(F.sum(F.length("tokens")).alias("n")).first()["n"] or 0
+    n_shards = max(1, -(-n_words // (4 * KEYS_PER_SHARD)))
 
     def copies(run: Run, got) -> tuple:
-        own = run.firsts(np.arange(len(run.ids)), 0)
-        first = _sources(run.whole(), own, got, COPY, n_shards)
+        first = _sources(run.whole, run.firsts(np.arange(len(run.ids)), 0), got, COPY, n_shards)
         return first["doc"] < run.ids, first
 
     def hits(run: Run, got, copy):
@@ -215,25 +219,28 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
         live, _ = _answered(got, ANCHOR, anchors[0] >> np.uint64(16), n_shards)
         return run.windows(copy, live, anchors)
 
-    def send_copies(rows):
-        for r in _runs_of(rows, window):
-            yield _deal_digests(r.block, r.whole(), r.firsts(np.arange(len(r.ids)), 0), n_shards)
+    def send_copies(frames):
+        for rows in frames:
+            for block, ids, whole in zip(rows["block"], rows["ids"], rows["whole"]):
+                firsts = np.zeros(len(ids), FIRST)
+                firsts["doc"] = ids
+                yield _deal_digests(block, np.frombuffer(whole, DIGEST), firsts, n_shards)
 
     def send_anchors(rows, got):
-        for r in _runs_of([rows], window):
+        for r in _runs_of(rows, window):
             keys, _, _, fixed = r.anchors(copies(r, got)[0])
             return deal_slices(r.block, keys >> np.uint64(16), lambda a, b: planes(keys[a:b], 6),
                          lambda a, b: pack_bits(fixed[a:b]), n_shards)
         return pd.DataFrame(columns=[c.split()[0] for c in SENT.split(", ")])
 
     def send_windows(rows, got):
-        for r in _runs_of([rows], window):
+        for r in _runs_of(rows, window):
             at, digests = hits(r, got, copies(r, got)[0])
             return _deal_digests(r.block, digests, r.firsts(r.doc[at], r.pos[at]), n_shards)
         return pd.DataFrame(columns=[c.split()[0] for c in SENT.split(", ")])
 
     def cut(rows, got):
-        for r in _runs_of([rows], window):
+        for r in _runs_of(rows, window):
             copy, first = copies(r, got)
             at, digests = hits(r, got, copy)
             source = _sources(digests, r.firsts(r.doc[at], r.pos[at]), got, WINDOW, n_shards)
@@ -247,7 +254,7 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
     def with_answers(got, fn, schema):
         return runs.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(fn, schema)
 
-    got = exchange(runs.mapInPandas(send_copies, SENT), _answer_digests(COPY), "copies")
+    got = exchange(runs.select("block", "ids", "whole").mapInPandas(send_copies, SENT), _answer_digests(COPY), "copies")
     got = got.unionByName(exchange(with_answers(got, send_anchors, SENT), _answer_anchors, "anchors"))
     got = got.unionByName(exchange(with_answers(got, send_windows, SENT), _answer_digests(WINDOW), "windows"))
     result = ("doc_id long, n_words long, n_removed long, kept_sha256 string, "
@@ -255,12 +262,8 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
     return with_answers(got, cut, result + (", kept_text string" if with_text else ""))
 
 
-def _runs_of(frames, window: int):
-    for rows in frames:
-        for row in rows.to_dict("records"):
-            run = Run(row["ids"], row["texts"], window)
-            run.block = row["block"]
-            yield run
+def _runs_of(rows: pd.DataFrame, window: int):
+    return (Run(row, window) for row in rows.to_dict("records"))
 
 
 def _cut(r: Run, at, source, copy, first, window: int, with_text: bool) -> pd.DataFrame:
@@ -283,11 +286,11 @@ def _cut(r: Run, at, source, copy, first, window: int, with_text: bool) -> pd.Da
     for d in np.flatnonzero(copy & (r.sizes >= window)):
         repeats[d] = [(0, int(r.sizes[d]), _id(first["doc"][d]), 0)]
     rows = []
-    for d, (i, ws) in enumerate(zip(r.ids, r.words)):
+    for d, i in enumerate(r.ids):
         part = gone[r.starts[d]:r.ends[d]]
         n = int(part.sum())
-        kept = b" ".join(w for w, g in zip(ws, part) if not g) if n else b" ".join(ws)
-        rows.append((_id(i), len(ws), n, hashlib.sha256(kept).hexdigest(), repeats[d],
+        kept = b" ".join([r.words[t] for t in r.tokens[r.starts[d]:r.ends[d]][~part].tolist()])
+        rows.append((_id(i), len(part), n, hashlib.sha256(kept).hexdigest(), repeats[d],
                      *([kept.decode("utf-8", "replace")] if with_text else [])))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats", *(["kept_text"] if with_text else [])]
     frame = pd.DataFrame(rows, columns=names)
