@@ -5,9 +5,10 @@ ids of their frequent words, and which of their word pairs are frequent; a
 phrase with a rare word or pair is rare itself.  What is left gives each run
 its sorted n-grams with counts.
 
-*Union*: the n-grams of all runs are sorted into ranges; one scan of a range
-sums equal prefixes, so a range holds the weights of its part of the union.
-Prefixes at a range's edge are summed across ranges.  *Build*: the surviving
+*Union*: the runs' sorted n-grams are cut at common bounds, which evenly
+spaced samples of all runs give; a range merges its slices and sums equal
+prefixes, so it holds the weights of its part of the union.  Prefixes at a
+range's edge are summed across ranges.  *Build*: the surviving
 phrases, sorted, go one by one into an acyclic automaton for each range; a
 state is closed as soon as the next phrase leaves it and shared with an equal
 one.  An arc weighs by how much the count drops, so equal continuations are
@@ -15,8 +16,8 @@ equal states whatever their counts.  *Compose*: the parts of all candidates
 are sorted requests, an acyclic automaton too; both are walked together, which
 weighs every part.
 
-Hot words, pairs and passages: a run sends a key once, ranges cut at any
-n-gram, and requests name a part once for each range of candidates, so
+Hot words, pairs and passages: a run sends an n-gram once, ranges are cut at
+any n-gram, and requests name a part once for each range of candidates, so
 nothing is gathered by word, lang or phrase.
 
 A null text is empty, a null lang is ``und``.  doc_id is not read.  Repeated
@@ -43,7 +44,7 @@ from stockspark.llm.common import pa_schema, prepare, sized_buckets, staged
 from stockspark.llm.packed import deal_slices, pack_bits, planes, shard_cuts, unpack_bits, unplanes
 
 RUN_BYTES = 8 << 20
-WORDS_PER_SHARD, PAIRS_PER_SHARD, GRAMS_PER_RANGE, PHRASES_PER_AUTOMATON = 500_000, 2_000_000, 2_000_000, 100_000
+WORDS_PER_SHARD, PAIRS_PER_SHARD, GRAMS_PER_RANGE, PHRASES_PER_AUTOMATON = 500_000, 2_000_000, 1_000_000, 100_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
 _BREAKS = {bytes([c]) for c in b".,;:!?\n\x0b\x0c\r"}
@@ -178,56 +179,95 @@ def _grams(t: np.ndarray, often: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return np.stack([c[firsts] for c in cols], 1) if len(start) else np.zeros((0, size), np.int64), counts
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """A matrix of ids, column by column in byte planes: sorted n-grams take little room."""
+    return planes(np.ascontiguousarray(ids.T).reshape(-1))
+
+
+def _unpacked(raw: bytes, size: int) -> np.ndarray:
+    return np.ascontiguousarray(unplanes(raw, "<i8").reshape(size, -1).T)
+
+
 # ------------------------------------------------------------------ union
-def _sum_ranges(size: int):
-    """Arrow pass over a sorted range: (n-gram, n, lang) to weights of all prefixes of two or more words."""
-    def run(batches):
-        open_: list = [None] * (size + 1)                  # by level: [key, sum, lang, whether it began the range]
-        schema = pa.schema([*((f"w{k}", pa.int64()) for k in range(1, size + 1)), ("n", pa.int64()),
-                            ("lang", pa.string()), ("edge", pa.bool_())])
-        begun = [False] * (size + 1)
-
-        def frame(keys, sums, langs, edge, level):
-            full = np.zeros((len(sums), size), np.int64)
-            full[:, :level] = keys
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(full[:, k]) for k in range(size)), pa.array(sums), pa.array(langs, pa.string()),
-                 pa.array(edge)], schema=schema)
-        for b in batches:
-            if not b.num_rows:
+#: A run's sorted n-grams with counts and langs (``lang_at``: places in ``langs``), and some of them, evenly spaced.
+GRAMS = "block long, n_grams long, grams binary, counts binary, lang_at binary, langs array<string>, sample binary"
+SLICES = "shard long, grams binary, counts binary, lang_at binary, langs array<string>"
+SAMPLED = 64                       # n-grams of a run's sample
+MAX_SAMPLE = 1_000_000             # sampled n-grams that the driver sorts for the bounds
+
+
+def _bytes_of(ids: np.ndarray) -> np.ndarray:
+    """Rows as strings of the same order."""
+    return np.ascontiguousarray(ids.astype(">i8")).view(f"S{8 * ids.shape[1]}").reshape(-1)
+
+
+def _range_bounds(grams: DataFrame, n_ranges: int, size: int) -> np.ndarray:
+    """The first n-grams of all ranges but the first, from the runs' samples, each by the n-grams it stands for."""
+    n_runs = grams.count()
+    if n_ranges < 2 or not n_runs:
+        return np.zeros((0, size), np.int64)
+    some = grams.sample(min(1.0, MAX_SAMPLE / SAMPLED / n_runs), seed=1) if n_runs * SAMPLED > MAX_SAMPLE else grams
+    rows = some.select("n_grams", "sample").collect()                # at most about MAX_SAMPLE n-grams
+    keys = [_unpacked(r["sample"], size) for r in rows]
+    weight = np.concatenate([np.full(len(k), r["n_grams"] / max(len(k), 1)) for k, r in zip(keys, rows)])
+    ids = np.concatenate(keys)
+    by = np.lexsort(ids.T[::-1])
+    upto = np.cumsum(weight[by])
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, n_ranges) / n_ranges) if len(upto) else np.empty(0, np.int64)
+    return np.unique(ids[by[at]], axis=0)
+
+
+def _send_slices(bounds: np.ndarray, size: int):
+    """Every run's n-grams cut at the bounds, a row for each range it has some of."""
+    edges = _bytes_of(bounds) if len(bounds) else None
+
+    def run(frames):
+        for rows in frames:
+            for raw, counts, lang_at, langs in zip(rows["grams"], rows["counts"], rows["lang_at"], rows["langs"]):
+                ids, n, at = _unpacked(raw, size), unplanes(counts, "<u4"), np.frombuffer(lang_at, "<u4")
+                cuts = [0, *(np.searchsorted(_bytes_of(ids), edges).tolist() if edges is not None else []), len(ids)]
+                full = [k for k in range(len(cuts) - 1) if cuts[k + 1] > cuts[k]]
+                part = [slice(cuts[k], cuts[k + 1]) for k in full]
+                yield pd.DataFrame({"shard": full, "grams": [_packed(ids[x]) for x in part],
+                                    "counts": [planes(n[x]) for x in part],
+                                    "lang_at": [at[x].tobytes() for x in part], "langs": [langs] * len(part)})
+    return run
+
+
+def _union_range(size: int, min_n: int):
+    """All runs' n-grams of a range to the weights of their prefixes of two or more words.
+
+    A prefix below ``min_n`` counts only at the range's edge, where another range may hold the rest of it.
+    """
+    names = [f"w{k}" for k in range(1, size + 1)]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        every: dict = {}
+        code = [np.array([every.setdefault(x, len(every)) for x in langs], np.int64) for langs in rows["langs"]]
+        m = np.concatenate([_unpacked(g, size) for g in rows["grams"]])
+        n = np.concatenate([unplanes(c, "<u4") for c in rows["counts"]]).astype(np.int64)
+        lang = np.concatenate([c[np.frombuffer(a, "<u4")] for c, a in zip(code, rows["lang_at"])])
+        by = np.lexsort(m.T[::-1])
+        m, n, lang = m[by], n[by], lang[by]
+        changed = np.zeros(len(m), bool)
+        changed[0] = True
+        parts = []
+        for level in range(1, size + 1):
+            changed[1:] |= m[1:, level - 1] != m[:-1, level - 1]
+            if level == 1:
                 continue
-            m = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(size)], 1)
-            n = b.column(size).to_numpy(zero_copy_only=False)
-            langs = b.column(size + 1)
-            changed = np.ones(len(m), bool)
-            changed[1:] = False
-            for level in range(1, size + 1):
-                changed[1:] |= m[1:, level - 1] != m[:-1, level - 1]
-                if level == 1:
-                    continue
-                lead = np.flatnonzero(changed)
-                sums = np.add.reduceat(n, lead)
-                keys = m[lead, :level]
-                real = keys[:, -1] > 0
-                lead, sums, keys = lead[real], sums[real], keys[real]
-                if not len(lead):
-                    continue
-                names = langs.take(pa.array(lead)).to_pylist()
-                edge = np.zeros(len(lead), bool)
-                held = open_[level]
-                if held is not None and tuple(keys[0]) == held[0]:
-                    sums[0] += held[1]
-                    edge[0] = held[3]
-                elif held is not None:
-                    yield frame([held[0]], [held[1]], [held[2]], [held[3]], level)
-                if not begun[level]:
-                    edge[0] = begun[level] = True
-                open_[level] = (tuple(keys[-1]), int(sums[-1]), names[-1], bool(edge[-1]))
-                if len(lead) > 1:
-                    yield frame(keys[:-1], sums[:-1], names[:-1], edge[:-1], level)
-        for level, held in enumerate(open_):
-            if held is not None:
-                yield frame([held[0]], [held[1]], [held[2]], [True], level)
+            lead = np.flatnonzero(changed)
+            sums = np.add.reduceat(n, lead)
+            real = m[lead, level - 1] > 0
+            lead, sums = lead[real], sums[real]
+            keep = sums >= min_n
+            keep[:1] = keep[-1:] = True
+            ids = np.zeros((int(keep.sum()), size), np.int64)
+            ids[:, :level] = m[lead[keep], :level]
+            frame = pd.DataFrame(ids, columns=names)
+            frame["n"], frame["lang"] = sums[keep], np.array(list(every), object)[lang[lead[keep]]]
+            parts.append(frame)
+        return pd.concat(parts)
     return run
 
 
@@ -419,12 +459,17 @@ def score_phrases(docs: DataFrame, min_n: int = 100, size: int = 5):
             often = np.zeros(len(t), bool)
             often[places[frequent[at]]] = True
             grams, counts = _grams(t, often, size)
-            lang_of = dict(zip(_id_all(row, got), (row["langs"][k] for k in row["lang_at"])))
-            frame = pd.DataFrame(grams, columns=names)
-            frame["n"] = counts
-            frame["lang"] = frame["w1"].map(lang_of).astype(object)
-            return frame
-        return pd.DataFrame(columns=[*names, "n", "lang"])
+            known = _id_all(row, got)                          # the lang of an n-gram is that of its first word
+            order = np.argsort(known, kind="stable")
+            lang_at = np.asarray(row["lang_at"], np.int64)[order[np.searchsorted(known[order], grams[:, 0])]] \
+                if len(grams) else np.empty(0, np.int64)
+            return pd.DataFrame({
+                "block": [row["block"]], "n_grams": [len(grams)], "grams": [_packed(grams)],
+                "counts": [planes(counts.astype("<u4"))], "lang_at": [lang_at.astype("<u4").tobytes()],
+                "langs": [list(row["langs"])],
+                "sample": [_packed(grams[np.linspace(0, len(grams), SAMPLED, endpoint=False).astype(np.int64)]
+                                   if len(grams) else grams)]})
+        return pd.DataFrame(columns=[c.split()[0] for c in GRAMS.split(", ")])
 
     sent = runs.select("block", "langs", "words", "lang_at", "tokens").mapInPandas(_send_words(n_shards), WORDS)
     numbered = staged(sent.groupBy("shard").applyInPandas(_number_words(min_n, n_shards), IDS), "phrase-ids")
@@ -433,14 +478,15 @@ def score_phrases(docs: DataFrame, min_n: int = 100, size: int = 5):
     got = numbered.where(F.col("kind") == ANSWER)
     pairs = staged(with_answers(got, send_pairs, PAIRS).groupBy("shard").applyInPandas(_frequent_pairs(min_n), IDS),
                    "phrase-pairs")
-    wide = ", ".join(f"{c} long" for c in [*names, "n"]) + ", lang string"
-    grams = staged(with_answers(got.unionByName(pairs), to_grams, wide), "phrase-grams")
+    grams = staged(with_answers(got.unionByName(pairs), to_grams, GRAMS), "phrase-grams").where("n_grams > 0")
 
-    # union: sorted ranges, weights of all prefixes; edges are summed across ranges
+    # union: ranges of the sorted n-grams, weights of all prefixes; edges are summed across ranges
     cores = spark.sparkContext.defaultParallelism
-    ranges = max(cores, -(-grams.count() // GRAMS_PER_RANGE))
-    summed = (grams.repartitionByRange(ranges, *names).sortWithinPartitions(*names)
-              .mapInArrow(_sum_ranges(size), f"{wide}, edge boolean").where(F.col("edge") | (F.col("n") >= min_n)))
+    n_grams = grams.agg(F.sum("n_grams").alias("n")).first()["n"] or 0
+    bounds = _range_bounds(grams, max(1, min(cores, n_grams // 10_000), -(-n_grams // GRAMS_PER_RANGE)), size)
+    slices = grams.select("grams", "counts", "lang_at", "langs").mapInPandas(_send_slices(bounds, size), SLICES)
+    wide = ", ".join(f"{c} long" for c in [*names, "n"]) + ", lang string"
+    summed = slices.groupBy("shard").applyInPandas(_union_range(size, min_n), wide)
     phrases = (summed.groupBy(*names).agg(F.sum("n").alias("n"), F.first("lang").alias("lang"))
                .where(F.col("n") >= min_n)
                .unionByName(words.select(F.col("id").alias("w1"), *(F.lit(0).cast("long").alias(c) for c in names[1:]),
