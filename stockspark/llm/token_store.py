@@ -10,7 +10,9 @@ start in parallel), the code words, and a crc32 over all of that.
 Files are Parquet parts with one block a row, written by Spark's committer
 into the shared folder, ranges of ascending doc_id by part; a manifest has the
 ids before each part.  A null text is empty and has the end id only.  Null
-doc_ids come first; rows with the same doc_id follow each other.
+doc_ids come first; rows with the same doc_id follow each other.  A very long
+text is in one block, which it may fill alone; an empty table gives no files
+with blocks and no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stockspark.llm.bpe_index import PATTERN
 from stockspark.llm.common import pa_schema, prepare, staged_path
-from stockspark.llm.word_table import WordTable, encode_rows, gather, has_space, ranges
+from stockspark.llm.word_table import WordTable, encode_rows, gather
 
 PRECISION = 20                # frequencies add up to 2^20
 LOW = np.uint64(1 << 31)      # states stay in [2^31, 2^63)
@@ -38,17 +40,22 @@ _HEAD = struct.Struct("<4sHHIIIII")   # magic, version, lanes, ids, documents, c
 
 
 class LibraryBPE(WordTable):
-    """Ids as the tokenizers library gives them, asked once for each distinct word."""
+    """Ids as the tokenizers library gives them, asked once for each distinct piece of the pre-tokenizer.
+
+    The model of the library encodes a piece; what the pre-tokenizer does
+    before that (cut by ``PATTERN``, bytes as characters) is done here, for
+    whole words at once where a word is letters with at most some marks
+    behind.  Each worker keeps the pieces it has met, up to ``max_pieces``.
+    """
     _kept: dict = {}
 
-    def __init__(self, path: str, max_words: int = 800_000):
+    def __init__(self, path: str, max_words: int = 500_000, max_pieces: int = 600_000):
         import regex
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
-        self.lib.no_padding()
-        self.lib.no_truncation()
-        self.cutting = False
-        self.feed, = self.lib.encode("\n", add_special_tokens=False).ids
+        self.model = self.lib.model
+        self.max_pieces = max_pieces
+        self.as_bytes = _byte_characters()
         super().__init__({t.content: i for i, t in self.lib.get_added_tokens_decoder().items()},
                          regex.compile(PATTERN).findall, max_words)
 
@@ -58,40 +65,66 @@ class LibraryBPE(WordTable):
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def start_table(self) -> None:
+        super().start_table()
+        if not hasattr(self, "known") or len(self.known) > self.max_pieces:
+            self.known: dict = {}
+            self.piece_ids, self.piece_size = np.empty(0, np.int32), np.empty(0, np.int64)
+
     def encode_new(self, words: list[str], spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words without inner white space are encoded as lines of larger texts, others by their pieces.
-
-        A line feed between two words is a token of its own and in no other.
-        """
-        if spaced.any() and not self.cutting:
-            cut = [self.pieces(w) if s else (w,) for w, s in zip(words, spaced.tolist())]
-            code = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
-            self.cutting = True
-            try:
-                ids, counts = self.encode_new(list(code), has_space(list(code)))
-            finally:
-                self.cutting = False
-            of = np.fromiter(map(code.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
-            owner = np.repeat(np.arange(len(words)), list(map(len, cut)))
-            n = np.bincount(owner, weights=counts[of], minlength=len(words)).astype(np.int64)
-            return gather(ids, np.cumsum(counts) - counts, counts, of), n
-        plain = ~spaced
-        lines, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
-        texts = ["\n".join([words[k] for k in lines[i:i + 4000]]) + "\n" for i in range(0, len(lines), 4000)]
-        n = np.zeros(len(words), np.int64)
-        got = [np.array(e.ids, np.int64) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        joined = np.concatenate(got) if got else np.empty(0, np.int64)
-        ends = np.flatnonzero(joined == self.feed)
-        if len(ends) != len(lines):
-            raise ValueError("the tokenizer joins line feeds with words")
-        n[lines] = np.diff(ends, prepend=-1) - 1
-        other = [e.ids for e in self.lib.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
-        n[rest] = list(map(len, other))
-        start = np.cumsum(n) - n
-        out = np.empty(int(n.sum()), np.int64)
-        out[ranges(start[lines], n[lines])] = joined[joined != self.feed]
-        out[ranges(start[rest], n[rest])] = [i for ids in other for i in ids]
-        return out, n
+        codes, n_cut = self.piece_codes(words, spaced)
+        size = self.piece_size
+        counts = np.bincount(np.repeat(np.arange(len(words)), n_cut), weights=size[codes], minlength=len(words))
+        return gather(self.piece_ids, np.cumsum(size) - size, size, codes), counts.astype(np.int64)
+
+    def piece_codes(self, words: list[str], spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pieces of all words, new ones encoded, and the number of each word's pieces."""
+        known = self.known
+        get, before = known.get, len(known)
+        cut: list = []
+        add = cut.append
+        n_cut = np.ones(len(words), np.int64)
+        for k, (w, s) in enumerate(zip(words, spaced.tolist())):
+            if not s and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):
+                at = get(w)                          # a word of letters is one piece
+                if at is None:
+                    at = known[w] = len(known)
+                add(at)
+                continue
+            head = w.rstrip(_MARKS)
+            if not s and head[1:].isalpha() and (head[0] == " " or head[0].isalpha()):
+                parts = (head, w[len(head):])
+            else:
+                parts = self.pieces(w)
+            n_cut[k] = len(parts)
+            for p in parts:
+                at = get(p)
+                if at is None:
+                    at = known[p] = len(known)
+                add(at)
+        fresh = list(known)[before:]
+        if fresh:
+            tokenize, table = self.model.tokenize, self.as_bytes
+            shown = ["\u0120" + p[1:] if p[0] == " " and p[1:].isalnum() and p.isascii() else
+                     p.encode().decode("latin-1").translate(table) for p in fresh]
+            ids = [[t.id for t in tokenize(p)] for p in shown]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+            self.piece_ids = np.concatenate((self.piece_ids, flat))
+            self.piece_size = np.concatenate((self.piece_size, size))
+        return np.array(cut, np.int64), n_cut
+
+
+#: Marks that the pre-tokenizer takes as one piece behind letters; no apostrophe, which may begin an ending.
+_MARKS = ".,;:!?\"()[]{}…»”-–—/*#$%&|<>=+@^~_`"
+
+
+def _byte_characters() -> dict:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be printed, else the
+    next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in shown)
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Tables:
@@ -199,20 +232,29 @@ class Block:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids as little-endian 16- or 32-bit integers with the end id, their number and crc32."""
+    """doc_id, ids as little-endian 16- or 32-bit integers with the end id, their number and crc32.
+
+    The last row of each task has no document: n_tokens is -1, and ``ids`` holds the task's count of each id as
+    64-bit integers.
+    """
     schema = "doc_id bigint, n_tokens bigint, mix bigint, ids binary"
     out = pa_schema(docs.sparkSession, schema)
 
     def run(batches):
         lib = LibraryBPE.of(tokenizer)
         kind = "<u2" if lib.lib.get_vocab_size() <= 1 << 16 else "<u4"
+        total = np.zeros(lib.lib.get_vocab_size(), np.int64)
         for keys, flat, sizes in encode_rows(batches, lib):
             ends = np.cumsum(sizes)
             ids = np.insert(flat, ends, end_id).astype(kind)
+            total += np.bincount(ids, minlength=len(total))
             cuts = (ends + np.arange(1, len(ends) + 1)).tolist()
             raw = [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)]
             yield pa.RecordBatch.from_pydict({"doc_id": keys, "n_tokens": (sizes + 1).tolist(),
                                               "mix": list(map(zlib.crc32, raw)), "ids": raw}, schema=out)
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"doc_id": [None], "n_tokens": [-1], "mix": [0],
+                                              "ids": [total.astype("<i8").tobytes()]}, schema=out)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -224,21 +266,21 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0) -> dict:
     vocab = Tokenizer.from_file(tokenizer).get_vocab_size()
     wide = vocab > 1 << 16
     kind = "<u4" if wide else "<u2"
-    tokens = spark.read.parquet(staged_path(tokenized(docs, tokenizer, end_id), "ids"))
+    stored = spark.read.parquet(staged_path(tokenized(docs, tokenizer, end_id), "ids"))
+    tokens = stored.where("n_tokens >= 0")
 
     def count(batches):
         total = np.zeros(vocab, np.int64)
         for b in batches:
-            if b.num_rows:
-                column = b.column(0)
-                at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:][:b.num_rows + 1]
-                total += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].view(kind), minlength=vocab)
+            for raw in b.column(0).to_pylist():
+                total += np.frombuffer(raw, "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]},
                                          schema=pa.schema([("id", pa.int64()), ("n", pa.int64())]))
     # at most one row for each entry of the vocabulary comes to the driver
     counts = np.zeros(vocab, np.int64)
-    for r in tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    sums = stored.where("n_tokens < 0").select("ids").mapInArrow(count, "id long, n long")
+    for r in sums.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     shared = spark.sparkContext.broadcast(counts)
     n_parts = max(1, -(-int(counts.sum()) // PART_TOKENS))
