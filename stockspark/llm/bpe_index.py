@@ -13,8 +13,9 @@ Words repeat, so each Python worker keeps a bounded table of encoded words
 
 A null text is empty: no ids, and it decodes to the empty text.  Strings of
 added tokens inside a text become their id, as the tokenizers library does.
-Very long pieces cost time in proportion to their length; repeated rows and
-extra columns have no effect.
+Very long pieces cost time in proportion to their length, a very long text is
+a chunk of its own; repeated rows and extra columns have no effect; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -39,10 +39,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def staged_path(df: DataFrame, name: str) -> str:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
+    _MADE.append((None, path))
     df.write.option("compression", "zstd").parquet(path)
     return path
 
 
+#: (table or None, folder) of all that was staged and not dropped yet, in order.
+_MADE: list = []
+
+
+def staged_so_far() -> int:
+    return len(_MADE)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep: tuple = ()) -> None:
+    """Drop the tables and folders staged after the first ``since``, but for the folders to ``keep``.
+
+    For callers whose results are written: a result that still reads staged
+    rows is lost with them.
+    """
+    for table, path in _MADE[since:]:
+        if path not in keep:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _MADE[since:] = [x for x in _MADE[since:] if x[1] in keep]
+
+
 def bucketed(df: DataFrame, key: str, name: str, n: int | None = None) -> DataFrame:
     """``df`` written as a table bucketed by ``key`` in the shared folder, and read back.
 
@@ -52,8 +76,9 @@ def bucketed(df: DataFrame, key: str, name: str, n: int | None = None) -> DataFr
     spark = df.sparkSession
     table = f"llm_{name}_{uuid.uuid4().hex}"
     n = n or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (df.write.format("parquet").option("compression", "zstd").bucketBy(n, key)
-     .option("path", f"{ensure_checkpoint_dir(spark)}/{table}").saveAsTable(table))
+    path = f"{ensure_checkpoint_dir(spark)}/{table}"
+    _MADE.append((table, path))
+    (df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", path).saveAsTable(table))
     return spark.table(table)
 
 
@@ -86,7 +111,7 @@ def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 
 #: Text bytes of one bucket of ``sized_buckets``.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 
 
 def sized_buckets(df: DataFrame, key: str, name: str, source: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,8 @@ comes from bitwise work on the distinct masks.
 
 Nulls, empty texts: a null or empty text has no word and no line; every count
 is 0 and only ``min_words`` fails.  Null ids pass through.  Repeated rows give
-repeated ledger rows; extra columns are not read.
+repeated ledger rows; a very long text is measured whole, in memory in
+proportion to it; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -12,6 +12,9 @@ bounded, documented sample); statistics cover whole texts of all rows.
 A null or empty text has zero statistics and gets a score like any other.
 Repeated labels of an id count once (their highest value).  With labels of
 one class only, or none, every score is the smoothed share of class 1.
+Repeated rows are scored one by one, a very long text by its statistics like
+any other; an empty table gives no rows.  Of the documents only doc_id, text
+and the columns to keep are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

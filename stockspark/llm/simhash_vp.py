@@ -23,7 +23,8 @@
 
 Null texts count as empty; all documents without words are linked.  A null
 doc_id never names a component unless all its ids are null.  Repeated rows
-are copies; extra columns are not read.
+are copies; a very long text has one fingerprint like any other; an empty
+table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -237,12 +238,15 @@ def links(prints: DataFrame, radius: int = 4, max_shard: int = 8192, max_levels:
     return dealt.mapInArrow(_shard_pass(radius), "u long, v long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(u, root) of every node that isn't its component's smallest, from links (u, v)."""
+def components(edges: DataFrame) -> DataFrame:
+    """(u, root) of every node that isn't its component's smallest, from links (u, v).
+
+    Ends when a round changes nothing; rounds grow with the logarithm of the longest chain.
+    """
     lo, hi = F.least("u", "v"), F.greatest("u", "v")
     edges = staged(edges.where("u <> v").select(hi.alias("u"), lo.alias("v")).distinct(), "links")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours move to the smallest node seen
@@ -258,7 +262,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             return edges.select("u", F.col("v").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id",

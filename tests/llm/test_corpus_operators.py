@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockspark.llm import bwt_dedup, langid, ngram_trie, queries, rule_ensemble, simhash_vp
-from stockspark.llm.common import fold_of
+from stockspark.llm.common import fold_of, staged
 from tests.llm.test_text_operators import clash, same
 
 SF = "/root/testdata/sf0.001"
@@ -428,7 +428,7 @@ def test_pipeline_stages(spark):
                                         "benchmark_decontamination", "bpe_encoding"]
     before = docs.count()
     for name, stage in p.STAGES[:-1]:
-        docs = p.staged(stage(spark, docs, SF), "test-" + name)
+        docs = staged(stage(spark, docs, SF), "test-" + name)
         assert docs.columns == list(p.COLUMNS)
         after = docs.count()
         assert after <= before and (after < before or name == "suffix_array_dedup")
@@ -441,12 +441,87 @@ def test_pipeline_stages(spark):
     assert p.STAGES[-1][1](spark, docs, SF).count() == before
 
 
+def plain_cut(rows, length=100):
+    """The texts of (id, text) rows in order without their repeats, spans narrowed to whole characters."""
+    seen = set()
+    for i, text in rows:
+        b = text.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            w = b[k:k + length]
+            if w in seen:
+                gone[k:k + length] = b"\1" * length
+            seen.add(w)
+        out, at = b"", 0
+        for m in re.finditer(b"\1+", bytes(gone)):
+            lo, hi = m.span()
+            while lo < hi and b[lo] & 0xC0 == 0x80:
+                lo += 1
+            while lo < hi < len(b) and b[hi] & 0xC0 == 0x80:
+                hi -= 1
+            out, at = out + b[at:lo], hi
+        yield i, (out + b[at:]).decode()
+
+
+def plain_contaminated(text, windows):
+    """Whether windows (sets of word tuples by length) hit a twentieth of the words."""
+    words, hit = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text)), set()
+    for n, known in windows.items():
+        for k in range(len(words) - n + 1):
+            if tuple(words[k:k + n]) in known:
+                hit.update(range(k, k + n))
+    return len(hit) > 0 and 20 * len(hit) >= len(words)
+
+
+def test_pipeline_rows_equal_plain_stages(spark):
+    """run()'s rows against every stage in plain Python, from the classifier's verdicts on."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    good = [r["doc_id"] for r in queries.op8_quality_classifier(spark, SF).collect() if r["predicted"]]
+    prints = [(i, plain_print(docs[i])) for i in sorted(good)]
+    firsts = sorted(set(plain_components(prints)))
+    cut = dict(plain_cut([(i, docs[i]) for i in firsts]))
+    assert any(cut[i] != docs[i] for i in firsts)
+    windows: dict = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r["text"]))
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(n, set()).add(tuple(w[k:k + n]))
+    clean = {i: t for i, t in cut.items() if not plain_contaminated(t, windows)}
+    assert len(clean) < len(cut)
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    want = []
+    for i, t in clean.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                     hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    got = p.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    same(got, want)
+
+
+def test_pipeline_leaves_its_last_rows_only(spark, tmp_path):
+    import os
+
+    import corpus_pipeline as p
+    from stockspark.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before, tables = set(os.listdir(root)), {t.name for t in spark.catalog.listTables()}
+    out = p.run(spark, SF)
+    new = {x for x in set(os.listdir(root)) - before if x.startswith("llm")}
+    assert len(new) == 1 and new.pop().startswith("llm-stage-bpe_encoding")
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    assert out.count() > 0
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd):
     import corpus_pipeline as p
     docs = clash(odd)
     for name, stage in p.STAGES:
         out = stage(spark, docs, SF)
-        docs = p.staged(out, "odd-" + name)
+        docs = staged(out, "odd-" + name)
         assert name == "bpe_encoding" or docs.columns == list(p.COLUMNS)
     empty = odd.limit(0)
     for name, stage in p.STAGES:
