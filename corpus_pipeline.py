@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from stockspark.llm import bpe_index, bwt_dedup, decontamination, rule_ensemble, simhash_vp  # noqa: E402
-from stockspark.llm.common import prepare, staged  # noqa: E402
+from stockspark.llm.common import drop_staged, prepare, staged_path, staged_so_far  # noqa: E402
 from stockspark.llm.queries import read, tokenizer_path  # noqa: E402
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -84,9 +84,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``; the rows of the last."""
+    """The stages in order over ``documents``; the rows of the last.
+
+    Once a stage's rows are written, what it staged on the way and the rows of
+    the stage before are dropped.
+    """
     prepare(spark)
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), staged_so_far()
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        out = stage(spark, docs, sf_dir)
+        path = staged_path(out, f"stage-{name}")
+        drop_staged(spark, before, keep=(path,))
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
