@@ -40,21 +40,36 @@ ENTRY = ("first", "last", "n", "s", "t", "start", "end", "clean", "live")
 
 
 class LedgerStore:
-    def __init__(self, spark: SparkSession, path: str, order_cols=L.ORDER):
-        self.spark, self.order = spark, list(order_cols)
-        self.log = CommitLog(spark, path)
+    def __init__(self, spark: SparkSession, path: str, order_cols=L.ORDER, base_after: int = 20):
+        self.spark, self.order, self.base_after = spark, list(order_cols), base_after
+        self.log, self.bases = CommitLog(spark, path), CommitLog(spark, f"{path}/base")
 
     # ------------------------------------------------------------ reading
     def index(self) -> DataFrame | None:
         """The live entries: a chunk's latest one, unless it was folded anew elsewhere."""
-        seqs = self.log.batches()
-        entries = self.log.get("index")
-        if entries is None:
+        seqs, base = self.log.batches(), self._base()
+        newer = self.log.get("index", [b for b, seq in seqs.items() if seq > base])
+        held = self.bases.get("index", [str(base)]) if base else None
+        parts = [df.select(KEY, *PLACE, *ENTRY, "seq") for df in (held, newer) if df is not None]
+        if not parts:
             return None
-        if len(seqs) == 1:
-            return entries.where("live").select(KEY, *PLACE, *ENTRY)
-        latest = entries.groupBy(KEY, *PLACE).agg(F.max_by(F.struct(*ENTRY), "seq").alias("e"))
-        return latest.select(KEY, *PLACE, "e.*").where("live")
+        entries = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        if len(seqs) > 1 and newer is not None:
+            entries = entries.groupBy(KEY, *PLACE).agg(F.max_by(F.struct(*ENTRY), "seq").alias("e")).select(
+                KEY, *PLACE, "e.*")
+        return entries.where("live").select(KEY, *PLACE, *ENTRY)
+
+    def _base(self) -> int:
+        """The sequence number up to which all live entries lie in one base; 0: none yet."""
+        return max((int(b) for b in self.bases.batches()), default=0)
+
+    def _rebase(self) -> None:
+        """Write the live entries together once ``base_after`` batches have come, so reading the index stays in
+        proportion to them."""
+        seq = max(self.log.batches().values(), default=0)
+        if seq - self._base() >= self.base_after and (index := self.index()) is not None:
+            self.bases.put("index", index.withColumn("seq", F.lit(seq)), str(seq))
+            self.bases.commit(str(seq))
 
     def snapshot(self) -> DataFrame:
         """K-03: product_id and current_stock, from the chunk ends alone."""
@@ -112,6 +127,7 @@ class LedgerStore:
         else:
             self._merge(new, index, batch_id, seq)
         self.log.commit(batch_id)
+        self._rebase()
         return True
 
     def _key(self):

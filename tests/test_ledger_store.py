@@ -88,6 +88,17 @@ def test_batches_in_any_order(spark):
     assert len(seen) == len(rows)
 
 
+def test_index_bases_hold_the_live_entries(spark):
+    rows = movements(random.Random(9), 150, products=5)
+    parts = [rows[:50], rows[100:], rows[50:100], rows[:0]]
+    store = LedgerStore(spark, tempfile.mkdtemp(prefix="ledger-store-"), base_after=2)
+    for k, p in enumerate(parts):
+        store.append(spark.createDataFrame(p, SCHEMA), str(k))
+    assert len(store.bases.batches()) == 2
+    check(store, rows)
+    assert store.index().groupBy("product_id", "batch", "part", "chunk").count().where("count > 1").isEmpty()
+
+
 def test_late_rows_move_clean_chunks_without_rewriting(spark):
     """A late receipt raises all later balances; chunks that refuse nothing get new starts only."""
     day = lambda d: T0 + dt.timedelta(days=d)
