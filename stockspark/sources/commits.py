@@ -14,19 +14,25 @@ from urllib.parse import quote, unquote
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _fs(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _fs(spark, path)
+    return fs.exists(jpath) and fs.getFileStatus(jpath).isDirectory()
+
+
 class CommitLog:
     """Committed batches of one or more named tables under ``path``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
-
     def _markers(self) -> list[tuple[int, str]]:
         """(sequence number, batch) of every commit, in order."""
-        fs, folder = self._fs(f"{self.path}/commits")
+        fs, folder = _fs(self.spark, f"{self.path}/commits")
         if not fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
@@ -56,7 +62,7 @@ class CommitLog:
     def commit(self, batch: str) -> int:
         """Make the batch visible; its sequence number."""
         seq = self.next_seq()
-        fs, marker = self._fs(f"{self.path}/commits/{seq:08d}-{quote(batch, safe='')}")
+        fs, marker = _fs(self.spark, f"{self.path}/commits/{seq:08d}-{quote(batch, safe='')}")
         fs.create(marker, False).close()
         return seq
 
@@ -81,5 +87,5 @@ class CommitLog:
         return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(*folders)
 
     def _exists(self, path: str) -> bool:
-        fs, jpath = self._fs(path)
+        fs, jpath = _fs(self.spark, path)
         return fs.exists(jpath)

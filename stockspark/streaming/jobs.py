@@ -16,7 +16,6 @@ sessions are stored as partial results that add up when read.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from stockspark.functions import exprs as X
 from stockspark.operators.ledger_store import LedgerStore
 from stockspark.session import ensure_checkpoint_dir
-from stockspark.sources.commits import CommitLog
+from stockspark.sources.commits import CommitLog, is_folder
 
 D12 = "decimal(12,2)"
 
@@ -41,15 +40,13 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str,
 
     ``maxFilesPerTrigger`` bounds a micro-batch (``availableNow`` honours it
     and splits a backlog into several batches)."""
-    path = os.path.join(sf_dir, f"{table}.parquet")
-    schema = spark.read.parquet(path).schema
-    src = os.path.isdir(path) and path or sf_dir
-    r = spark.readStream.schema(schema)
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    if src == sf_dir:
-        r = r.option("pathGlobFilter", f"{table}.parquet")
-    return r.parquet(src)
+    if is_folder(spark, path):
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def run_batches(stream: DataFrame, write, name: str | None = None, mode: str = "append") -> str:
