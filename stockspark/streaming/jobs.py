@@ -164,7 +164,6 @@ def run_audit(events: DataFrame, users: DataFrame, name: str | None = None, hori
         new = df.dropDuplicates(["event_id"]).withColumn("day", F.coalesce(day, F.lit("none")))
         stored = log.get("rows")
         if stored is not None:
-            new = new.persist()
             since = F.expr(f"to_timestamp_ntz('{log.get('high').agg(F.max('at')).first()[0]}') - interval {horizon}")
             out = None
             for tier in (F.col("ts") >= since, (F.col("ts") < since) | F.col("ts").isNull()):
@@ -182,11 +181,15 @@ def run_audit(events: DataFrame, users: DataFrame, name: str | None = None, hori
         log = CommitLog(df.sparkSession, folder)
         if log.known(batch):
             return
+        df = df.persist()                        # read for both tiers and their ranges
         rows = audit_rows(fresh(df, log).drop("day"), users)
-        rows = rows.withColumn("day", F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("none")))
-        log.put("rows", rows.repartition("day", F.col("id") % 8).sortWithinPartitions("day", "id"), batch, ("day",))
+        rows = rows.withColumn("day", F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("none"))).persist()
+        # ranges of (day, id): a day with many events has many files, each with a range of its ids
+        log.put("rows", rows.repartitionByRange("day", "id").sortWithinPartitions("day", "id"), batch, ("day",))
         log.put("high", df.agg(F.max("ts").cast("string").alias("at")), batch)
         log.commit(batch)
+        rows.unpersist()
+        df.unpersist()
     folder = run_batches(events, write, name)
     return CommitLog(events.sparkSession, folder).get("rows").drop("day", "commit")
 
