@@ -16,9 +16,8 @@ judged on the input.
    its Burrows-Wheeler transform, and the transforms are merged by refining
    an interleave: it holds for each slot which shard the next suffix comes
    from, and each round extends the common prefix to the left by one symbol
-   of 32 bytes (the first round by the rest of ``length``) through a stable
-   sort of the shards' preceding symbols.  The round in which two neighbours part gives their
-   common prefix; slots that never part are the repeated intervals, and in
+   (100 bytes are four of 25) through a stable sort of the shards' preceding
+   symbols.  The round in which two neighbours part gives their common prefix; slots that never part are the repeated intervals, and in
    each all windows but the earliest are marked.
    An anchor with over ``max_contexts`` different contexts would not fit a
    task; its windows are compared by 128-bit digests with map-side minima.
@@ -26,7 +25,8 @@ judged on the input.
 
 A null text is empty.  A null doc_id orders before all others; rows with the
 same doc_id order by their place in the input.  Texts shorter than ``length``
-never change.  Extra columns are read only on request; they stay with their
+never change; a very long one is a block of its own.  An empty table gives no
+rows.  Extra columns are read only on request; they stay with their
 row in its block, so repeated rows need no key.
 """
 
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockspark.llm.blocks import NULL_ID, SENT, answer, answers_of, cut_blocks, deal
-from stockspark.llm.common import bucketed, pa_schema, prepare, staged
+from stockspark.llm.common import pa_schema, prepare, sized_buckets, staged
 
 GRAM = 32
 SYMBOL = 32
@@ -108,7 +108,10 @@ def _radix(key: np.ndarray) -> np.ndarray:
 
 
 def _rounds(length: int) -> list[int]:
-    """Bytes by which each round extends the common prefix."""
+    """Bytes by which each round extends the common prefix: the same for all where a divisor of ``length`` fits."""
+    even = max(w for w in range(1, SYMBOL + 1) if length % w == 0)
+    if even >= 8:
+        return [even] * (length // even)
     return ([length % SYMBOL] if length % SYMBOL else []) + [SYMBOL] * (length // SYMBOL)
 
 
@@ -121,24 +124,32 @@ def _leading(text: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _dense(shards: list[np.ndarray]) -> list[np.ndarray]:
-    rank = np.unique(np.concatenate(shards), return_inverse=True)[1]
+def _dense(shards: list[np.ndarray], in_order: bool) -> list[np.ndarray]:
+    """Small numbers for equal values, in the values' order or in any (hashing, not sorting)."""
+    flat = np.concatenate(shards)
+    rank = np.unique(flat, return_inverse=True)[1] if in_order else pd.factorize(flat)[0]
     return np.split(rank, np.cumsum([len(s) for s in shards])[:-1])
 
 
-def symbols(shards: list[np.ndarray], widths: list[int]) -> dict[int, list[np.ndarray]]:
-    """For each width, the rank of the string at each position of the cyclic shards among those of all shards."""
+def symbols(shards: list[np.ndarray], widths: list[int], in_order: bool = True) -> dict[int, list[np.ndarray]]:
+    """For each width, the rank of the string at each position of the cyclic shards among those of all shards.
+
+    ``in_order``: ranks in the strings' order, so that suffixes come out sorted.  To find equal ones any order will
+    do where all symbols have one width; with several, a round may see the beginning of a symbol only.
+    """
     out, have, ranks = {}, 0, []
+    in_order |= len(set(widths)) > 1
     for width in sorted(set(widths)):
         if width <= 4:
             out[width] = [_leading(s, width).astype(np.uint32) for s in shards]
             continue
         if not have:
             have = min(8, width)
-            ranks = _dense([_leading(s, have) for s in shards])
+            ranks = _dense([_leading(s, have) for s in shards], in_order)
         while have < width:                  # two ranks side by side, overlapping where they must
             step = min(have, width - have)
-            ranks = _dense([r.astype(np.uint64) << np.uint64(32) | np.roll(r, -step).astype(np.uint64) for r in ranks])
+            ranks = _dense([r.astype(np.uint64) << np.uint64(32) | np.roll(r, -step).astype(np.uint64) for r in ranks],
+                           in_order)
             have += step
         out[width] = [r.astype(np.uint32) for r in ranks]
     return out
@@ -203,7 +214,7 @@ def mark_bucket(texts: list[bytes], length: int, shard_bytes: int = SHARD_BYTES)
         close()
     if not shards:
         return []
-    by_step = symbols(shards, _rounds(length))
+    by_step = symbols(shards, _rounds(length), in_order=False)
     built = [transform({s: r[k] for s, r in by_step.items()}, length) for k in range(len(shards))]
     z, interval, _ = merge_transforms(built, length)
     place = np.empty(len(z), np.int64)
@@ -281,8 +292,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, max_contexts: int = 20_00
                 del rest[:len(ids)]
             yield pa.RecordBatch.from_pydict(row, schema=block_out)
     others = [F.col("text").isNull().alias("null text"), *carry] if with_rest else []
-    blocks = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
-                      .mapInArrow(to_blocks, block_schema), "block", "blocks")
+    blocks = sized_buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
+                           .mapInArrow(to_blocks, block_schema), "block", "blocks", docs, "text")
     by_block = blocks.groupBy("block")
     total = blocks.agg(F.sum(F.length("data")).alias("n")).first()["n"] or 0
     n_shards = max(1, total // ((length - GRAM) // 2 * KEYS_PER_SHARD))
