@@ -15,7 +15,9 @@ p(w|h) = (c(hw) + mu p(w|h')) / (c(h) + mu), h' without h's first word.  N-grams
 fold lacks are not stored; they cost the context's weight mu / (c(h) + mu).
 
 A null text is empty: its end token only.  A null doc_id is in no fold and is
-trained on.  Repeated rows count as often as they occur.
+trained on.  Repeated rows count as often as they occur.  A very long text is
+a block of its own; an empty table gives no rows; columns other than doc_id and
+text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockspark.llm.blocks import NULL_ID, SENT, answer, answers_of, cut_blocks, deal
-from stockspark.llm.common import bucketed, fold_of, pa_schema, prepare, staged
+from stockspark.llm.blocks import NULL_ID, cut_blocks
+from stockspark.llm.common import fold_of, pa_schema, prepare, sized_buckets, staged
+from stockspark.llm.packed import SLICES, deal_counts, sum_counts, sums_of
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLOCK_BYTES = 4 << 20
@@ -241,7 +244,7 @@ def _distinct_keys(key: np.ndarray, counts: np.ndarray):
     return keys, np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64), at
 
 
-def score_documents(docs: DataFrame, order: int = 2, held_mod: int = 5, held_is: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, held_mod: int = 5, held_is: int = 1) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     prepare(spark)
@@ -262,8 +265,8 @@ def score_documents(docs: DataFrame, order: int = 2, held_mod: int = 5, held_is:
             yield pa.RecordBatch.from_pydict({
                 "block": [block], "ids": [ids], "sizes": [sizes], "words": [b"\n".join(of)],
                 "tokens": [np.concatenate(tokens).tobytes()], "n_train": [n_train]}, schema=out)
-    blocks = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(to_blocks, schema),
-                      "block", "token_blocks")
+    blocks = sized_buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                           .mapInArrow(to_blocks, schema), "block", "token_blocks", docs, "text")
     sums = blocks.agg(F.sum("n_train").alias("t"), F.sum(F.length("tokens")).alias("b")).first()
     n_all = sums["t"] or 0
     n_shards = max(1, (sums["b"] or 0) // 4 // KEYS_PER_SHARD)
@@ -277,16 +280,16 @@ def score_documents(docs: DataFrame, order: int = 2, held_mod: int = 5, held_is:
         return tokens, first, block_grams(words.split(b"\n"), tokens, first, train, upto)
 
     def send(k):
-        def run(batches):
-            for b in batches:
-                for block, ids, sizes, words, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
-                    _, key, counts = grams_of(ids, sizes, words, raw, k + 1)[2][k]
+        def run(frames):
+            for rows in frames:
+                for row in rows.to_dict("records"):
+                    _, key, counts = grams_of(row["ids"], row["sizes"], row["words"], row["tokens"], k + 1)[2][k]
                     keys, n, _ = _distinct_keys(key, counts)
-                    yield deal(block, keys, n, n_shards)
+                    yield deal_counts(row["block"], keys, n, n_shards)
         return run
     answers, n_distinct = None, 0
     for k in range(order):
-        got = staged(answer(blocks.select("block", "ids", "sizes", "words", "tokens").mapInArrow(send(k), SENT)),
+        got = staged(sum_counts(blocks.select("block", "ids", "sizes", "words", "tokens").mapInPandas(send(k), SLICES)),
                      f"counts-{k + 1}")
         if k == 0:
             n_distinct = got.agg(F.sum("n_keys").alias("v")).first()["v"] or 0
@@ -303,7 +306,7 @@ def score_documents(docs: DataFrame, order: int = 2, held_mod: int = 5, held_is:
             counts = []
             for k, (gram, key, n) in enumerate(grams):
                 keys, _, at = _distinct_keys(key, n)
-                counts.append(answers_of(keys, got[got["k"] == k], n_shards)[at])
+                counts.append(sums_of(keys, got[got["k"] == k], n_shards)[at])
             trie = build_trie(tokens, first, [g[0] for g in grams], counts, whole)
             value = trie.score(tokens, ~first, float(np.log10(0.5 / whole)))
             c = counts[0][tokens]

@@ -68,8 +68,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram scores of all documents."""
-    return ngram_trie.score_documents(read(spark, sf_dir, "documents"), order=2)
+    """Trigram scores of all documents."""
+    return ngram_trie.score_documents(read(spark, sf_dir, "documents"), order=3)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
