@@ -108,12 +108,17 @@ class EliasFano:
         inside = high <= last
         h = np.where(inside, high, 0)
         lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), 0) - (h - 1), 0)
-        hi = end = self._select(h, 0) - h
+        end = self._select(h, 0) - h
+        hi = end.copy()
         want = t & np.uint64((1 << self.low_bits) - 1)
-        while (lo < hi).any():                   # successor search among the equal high parts
-            mid = (lo + hi) >> 1
-            below = (self.lows(np.minimum(mid, self.n - 1)) < want) & (lo < hi)
-            lo, hi = np.where(below, mid + 1, lo), np.where(below | (lo >= hi), hi, mid)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):                        # successor search among the equal high parts
+            a, b = lo[open_], hi[open_]
+            mid = (a + b) >> 1
+            below = self.lows(mid) < want[open_]
+            a, b = np.where(below, mid + 1, a), np.where(below, b, mid)
+            lo[open_], hi[open_] = a, b
+            open_ = open_[a < b]
         hit = inside & (lo < end)
         hit &= self.lows(np.minimum(lo, self.n - 1)) == want
         return np.where(hit, lo, -1)
@@ -184,9 +189,11 @@ class Trie:
             return out
         starts, base = self.pointers[level]
         c = ctx[known]
-        lo, hi = starts.access(c), starts.access(c + 1)
-        i = self.seqs[level].find(word[known] + base.access(c))
-        out[known] = np.where((i >= lo) & (i < hi), i, -1)
+        new = np.concatenate(([True], c[1:] != c[:-1]))          # equal contexts follow each other
+        each, of = c[new], np.cumsum(new) - 1
+        # all values before a context's range lie below its base, so a hit can only lie behind the range
+        i = self.seqs[level].find(word[known] + base.access(each)[of])
+        out[known] = np.where(i < starts.access(each + 1)[of], i, -1)
         return out
 
     def score(self, word: np.ndarray, has_before: np.ndarray, unknown: float) -> np.ndarray:
