@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ from pyspark.sql import types as T
 from stockspark.session import ensure_checkpoint_dir
 
 D12 = "decimal(12,2)"
+#: Rows of an even chunk at most, where the caller names no number of chunks: what a task sorts in memory.
+ROWS_PER_CHUNK = 500_000
 ORDER = ("created_at", "ord_key", "ord_line")
 KEY = "product_id"
 
@@ -83,55 +86,73 @@ def _fold_from(x: np.ndarray, bal: int):
 def _segment_pass(batches):
     """One pass over a sorted partition: per product segment the plain prefix
     ``pre`` (from 0) and the refusing fold ``_after0``/``_acc0`` started at the
-    product's opening ``_open`` (exact for the product's first chunk).
+    product's opening ``_open`` (exact for the product's first chunk), and the
+    row's place ``_pos`` in the partition.
 
     Vectorised: prefix sums and the "can anything be refused" test run in
     numpy for all segments at once; only segments that dip below zero are
     walked row by row, and only from their first dip.  State of the last
     segment is carried across Arrow batches, so memory is one batch
-    regardless of how many rows a product has.
+    regardless of how many rows a product has; the other columns stay Arrow
+    columns and are handed on as they came.
     """
-    carry_key, carry_pre, carry_bal = None, 0, 0
-    for pdf in batches:
-        n = len(pdf)
-        if n == 0:
-            yield pdf.assign(pre=pd.Series(dtype="int64"), _after0=pd.Series(dtype="int64"),
-                             _acc0=pd.Series(dtype="bool"))
-            continue
-        key = pdf[KEY].to_numpy()
-        x = pdf["_cents"].to_numpy(dtype=np.int64)
-        starts = np.empty(n, dtype=bool)
-        starts[0] = True
-        starts[1:] = key[1:] != key[:-1]
-        first_idx = np.flatnonzero(starts)
-        seg = np.cumsum(starts) - 1
-        cs = np.cumsum(x)
-        rel = cs - (cs - x)[first_idx][seg]                 # prefix within segment
-        p0 = np.zeros(len(first_idx), dtype=np.int64)       # plain prefix carried in
-        f0 = pdf["_open"].to_numpy(dtype=np.int64)[first_idx].copy()   # fold start
-        if carry_key is not None and key[0] == carry_key:
-            p0[0], f0[0] = carry_pre, carry_bal
-        pre = rel + p0[seg]
-        plain = rel + f0[seg]                               # fold if nothing refused
-        seg_min = np.minimum.reduceat(plain, first_idx)
-        after = plain.copy()
-        acc = np.ones(n, dtype=bool)
-        bounds = np.append(first_idx, n)
-        for j in np.flatnonzero(seg_min < 0).tolist():      # only dipping segments
-            a, b = bounds[j], bounds[j + 1]
-            seg_after, seg_acc, _ = _fold_from(x[a:b], int(f0[j]))
-            after[a:b] = seg_after
-            acc[a:b] = seg_acc
-        carry_key, carry_pre, carry_bal = key[-1], int(pre[-1]), int(after[-1])
-        yield pdf.assign(pre=pre, _after0=after, _acc0=acc)
+    carry_key, carry_pre, carry_bal, seen = None, 0, 0, 0
+    for rb in batches:
+        n = rb.num_rows
+        pre, after, acc = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        if n:
+            key = _column(rb, KEY)
+            x = _column(rb, "_cents").astype(np.int64, copy=False)
+            starts = np.empty(n, dtype=bool)
+            starts[0] = True
+            starts[1:] = key[1:] != key[:-1]
+            first_idx = np.flatnonzero(starts)
+            seg = np.cumsum(starts) - 1
+            cs = np.cumsum(x)
+            rel = cs - (cs - x)[first_idx][seg]                 # prefix within segment
+            p0 = np.zeros(len(first_idx), dtype=np.int64)       # plain prefix carried in
+            f0 = _column(rb, "_open").astype(np.int64)[first_idx]          # fold start
+            if carry_key is not None and key[0] == carry_key:
+                p0[0], f0[0] = carry_pre, carry_bal
+            pre = rel + p0[seg]
+            plain = rel + f0[seg]                               # fold if nothing refused
+            seg_min = np.minimum.reduceat(plain, first_idx)
+            after = plain.copy()
+            acc = np.ones(n, dtype=bool)
+            bounds = np.append(first_idx, n)
+            for j in np.flatnonzero(seg_min < 0).tolist():      # only dipping segments
+                a, b = bounds[j], bounds[j + 1]
+                after[a:b], acc[a:b], _ = _fold_from(x[a:b], int(f0[j]))
+            carry_key, carry_pre, carry_bal = key[-1], int(pre[-1]), int(after[-1])
+        found = {"pre": pre, "_after0": after, "_acc0": acc, "_pos": np.arange(seen, seen + n, dtype=np.int64)}
+        seen += n
+        yield pa.RecordBatch.from_arrays([*rb.columns, *map(pa.array, found.values())], [*rb.schema.names, *found])
+
+
+def _column(rb: pa.RecordBatch, name: str) -> np.ndarray:
+    return rb.column(rb.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _deal(movements: DataFrame, n_chunks: int, rows: int | None = None) -> tuple[bool, int]:
+    """Whether some product holds more rows than an even chunk would, and the number of chunks: ``n_chunks``, or as
+    many as keep an even chunk at ``rows`` rows.
+
+    Rows are counted by buckets of products first (a few numbers a task); only if a bucket is larger than a chunk
+    are they counted by product.
+    """
+    def largest(key) -> tuple:
+        per = movements.groupBy(key).agg(F.count("*").alias("_n"))
+        return per.agg(F.max("_n"), F.sum("_n")).first()
+
+    mx, total = largest(F.pmod(F.xxhash64(KEY), F.lit(64 * max(1, n_chunks))).alias("_bucket"))
+    n = max(1, n_chunks, -(-(total or 0) // rows) if rows else 1)
+    even = max(1, (total or 0) // n)
+    return bool(mx) and mx > even and largest(F.col(KEY))[0] > even, n
 
 
 def has_hot_key(movements: DataFrame, n_chunks: int) -> bool:
-    """True when some product holds more rows than an even chunk would
-    (one partial-aggregated count per product, then a one-row max/sum)."""
-    per = movements.groupBy(KEY).agg(F.count("*").alias("_n"))
-    mx, total = per.agg(F.max("_n"), F.sum("_n")).first()
-    return bool(mx) and mx > max(1, (total or 0) // max(1, n_chunks))
+    """True when some product holds more rows than an even chunk would."""
+    return _deal(movements, n_chunks)[0]
 
 
 def chunk_movements(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
@@ -150,7 +171,8 @@ def _chunk(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
     bounds (needed when one product is larger than a chunk); "hash" keeps
     each product whole in one chunk (no sampling scans, nothing to stitch);
     "auto" picks range only if a product is larger than an even chunk.
-    Adds ``chunk`` (partition id), ``pre`` and the fold-from-opening columns.
+    Adds ``chunk`` (partition id), ``pre``, the fold-from-opening columns and
+    ``_pos`` (the row's place in its chunk's partition).
     """
     spark = movements.sparkSession
     n = n_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -164,7 +186,8 @@ def _chunk(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
         movements = (movements.join(o, KEY, "left")
                      .withColumn("_open", F.coalesce("_o", F.lit(0).cast("bigint"))).drop("_o"))
     if split == "auto":
-        split = "range" if has_hot_key(movements, n) else "hash"
+        hot, n = _deal(movements, n, None if n_chunks else ROWS_PER_CHUNK)
+        split = "range" if hot else "hash"
     cents = movements.withColumn("_cents", to_cents(F.col(qty_col)))
     if split == "range":     # sampled bounds: a hot product is cut into chunks
         parted = cents.repartitionByRange(n, *keys)
@@ -174,8 +197,8 @@ def _chunk(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
               .withColumn("chunk", F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("pre", T.LongType()), T.StructField("_after0", T.LongType()),
-        T.StructField("_acc0", T.BooleanType())])
-    out = ranged.mapInPandas(_segment_pass, schema)
+        T.StructField("_acc0", T.BooleanType()), T.StructField("_pos", T.LongType())])
+    out = ranged.mapInArrow(_segment_pass, schema)
     return _keep(out, reliable), split
 
 
@@ -184,7 +207,7 @@ def chunk_summaries(chunked: DataFrame, order_cols=ORDER) -> DataFrame:
     return (chunked.groupBy(KEY, "chunk")
             .agg(F.sum("_cents").alias("s"),
                  F.greatest(F.lit(0).cast("bigint"), -F.min("pre")).alias("t"),
-                 F.max_by("_after0", F.struct(*order_cols)).alias("end0")))
+                 F.max_by("_after0", "_pos").alias("end0")))
 
 
 def _openings(cs: DataFrame, opening: DataFrame | None) -> DataFrame:
@@ -330,7 +353,7 @@ def _finish(rows: DataFrame) -> DataFrame:
     return (rows.withColumn("balance_before", from_cents(F.col("_before")))
             .withColumn("balance_after", from_cents(F.col("_after")))
             .drop("_before", "_after", "_cents", "pre", "chunk", "start", "_after0", "_acc0",
-                  "_open"))
+                  "_open", "_pos"))
 
 
 def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None,
@@ -345,7 +368,8 @@ def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | No
 
 def fold_rows(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None, qty_col: str = "signed_qty"):
     """The rows of ``ledger_apply`` in cents with what a stored ledger keeps: ``_cents``, ``chunk``, ``pre`` (the sum
-    within the chunk up to the row), ``_before``, ``_after``, ``accepted``; and the persisted table to release."""
+    within the chunk up to the row), ``_before``, ``_after``, ``accepted``; ``_pos`` orders them within a chunk; and
+    the persisted table to release."""
     folded, chunked = _folded(movements, order_cols, opening, None, qty_col, "auto")
     return folded.drop("start", "method", "_after0", "_acc0", "_open"), chunked
 
@@ -418,7 +442,7 @@ def ledger_snapshot(movements: DataFrame, order_cols=ORDER, opening: DataFrame |
     narrow = movements.select(KEY, *order_cols, qty_col)
     chunked, split = _chunk(narrow, order_cols, n_chunks, qty_col, opening, split=split)
     if split == "hash":
-        return (chunked.groupBy(KEY).agg(F.max_by("_after0", F.struct(*order_cols)).alias("_e"))
+        return (chunked.groupBy(KEY).agg(F.max_by("_after0", "_pos").alias("_e"))
                 .select(KEY, from_cents(F.col("_e")).alias("current_stock")))
     plan, refolded = resolve_chunks(chunked, order_cols, opening)
     cs = chunk_summaries(chunked, order_cols).select(KEY, "chunk", "s", "end0")

@@ -122,8 +122,7 @@ class LedgerStore:
         if new.isEmpty():
             pass
         elif index is None:
-            self._write(new, None, batch_id, 1)
-            self._entries(batch_id, seq, 1)
+            self._write(new, None, batch_id, seq, 1)
         else:
             self._merge(new, index, batch_id, seq)
         self.log.commit(batch_id)
@@ -133,22 +132,27 @@ class LedgerStore:
     def _key(self):
         return F.struct(*self.order)
 
-    def _write(self, movements: DataFrame, opening: DataFrame | None, batch: str, part: int) -> None:
-        """Fold movements from ``opening`` and write them as part ``part`` of the batch."""
+    def _write(self, movements: DataFrame, opening: DataFrame | None, batch: str, seq: int, part: int) -> None:
+        """Fold movements from ``opening``, write them as part ``part`` of the batch, and their entries.
+
+        Entries come from the rows as folded, where a chunk's rows lie together and in order (``_pos``), so each
+        task sends one row a chunk; by month they would be sent nearly row by row.
+        """
         folded, held = L.fold_rows(movements, self.order, opening)
-        rows = folded.withColumnRenamed("accepted", "_accepted").drop("_before")
+        self._entries(folded, batch, seq, part)
+        rows = folded.withColumnRenamed("accepted", "_accepted").drop("_before", "_pos")
         (by_month(rows, held.count(), *self.order[1:]).write.mode("overwrite").partitionBy("txn_month")
          .parquet(f"{self.log.folder('rows', batch)}/part={part}"))
         held.unpersist()
 
-    def _entries(self, batch: str, seq: int, part: int) -> None:
-        rows = self._part_rows([(batch, part)])
-        before = F.when(F.col("_accepted"), F.col("_after") - F.col("_cents")).otherwise(F.col("_after"))
-        entries = rows.groupBy(KEY, *PLACE).agg(
-            F.min(self._key()).alias("first"), F.max(self._key()).alias("last"), F.count("*").alias("n"),
+    def _entries(self, folded: DataFrame, batch: str, seq: int, part: int) -> None:
+        at = lambda pick: F.struct(*[pick(c, "_pos").alias(c) for c in self.order])
+        entries = folded.groupBy(KEY, "chunk").agg(
+            at(F.min_by).alias("first"), at(F.max_by).alias("last"), F.count("*").alias("n"),
             F.sum("_cents").alias("s"), F.greatest(F.lit(0).cast("bigint"), -F.min("pre")).alias("t"),
-            F.min_by(before, self._key()).alias("start"), F.max_by("_after", self._key()).alias("end"))
-        entries = entries.withColumn("clean", F.col("start") >= F.col("t")).withColumn("live", F.lit(True))
+            F.min_by("_before", "_pos").alias("start"), F.max_by("_after", "_pos").alias("end"))
+        entries = (entries.withColumn("batch", F.lit(self.log.value(batch))).withColumn("part", F.lit(part))
+                   .withColumn("clean", F.col("start") >= F.col("t")).withColumn("live", F.lit(True)))
         self._put_index(entries, batch, seq, f"folded-{part}")
 
     def _put_index(self, entries: DataFrame, batch: str, seq: int, name: str) -> None:
@@ -167,8 +171,7 @@ class LedgerStore:
         movements = new
         if n_hit:
             movements = new.unionByName(self._movements(hit, new.columns), allowMissingColumns=True)
-        self._write(movements, opening, batch, 1)
-        self._entries(batch, seq, 1)
+        self._write(movements, opening, batch, seq, 1)
         if n_hit:
             self._put_index(self._dead(hit), batch, seq, "replaced-1")
         if n_tail:
@@ -196,8 +199,7 @@ class LedgerStore:
         if again.isEmpty():
             return
         opening = again.where(F.col("rk") == F.col("bad")).select(KEY, L.from_cents(F.col("begin")).alias("balance"))
-        self._write(self._movements(again, columns), opening, batch, 2)
-        self._entries(batch, seq, 2)
+        self._write(self._movements(again, columns), opening, batch, seq, 2)
         self._put_index(self._dead(again), batch, seq, "replaced-2")
 
     def _dead(self, entries: DataFrame) -> DataFrame:

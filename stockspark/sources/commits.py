@@ -55,6 +55,10 @@ class CommitLog:
         """Where a batch's rows lie; the prefix keeps ids of digits text when the folder names are read back."""
         return f"{self.path}/{table}/commit=b-{quote(batch, safe='')}"
 
+    def value(self, batch: str) -> str:
+        """The batch as the column ``commit`` has it when its rows are read back."""
+        return "b-" + unquote(quote(batch, safe=""), encoding="latin-1")
+
     def put(self, table: str, df: DataFrame, batch: str, partition_by: tuple = ()) -> None:
         """Write a batch's rows; what an earlier attempt left is replaced."""
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.folder(table, batch))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stockspark.sources.commits import CommitLog
 
 #: Rows of one file of the ledger, and of one task that writes it.
-ROWS_PER_FILE = 2_000_000
+ROWS_PER_FILE = 1_000_000
 
 
 def by_month(movements: DataFrame, n_rows: int | None = None, *more: str) -> DataFrame:
