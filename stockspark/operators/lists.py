@@ -21,7 +21,7 @@ def _equals(col: str, value) -> Column | None:
     return None if value is None else F.col(col) == F.lit(value)
 
 
-def _visible(viewer: tuple | None) -> Column | None:
+def visible(viewer: tuple | None) -> Column | None:
     """``viewer``: (role, user id); None: no viewer, every row."""
     return None if viewer is None else FL.visible_to(F.lit(viewer[0]), F.lit(viewer[1]))
 
@@ -56,7 +56,7 @@ def stock_page(transactions: DataFrame, products: DataFrame, users: DataFrame, p
 def issues_page(requests: DataFrame, products: DataFrame, users: DataFrame, page_no: int = 1,
                 viewer=None, status=None, term=None) -> DataFrame:
     """Issue requests newest first, for employees only their own; the search covers number, requester, product."""
-    f = requests.filter(FL.conjunction([_visible(viewer), _equals("status", status)]))
+    f = requests.filter(FL.conjunction([visible(viewer), _equals("status", status)]))
     f = f.join(_names(products), "product_id").filter(FL.search(["issue_number", "employee_name", "product"], term))
     order = [F.desc("created_at"), X.number_seq("issue_number").desc()]
     rows = _with_user(_page(f, order, page_no), users, "issued_by", "issued_by_name")
@@ -68,7 +68,7 @@ def issues_page(requests: DataFrame, products: DataFrame, users: DataFrame, page
 def indents_page(indents: DataFrame, categories: DataFrame, page_no: int = 1,
                  viewer=None, status=None, term=None) -> DataFrame:
     """Indents newest first, for employees only their own; the search covers number, requester, item."""
-    f = indents.filter(FL.conjunction([_visible(viewer), _equals("status", status),
+    f = indents.filter(FL.conjunction([visible(viewer), _equals("status", status),
                                        FL.search(["indent_number", "employee_name", "item_name"], term)]))
     order = [F.desc("created_at"), X.number_seq("indent_number").desc()]
     c = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))

@@ -13,7 +13,7 @@ known up front) is broadcast.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockspark.functions import exprs as X
@@ -21,12 +21,17 @@ from stockspark.session import ensure_checkpoint_dir
 
 
 def rank_rows(df: DataFrame, order_cols, out: str = "seq", base: int = 0,
-              n_parts: int | None = None, reliable: bool = False) -> DataFrame:
+              n_parts: int | None = None, reliable: bool = False, keep: Column | None = None) -> DataFrame:
     """Add ``out`` = base + global 1-based position in ``order_cols`` order.
 
     ``order_cols`` must be a total order (unique) for the numbers to be
-    deterministic.
+    deterministic.  With ``keep`` all rows are ranked and those it holds for
+    returned; the others travel with their order columns alone.
     """
+    columns = df.columns
+    if keep is not None:
+        rest = [c for c in columns if c not in order_cols]
+        df = df.select(*order_cols, F.when(keep, F.struct(F.lit(True).alias("_kept"), *rest)).alias("_row"))
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
@@ -46,15 +51,17 @@ def rank_rows(df: DataFrame, order_cols, out: str = "seq", base: int = 0,
     counts = ranged.groupBy(pid.alias("_pid")).agg(F.count("*").alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), pid == F.col("_pid"))
-            .withColumn(out, F.lit(base) + F.col("_off") + local + 1)
-            .drop("_mid", "_pid", "_off"))
+    placed = (ranged if keep is None else ranged.where(F.col("_row").isNotNull())).join(
+        F.broadcast(offsets), pid == F.col("_pid")).withColumn(out, F.lit(base) + F.col("_off") + local + 1)
+    if keep is not None:
+        return placed.select(*[c if c in order_cols else F.col(f"_row.{c}").alias(c) for c in columns], out)
+    return placed.drop("_mid", "_pid", "_off")
 
 
 def number_rows(df: DataFrame, order_cols, prefix: str, out: str = "number",
-                base: int = 0, n_parts: int | None = None) -> DataFrame:
-    """W-01: PREFIX-0001 style numbers continuing from a counter ``base``."""
-    ranked = rank_rows(df, order_cols, "_seq", base, n_parts)
+                base: int = 0, n_parts: int | None = None, keep: Column | None = None) -> DataFrame:
+    """W-01: PREFIX-0001 style numbers continuing from a counter ``base``; ``keep``: see ``rank_rows``."""
+    ranked = rank_rows(df, order_cols, "_seq", base, n_parts, keep=keep)
     return ranked.withColumn(out, X.formatted_number(F.lit(prefix), F.col("_seq"))).drop("_seq")
 
 

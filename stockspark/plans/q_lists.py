@@ -70,7 +70,7 @@ def issues_page(v, p):
 @register("issues_page_own", _issues_sql(f"r.employee_id = {VIEWER[1]}", 1))
 def issues_page_own(v, p):
     """L-03/P-12: an employee's own issue requests, page 1."""
-    return L.issues_page(v.numbered_requests, v.product_base, v.users, viewer=VIEWER)
+    return L.issues_page(v.requests_numbered(L.visible(VIEWER)), v.product_base, v.users, viewer=VIEWER)
 
 
 def _indents_sql(where: str, page_no: int) -> str:

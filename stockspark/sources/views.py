@@ -41,6 +41,13 @@ class Views:
         self.t = Tables(spark, sf_dir)
         self.stock = stock
 
+    @cached_property
+    def parts(self) -> int:
+        """Tasks that sort what has a row a line item: as many as the session's, more where those would be too large."""
+        from stockspark.operators.ledger import ROWS_PER_CHUNK
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")),
+                   -(-self.t.lineitem.count() // ROWS_PER_CHUNK))
+
     # ---------------------------------------------------------------- dims
     @cached_property
     def categories(self) -> DataFrame:
@@ -138,7 +145,8 @@ class Views:
         """Accepted movements (refused ones never reach the table), numbered
         TXN-0001... in time order (W-01), with their references."""
         from stockspark.operators.numbering import number_rows
-        return self._with_references(number_rows(self.accepted_movements, TXN_ORDER, "TXN", out="txn_number"))
+        return self._with_references(number_rows(self.accepted_movements, TXN_ORDER, "TXN", out="txn_number",
+                                                 n_parts=self.parts))
 
     def transactions_between(self, date_from, date_to) -> DataFrame:
         """``stock_transactions`` of a closed date range: numbers are in time order, so those before the range are
@@ -146,7 +154,8 @@ class Views:
         from stockspark.operators.numbering import number_rows
         before = self.store.rows(date_to=str(date_from)).filter(F.col("accepted") & _earlier("created_at", date_from))
         rows = self.accepted_between(date_from, date_to)
-        return self._with_references(number_rows(rows, TXN_ORDER, "TXN", out="txn_number", base=before.count()))
+        return self._with_references(number_rows(rows, TXN_ORDER, "TXN", out="txn_number", base=before.count(),
+                                                 n_parts=self.parts))
 
     def _with_references(self, numbered: DataFrame) -> DataFrame:
         key, mtype = F.col("ord_key").cast("string"), F.col("type")
@@ -204,8 +213,9 @@ class Views:
              .otherwise("pending").alias("st"))
         u = self.users.select(F.col("id").alias("_uid"), F.col("name").alias("employee_name"),
                               "department")
-        j = (li.join(o, li.l_orderkey == o.o_orderkey)
-             .join(u, F.col("o_custkey") == F.col("_uid")))
+        # the requester joins the orders, so the line items are dealt out once
+        ou = o.join(u, F.col("o_custkey") == F.col("_uid"))
+        j = li.join(ou, li.l_orderkey == ou.o_orderkey)
         st = F.col("st")
         qty = F.col("l_quantity").cast(D12)
         pending = st == "pending"
@@ -234,15 +244,20 @@ class Views:
     @cached_property
     def numbered_requests(self) -> DataFrame:
         """``issue_requests`` with their numbers ISS-0001... in time order (W-01)."""
+        return self.requests_numbered()
+
+    def requests_numbered(self, keep: Column | None = None) -> DataFrame:
+        """``numbered_requests``, those that ``keep`` holds for; the others are counted."""
         from stockspark.operators.numbering import number_rows
-        return number_rows(self.issue_requests, ["created_at", "id"], "ISS", out="issue_number")
+        return number_rows(self.issue_requests, ["created_at", "id"], "ISS", out="issue_number", n_parts=self.parts,
+                           keep=keep)
 
     def requests_between(self, date_from, date_to) -> DataFrame:
         """``numbered_requests`` of a closed date range; the requests before it are only counted."""
         from stockspark.operators.numbering import number_rows
         before = self.issue_requests.filter(_earlier("created_at", date_from)).count()
         rows = self.issue_requests.filter(date_range("created_at", date_from, date_to))
-        return number_rows(rows, ["created_at", "id"], "ISS", out="issue_number", base=before)
+        return number_rows(rows, ["created_at", "id"], "ISS", out="issue_number", base=before, n_parts=self.parts)
 
     @cached_property
     def indents(self) -> DataFrame:
