@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockspark.operators import ledger as L
+from stockspark.operators.common import materialize
 
 KEY = "product_id"
 RESULT = [T.StructField("_after", T.LongType()), T.StructField("tried", T.BooleanType()),
@@ -83,11 +84,13 @@ def fold_candidates(cand: DataFrame, opening: DataFrame, order_cols, n_chunks: i
     total order by product; ``opening``: product_id and balance (none: 0).
     """
     order = list(order_cols)
-    n = n_chunks or int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     start = opening.select(KEY, L.to_cents(F.col("balance")).alias("_o"))
     rows = (cand.where(F.col(KEY).isNotNull()).join(start, KEY, "left")
             .withColumn("_open", F.coalesce("_o", F.lit(0).cast("bigint"))).drop("_o")
             .withColumn("_cents", L.to_cents(F.col("qty"))))
+    rows = materialize(rows, "candidates")            # counted, then dealt out
+    n = n_chunks or max(int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                        -(-rows.count() // L.ROWS_PER_CHUNK))
     hot = L.has_hot_key(rows, n)
     parted = rows.repartitionByRange(n, KEY, *order) if hot else rows.repartition(n, KEY)
     parted = parted.sortWithinPartitions(KEY, *order).withColumn("chunk", F.spark_partition_id())

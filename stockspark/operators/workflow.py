@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stockspark.functions import exprs as X
 from stockspark.operators import ledger as L
+from stockspark.operators.common import materialize
 from stockspark.operators.retry_fold import fold_candidates
 
 D12 = "decimal(12,2)"
@@ -81,7 +82,11 @@ def approval_candidates(valid: DataFrame, pending: DataFrame, rejects: DataFrame
     (partial aggregation), so repeated decisions on one request are reduced
     before the shuffle.
     """
-    appr = (valid.filter(F.col("decision") == "approve").join(pending, "request_id")
+    return _candidates(valid.join(pending, "request_id"), rejects)
+
+
+def _candidates(asked: DataFrame, rejects: DataFrame) -> DataFrame:
+    appr = (asked.filter(F.col("decision") == "approve")
             .withColumn("qty", F.when(F.col("qty_issued") > 0, F.col("qty_issued"))
                         .otherwise(F.col("quantity_requested")).cast(D12)))
     early = appr.groupBy("request_id", "product_id", "quantity_requested", "qty").agg(
@@ -111,9 +116,11 @@ def apply_issue_decisions(requests: DataFrame, products: DataFrame,
     pending = requests.filter(F.col("status") == "pending").select(
         F.col("id").alias("request_id"), "product_id", "quantity_requested")
     valid = validate_decisions(decisions).filter("valid").drop("valid", "reasons")
-    rejects = _reject_time(valid.join(pending.select("request_id"), "request_id", "left_semi"))
+    # the decisions on pending requests are written once: rejections and approvals are both taken from them
+    asked = materialize(valid.join(pending, "request_id"), "asked")
+    rejects = _reject_time(asked)
     opening = products.select(F.col("id").alias("product_id"), X.available().alias("balance"))
-    tried = fold_candidates(approval_candidates(valid, pending, rejects), opening, DEC_ORDER)
+    tried = fold_candidates(_candidates(asked, rejects), opening, DEC_ORDER)
     hit = F.col("accepted")
     out = tried.groupBy("request_id").agg(
         F.max(F.when(hit, F.struct("qty", "quantity_requested", "decided_by", "decided_at", "balance_after"))).alias("_a"),
