@@ -150,7 +150,7 @@ class LedgerStore:
         entries = folded.groupBy(KEY, "chunk").agg(
             at(F.min_by).alias("first"), at(F.max_by).alias("last"), F.count("*").alias("n"),
             F.sum("_cents").alias("s"), F.greatest(F.lit(0).cast("bigint"), -F.min("pre")).alias("t"),
-            F.min_by("_before", "_pos").alias("start"), F.max_by("_after", "_pos").alias("end"))
+            F.min_by("_before", self._key()).alias("start"), F.max_by("_after", "_pos").alias("end"))
         entries = (entries.withColumn("batch", F.lit(self.log.value(batch))).withColumn("part", F.lit(part))
                    .withColumn("clean", F.col("start") >= F.col("t")).withColumn("live", F.lit(True)))
         self._put_index(entries, batch, seq, f"folded-{part}")
