@@ -40,6 +40,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,11 +84,12 @@ def _fold_from(x: np.ndarray, bal: int):
     return after, acc, b
 
 
-def _segment_pass(batches):
+def _segment_pass(batches, order_cols=ORDER):
     """One pass over a sorted partition: per product segment the plain prefix
     ``pre`` (from 0) and the refusing fold ``_after0``/``_acc0`` started at the
-    product's opening ``_open`` (exact for the product's first chunk), and the
-    row's place ``_pos`` in the partition.
+    product's opening ``_open`` (exact for the product's first chunk), the
+    row's place ``_pos`` in the partition, and ``_lead``: whether it has the
+    order key of its segment's first row.
 
     Vectorised: prefix sums and the "can anything be refused" test run in
     numpy for all segments at once; only segments that dip below zero are
@@ -96,10 +98,10 @@ def _segment_pass(batches):
     regardless of how many rows a product has; the other columns stay Arrow
     columns and are handed on as they came.
     """
-    carry_key, carry_pre, carry_bal, seen = None, 0, 0, 0
+    carry_key, carry_pre, carry_bal, seen, carry_row, carry_lead = None, 0, 0, 0, None, False
     for rb in batches:
         n = rb.num_rows
-        pre, after, acc = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        pre, after, acc, lead = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
         if n:
             key = _column(rb, KEY)
             x = _column(rb, "_cents").astype(np.int64, copy=False)
@@ -123,19 +125,38 @@ def _segment_pass(batches):
             for j in np.flatnonzero(seg_min < 0).tolist():      # only dipping segments
                 a, b = bounds[j], bounds[j + 1]
                 after[a:b], acc[a:b], _ = _fold_from(x[a:b], int(f0[j]))
+            # a row leads if neither it nor any before it in its segment differs from the row before
+            same = starts.copy()
+            order = pa.table([rb.column(rb.schema.get_field_index(c)) for c in order_cols], names=list(order_cols))
+            same[1:] |= _equal_rows(order.slice(1), order.slice(0, n - 1))
+            if carry_key is not None and key[0] == carry_key:
+                same[0] = carry_lead and bool(_equal_rows(order.slice(0, 1), carry_row)[0])
+            differs = np.cumsum(~same)
+            lead = differs == (differs - ~same)[first_idx][seg]
+            carry_row, carry_lead = order.slice(n - 1), bool(lead[-1])
             carry_key, carry_pre, carry_bal = key[-1], int(pre[-1]), int(after[-1])
-        found = {"pre": pre, "_after0": after, "_acc0": acc, "_pos": np.arange(seen, seen + n, dtype=np.int64)}
+        found = {"pre": pre, "_after0": after, "_acc0": acc, "_pos": np.arange(seen, seen + n, dtype=np.int64),
+                 "_lead": lead}
         seen += n
         yield pa.RecordBatch.from_arrays([*rb.columns, *map(pa.array, found.values())], [*rb.schema.names, *found])
 
 
+def _equal_rows(a: pa.Table, b: pa.Table) -> np.ndarray:
+    """Where two tables of the same columns have equal rows; null equals null."""
+    equal = np.ones(a.num_rows, dtype=bool)
+    for x, y in zip(a.columns, b.columns):
+        both = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y)))
+        equal &= both.to_numpy()
+    return equal
+
+
 def _column(rb: pa.RecordBatch, name: str) -> np.ndarray:
     return rb.column(rb.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def _deal(movements: DataFrame, n_chunks: int, rows: int | None = None) -> tuple[bool, int]:
-    """Whether some product holds more rows than an even chunk would, and the number of chunks: ``n_chunks``, or as
-    many as keep an even chunk at ``rows`` rows.
+def _deal(movements: DataFrame, n_chunks: int, rows: int | None = None) -> tuple[bool, int, int]:
+    """Whether some product holds more rows than an even chunk would, the number of chunks (``n_chunks``, or as many
+    as keep an even chunk at ``rows`` rows) and the number of rows.
 
     Rows are counted by buckets of products first (a few numbers a task); only if a bucket is larger than a chunk
     are they counted by product.
@@ -147,7 +168,7 @@ def _deal(movements: DataFrame, n_chunks: int, rows: int | None = None) -> tuple
     mx, total = largest(F.pmod(F.xxhash64(KEY), F.lit(64 * max(1, n_chunks))).alias("_bucket"))
     n = max(1, n_chunks, -(-(total or 0) // rows) if rows else 1)
     even = max(1, (total or 0) // n)
-    return bool(mx) and mx > even and largest(F.col(KEY))[0] > even, n
+    return bool(mx) and mx > even and largest(F.col(KEY))[0] > even, n, total or 0
 
 
 def has_hot_key(movements: DataFrame, n_chunks: int) -> bool:
@@ -164,42 +185,47 @@ def chunk_movements(movements: DataFrame, order_cols=ORDER, n_chunks: int | None
 
 def _chunk(movements: DataFrame, order_cols=ORDER, n_chunks: int | None = None,
            qty_col: str = "signed_qty", opening: DataFrame | None = None,
-           reliable: bool = False, split: str = "auto"):
-    """Partitioned, sorted, materialised movements.
+           reliable: bool = False, split: str = "auto", once: bool = False):
+    """Partitioned, sorted, materialised movements; (them, the split, the numbers of chunks and of rows, if counted).
 
     ``split``: "range" cuts every product into contiguous chunks at sampled
     bounds (needed when one product is larger than a chunk); "hash" keeps
     each product whole in one chunk (no sampling scans, nothing to stitch);
     "auto" picks range only if a product is larger than an even chunk.
-    Adds ``chunk`` (partition id), ``pre``, the fold-from-opening columns and
-    ``_pos`` (the row's place in its chunk's partition).
+    Adds ``chunk`` (partition id), ``pre``, the fold-from-opening columns,
+    ``_pos`` (the row's place in its chunk's partition) and ``_lead``.
+    ``once``: the caller reads a hash split a single time, so it isn't kept.
     """
     spark = movements.sparkSession
-    n = n_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, total = n_chunks or int(spark.conf.get("spark.sql.shuffle.partitions")), None
     keys = [KEY, *order_cols]
     # a movement of no product belongs to no balance: see rejected_movements
     movements = movements.filter(F.col(KEY).isNotNull())
-    if opening is None:
-        movements = movements.withColumn("_open", F.lit(0).cast("bigint"))
-    else:
-        o = opening.select(KEY, to_cents(F.col("balance")).alias("_o"))
-        movements = (movements.join(o, KEY, "left")
-                     .withColumn("_open", F.coalesce("_o", F.lit(0).cast("bigint"))).drop("_o"))
     if split == "auto":
-        hot, n = _deal(movements, n, None if n_chunks else ROWS_PER_CHUNK)
+        hot, n, total = _deal(movements, n, None if n_chunks else ROWS_PER_CHUNK)
         split = "range" if hot else "hash"
-    cents = movements.withColumn("_cents", to_cents(F.col(qty_col)))
+    # what is worked out from a row isn't sent with it
     if split == "range":     # sampled bounds: a hot product is cut into chunks
-        parted = cents.repartitionByRange(n, *keys)
-    else:                    # no product larger than a chunk: one chunk per product
-        parted = cents.repartition(n, KEY)
-    ranged = (parted.sortWithinPartitions(*keys)
-              .withColumn("chunk", F.spark_partition_id()))
+        parted = _opened(movements, opening).repartitionByRange(n, *keys)
+    else:                    # no product larger than a chunk: one chunk per product, dealt out as its opening is
+        parted = _opened(movements.repartition(n, KEY), opening)
+    ranged = (parted.withColumn("_open", F.coalesce("_open", F.lit(0).cast("bigint")))
+              .withColumn("_cents", to_cents(F.col(qty_col)))
+              .sortWithinPartitions(*keys).withColumn("chunk", F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("pre", T.LongType()), T.StructField("_after0", T.LongType()),
-        T.StructField("_acc0", T.BooleanType()), T.StructField("_pos", T.LongType())])
-    out = ranged.mapInArrow(_segment_pass, schema)
-    return _keep(out, reliable), split
+        T.StructField("_acc0", T.BooleanType()), T.StructField("_pos", T.LongType()),
+        T.StructField("_lead", T.BooleanType())])
+    order = tuple(order_cols)
+    out = ranged.mapInArrow(lambda batches: _segment_pass(batches, order), schema)
+    return (out if once and split == "hash" else _keep(out, reliable)), split, (n, total)
+
+
+def _opened(movements: DataFrame, opening: DataFrame | None) -> DataFrame:
+    """Movements with the opening balance of their product in cents, ``_open``; null: none."""
+    if opening is None:
+        return movements.withColumn("_open", F.lit(None).cast("bigint"))
+    return movements.join(opening.select(KEY, to_cents(F.col("balance")).alias("_open")), KEY, "left")
 
 
 # ---------------------------------------------------------------- step 2
@@ -353,7 +379,7 @@ def _finish(rows: DataFrame) -> DataFrame:
     return (rows.withColumn("balance_before", from_cents(F.col("_before")))
             .withColumn("balance_after", from_cents(F.col("_after")))
             .drop("_before", "_after", "_cents", "pre", "chunk", "start", "_after0", "_acc0",
-                  "_open", "_pos"))
+                  "_open", "_pos", "_lead"))
 
 
 def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None,
@@ -367,22 +393,23 @@ def ledger_apply(movements: DataFrame, order_cols=ORDER, opening: DataFrame | No
 
 
 def fold_rows(movements: DataFrame, order_cols=ORDER, opening: DataFrame | None = None, qty_col: str = "signed_qty"):
-    """The rows of ``ledger_apply`` in cents with what a stored ledger keeps: ``_cents``, ``chunk``, ``pre`` (the sum
-    within the chunk up to the row), ``_before``, ``_after``, ``accepted``; ``_pos`` orders them within a chunk; and
-    the persisted table to release."""
-    folded, chunked = _folded(movements, order_cols, opening, None, qty_col, "auto")
-    return folded.drop("start", "method", "_after0", "_acc0", "_open"), chunked
+    """The rows of ``ledger_apply`` in cents, to be read once, with what a stored ledger keeps: ``_cents``, ``chunk``,
+    ``pre`` (the sum within the chunk up to the row), ``_before``, ``_after``, ``accepted``; ``_pos`` orders them
+    within a chunk, ``_lead`` marks those with its first order key; the table to unpersist then; the numbers of chunks
+    and rows."""
+    folded, chunked, size = _folded(movements, order_cols, opening, None, qty_col, "auto", once=True)
+    return folded.drop("start", "method", "_after0", "_acc0", "_open"), chunked, *size
 
 
-def _folded(movements, order_cols, opening, n_chunks, qty_col, split):
-    chunked, split = _chunk(movements, order_cols, n_chunks, qty_col, opening, split=split)
+def _folded(movements, order_cols, opening, n_chunks, qty_col, split, once=False):
+    chunked, split, size = _chunk(movements, order_cols, n_chunks, qty_col, opening, split=split, once=once)
     if split == "hash":
         # every product lies whole in one chunk: the pass-1 fold is final
         return (chunked.withColumn("_after", F.col("_after0"))
                 .withColumn("accepted", F.col("_acc0"))
                 .withColumn("_before", F.when(F.col("accepted"),
                                               F.col("_after") - F.col("_cents"))
-                            .otherwise(F.col("_after")))), chunked
+                            .otherwise(F.col("_after")))), chunked, size
     plan, refolded = resolve_chunks(chunked, order_cols, opening)
     fold0 = F.col("method") == "fold0"
     after = F.when(fold0, F.col("_after0")).otherwise(F.col("start") + F.col("pre"))
@@ -392,9 +419,9 @@ def _folded(movements, order_cols, opening, n_chunks, qty_col, split):
                .withColumn("_before", F.when(F.col("accepted"), F.col("_after") - F.col("_cents"))
                            .otherwise(F.col("_after"))))
     if refolded is None:
-        return planned.drop("method", "_after0", "_acc0"), chunked
+        return planned.drop("method", "_after0", "_acc0"), chunked, size
     cols = refolded.columns
-    return planned.select(*cols).unionByName(refolded), chunked
+    return planned.select(*cols).unionByName(refolded), chunked, size
 
 
 def rejected_movements(movements: DataFrame, products: DataFrame | None = None) -> DataFrame:
@@ -416,7 +443,7 @@ def running_balance(movements: DataFrame, order_cols=ORDER, opening: DataFrame |
     Chunk offsets are prefix sums over the chunk table; rows get
     ``offset + pre``.  No window ever spans a whole product.
     """
-    chunked, split = _chunk(movements, order_cols, n_chunks, qty_col, opening, split=split)
+    chunked, split, _ = _chunk(movements, order_cols, n_chunks, qty_col, opening, split=split)
     if split == "hash":
         rows = (chunked.withColumn("_after", F.col("_open") + F.col("pre"))
                 .withColumn("_before", F.col("_after") - F.col("_cents")))
@@ -440,7 +467,7 @@ def ledger_snapshot(movements: DataFrame, order_cols=ORDER, opening: DataFrame |
     the refolded end), so no row-level output is assembled."""
     # only the key, the order and the quantity travel through the shuffle
     narrow = movements.select(KEY, *order_cols, qty_col)
-    chunked, split = _chunk(narrow, order_cols, n_chunks, qty_col, opening, split=split)
+    chunked, split, _ = _chunk(narrow, order_cols, n_chunks, qty_col, opening, split=split)
     if split == "hash":
         return (chunked.groupBy(KEY).agg(F.max_by("_after0", "_pos").alias("_e"))
                 .select(KEY, from_cents(F.col("_e")).alias("current_stock")))

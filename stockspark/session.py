@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -86,3 +87,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return configured
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over.
+
+    Spark deletes them once the driver's JVM has collected their plans, which
+    with a large heap may be long after they are needed; jobs that write much
+    in several steps ask for it in between.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
