@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from stockspark.operators import ledger as L
 from stockspark.operators.common import materialize
+from stockspark.session import collect_garbage
 
 KEY = "product_id"
 RESULT = [T.StructField("_after", T.LongType()), T.StructField("tried", T.BooleanType()),
@@ -81,24 +82,28 @@ def fold_candidates(cand: DataFrame, opening: DataFrame, order_cols, n_chunks: i
     """The candidates that were tried, with ``accepted`` and ``balance_after``.
 
     ``cand``: product_id, request_id, k, more, qty and the order columns, a
-    total order by product; ``opening``: product_id and balance (none: 0).
+    total order by product (read two or three times, so best a stored table); ``opening``: product_id and balance (none: 0).
     """
     order = list(order_cols)
     start = opening.select(KEY, L.to_cents(F.col("balance")).alias("_o"))
-    rows = (cand.where(F.col(KEY).isNotNull()).join(start, KEY, "left")
-            .withColumn("_open", F.coalesce("_o", F.lit(0).cast("bigint"))).drop("_o")
-            .withColumn("_cents", L.to_cents(F.col("qty"))))
-    rows = materialize(rows, "candidates")            # counted, then dealt out
-    n = n_chunks or max(int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                        -(-rows.count() // L.ROWS_PER_CHUNK))
-    hot = L.has_hot_key(rows, n)
-    parted = rows.repartitionByRange(n, KEY, *order) if hot else rows.repartition(n, KEY)
-    parted = parted.sortWithinPartitions(KEY, *order).withColumn("chunk", F.spark_partition_id())
+    rows = cand.where(F.col(KEY).isNotNull())
+    hot, n, total = L._deal(rows, n_chunks or int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                            None if n_chunks else L.ROWS_PER_CHUNK)
+    # dealt out once, by product as the openings are, unless a product is too large for a task
+    parted = (rows.join(start, KEY, "left").repartitionByRange(n, KEY, *order) if hot
+              else rows.repartition(n, KEY).join(start, KEY, "left"))
+    parted = (parted.withColumn("_open", F.coalesce("_o", F.lit(0).cast("bigint"))).drop("_o")
+              .withColumn("_cents", L.to_cents(F.col("qty")))
+              .sortWithinPartitions(KEY, *order).withColumn("chunk", F.spark_partition_id()))
     folded = parted.mapInPandas(_pass, T.StructType(parted.schema.fields + RESULT))
     if hot:
         folded = _stitch(L._checkpoint(folded), order)
-    return (folded.where("tried").withColumn("balance_after", L.from_cents(F.col("_after")))
-            .drop("_open", "_cents", "_after", "tried", "chunk"))
+    tried = (folded.where("tried").withColumn("balance_after", L.from_cents(F.col("_after")))
+             .drop("_open", "_cents", "_after", "tried", "chunk"))
+    tried = materialize(tried, "candidates")          # folded once, however often they are read
+    if total >= L.ROWS_PER_CHUNK:
+        collect_garbage(cand.sparkSession)
+    return tried
 
 
 def _stitch(folded: DataFrame, order: list) -> DataFrame:

@@ -18,6 +18,7 @@ from stockspark.functions import exprs as X
 from stockspark.operators import ledger as L
 from stockspark.operators.common import materialize
 from stockspark.operators.retry_fold import fold_candidates
+from stockspark.session import collect_garbage
 
 D12 = "decimal(12,2)"
 DEC_ORDER = ("decided_at", "decision_id")
@@ -101,6 +102,26 @@ def _candidates(asked: DataFrame, rejects: DataFrame) -> DataFrame:
                          *[F.col(f"_at.{c}").alias(c) for c in DEC_ORDER]).drop("_at")
 
 
+def _by_request(asked: DataFrame) -> DataFrame:
+    """What can count of the decisions on pending requests: each request's first rejection (``rejection``) and its
+    approval candidates (see ``approval_candidates``), by windows over the requests as the join has dealt them out."""
+    request = Window.partitionBy("request_id")
+    kind, at, qty = F.col("rejection"), F.col("_at"), F.col("qty")
+    issued = F.when(F.col("qty_issued") > 0, F.col("qty_issued")).otherwise(F.col("quantity_requested")).cast(D12)
+    rows = (asked.filter(F.col("decision").isin("approve", "reject"))
+            .withColumn("rejection", F.col("decision") == "reject").withColumn("_at", F.struct(*DEC_ORDER))
+            .withColumn("qty", F.when(~kind, issued)).drop("decision", "qty_issued")
+            .withColumn("_first", F.min(F.when(kind, at)).over(request)))
+    rows = rows.filter(F.when(kind, at == F.col("_first")).otherwise(F.col("_first").isNull() | (at < F.col("_first"))))
+    w = Window.partitionBy("request_id", "rejection").orderBy("_at", "qty")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    least, unknown = F.min("qty").over(earlier), F.count_if(qty.isNull()).over(earlier)
+    rows = (rows.withColumn("_least", least).withColumn("_unknown", F.coalesce(unknown, F.lit(0)))
+            .filter(kind | (qty < F.col("_least")) | (F.col("_least").isNull() & (qty.isNotNull() | (F.col("_unknown") == 0)))))
+    return (rows.withColumn("k", F.row_number().over(w)).withColumn("more", F.lead("_at").over(w).isNotNull())
+            .filter(~kind | (F.col("k") == 1)).drop("_first", "_least", "_unknown", "_at"))
+
+
 def apply_issue_decisions(requests: DataFrame, products: DataFrame,
                           decisions: DataFrame) -> DataFrame:
     """Apply one batch; returns the state of every pending request that had a
@@ -116,17 +137,18 @@ def apply_issue_decisions(requests: DataFrame, products: DataFrame,
     pending = requests.filter(F.col("status") == "pending").select(
         F.col("id").alias("request_id"), "product_id", "quantity_requested")
     valid = validate_decisions(decisions).filter("valid").drop("valid", "reasons")
-    # the decisions on pending requests are written once: rejections and approvals are both taken from them
-    asked = materialize(valid.join(pending, "request_id"), "asked")
-    rejects = _reject_time(asked)
+    # what counts of the decisions on pending requests is written once: rejections and approvals are both taken from it
+    asked = materialize(_by_request(valid.join(pending, "request_id")), "asked")
+    collect_garbage(asked.sparkSession)
+    rejects = asked.filter("rejection").select("request_id", F.struct("decided_by", "reason").alias("_r"),
+                                               F.col("decided_at").alias("_rejected_at"))
     opening = products.select(F.col("id").alias("product_id"), X.available().alias("balance"))
-    tried = fold_candidates(_candidates(asked, rejects), opening, DEC_ORDER)
+    tried = fold_candidates(asked.filter("not rejection").drop("rejection", "reason"), opening, DEC_ORDER)
     hit = F.col("accepted")
     out = tried.groupBy("request_id").agg(
         F.max(F.when(hit, F.struct("qty", "quantity_requested", "decided_by", "decided_at", "balance_after"))).alias("_a"),
         F.min_by("balance_after", "k").alias("_left"))
-    both = out.join(rejects.select("request_id", "_r", F.col("_at.decided_at").alias("_rejected_at")),
-                    "request_id", "full_outer")
+    both = out.join(rejects, "request_id", "full_outer")
     ok, rej = F.col("_a").isNotNull(), F.col("_r").isNotNull()
     return both.select(
         "request_id",
