@@ -22,20 +22,23 @@ def recipients(users: DataFrame) -> DataFrame:
     return users.filter(F.col("role").isin("admin", "keeper") & (F.col("status") == "active"))
 
 
-def stock_alerts(ledger: DataFrame, products: DataFrame, minimums: DataFrame | None = None) -> DataFrame:
+def stock_alerts(ledger: DataFrame, products: DataFrame, minimums: DataFrame | None = None,
+                 keep: tuple = ()) -> DataFrame:
     """R-06: one alert per accepted movement that leaves the balance at or
     below the minimum.  Level uses the strict bound (balance < 0.3 * min).
 
     ``minimums`` (product_id, valid_from, min_stock_level) gives the level
     that was valid at the movement (T-02); before a product's first version,
-    and without the table, the product's own level counts."""
+    and without the table, the product's own level counts.  ``keep``: more
+    columns of the ledger to hand on."""
     pr = products.select(F.col("id").alias("product_id"), F.col("name").alias("product"),
                          "unit", "min_stock_level")
     acc = ledger.filter(F.col("accepted"))
     if minimums is not None:
         from stockspark.operators.asof import asof_join
         versions = minimums.select("product_id", "valid_from", F.col("min_stock_level").alias("_min"))
-        acc = asof_join(acc, versions, "product_id", "created_at", "valid_from")
+        needed = acc.select("product_id", "created_at", "ord_key", "ord_line", "balance_after", *keep)
+        acc = asof_join(needed, versions, "product_id", "created_at", "valid_from")
     acc = acc.join(pr, "product_id")
     if minimums is not None:
         acc = acc.withColumn("min_stock_level", F.coalesce("_min", "min_stock_level"))
@@ -49,7 +52,7 @@ def stock_alerts(ledger: DataFrame, products: DataFrame, minimums: DataFrame | N
                         F.col("balance_after").cast("string"), F.col("unit"),
                         F.col("min_stock_level").cast("string")).alias("body"),
         F.when(level == "CRITICAL", "danger").otherwise("warning").alias("type"),
-        F.lit("inventory.php").alias("link"))
+        F.lit("inventory.php").alias("link"), *keep)
 
 
 def alert_fanout(alerts: DataFrame, users: DataFrame) -> DataFrame:

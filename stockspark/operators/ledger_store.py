@@ -124,7 +124,8 @@ class LedgerStore:
         return as_written, changed, None if base else live
 
     def changes(self, batch_id: str) -> DataFrame | None:
-        """The rows that a committed batch added or whose balances it corrected, as ``rows`` has them; None if none.
+        """The rows that a committed batch added or whose balances it corrected, as ``rows`` has them, and their place
+        ``_pos`` among those of a chunk; None if none.
 
         Exact for the latest batch: a later one may have replaced some of these rows.
         """
@@ -140,15 +141,15 @@ class LedgerStore:
         found = []
         if added:                             # all of what the batch itself wrote
             several = len(ids) > 1 and any(r["twice"] for r in held if r["own"])
-            found.append(self._balances(self._part_rows(added), several))
+            found.append(self._balances(self._part_rows(added), several, keep=("_pos",)))
         if moved:
             rows = self._chosen(live.where(~own), moved)
-            found.append(self._balances(rows, True))
+            found.append(self._balances(rows, True, keep=("_pos",)))
         if not found:
             return None
         return (found[0] if len(found) == 1 else found[0].unionByName(found[1])).drop("txn_month")
 
-    def _balances(self, rows: DataFrame, by_index: bool, live: int | None = None) -> DataFrame:
+    def _balances(self, rows: DataFrame, by_index: bool, live: int | None = None, keep: tuple = ()) -> DataFrame:
         """Rows with their balances; ``by_index``: some of their chunks may have moved, or be folded anew elsewhere;
         ``live``: the number of chunks among them that weren't."""
         after, accepted = F.col("_after"), F.col("_accepted")
@@ -164,8 +165,8 @@ class LedgerStore:
         before = F.when(F.col("accepted"), F.col("_new") - F.col("_cents")).otherwise(F.col("_new"))
         return (rows.withColumn("balance_before", L.from_cents(before))
                 .withColumn("balance_after", L.from_cents(F.col("_new")))
-                .drop("_new", "_after", "_accepted", "_cents", "pre", "_pos", "_lead", "start", "clean",
-                      *PLACE))
+                .drop(*{"_new", "_after", "_accepted", "_cents", "pre", "_pos", "_lead", "start", "clean", *PLACE}
+                      .difference(keep)))
 
     # ------------------------------------------------------------ appending
     def append(self, movements: DataFrame, batch_id: str) -> bool:

@@ -110,7 +110,8 @@ def run_alerts(movements: DataFrame, products: DataFrame, minimums: DataFrame |
 
     Every batch adds the verdicts on its new and corrected rows; the last
     verdict on a movement counts, so a correction can raise or withdraw an
-    alert.
+    alert.  Before the first batch there is nothing to withdraw, so its
+    movements without an alert leave no verdict.
     """
     from stockspark.operators.alerts import stock_alerts
     keys = ["product_id", "created_at", "ord_key", "ord_line"]
@@ -121,15 +122,18 @@ def run_alerts(movements: DataFrame, products: DataFrame, minimums: DataFrame |
         log = CommitLog(df.sparkSession, folder)
         changed = store.changes(batch)
         if changed is not None and not log.known(batch):
-            alerts = stock_alerts(changed, products, minimums)
-            verdicts = changed.select(*keys).join(alerts, keys, "left")
+            alerts = stock_alerts(changed, products, minimums, keep=("_pos",))
+            verdicts = changed.select(*keys).join(alerts, keys, "left") if log.batches() else alerts.dropna(subset=keys)
             log.put("verdicts", verdicts.withColumn("seq", F.lit(log.next_seq())), batch)
             log.commit(batch)
     folder = run_batches(movements, write, name)
     verdicts = CommitLog(movements.sparkSession, folder).get("verdicts")
-    rest = [c for c in verdicts.columns if c not in (*keys, "seq", "commit")]
-    last = verdicts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("v"))
-    return last.select(*keys, "v.*").where(F.col("level").isNotNull())
+    rest = [c for c in verdicts.columns if c not in (*keys, "seq", "_pos", "commit")]
+    # where keys repeat, the last in the ledger's order counts, with versions the first; column by column, so those that
+    # the caller drops are not sent
+    place = F.struct("seq", F.col("_pos") if minimums is None else -F.col("_pos"))
+    last = verdicts.groupBy(*keys).agg(*[F.max_by(F.struct(c), place).alias(c) for c in rest])
+    return last.select(*keys, *[F.col(f"{c}.{c}") for c in rest]).where(F.col("level").isNotNull())
 
 
 # ------------------------------------------------------------------ T-03 audit
