@@ -87,8 +87,9 @@ def fold_candidates(cand: DataFrame, opening: DataFrame, order_cols, n_chunks: i
     order = list(order_cols)
     start = opening.select(KEY, L.to_cents(F.col("balance")).alias("_o"))
     rows = cand.where(F.col(KEY).isNotNull())
-    hot, n, total = L._deal(rows, n_chunks or int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                            None if n_chunks else L.ROWS_PER_CHUNK)
+    total = rows.count()
+    n = n_chunks or max(int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // L.ROWS_PER_CHUNK))
+    hot = L.has_hot_key(rows, n)
     # dealt out once, by product as the openings are, unless a product is too large for a task
     parted = (rows.join(start, KEY, "left").repartitionByRange(n, KEY, *order) if hot
               else rows.repartition(n, KEY).join(start, KEY, "left"))
